@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, storage, token_store
+from . import bpe, fingerprint, simhash, storage, token_store
 
 VOCABULARY = os.environ.get("ATTESTRA_BPE_VOCABULARY", "")
 
@@ -31,13 +31,24 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.with_crc(token_store.read_store(spark, path))
 
 
+def op2_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_neighbours(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_quartile_digest": op2_quartile_digest,
     "op6_bpe": op6_bpe,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
