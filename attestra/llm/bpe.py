@@ -173,7 +173,7 @@ def _shared_vocabulary(docs: DataFrame, path: str):
 
 def encode(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with ``out_col``, the token ids of ``text_col``; an existing column of that name is replaced."""
-    storage.small_batches(docs.sparkSession)
+    storage.prepare_python(docs.sparkSession)
     vocabulary = _shared_vocabulary(docs, vocabulary_path)
     rest = docs.drop(out_col)
 
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text", out
 
 def decode(rows: DataFrame, vocabulary_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``rows`` with ``out_col``, the text of ``ids_col`` (null: empty); unknown ids fail."""
-    storage.small_batches(rows.sparkSession)
+    storage.prepare_python(rows.sparkSession)
     vocabulary = _shared_vocabulary(rows, vocabulary_path)
     rest = rows.drop(out_col)
 
@@ -217,7 +217,7 @@ def digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, the sha256 of its ids and of its decoded text."""
     from hashlib import sha256
 
-    storage.small_batches(docs.sparkSession)
+    storage.prepare_python(docs.sparkSession)
     vocabulary = _shared_vocabulary(docs, vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -80,7 +80,7 @@ def likeness(a: bytes, b: bytes) -> float:
 
 def digests(docs: DataFrame, *, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """``docs`` with the hexadecimal digest of ``text_col``; an existing ``out_col`` is replaced."""
-    storage.small_batches(docs.sparkSession)
+    storage.prepare_python(docs.sparkSession)
     rest = docs.drop(out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ _OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string,
 
 def edited_neighbours(docs: DataFrame) -> DataFrame:
     """Per document: its digest, that of its text with the last quarter taken from the next document, and likenesses."""
-    storage.small_batches(docs.sparkSession)
+    storage.prepare_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # bucket, doc_id, text, digest

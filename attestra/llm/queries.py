@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, line_dedup, simhash, storage, token_store
+from . import bpe, decontaminate, fingerprint, html_text, line_dedup, quality, simhash, storage, token_store, toxicity
 
 VOCABULARY = os.environ.get("ATTESTRA_BPE_VOCABULARY", "")
 
@@ -36,6 +36,10 @@ def op2_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
@@ -64,6 +68,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), host=F.col("source"), path=F.concat_ws("/", "source", "lang"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup(_table(spark, sf_dir, "documents"), counts=True)
     return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -86,9 +99,12 @@ FROM l LEFT JOIN runs ON l.doc_id = runs.doc_id LEFT JOIN kept ON l.doc_id = kep
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_quartile_digest": op2_quartile_digest,
+    "op3_html_text": op3_html_text,
     "op5_decontaminate": op5_decontaminate,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
 

@@ -49,7 +49,7 @@ def fingerprint(text: bytes, shingle_words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     """(doc_id, fp): fingerprints as signed 64-bit integers."""
-    storage.small_batches(docs.sparkSession)
+    storage.prepare_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

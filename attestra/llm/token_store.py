@@ -104,7 +104,7 @@ def write_store(docs: DataFrame, vocabulary_path: str, path: str, *, end_id: int
     more than its range.
     """
     spark = docs.sparkSession
-    storage.small_batches(spark)
+    storage.prepare_python(spark)
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())  # one vocabulary file: a few MB
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
