@@ -181,9 +181,8 @@ def encode(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text", out
         bpe, known = _worker(vocabulary.value)
         for batch in batches:
             distinct, codes, starts = interned(batch.column(text_col))
-            of = [x[0] for x in _learned(bpe, known, distinct)]
-            ids = [[i for c in codes[a:b].tolist() for i in of[c]] for a, b in zip(starts, starts[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, out_col])
+            lists, _ = _id_lists(_learned(bpe, known, distinct), codes, starts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out_col])
 
     schema = rest.schema.add(out_col, "array<int>")
     return rest.mapInArrow(run, schema)
@@ -213,8 +212,19 @@ def _learned(bpe: TrieBpe, known: dict, distinct: list[str]) -> list[tuple]:
     return [known[p] for p in distinct]
 
 
-def digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, the sha256 of its ids and of its decoded text."""
+def _id_lists(got: list[tuple], codes: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The ids of each text as a list, and how many ids each has."""
+    sizes = np.array([len(x[0]) for x in got], np.int64)
+    flat = np.array([i for x in got for i in x[0]], np.int32)
+    own = sizes[codes]
+    before = np.concatenate([[0], np.cumsum(own)])
+    ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - before[:-1], own) + np.arange(before[-1])]
+    offsets = before[starts]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), np.diff(offsets)
+
+
+def digests(docs: DataFrame, vocabulary_path: str, *, with_ids: bool = False) -> DataFrame:
+    """Per document: doc_id, n_tokens, the sha256 of its ids and of its decoded text; with_ids: also the ids."""
     from hashlib import sha256
 
     storage.prepare_python(docs.sparkSession)
@@ -225,14 +235,14 @@ def digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         for batch in batches:
             distinct, codes, starts = interned(batch.column("text"))
             got = _learned(bpe, known, distinct)
-            own, listed, raw = np.array([len(x[0]) for x in got])[codes], [x[1] for x in got], [x[2] for x in got]
-            before = np.concatenate([[0], np.cumsum(own)])[starts]
-            sizes, ids, texts = np.diff(before), [], []
+            lists, sizes = _id_lists(got, codes, starts)
+            listed, raw, ids, texts = [x[1] for x in got], [x[2] for x in got], [], []
             for a, b in zip(starts, starts[1:]):
                 doc = codes[a:b].tolist()
                 ids.append(sha256(b"".join([listed[c] for c in doc])[:-1]).hexdigest())
                 texts.append(sha256(b"".join([raw[c] for c in doc]).decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string()), *([lists] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
