@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import compliance_queries, corpus_queries, evaluation_queries
+
 FLAGSHIP = "c03_verify_bids"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = compliance_queries.QUERIES | evaluation_queries.QUERIES | corpus_queries.QUERIES
+ORACLE_SQL: dict[str, str] = compliance_queries.ORACLE_SQL | evaluation_queries.ORACLE_SQL | corpus_queries.ORACLE_SQL
