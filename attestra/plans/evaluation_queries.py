@@ -1,2 +1,319 @@
+"""Queries of evaluation, windows, limits, set operations, provenance, snapshots and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from attestra.operators import audit, evaluate, resolve, rollup
+from attestra.sources import bridge
+
+from . import compliance_queries as base
+from . import oracle
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def keep(query):
+        QUERIES[name] = query
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return query
+
+    return keep
+
+
+_PREDICTED = "CASE compliance_status WHEN 'PASS' THEN 'PASS' WHEN 'FAIL' THEN 'FAIL' ELSE 'REVIEW' END"
+oracle.view("labelled", f"SELECT b.bid_id, b.tender_id, truth, {_PREDICTED} AS predicted, c.total, c.missing FROM bids b JOIN compliance c ON b.bid_id = c.bid_id", "bids", "compliance")
+
+
+def labelled(spark, sf_dir):
+    predicted = rollup.compliance(base.results(spark, sf_dir)).withColumn("predicted", F.expr(_PREDICTED))
+    return bridge.bids(spark, sf_dir).join(predicted, "bid_id").select("bid_id", "tender_id", "truth", "predicted", "total", "missing")
+
+
+@register("c18_label_join", oracle.sql("SELECT bid_id, truth, predicted, truth = predicted AS agrees FROM labelled", "labelled"))
+def _labels(spark, sf_dir):
+    return labelled(spark, sf_dir).select("bid_id", "truth", "predicted", (F.col("truth") == F.col("predicted")).alias("agrees"))
+
+
+@register("d08_confusion_matrix", oracle.sql("SELECT truth, count(*) FILTER (predicted = 'PASS') AS \"PASS\", count(*) FILTER (predicted = 'FAIL') AS \"FAIL\", count(*) FILTER (predicted = 'REVIEW') AS \"REVIEW\" FROM labelled GROUP BY truth", "labelled"))
+def _confusion(spark, sf_dir):
+    return evaluate.confusion(labelled(spark, sf_dir), "truth", "predicted", ["PASS", "FAIL", "REVIEW"])
+
+
+@register("d09_rates", oracle.sql("SELECT tp, fp, fn, tn, round((tp + tn)::DOUBLE / nullif(tp + fp + fn + tn, 0), 6) AS accuracy, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall, round(tn::DOUBLE / nullif(tn + fp, 0), 6) AS specificity, round(greatest(0.0::DOUBLE, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 4) AS low, round(least(1.0::DOUBLE, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 4) AS high FROM (SELECT *, (tp + fp + fn + tn)::DOUBLE AS n, (tp + tn)::DOUBLE / nullif(tp + fp + fn + tn, 0) AS p, 1.959963984540054::DOUBLE AS z FROM (SELECT count(*) FILTER (truth = 'PASS' AND predicted = 'PASS') AS tp, count(*) FILTER (truth <> 'PASS' AND predicted = 'PASS') AS fp, count(*) FILTER (truth = 'PASS' AND predicted <> 'PASS') AS fn, count(*) FILTER (truth <> 'PASS' AND predicted <> 'PASS') AS tn FROM labelled))", "labelled"))
+def _rates(spark, sf_dir):
+    return evaluate.rates(labelled(spark, sf_dir))
+
+
+@register("d10_by_field", oracle.sql("SELECT field, count(*) AS support, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, round(count(*) FILTER (status = 'PASS')::DOUBLE / count(*), 6) AS pass_rate FROM results WHERE basis = 'EVALUATED' GROUP BY field", "results"))
+def _by_field(spark, sf_dir):
+    r = base.results(spark, sf_dir).filter("basis = 'EVALUATED'").groupBy("field").agg(F.count("*").alias("support"), F.count_if(F.col("status") == "PASS").alias("passed"), F.count_if(F.col("status") == "FAIL").alias("failed"))
+    return r.withColumn("pass_rate", F.round(F.col("passed") / F.col("support"), 6))
+
+
+@register("d11_bids_by_difficulty", oracle.sql("SELECT CASE WHEN missing > 2 THEN 'HARD' WHEN missing > 1 THEN 'MEDIUM' ELSE 'EASY' END AS bucket, truth, count(*) AS n, count(*) FILTER (CASE WHEN truth = 'PASS' THEN predicted = 'PASS' ELSE predicted <> 'PASS' END) AS correct FROM labelled GROUP BY ALL", "labelled"))
+def _difficulty(spark, sf_dir):
+    bucket = F.when(F.col("missing") > 2, "HARD").when(F.col("missing") > 1, "MEDIUM").otherwise("EASY")
+    right = F.when(F.col("truth") == "PASS", F.col("predicted") == "PASS").otherwise(F.col("predicted") != "PASS")
+    return labelled(spark, sf_dir).groupBy(bucket.alias("bucket"), "truth").agg(F.count("*").alias("n"), F.count_if(right).alias("correct"))
+
+
+@register("d12_contradictions_by_type", oracle.sql("SELECT field, count(*) AS pairs, count(*) FILTER (status = 'CONTRADICTION') AS detected, round(count(*) FILTER (status = 'CONTRADICTION')::DOUBLE / count(*), 6) AS share FROM pairs GROUP BY field", "pairs"))
+def _by_type(spark, sf_dir):
+    from attestra.operators import integrity
+
+    p = integrity.pairs(bridge.facts(spark, sf_dir)).groupBy("field").agg(F.count("*").alias("pairs"), F.count_if(F.col("status") == "CONTRADICTION").alias("detected"))
+    return p.withColumn("share", F.round(F.col("detected") / F.col("pairs"), 6))
+
+
+@register("d13_grouping_sets", "SELECT event_type, user_id % 7 AS team, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 7), ())")
+def _sets(spark, sf_dir):
+    e = bridge.table(spark, sf_dir, "events").withColumn("team", F.col("user_id") % 7)
+    return e.groupingSets([[F.col("event_type")], [F.col("team")], []], F.col("event_type"), F.col("team")).agg(F.count("*").alias("n"))
+
+
+@register("d14_error_taxonomy", oracle.sql("SELECT category, n, round(n::DOUBLE / sum(n) OVER (), 6) AS share FROM (SELECT CASE WHEN predicted = 'REVIEW' THEN 'ABSTAINED' WHEN predicted = 'PASS' THEN 'FALSE_PASS' WHEN truth = 'PASS' THEN 'FALSE_FAIL' ELSE 'LABEL_UNCERTAIN' END AS category, count(*) AS n FROM labelled WHERE truth <> predicted GROUP BY ALL)", "labelled"))
+def _taxonomy(spark, sf_dir):
+    kind = F.when(F.col("predicted") == "REVIEW", "ABSTAINED").when(F.col("predicted") == "PASS", "FALSE_PASS").when(F.col("truth") == "PASS", "FALSE_FAIL").otherwise("LABEL_UNCERTAIN")
+    n = labelled(spark, sf_dir).filter("truth <> predicted").groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))  # a row for each category
+
+
+@register("d15_document_rollup", oracle.sql("SELECT doc_id, count(*) AS n_blocks, max(page_number) AS n_pages, CAST(sum(length(text)) AS BIGINT) AS n_chars, bool_or(length(text) < 20) AS has_short FROM blocks GROUP BY doc_id", "blocks"))
+def _documents(spark, sf_dir):
+    return bridge.blocks(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.max("page_number").alias("n_pages"), F.sum(F.length("text")).alias("n_chars"), F.bool_or(F.length("text") < 20).alias("has_short"))
+
+
+@register("d16_corpus_summary", "SELECT lang, count(*) AS n, count(*) FILTER (n_chars > 1000) AS n_long, round(avg(CASE WHEN n_chars > 1000 THEN n_chars END), 4) AS mean_long FROM documents GROUP BY lang")
+def _summary(spark, sf_dir):
+    long = F.col("n_chars") > 1000
+    return bridge.table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(long).alias("n_long"), F.round(F.avg(F.when(long, F.col("n_chars"))), 4).alias("mean_long"))
+
+
+@register("d17_filings_by_type", "SELECT user_id, CAST(sum(n) AS BIGINT) AS total, string_agg(event_type || '=' || CAST(n AS VARCHAR), ',' ORDER BY event_type) AS by_type FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
+def _filings(spark, sf_dir):
+    n = bridge.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    listed = F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "event_type", "n"))), ",")
+    return n.groupBy("user_id").agg(F.sum("n").alias("total"), listed.alias("by_type"))
+
+
+@register("d18_dashboard_counters", oracle.sql("SELECT tender_id, count(*) AS n, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) FILTER (requires_review) AS open_items FROM results GROUP BY tender_id", "results"))
+def _counters(spark, sf_dir):
+    return base.results(spark, sf_dir).groupBy("tender_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "PASS").alias("passed"), F.count_if(F.col("status") == "FAIL").alias("failed"), F.count_if("requires_review").alias("open_items"))
+
+
+@register("d19_detection_summary", "SELECT quality, count(*) AS n, count(*) FILTER (toxic = 1) AS detected, round(count(*) FILTER (toxic = 1)::DOUBLE / count(*), 6) AS rate FROM labels GROUP BY quality")
+def _detections(spark, sf_dir):
+    return bridge.table(spark, sf_dir, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("detected"), F.round(F.count_if(F.col("toxic") == 1) / F.count("*"), 6).alias("rate"))
+
+
+@register("d20_safety_gates", oracle.sql("SELECT bool_and(NOT (basis = 'ABSENT' AND status = 'PASS')) AS missing_never_passes, bool_and(NOT (basis = 'SUPERSEDED' AND status <> 'N/A')) AS superseded_is_na, bool_and(NOT (status = 'FAIL' AND mandatory AND severity <> 'CRITICAL')) AS mandatory_is_critical FROM results", "results"))
+def _gates(spark, sf_dir):
+    c = F.col
+    return base.results(spark, sf_dir).agg(F.bool_and(~((c("basis") == "ABSENT") & (c("status") == "PASS"))).alias("missing_never_passes"), F.bool_and(~((c("basis") == "SUPERSEDED") & (c("status") != "N/A"))).alias("superseded_is_na"), F.bool_and(~((c("status") == "FAIL") & c("mandatory") & (c("severity") != "CRITICAL"))).alias("mandatory_is_critical"))
+
+
+@register("d21_evidence_counts", oracle.sql("SELECT bid_id, count(source_document) AS n, array_to_string(list_sort(list(DISTINCT source_document) FILTER (source_document IS NOT NULL)), ',') AS documents FROM results GROUP BY bid_id", "results"))
+def _evidence(spark, sf_dir):
+    return base.results(spark, sf_dir).groupBy("bid_id").agg(F.count("source_document").alias("n"), F.array_join(F.sort_array(F.collect_set("source_document")), ",").alias("documents"))
+
+
+@register("d22_dossiers", oracle.sql("SELECT bid_id, count(*) AS n, sha256(string_agg(requirement_id || ':' || status, ';' ORDER BY requirement_id)) AS digest FROM results GROUP BY bid_id", "results"))
+def _dossiers(spark, sf_dir):
+    nested = base.results(spark, sf_dir).groupBy("bid_id").agg(F.sort_array(F.collect_list(F.struct("requirement_id", "status"))).alias("results"))
+    return nested.select("bid_id", F.size("results").cast("long").alias("n"), F.sha2(F.array_join(F.transform("results", lambda x: F.concat_ws(":", x["requirement_id"], x["status"])), ";"), 256).alias("digest"))
+
+
+@register("d24_completeness", "SELECT 'c_custkey' AS column_name, count(c_custkey) AS filled FROM customer UNION ALL SELECT 'c_name', count(*) FILTER (trim(coalesce(c_name, '')) <> '') FROM customer UNION ALL SELECT 'c_acctbal', count(c_acctbal) FROM customer")
+def _completeness(spark, sf_dir):
+    return evaluate.completeness(bridge.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"))
+
+
+@register("h26_wilson", "SELECT user_id, round(greatest(0.0::DOUBLE, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 4) AS low, round(least(1.0::DOUBLE, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 4) AS high FROM (SELECT user_id, count(*)::DOUBLE AS n, count(*) FILTER (event_type = 'error')::DOUBLE / count(*) AS p, 1.959963984540054::DOUBLE AS z FROM events GROUP BY user_id)")
+def _wilson(spark, sf_dir):
+    n = bridge.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("k"))
+    low, high = evaluate.wilson(F.col("k"), F.col("n"))
+    return n.select("user_id", low.alias("low"), high.alias("high"))
+
+
+# --- windows and limits --------------------------------------------------------------------
+
+
+@register("e06_first_of_key", "SELECT bid_key, event_type, event_id FROM (SELECT user_id % 50 AS bid_key, event_type, event_id, row_number() OVER (PARTITION BY user_id % 50, event_type ORDER BY event_id) AS r FROM events) WHERE r = 1")
+def _first_of_key(spark, sf_dir):
+    return bridge.table(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("bid_key"), "event_type").agg(F.min("event_id").alias("event_id"))
+
+
+@register("e07_best_version", "SELECT source, lang, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1")
+def _best(spark, sf_dir):
+    best = F.max_by(F.struct("doc_id", "n_chars"), F.struct("n_chars", -F.col("doc_id")))
+    return bridge.table(spark, sf_dir, "documents").groupBy("source", "lang").agg(best.alias("x")).select("source", "lang", "x.*")
+
+
+_DECISION = "CASE event_type WHEN 'purchase' THEN 'ACCEPT' WHEN 'signup' THEN 'WAIVE' WHEN 'error' THEN 'CONFIRM_FAIL' WHEN 'click' THEN 'DISMISS' END"
+
+
+@register("e08_latest_override", f"SELECT user_id AS target, decision FROM (SELECT user_id, {_DECISION} AS decision, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE {_DECISION} IS NOT NULL) WHERE r = 1")
+def _latest(spark, sf_dir):
+    return audit.latest_overrides(audit.decisions(bridge.table(spark, sf_dir, "events"))).select("target", "decision")
+
+
+@register("f01_top_documents", "SELECT doc_id, n_chars FROM documents WHERE n_chars > 0 ORDER BY n_chars DESC, doc_id LIMIT 10")
+def _top(spark, sf_dir):
+    return bridge.table(spark, sf_dir, "documents").filter("n_chars > 0").orderBy(F.desc("n_chars"), "doc_id").select("doc_id", "n_chars").limit(10)
+
+
+@register("f02_first_failures", oracle.sql("SELECT category, bid_id, requirement_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY bid_id, requirement_id) AS r FROM results WHERE status = 'FAIL') WHERE r <= 5", "results"))
+def _failures(spark, sf_dir):
+    r = F.row_number().over(Window.partitionBy("category").orderBy("bid_id", "requirement_id"))
+    return base.results(spark, sf_dir).filter("status = 'FAIL'").withColumn("r", r).filter("r <= 5").select("category", "bid_id", "requirement_id")
+
+
+@register("f03_last_events", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def _last_events(spark, sf_dir):
+    return bridge.table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).select("event_id", "event_type").limit(20)
+
+
+@register("f04_category_frequency", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type")
+def _frequency(spark, sf_dir):
+    return bridge.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
+
+
+@register("f05_sorted_serialization", oracle.sql("SELECT bid_id, string_agg(field || '=' || value, '|' ORDER BY field) AS line FROM last_facts GROUP BY bid_id", "last_facts"))
+def _sorted(spark, sf_dir):
+    listed = F.sort_array(F.collect_list(F.struct("field", "value")))
+    return resolve.last_facts(bridge.facts(spark, sf_dir)).groupBy("bid_id").agg(F.array_join(F.transform(listed, lambda x: F.concat_ws("=", x["field"], x["value"])), "|").alias("line"))
+
+
+@register("f06_queue_page", "SELECT event_id, event_type FROM events ORDER BY event_type, event_id LIMIT 25 OFFSET 50")
+def _page(spark, sf_dir):
+    return bridge.table(spark, sf_dir, "events").select("event_id", "event_type").orderBy("event_type", "event_id").offset(50).limit(25)
+
+
+# --- set operations ------------------------------------------------------------------------
+
+
+@register("g01_two_passes", "SELECT conv_id, turn, 1 AS pass FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, 2 FROM conversations WHERE role = 'assistant'")
+def _passes(spark, sf_dir):
+    c = bridge.table(spark, sf_dir, "conversations")
+    one, two = (c.filter(F.col("role") == role).select("conv_id", "turn", F.lit(k).alias("pass")) for k, role in ((1, "user"), (2, "assistant")))
+    return one.unionByName(two)
+
+
+@register("g02_findings_and_anomalies", oracle.sql("SELECT bid_id, finding_type, 'FINDING' AS origin FROM findings WHERE field = 'gstin' UNION ALL SELECT user_id, upper(event_type), 'ANOMALY' FROM events WHERE event_type NOT IN ('view', 'click')", "findings"))
+def _anomalies(spark, sf_dir):
+    f = base.findings(spark, sf_dir).filter("field = 'gstin'").select("bid_id", "finding_type", F.lit("FINDING").alias("origin"))
+    e = bridge.table(spark, sf_dir, "events").filter(~F.col("event_type").isin("view", "click")).select(F.col("user_id").alias("bid_id"), F.upper("event_type").alias("finding_type"), F.lit("ANOMALY").alias("origin"))
+    return f.unionByName(e)
+
+
+@register("g05_id_differences", "SELECT side, id FROM (SELECT 'left_only' AS side, o_custkey AS id FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL SELECT 'right_only', c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders))")
+def _differences(spark, sf_dir):
+    return audit.differences(bridge.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), bridge.table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id")))
+
+
+@register("g06_declared_not_checked", oracle.sql("SELECT DISTINCT value AS identifier FROM facts WHERE field = 'gstin' AND value NOT IN (SELECT gstin FROM registry)", "facts", "registry"))
+def _undeclared(spark, sf_dir):
+    declared = bridge.facts(spark, sf_dir).filter("field = 'gstin'").select(F.col("value").alias("identifier")).distinct()
+    return declared.join(bridge.registry(spark, sf_dir).select(F.col("gstin").alias("identifier")), "identifier", "left_anti")
+
+
+@register("g07_block_sets", "SELECT conv_id, CAST(len(list(DISTINCT turn)) AS INT) AS n_turns, list_has_any(list(turn) FILTER (role = 'user'), list(turn) FILTER (role = 'assistant')) AS overlap FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0")
+def _block_sets(spark, sf_dir):
+    side = lambda r: F.collect_list(F.when(F.col("role") == r, F.col("turn")))
+    g = bridge.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(side("user").alias("a"), side("assistant").alias("b"), F.size(F.collect_set("turn")).alias("n_turns"))
+    return g.filter("size(a) > 0 and size(b) > 0").select("conv_id", "n_turns", F.arrays_overlap("a", "b").alias("overlap"))
+
+
+# --- provenance ----------------------------------------------------------------------------
+
+oracle.view("edges", "SELECT bid_id, 'RESULT:' || requirement_id AS src, 'REQ:' || requirement_id AS dst, 'EVALUATES' AS kind FROM results UNION ALL SELECT bid_id, 'RESULT:' || requirement_id, 'FACT:' || field, 'USES' FROM results WHERE basis = 'EVALUATED' UNION ALL SELECT bid_id, 'FACT:' || field, 'BLOCK:' || source_document || ':' || CAST(page AS VARCHAR), 'FOUND_IN' FROM first_facts", "results", "first_facts")
+oracle.view("nodes", "SELECT DISTINCT bid_id, id, split_part(id, ':', 1) AS node_type FROM (SELECT bid_id, src AS id FROM edges UNION ALL SELECT bid_id, dst FROM edges)", "edges")
+
+
+def edges(spark, sf_dir):
+    return audit.edges(base.results(spark, sf_dir), resolve.first_facts(bridge.facts(spark, sf_dir)))
+
+
+@register("i01_nodes", oracle.sql("SELECT bid_id, id, node_type FROM nodes", "nodes"))
+def _nodes(spark, sf_dir):
+    return audit.nodes(edges(spark, sf_dir))
+
+
+@register("i02_edges", oracle.sql("SELECT DISTINCT bid_id, src, dst, kind FROM edges", "edges"))
+def _edges(spark, sf_dir):
+    return edges(spark, sf_dir)
+
+
+@register("i03_structure", oracle.sql("SELECT count(*) AS n_edges, count(*) FILTER (src = dst) AS self_loops, 0::BIGINT AS dangling FROM edges", "edges"))
+def _structure(spark, sf_dir):
+    return audit.structure(edges(spark, sf_dir))
+
+
+@register("i04_layer_order", oracle.sql("SELECT kind, bool_and(CASE split_part(src, ':', 1) WHEN 'RESULT' THEN 3 WHEN 'FACT' THEN 2 ELSE 1 END > CASE split_part(dst, ':', 1) WHEN 'RESULT' THEN 3 WHEN 'FACT' THEN 2 WHEN 'REQ' THEN 1 ELSE 0 END) AS acyclic FROM edges GROUP BY kind", "edges"))
+def _layers(spark, sf_dir):
+    return audit.layered(edges(spark, sf_dir))
+
+
+@register("i05_trace_decisions", oracle.sql("SELECT DISTINCT a.bid_id, a.src AS result, b.dst AS evidence FROM edges a JOIN edges b ON a.bid_id = b.bid_id AND a.dst = b.src", "edges"))
+def _trace(spark, sf_dir):
+    return audit.trace(edges(spark, sf_dir))
+
+
+@register("i06_evidence_to_decisions", oracle.sql("SELECT b.bid_id, b.dst AS evidence, count(DISTINCT a.src) AS n_results FROM edges a JOIN edges b ON a.bid_id = b.bid_id AND a.dst = b.src GROUP BY ALL", "edges"))
+def _back(spark, sf_dir):
+    return audit.trace(edges(spark, sf_dir)).groupBy("bid_id", "evidence").agg(F.count("*").alias("n_results"))
+
+
+@register("i07_fact_trace", oracle.sql("SELECT bid_id, dst AS fact, count(*) AS used_by FROM edges WHERE kind = 'USES' GROUP BY ALL", "edges"))
+def _fact_trace(spark, sf_dir):
+    return edges(spark, sf_dir).filter("kind = 'USES'").groupBy("bid_id", F.col("dst").alias("fact")).agg(F.count("*").alias("used_by"))
+
+
+@register("d23_graph_stats", oracle.sql("SELECT node_type, count(*) AS n, round(count(*)::DOUBLE / count(DISTINCT bid_id), 6) AS per_bid FROM nodes GROUP BY node_type", "nodes"))
+def _graph(spark, sf_dir):
+    return audit.nodes(edges(spark, sf_dir)).groupBy("node_type").agg(F.count("*").alias("n"), F.round(F.count("*") / F.countDistinct("bid_id"), 6).alias("per_bid"))
+
+
+# --- snapshots, overrides, streams ---------------------------------------------------------
+
+
+@register("j01_snapshots", oracle.sql("SELECT bid_id, sha256(string_agg(requirement_id || ':' || status || ':' || severity, ';' ORDER BY requirement_id)) AS snapshot_hash FROM results GROUP BY bid_id", "results"))
+def _snapshots(spark, sf_dir):
+    return audit.snapshots(base.results(spark, sf_dir))
+
+
+@register("j03_replay_differences", oracle.sql("SELECT bid_id, requirement_id, status AS stored, CASE WHEN bid_id % 10 = 0 AND field = 'gstin' THEN 'REVIEW' ELSE status END AS replayed FROM results WHERE bid_id % 10 = 0 AND field = 'gstin' AND status <> 'REVIEW'", "results"))
+def _replay(spark, sf_dir):
+    r = base.results(spark, sf_dir).select("bid_id", "requirement_id", "field", "status")
+    changed = r.withColumn("status", F.when((F.col("bid_id") % 10 == 0) & (F.col("field") == "gstin"), "REVIEW").otherwise(F.col("status")))
+    return audit.replay_differences(r, changed)
+
+
+@register("j04_apply_overrides", oracle.sql(f"SELECT bid_id, requirement_id, CASE decision WHEN 'ACCEPT' THEN 'OVERRIDDEN_PASS' WHEN 'WAIVE' THEN 'N/A' WHEN 'CONFIRM_FAIL' THEN 'OVERRIDDEN_FAIL' ELSE status END AS status FROM results LEFT JOIN (SELECT user_id, {_DECISION} AS decision, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE {_DECISION} IS NOT NULL) o ON o.r = 1 AND o.user_id = results.bid_id AND results.field = 'turnover_cr'", "results"))
+def _apply(spark, sf_dir):
+    latest = audit.latest_overrides(audit.decisions(bridge.table(spark, sf_dir, "events")))
+    return audit.apply_overrides(base.results(spark, sf_dir), latest, "turnover_cr").select("bid_id", "requirement_id", "status")
+
+
+@register("j05_audit_trail", f"SELECT user_id AS target, count(*) AS n, string_agg({_DECISION}, ',' ORDER BY ts, event_id) AS trail FROM events WHERE {_DECISION} IS NOT NULL GROUP BY user_id")
+def _trail(spark, sf_dir):
+    return audit.trail(audit.decisions(bridge.table(spark, sf_dir, "events")))
+
+
+@register("s01_override_stream", f"SELECT user_id AS target, decision FROM (SELECT user_id, {_DECISION} AS decision, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE {_DECISION} IS NOT NULL) WHERE r = 1")
+def _override_stream(spark, sf_dir):
+    from attestra.streaming import overrides
+
+    return overrides.effective(spark, sf_dir)
+
+
+@register("s02_audit_stream", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def _audit_stream(spark, sf_dir):
+    from attestra.streaming import overrides
+
+    return overrides.daily_counts(spark, sf_dir)
