@@ -1,2 +1,179 @@
+"""Queries of sources and sinks, text jobs and boxes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from attestra.functions import identifiers, similarity
+from attestra.operators import text
+from attestra.sources import bridge, files
+
+from . import compliance_queries as base
+from . import oracle
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def keep(query):
+        QUERIES[name] = query
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return query
+
+    return keep
+
+
+@register("a01_json_scan", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
+def _json(spark, sf_dir):
+    return files.round_trip(bridge.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "json")
+
+
+@register("a02_flatten_clauses", oracle.sql("SELECT tender_id, requirement_id, field, CASE WHEN category IN ('WARRANTY', 'DELIVERY') THEN category ELSE 'OTHER' END AS category FROM reqs WHERE tender_id IN (SELECT o_orderpriority FROM orders)", "reqs"))
+def _flatten(spark, sf_dir):
+    tenders = bridge.bids(spark, sf_dir).select("tender_id").distinct()
+    nested = bridge.requirements(spark).groupBy("tender_id").agg(F.collect_list(F.struct("requirement_id", "field", "category")).alias("clauses")).join(tenders, "tender_id")
+    flat = nested.select("tender_id", F.explode("clauses").alias("c")).select("tender_id", "c.*")
+    return flat.withColumn("category", F.when(F.col("category").isin("WARRANTY", "DELIVERY"), F.col("category")).otherwise("OTHER"))
+
+
+@register("a03_split_pairs", oracle.sql("SELECT 'FACT' AS kind, field, count(*) AS n FROM facts GROUP BY field UNION ALL SELECT 'EXPECTED', truth, count(*) FROM bids GROUP BY truth", "facts", "bids"))
+def _split(spark, sf_dir):
+    f = bridge.facts(spark, sf_dir).groupBy("field").agg(F.count("*").alias("n")).select(F.lit("FACT").alias("kind"), "field", "n")
+    return f.unionByName(bridge.bids(spark, sf_dir).groupBy(F.col("truth").alias("field")).agg(F.count("*").alias("n")).select(F.lit("EXPECTED").alias("kind"), "field", "n"))
+
+
+@register("a04_csv_manifest", "SELECT doc_id, lang, source, n_chars FROM documents")
+def _csv(spark, sf_dir):
+    return files.round_trip(bridge.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "csv", header="true")
+
+
+@register("a05_manifest", "SELECT 'orders' AS name, count(*) AS n, count(DISTINCT o_custkey) AS n_keys FROM orders UNION ALL SELECT 'events', count(*), count(DISTINCT user_id) FROM events")
+def _manifest(spark, sf_dir):
+    one = lambda name, key: bridge.table(spark, sf_dir, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.countDistinct(key).alias("n_keys")).select("name", "n", "n_keys")
+    return one("orders", "o_custkey").unionByName(one("events", "user_id"))
+
+
+@register("a06_partitioned_store", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority = '2-HIGH'")
+def _store(spark, sf_dir):
+    path = files.partitioned(bridge.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority")
+    return spark.read.parquet(path).filter("o_orderpriority = '2-HIGH'")
+
+
+@register("a07_metric_documents", "SELECT event_type, '{\"event_type\":\"' || event_type || '\",\"n\":' || CAST(count(*) AS VARCHAR) || '}' AS document FROM events GROUP BY event_type")
+def _metrics(spark, sf_dir):
+    n = bridge.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return n.select("event_type", identifiers.canonical_json(event_type=F.col("event_type"), n=F.col("n")).alias("document"))
+
+
+@register("a08_blocks", oracle.sql("SELECT doc_id, page_number, position, block_id, length(text) AS size FROM blocks", "blocks"))
+def _blocks(spark, sf_dir):
+    return bridge.blocks(spark, sf_dir).select("doc_id", "page_number", "position", "block_id", F.length("text").cast("long").alias("size"))
+
+
+@register("a09_contract_check", "SELECT event_id, CAST(CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 1 ELSE 0 END + CASE WHEN user_id < 5 THEN 1 ELSE 0 END AS INT) AS n_errors FROM events")
+def _contract(spark, sf_dir):
+    checked = files.contract_errors(bridge.table(spark, sf_dir, "events"), ["event_id"], {"event_type": ["view", "click", "purchase"]}, {"user_id": 5})
+    return checked.select("event_id", F.size("errors").alias("n_errors"))
+
+
+_PATTERNS = ", ".join(f"('{k}', '{p}')" for k, p in text.FACT_PATTERNS.items())
+
+
+@register("t01_extract_facts", oracle.sql(f"SELECT doc_id, block_id, field, regexp_extract(text, pattern, 1) AS found FROM blocks, (VALUES {_PATTERNS}) p(field, pattern) WHERE regexp_extract(text, pattern, 1) <> ''", "blocks"))
+def _extract(spark, sf_dir):
+    return text.extract(bridge.blocks(spark, sf_dir)).select("doc_id", "block_id", "field", "found")
+
+
+@register("t03_keyword_evidence", oracle.sql("SELECT doc_id, min_by(block_id, position) AS block_id FROM blocks WHERE contains(lower(text), 'license') OR contains(lower(text), 'copyright') GROUP BY doc_id", "blocks"))
+def _keyword(spark, sf_dir):
+    low = F.lower("text")
+    return bridge.blocks(spark, sf_dir).filter(F.contains(low, F.lit("license")) | F.contains(low, F.lit("copyright"))).groupBy("doc_id").agg(F.min_by("block_id", "position").alias("block_id"))
+
+
+_PRINTABLE = "length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'))::DOUBLE / greatest(1, length(text))"
+
+
+@register("t04_page_quality", oracle.sql(f"SELECT block_id, round(({_PRINTABLE}) * least(1.0::DOUBLE, length(text)::DOUBLE / 80), 6) AS score, CASE WHEN length(text) < 20 THEN 'LOW' WHEN length(text) < 80 OR ({_PRINTABLE}) < 0.9 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM blocks", "blocks"))
+def _quality(spark, sf_dir):
+    score, confidence = text.quality(F.col("text"))
+    return bridge.blocks(spark, sf_dir).select("block_id", score.alias("score"), confidence.alias("confidence"))
+
+
+_VALID = "CASE WHEN length(trim(text)) = 0 OR len(regexp_extract_all(text, '[A-Za-z0-9]'))::DOUBLE / greatest(1, length(text)) < 0.3 OR len(regexp_extract_all(text, '\\s'))::DOUBLE / greatest(1, length(text)) > 0.6 OR run > 0.5 THEN 'FAILED' WHEN len(regexp_extract_all(text, '[A-Za-z0-9]'))::DOUBLE / greatest(1, length(text)) < 0.6 OR length(text) < 20 THEN 'LOW_CONFIDENCE' ELSE 'ACCEPTED' END"
+oracle.view("run_sizes", "SELECT block_id, max(c) AS c FROM (SELECT block_id, ch, g, count(*) AS c FROM (SELECT block_id, ch, i - row_number() OVER (PARTITION BY block_id, ch ORDER BY i) AS g FROM (SELECT block_id, unnest(string_split(text, '')) AS ch, unnest(range(1, len(string_split(text, '')) + 1)) AS i FROM blocks WHERE text <> '')) GROUP BY block_id, ch, g) GROUP BY block_id", "blocks")
+
+
+@register("h27_longest_run", oracle.sql("SELECT b.block_id, round(coalesce(c, 0)::DOUBLE / greatest(1, length(text)), 6) AS share FROM blocks b LEFT JOIN run_sizes r ON b.block_id = r.block_id", "blocks", "run_sizes"))
+def _run(spark, sf_dir):
+    return bridge.blocks(spark, sf_dir).select("block_id", text.longest_run_share(F.col("text")).alias("share"))
+
+
+@register("t05_validity", oracle.sql(f"SELECT block_id, {_VALID} AS validity FROM (SELECT b.block_id, text, round(coalesce(c, 0)::DOUBLE / greatest(1, length(text)), 6) AS run FROM blocks b LEFT JOIN run_sizes r ON b.block_id = r.block_id)", "blocks", "run_sizes"))
+def _validity(spark, sf_dir):
+    return bridge.blocks(spark, sf_dir).select("block_id", text.validity(F.col("text")).alias("validity"))
+
+
+@register("t06_gated_facts", oracle.sql(f"SELECT block_id, field, found, validity = 'LOW_CONFIDENCE' AS for_review FROM (SELECT v.block_id, v.validity, field, regexp_extract(text, pattern, 1) AS found FROM (SELECT block_id, text, {_VALID} AS validity FROM (SELECT b.block_id, text, round(coalesce(c, 0)::DOUBLE / greatest(1, length(text)), 6) AS run FROM blocks b LEFT JOIN run_sizes r ON b.block_id = r.block_id)) v, (VALUES {_PATTERNS}) p(field, pattern)) WHERE found <> '' AND validity <> 'FAILED'", "blocks", "run_sizes"))
+def _gated(spark, sf_dir):
+    gated = bridge.blocks(spark, sf_dir).withColumn("validity", text.validity(F.col("text"))).filter("validity <> 'FAILED'")
+    return text.extract(gated).select("block_id", "field", "found", (F.col("validity") == "LOW_CONFIDENCE").alias("for_review"))
+
+
+@register("c14_grounding", oracle.sql("SELECT doc_id AS candidate_id, bool_and(k <= n_blocks) AS grounded, count(*) AS n_blocks FROM (SELECT doc_id, count(*) AS n_blocks FROM blocks GROUP BY doc_id), (VALUES (1), (2), (5)) t(k) GROUP BY doc_id", "blocks"))
+def _ground(spark, sf_dir):
+    blocks = bridge.blocks(spark, sf_dir).withColumn("block_id", F.col("position").cast("string"))
+    wanted = bridge.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("candidate_id"), "doc_id", F.array(F.lit("0"), F.lit("1"), F.lit("4"), F.lit("1")).alias("block_ids"))
+    return text.ground(wanted, blocks)
+
+
+@register("g08_merge_candidates", "SELECT key, part, count(*) AS n, bool_or(role = 'user') AS mandatory, CAST(max(length(text)) AS INT) AS longest, CAST(min(turn) AS BIGINT) AS first_position FROM (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY turn ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT conv_id AS key, turn, role, text, CASE WHEN turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) <= 1 THEN 0 ELSE 1 END AS new FROM conversations WHERE length(text) % 5 <> 0)) GROUP BY key, part")
+def _merge(spark, sf_dir):
+    c = bridge.table(spark, sf_dir, "conversations").filter("length(text) % 5 <> 0").select(F.col("conv_id").alias("key"), F.concat_ws("-", "conv_id", "turn").alias("candidate_id"), F.col("turn").cast("long").alias("position"), (F.col("role") == "user").alias("mandatory"), "text")
+    return text.merge(c)
+
+
+@register("h20_page_boxes", "SELECT event_id, list_transform([least(y0, y1), least(x0, x1), greatest(y0, y1), greatest(x0, x1)], lambda v: round(v, 2)) AS box FROM (SELECT event_id, least(595.0::DOUBLE, (user_id * 7 % 700)::DOUBLE) AS x0, least(842.0::DOUBLE, (user_id * 13 % 900)::DOUBLE) AS y0, least(595.0::DOUBLE, (event_id % 650)::DOUBLE) AS x1, least(842.0::DOUBLE, (event_id % 880)::DOUBLE) AS y1 FROM events)")
+def _boxes(spark, sf_dir):
+    c = F.col
+    return bridge.table(spark, sf_dir, "events").select("event_id", text.page_box(c("user_id") * 7 % 700, c("user_id") * 13 % 900, c("event_id") % 650, c("event_id") % 880, 595, 842).alias("box"))
+
+
+@register("h22_document_types", "SELECT page_id, CASE WHEN regexp_matches(lower(url), 'tender|nit') THEN 'TENDER' WHEN regexp_matches(lower(url), 'gst') OR regexp_matches(lower(substring(html, 1, 300)), 'gstin') THEN 'GST_CERTIFICATE' WHEN regexp_matches(lower(substring(html, 1, 300)), 'thanks|the ') THEN 'LETTER' ELSE 'OTHER' END AS document_type FROM pages")
+def _types(spark, sf_dir):
+    return bridge.table(spark, sf_dir, "pages").select("page_id", text.document_type(F.col("url"), F.col("html")).alias("document_type"))
+
+
+@register("h23_ids_of_names", "SELECT page_id, upper(regexp_extract('Bid-' || CAST(page_id AS VARCHAR) || url, '(?i)BID-\\d+', 0)) AS bid FROM pages")
+def _ids(spark, sf_dir):
+    return bridge.table(spark, sf_dir, "pages").select("page_id", F.upper(F.regexp_extract(F.concat(F.lit("Bid-"), F.col("page_id").cast("string"), "url"), r"(?i)BID-\d+", 0)).alias("bid"))
+
+
+@register("h25_sanitized_details", "SELECT event_id, '***' || right('key' || CAST(user_id AS VARCHAR) || 'xyz', 4) AS masked, substring(sha256(event_type), 1, 12) AS hashed FROM events")
+def _sanitized(spark, sf_dir):
+    details = F.create_map(F.lit("identifier"), F.concat(F.lit("key"), F.col("user_id").cast("string"), F.lit("xyz")), F.lit("token"), F.col("event_type"))
+    clean = F.transform_values(details, lambda k, v: F.when(k == "token", identifiers.fingerprint(v, 12)).otherwise(F.concat(F.lit("***"), F.right(v, F.lit(4)))))
+    return bridge.table(spark, sf_dir, "events").select("event_id", clean["identifier"].alias("masked"), clean["token"].alias("hashed"))
+
+
+@register("t10_registry_facts", oracle.sql("SELECT bid_id, unnest(['registered_name', 'gstin']) AS field, unnest([registered_name, identifier]) AS value FROM checks WHERE status = 'VERIFIED'", "checks"))
+def _registry_facts(spark, sf_dir):
+    ok = base.checks(spark, sf_dir).filter("status = 'VERIFIED'").select("bid_id", "registered_name", F.col("identifier").alias("gstin"))
+    return ok.unpivot("bid_id", ["registered_name", "gstin"], "field", "value").filter("value is not null")
+
+
+@register("t11_certificate_facts", oracle.sql("SELECT bid_id, 'gst_status' AS field, status AS value, CASE status WHEN 'VERIFIED' THEN 'HIGH' ELSE 'LOW' END AS confidence FROM checks", "checks"))
+def _certificates(spark, sf_dir):
+    return base.checks(spark, sf_dir).select("bid_id", F.lit("gst_status").alias("field"), F.col("status").alias("value"), F.when(F.col("status") == "VERIFIED", "HIGH").otherwise("LOW").alias("confidence"))
+
+
+@register("u01_name_similarity")
+def _similar(spark, sf_dir):
+    c = base.checks(spark, sf_dir).filter("registered_name is not null").select("bid_id", "registered_name", "expected_name")
+    return c.select("bid_id", (similarity.matched_ratio("registered_name", "expected_name") >= similarity.LEAST).alias("alike"))
+
+
+@register("u01_edit_similarity", oracle.sql("SELECT bid_id, round(1 - levenshtein(registered_name, expected_name)::DOUBLE / greatest(length(registered_name), length(expected_name), 1), 6) AS ratio FROM checks WHERE registered_name IS NOT NULL", "checks"))
+def _edit(spark, sf_dir):
+    return base.checks(spark, sf_dir).filter("registered_name is not null").select("bid_id", similarity.edit_ratio("registered_name", "expected_name").alias("ratio"))
