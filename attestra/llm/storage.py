@@ -30,14 +30,27 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` and read it back; the path goes to ``drop`` once nothing needs it."""
+_HELD: dict[str, list[str]] = {}
+
+
+def written(df: DataFrame, label: str, *, keep: bool = False) -> tuple[DataFrame, str]:
+    """Write ``df`` and read it back; the path goes to ``drop`` once nothing needs it.
+
+    Unless ``keep``, ``release`` deletes it too.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    if not keep:
+        _HELD.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables written so far, when all results that were made from them are written themselves."""
+    drop(spark, *_HELD.pop(spark.sparkContext.applicationId, []))
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete tables written by ``written``, through Spark's own file system layer."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
