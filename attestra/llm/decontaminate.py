@@ -87,13 +87,14 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     n_places, reach = places.count(), window - 1
     chosen = places.select("term").distinct()
     index, _ = storage.written(build_index(docs, chosen, n_places, reach), "postings")
-    hits = index.join(_small(places.select("item", "term", "p"), n_places), "term")
-    aligned = hits.groupBy("d", "h", "item", (F.col("pos") - F.col("p")).alias("delta")).agg(F.collect_set(F.struct("p", "around", "at")).alias("found"))
-    with_item = aligned.join(_small(items.join(pairs, "item"), n_places), "item")
+    # Each hit is confirmed on the words around it before anything is moved, so that lists hold
+    # places of true occurrences only when they are intersected.
+    hits = index.join(_small(places.select("item", "term", "p", "iw", "n"), n_places), "term").withColumn("left", _extent(-1, reach)).withColumn("right", _extent(1, reach)).filter("left + right + 1 >= n")
+    aligned = hits.groupBy("d", "h", "item", (F.col("pos") - F.col("p")).alias("delta")).agg(F.collect_set(F.struct("p", "left", "right")).alias("found"))
+    with_item = aligned.join(_small(items.select("item", "item_ids").join(pairs, "item"), n_places), "item")
     agree = with_item.filter(F.exists("pairs", lambda x: F.size(F.array_except(x, F.col("found.p"))) == 0))
-    near = agree.select("d", "h", "item", "item_ids", "iw", "n", "delta", F.explode("found").alias("f")).select("*", "f.*")
-    around = near.withColumn("left", _extent(-1, reach)).withColumn("right", _extent(1, reach)).filter("left + right + 1 >= n")
-    return around.select("d", "h", "item", "item_ids", (F.col("delta") + F.col("p") - F.col("left")).alias("lo"), (F.col("delta") + F.col("p") + F.col("right")).alias("hi"))
+    near = agree.select("d", "h", "item", "item_ids", "delta", F.explode("found").alias("f")).select("*", "f.*")
+    return near.select("d", "h", "item", "item_ids", (F.col("delta") + F.col("p") - F.col("left")).alias("lo"), (F.col("delta") + F.col("p") + F.col("right")).alias("hi"))
 
 
 def _per_document(found: DataFrame) -> DataFrame:
