@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import storage
 
@@ -88,7 +89,7 @@ def digests(docs: DataFrame, *, text_col: str = "text", out_col: str = "fingerpr
             found = [digest((x or "").encode()).hex() for x in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, out_col])
 
-    return rest.mapInArrow(run, rest.schema.add(out_col, "string"))
+    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(out_col, StringType())]))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
