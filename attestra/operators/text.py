@@ -94,3 +94,10 @@ def document_type(path: Column, text: Column) -> Column:
     low, head = F.lower(path), F.lower(F.substring(text, 1, 300))
     has = lambda c, *w: F.regexp_like(c, F.lit("|".join(w)))
     return F.when(has(low, "tender", "nit"), "TENDER").when(has(low, "gst") | has(head, "gstin"), "GST_CERTIFICATE").when(has(head, "thanks", "the "), "LETTER").otherwise("OTHER")
+
+
+def candidates(df: DataFrame, payload: str, schema: str) -> DataFrame:
+    """Rows of fenced JSON payloads; a payload that cannot be read gives none."""
+    bare = F.regexp_replace(payload, r"^\s*```(?:json)?\s*|\s*```\s*$", "")
+    whole = F.when(bare.startswith("[") & bare.endswith("]"), F.from_json(bare, schema))
+    return df.select(F.explode(whole).alias("x")).select("x.*")

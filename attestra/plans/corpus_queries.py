@@ -177,3 +177,36 @@ def _similar(spark, sf_dir):
 @register("u01_edit_similarity", oracle.sql("SELECT bid_id, round(1 - levenshtein(registered_name, expected_name)::DOUBLE / greatest(length(registered_name), length(expected_name), 1), 6) AS ratio FROM checks WHERE registered_name IS NOT NULL", "checks"))
 def _edit(spark, sf_dir):
     return base.checks(spark, sf_dir).filter("registered_name is not null").select("bid_id", similarity.edit_ratio("registered_name", "expected_name").alias("ratio"))
+
+
+@register("h21_box_checks", "SELECT event_id, CASE WHEN b[1] < 0 OR b[2] < 0 OR b[3] < 0 OR b[4] < 0 THEN 'NEGATIVE' WHEN b[3] <= b[1] OR b[4] <= b[2] THEN 'ORDER' WHEN b[3] > 842 OR b[4] > 595 THEN 'BOUNDS' ELSE 'OK' END AS outcome FROM (SELECT event_id, [user_id * 13 % 900 - 20, user_id * 7 % 700, event_id % 900, event_id % 650] AS b FROM events)")
+def _box_checks(spark, sf_dir):
+    u, e = F.col("user_id"), F.col("event_id")
+    box = F.array(*[v.cast("double") for v in (u * 13 % 900 - 20, u * 7 % 700, e % 900, e % 650)])
+    return bridge.table(spark, sf_dir, "events").withColumn("b", box).select("event_id", text.valid_box(F.col("b"), 595, 842).alias("outcome"))
+
+
+_CLAIM = "substring(coalesce(text, ''), 1, 24) || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' zq' ELSE ' qqqq zzzz wwww' END"
+
+
+@register("t02_value_support", f"SELECT doc_id, CASE WHEN contains(lower(text), lower(claim)) THEN 'EXACT' WHEN len(words) > 0 AND len(list_filter(words, lambda w: contains(lower(text), w))) >= 0.75 * len(words) THEN 'TOKENS' ELSE 'UNSUPPORTED' END AS support FROM (SELECT doc_id, text, claim, list_distinct(list_filter(regexp_split_to_array(lower(claim), '[^a-z0-9]+'), lambda w: length(w) > 2)) AS words FROM (SELECT doc_id, text, {_CLAIM} AS claim FROM documents))")
+def _support(spark, sf_dir):
+    claimed = bridge.table(spark, sf_dir, "documents").withColumn("claim", F.expr(_CLAIM))
+    return claimed.select("doc_id", text.supported(F.col("claim"), F.col("text")).alias("support"))
+
+
+_PAYLOAD = "concat('```json\\n[{\"id\": ', event_id, ', \"field\": \"', event_type, '\"}', CASE WHEN event_id % 10 = 0 THEN '' ELSE ']' END, '\\n```')"
+
+
+@register("h24_candidate_payloads", "SELECT event_id AS id, event_type AS field FROM events WHERE event_id % 10 <> 0")
+def _payloads(spark, sf_dir):
+    raw = bridge.table(spark, sf_dir, "events").select(F.expr(_PAYLOAD).alias("payload"))
+    return text.candidates(raw, "payload", "array<struct<id bigint, field string>>")
+
+
+@register("c17_override_targets", oracle.sql("SELECT event_id, CASE WHEN user_id IN (SELECT bid_id FROM bids) THEN 'RESULT' WHEN user_id IN (SELECT c_custkey FROM customer) THEN 'FINDING' ELSE 'REJECTED' END AS target_kind FROM events", "bids"))
+def _targets(spark, sf_dir):
+    e = bridge.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("target"))
+    results = bridge.bids(spark, sf_dir).select(F.col("bid_id").alias("target"), F.lit(True).alias("r"))
+    findings = bridge.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target"), F.lit(True).alias("f"))
+    return e.join(results, "target", "left").join(findings, "target", "left").select("event_id", F.when(F.col("r"), "RESULT").when(F.col("f"), "FINDING").otherwise("REJECTED").alias("target_kind"))
