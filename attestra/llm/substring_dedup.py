@@ -32,11 +32,10 @@ from . import storage
 from .anchors import GRAM, LENGTH, anchors
 from .suffix_array import common_prefixes, suffix_array
 
+#: Distinct contexts of one anchor that a task solves together: a few MB, and seconds of work.
 LIMIT = 1000
 #: Bytes on both sides of an anchor by which large groups are split, in turn.
 SPLITS = (4, 12, 28, 60)
-#: Tables of up to so many bytes, as measured, are broadcast to the texts; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 16 << 20
 
 
 def _row_key() -> Column:
@@ -58,14 +57,9 @@ def anchor_table(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "r bigint, place int, first int, last int, a bigint, c bigint")
 
 
-def _joined(texts: DataFrame, per_row: DataFrame, n_bytes: int, how: str) -> DataFrame:
-    return texts.join(F.broadcast(per_row) if n_bytes <= BROADCAST_BYTES else per_row, "r", how)
-
-
 def _contexts(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(a, c, n, left, right): the bytes around the anchor of each distinct context, cut from one text that has it."""
     per_row, path = storage.written(distinct.select("a", "c", "n", "at.*").groupBy("r").agg(F.collect_list(F.struct("a", "c", "n", "place", "first", "last")).alias("cuts")), "context-places")
-    n_bytes = 40 * (per_row.agg(F.sum(F.size("cuts") + 1)).first()[0] or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +71,7 @@ def _contexts(docs: DataFrame, distinct: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["a", "c", "n", "left", "right"])
 
     rows = docs.select(_row_key().alias("r"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    cut = _joined(rows, per_row, n_bytes, "inner").select("text", "cuts").mapInArrow(run, "a bigint, c bigint, n bigint, left binary, right binary")
+    cut = rows.join(per_row, "r").select("text", "cuts").mapInArrow(run, "a bigint, c bigint, n bigint, left binary, right binary")
     found, _ = storage.written(cut.dropDuplicates(["a", "c"]), "contexts")
     storage.drop(docs.sparkSession, path)
     return found
@@ -201,8 +195,8 @@ def _partial(contexts: DataFrame, limit: int) -> DataFrame:
     return out
 
 
-def removed_ranges(docs: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, int]:
-    """(r, ranges) and its size in bytes: for each row that loses anything, the maximal runs of bytes (start, end)."""
+def removed_ranges(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(r, ranges): for each row that loses anything, the maximal runs of bytes (start, end)."""
     spark = docs.sparkSession
     all_anchors, all_path = storage.written(anchor_table(docs), "anchors")
     again = all_anchors.groupBy("a").agg(F.count("*").alias("times")).filter("times > 1").select("a")
@@ -222,14 +216,14 @@ def removed_ranges(docs: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, int]
     merged = runs.groupBy("r", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     ranges, _ = storage.written(merged.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges")), "removed-ranges")
     storage.drop(spark, known_path, distinct_path)
-    return ranges, 16 * (ranges.agg(F.sum(F.size("ranges") + 2)).first()[0] or 0)
+    return ranges
 
 
 def digests(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     from hashlib import sha256
 
-    ranges, n_bytes = removed_ranges(docs, limit)
+    ranges = removed_ranges(docs, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +235,7 @@ def digests(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.string()], strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = docs.select(_row_key().alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    return _joined(rows, ranges, n_bytes, "left").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return rows.join(ranges, "r", "left").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def kept(text: bytes, gone: list[tuple[int, int]]) -> bytes:
@@ -256,7 +250,7 @@ def kept(text: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 def dedup(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``docs`` with ``text`` as what is left of it; bytes that no longer form a character become replacement characters."""
-    ranges, n_bytes = removed_ranges(docs, limit)
+    ranges = removed_ranges(docs, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,5 +261,5 @@ def dedup(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     rows = docs.withColumn("text", F.col("text").cast("string")).withColumn("__r", _row_key())
     named = ranges.withColumnRenamed("r", "__r").withColumnRenamed("ranges", "__ranges")
-    joined = rows.join(F.broadcast(named) if n_bytes <= BROADCAST_BYTES else named, "__r", "left").select(*docs.columns, "__ranges")
+    joined = rows.join(named, "__r", "left").select(*docs.columns, "__ranges")
     return joined.mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
