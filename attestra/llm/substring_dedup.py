@@ -33,7 +33,7 @@ from .anchors import GRAM, LENGTH, anchors
 from .suffix_array import common_prefixes, suffix_array
 
 #: Distinct contexts of one anchor that a task solves together: a few MB, and seconds of work.
-LIMIT = 1000
+LIMIT = 5000
 #: Bytes on both sides of an anchor by which large groups are split, in turn.
 SPLITS = (4, 12, 28, 60)
 
