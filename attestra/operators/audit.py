@@ -27,8 +27,9 @@ def nodes(edges: DataFrame) -> DataFrame:
 def structure(edges: DataFrame) -> DataFrame:
     """One row: edges, self loops, and ends that are no node."""
     known = nodes(edges).select("bid_id", F.col("id").alias("dst"))
-    dangling = edges.join(known, ["bid_id", "dst"], "left_anti").agg(F.count("*").alias("dangling"))
-    return edges.agg(F.count("*").alias("n_edges"), F.count_if(F.col("src") == F.col("dst")).alias("self_loops")).crossJoin(dangling)  # one row each
+    loose = edges.join(known, ["bid_id", "dst"], "left_anti").agg(F.lit(0).cast("long").alias("n_edges"), F.lit(0).cast("long").alias("self_loops"), F.count("*").alias("dangling"))
+    counted = edges.agg(F.count("*").alias("n_edges"), F.count_if(F.col("src") == F.col("dst")).alias("self_loops"), F.lit(0).cast("long").alias("dangling"))
+    return counted.unionByName(loose).agg(*[F.sum(c).alias(c) for c in ("n_edges", "self_loops", "dangling")])
 
 
 def layered(edges: DataFrame) -> DataFrame:
