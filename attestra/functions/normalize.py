@@ -16,7 +16,12 @@ TRUE_WORDS = ("true", "yes", "y", "1", "required", "submitted", "available", "va
 FALSE_WORDS = ("false", "no", "n", "0", "not required", "exempted", "not available", "invalid", "non-compliant", "na", "n/a")
 ABSENT_WORDS = ("", "na", "n/a", "not available", "none", "null", "missing")
 NO_DATE_WORDS = ("", "na", "n/a", "not available")
-DATE_FORMATS = ("yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "yyyy/M/d", "d-MMM-yyyy", "d-MMMM-yyyy", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s", "d-M-yyyy H:m:s")
+_TIME = r"\d{1,2}:\d{1,2}:\d{1,2}"
+#: Date formats with the shape a text must have: a failed parse costs far more than the test.
+DATE_FORMATS = {
+    "yyyy-M-d": r"\d{4}-\d{1,2}-\d{1,2}", "d-M-yyyy": r"\d{1,2}-\d{1,2}-\d{4}", "d/M/yyyy": r"\d{1,2}/\d{1,2}/\d{4}", "yyyy/M/d": r"\d{4}/\d{1,2}/\d{1,2}", "d-MMM-yyyy": r"\d{1,2}-[A-Za-z]{3}-\d{4}",
+    "d-MMMM-yyyy": r"\d{1,2}-[A-Za-z]{3,}-\d{4}", "yyyy-M-d'T'H:m:s": r"\d{4}-\d{1,2}-\d{1,2}T" + _TIME, "yyyy-M-d H:m:s": r"\d{4}-\d{1,2}-\d{1,2} " + _TIME, "d-M-yyyy H:m:s": r"\d{1,2}-\d{1,2}-\d{4} " + _TIME,
+}
 MONTHS_A_YEAR, DAYS_A_MONTH, DAYS_A_YEAR = 12, 30, 365
 
 
@@ -59,8 +64,9 @@ def date(c: Column) -> Column:
     text = F.trim(c)
     iso = F.regexp_extract(text, r"\b(\d{4}-\d{2}-\d{2})\b", 1)
     day_first = F.regexp_replace(F.regexp_extract(text, r"\b(\d{2}[-/]\d{2}[-/]\d{4})\b", 1), "/", "-")
-    found = F.coalesce(*[F.try_to_date(text, f) for f in DATE_FORMATS], F.try_to_date(iso, "yyyy-MM-dd"), F.try_to_date(day_first, "dd-MM-yyyy"))
-    return F.when(~F.lower(text).isin(*NO_DATE_WORDS), found)
+    shaped = [F.when(F.regexp_like(text, F.lit(f"^{shape}$")), F.try_to_date(text, f)) for f, shape in DATE_FORMATS.items()]
+    found = F.coalesce(*shaped, F.when(iso != "", F.try_to_date(iso, "yyyy-MM-dd")), F.when(day_first != "", F.try_to_date(day_first, "dd-MM-yyyy")))
+    return F.when(F.regexp_like(text, F.lit(r"\d")) & ~F.lower(text).isin(*NO_DATE_WORDS), found)
 
 
 def _spelled(c: Column) -> Column:
