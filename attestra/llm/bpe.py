@@ -1,6 +1,6 @@
 """Operator 6: byte-level BPE by a traversal of a trie that shares prefixes.
 
-The distinct words of a batch go into one trie.  For the prefix at each node exactly one
+The distinct words of a batch form one trie.  For the prefix at each node exactly one
 token can come last in its encoding; a depth-first walk finds that token from the states
 of the nodes above: it is the vocabulary token that ends here and, where it begins, fits
 the last token there.  The encoding of a prefix is computed once for all words below it.
@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import storage
 from .pieces import interned, pieces
@@ -56,7 +57,6 @@ class TrieBpe:
         self.bytes_of.update({i: t.encode() for t, i in self.special.items()})
         for content in self.special:
             self.ids.pop(content.encode(), None)
-        self.longest = max(map(len, self.ids), default=1)
         self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[int, tuple[int, int, int]] = {}  # id: rank of its merge, the two halves
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -66,7 +66,14 @@ class TrieBpe:
             self.made.setdefault(self.ids[a + b], (rank, *halves))
         # A token that its own merges do not build never comes out of BPE.
         self.reachable = {t: i for t, i in self.ids.items() if len(t) == 1 or (i in self.made and self._fits(*self.made[i][1:], self.made[i][0]))}
+        by_tail: dict[bytes, set[int]] = {}
+        for t in self.reachable:
+            if len(t) > 2:
+                by_tail.setdefault(t[-3:], {2} if t[-2:] in self.reachable else set()).add(len(t))
+        #: The lengths of the tokens of two bytes or more that end in three given bytes, longest first.
+        self.lengths = {tail: tuple(sorted(some, reverse=True)) for tail, some in by_tail.items()}
         self.fits_memo: dict[tuple[int, int], bool] = {}
+        self.known_words: dict[str, list[int]] = {}
         self.words = regex.compile(WORDS)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -97,41 +104,40 @@ class TrieBpe:
         return known
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """The ids of distinct words."""
-        children: list[dict[int, int]] = [{}]
-        ends: dict[int, bytes] = {}
-        for word in words:
-            at = 0
-            for byte in word:
-                below = children[at].get(byte)
-                if below is None:
-                    below = children[at][byte] = len(children)
-                    children.append({})
-                at = below
-            ends[at] = word
+        """The ids of distinct words.
+
+        Sorted, the words are the ends of their trie's branches in depth-first order.  The walk
+        holds the path from the root to the node it is at, with the last token of the prefix at
+        each node; from one word to the next it goes back to the node where they part.
+        """
+        order = sorted(words)
+        heads = np.array(order, dtype="S24").view(np.uint8).reshape(len(order), 24) if order else np.zeros((0, 24), np.uint8)
+        shared = np.concatenate([[0], np.cumprod(heads[1:] == heads[:-1], axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64)]).tolist() if order else []
         found: dict[bytes, list[int]] = {}
-        token, longest, fits = self.reachable.get, self.longest, self.fits
-        path = bytearray()
-        last: list[int] = [-1]  # by depth: the last token of the prefix on the path
-        size: list[int] = [0]
-        stack = [(node, 1, byte) for byte, node in children[0].items()]
-        while stack:
-            node, depth, byte = stack.pop()
-            del path[depth - 1 :], last[depth:], size[depth:]
-            path.append(byte)
-            for n in range(min(depth, longest), 0, -1):
-                t = token(bytes(path[depth - n :]))
-                if t is not None and (n == depth or fits(last[depth - n], t)):
-                    last.append(t)
-                    size.append(n)
-                    break
-            if (word := ends.get(node)) is not None:
-                ids, k = [], depth
-                while k:
-                    ids.append(last[k])
-                    k -= size[k]
-                found[word] = ids[::-1]
-            stack += [(below, depth + 1, b) for b, below in children[node].items()]
+        token, lengths, known, fits = self.reachable.get, self.lengths.get, self.fits_memo.get, self.fits
+        last, size, before = [-1], [0], b""  # by depth: the last token of the prefix, and its length
+        for word, same in zip(order, shared, strict=True):
+            same = min(same, len(before), len(word))
+            del last[same + 1 :], size[same + 1 :]
+            before = word
+            for depth in range(same + 1, len(word) + 1):
+                some = lengths(word[depth - 3 : depth]) if depth > 2 else None
+                for n in some if some is not None else (2,):
+                    if n <= depth:
+                        start = depth - n
+                        t = token(word[start:depth])
+                        if t is not None and (not start or known((last[start], t)) or fits(last[start], t)):
+                            break
+                else:
+                    n, t = 1, token(word[depth - 1 : depth])
+                last.append(t)
+                size.append(n)
+            ids, k = [], len(word)
+            while k:
+                ids.append(last[k])
+                k -= size[k]
+            ids.reverse()
+            found[word] = ids
         return found
 
     def split(self, text: str) -> list[str]:
@@ -142,9 +148,13 @@ class TrieBpe:
 
     def encode_pieces(self, some: Iterable[str]) -> dict[str, list[int]]:
         split = {p: self.split(p) for p in some}
-        distinct = {w for words in split.values() for w in words if w not in self.special}
-        of = self.encode_words(w.encode() for w in distinct)
-        ids = {w: of[w.encode()] for w in distinct} | {w: [i] for w, i in self.special.items()}
+        if len(self.known_words) > MEMO:
+            self.known_words.clear()
+        ids = self.known_words
+        new = {w for words in split.values() for w in words if w not in ids}
+        ids.update({w: [self.special[w]] for w in new if w in self.special})
+        of = self.encode_words(w.encode() for w in new if w not in self.special)
+        ids.update((w.decode(), i) for w, i in of.items())
         return {p: [i for w in words for i in ids[w]] for p, words in split.items()}
 
     def encode(self, text: str) -> list[int]:
@@ -184,7 +194,7 @@ def encode(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text", out
             lists, _ = _id_lists(_learned(bpe, known, distinct), codes, starts)
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out_col])
 
-    schema = rest.schema.add(out_col, "array<int>")
+    schema = StructType([*rest.schema.fields, StructField(out_col, ArrayType(IntegerType()))])
     return rest.mapInArrow(run, schema)
 
 
@@ -200,7 +210,7 @@ def decode(rows: DataFrame, vocabulary_path: str, *, ids_col: str = "ids", out_c
             texts = [bpe.decode(x or []) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
 
-    return rest.mapInArrow(run, rest.schema.add(out_col, "string"))
+    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(out_col, StringType())]))
 
 
 def _learned(bpe: TrieBpe, known: dict, distinct: list[str]) -> list[tuple]:
