@@ -94,12 +94,16 @@ def hexed(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose ids are in ``kept``, one row each (the least text), and rows without an id."""
+    known = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return known.withColumn("_rank", rank).filter("_rank = 1").drop("_rank").unionByName(docs.filter("doc_id is null")).select(docs.columns)
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents of the least id of each component; rows without an id stay.
 
     Where rows repeat an id, the one with the least text stays.
     """
-    kept = components(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return known.withColumn("_rank", rank).filter("_rank = 1").drop("_rank").unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    return only(docs, components(docs, **options).filter("doc_id = component_id").select("doc_id").distinct())
