@@ -6,10 +6,11 @@ distinct pairs in sorted order.  Places that share a rank form a longest-common-
 interval of at least that depth.  A place whose pair is unique is settled and leaves; only
 shared ranks are sorted and carried on.  From each line the least run that reaches
 ``min_chars`` characters is looked up as two overlapping power-of-two ranks; where the same
-run begins earlier (by document id, then line), its lines are deleted.  So every repeated run
-of that size is kept once, and short common lines alone are left.  Only DataFrame functions
-are used; each round is a written table, and ranks come from a range sort without any global
-window.
+run begins earlier (by document id, then line), its lines are deleted, and short common lines
+alone are left.  The last lines of a repeated run, from which it no longer reaches that size,
+go with ``whole`` only (the pipeline's rule): it also looks up the least run that ends at each
+line, so that maximal runs are covered to their ends.  Only DataFrame functions are used; each
+round is a written table, and ranks come from a range sort without any global window.
 
 Defined results: a null text has no lines and stays null; identical rows (same id and text)
 count as one document; of rows that share an id but not a text the order is by text hash; a
@@ -39,8 +40,14 @@ def line_table(docs: DataFrame) -> DataFrame:
     return flat.select("d", "h", "no", F.length("line").cast("long").alias("size"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit("second"), F.col("line")).alias("b"))
 
 
-def _windows(lines: DataFrame, min_chars: int) -> DataFrame:
-    """(d, h, no, span): the number of lines from a line that first reach ``min_chars``; lines that never do are left out."""
+def _windows(lines: DataFrame, min_chars: int, whole: bool = False) -> DataFrame:
+    """(d, h, no, span): the number of lines from a line that first reach ``min_chars``; lines that never do are left out.
+
+    With ``whole``: also the least such runs up to each line.  The two kinds inside a run cover all of it.
+    """
+    if whole:
+        up_to = _windows(lines.withColumn("no", -F.col("no")), min_chars).select(*KEY, (-F.col("no") - F.col("span") + 1).alias("no"), "span")
+        return _windows(lines, min_chars).unionByName(up_to).distinct()
     w = Window.partitionBy(*KEY).orderBy("no")
     summed = lines.withColumn("upto", F.sum("size").over(w))
     ends = F.struct(F.col("upto").alias("v"), F.lit(0).alias("asks"))
@@ -60,9 +67,9 @@ def _ranked(places: DataFrame, by: list[str], label: str) -> tuple[DataFrame, li
     return ranked, [path]
 
 
-def _later_copies(lines: DataFrame, min_chars: int) -> DataFrame:
+def _later_copies(lines: DataFrame, min_chars: int, whole: bool) -> DataFrame:
     """(d, h, lo, hi): windows of lines that begin earlier elsewhere."""
-    windows, _ = storage.written(_windows(lines, min_chars), "line-windows")
+    windows, _ = storage.written(_windows(lines, min_chars, whole), "line-windows")
     longest = windows.agg(F.max("span")).first()[0] or 0
     level, found, ranks = 0, [], None
     while longest >> level:
@@ -92,11 +99,11 @@ def _later_copies(lines: DataFrame, min_chars: int) -> DataFrame:
     return later.select(*KEY, F.col("no").alias("lo"), (F.col("no") + F.col("span") - 1).alias("hi"))
 
 
-def removed_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_runs(docs: DataFrame, min_chars: int = MIN_CHARS, *, whole: bool = False) -> DataFrame:
     """(d, h, runs): per document the maximal runs of lines to delete, as an array of (lo, hi)."""
     once = line_table(docs).repartition(*KEY).dropDuplicates([*KEY, "no"])
     lines, _ = storage.written(once, "lines")
-    later = _later_copies(lines, min_chars)
+    later = _later_copies(lines, min_chars, whole)
     w = Window.partitionBy(*KEY).orderBy("lo", "hi")
     before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
     begun = later.withColumn("new", F.coalesce((F.col("lo") > before + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -104,13 +111,14 @@ def removed_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, *, counts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, *, counts: bool = False, whole: bool = False) -> DataFrame:
     """``docs`` without the later copies of repeated runs of lines.
 
-    With ``counts``: also n_lines, n_removed and n_runs.
+    With ``whole`` a run goes to its very end; else its last lines stay where, from them on, it
+    no longer reaches ``min_chars``.  With ``counts``: also n_lines, n_removed and n_runs.
     """
     keyed = _keys(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("text").cast("string").alias("text")))
-    runs = removed_runs(docs, min_chars)
+    runs = removed_runs(docs, min_chars, whole=whole)
     joined = keyed.join(runs, KEY, "left").withColumn("lines", F.split("text", "\n", -1))
     kept = F.filter("lines", lambda x, k: ~F.exists("runs", lambda r: (k >= r["lo"]) & (k <= r["hi"])))
     out = joined.withColumn("kept", F.when(F.col("runs").isNull(), F.col("lines")).otherwise(kept))
@@ -126,5 +134,6 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, *, counts: bool = False)
 
 
 def without_emptied(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``dedup``, without documents of which no line is left."""
-    return dedup(docs, min_chars, counts=True).filter("n_removed < n_lines or n_lines = 0").drop("n_lines", "n_removed", "n_runs")
+    """``dedup`` of whole runs, without documents of which nothing but blank lines is left."""
+    blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^\s*$")
+    return dedup(docs, min_chars, counts=True, whole=True).filter((F.col("n_removed") == 0) | ~blank).drop("n_lines", "n_removed", "n_runs")
