@@ -4,8 +4,8 @@ Markup is stripped to lines, one for each block element.  What the page itself m
 being text (scripts, menus, forms, side bars, adverts, comments, ...) leaves empty lines, as
 does everything outside ``article`` or ``main`` on pages that have one.  Text lengths are
 summed over sliding windows of lines; a passage surges where a sum leaves zero and dives
-where it returns to it.  The longest passage is kept with every other that is not slight
-beside it, each from its surge to its dive.
+where it returns to it.  On a page with an ``article`` or ``main`` every passage is kept; on
+others the longest with every other that is not slight beside it, each from its surge to its dive.
 
 Defined results: a null or empty page, or one without text, gives an empty text; equal rows
 are kept; an empty table gives an empty result; pages cut off anywhere are read as far as
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import storage
 
 WINDOW = 3
-#: A passage under this share of the longest one's characters is taken for boilerplate.
+#: On pages without a scope, a passage under this share of the longest one's characters is taken for boilerplate.
 SLIGHT = 0.1
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=[/a-zA-Z!?])[^<]*\Z", re.S)
@@ -42,10 +42,23 @@ _NOT_TEXT = re.compile(
 _GAP = [""] * WINDOW
 
 
-def lines_of(page: str) -> list[str]:
-    """The page as lines of text, one a block; empty lines where text is left out."""
-    scoped = re.search(r"<(article|main)\b", page, re.I)
-    scope = scoped.group(1).lower() if scoped else None
+def scope_of(page: str) -> str | None:
+    """``article`` or ``main``, whichever the page opens first as a tag, not in a comment, script or attribute."""
+    at = 0
+    while found := _TAG.search(page, at):
+        at, tag = found.end(), (found.group(2) or "").lower()
+        if found.group(1) or not tag or found.group(3).rstrip().endswith("/"):
+            continue
+        if tag in ("article", "main"):
+            return tag
+        if tag in _RAW:
+            over = _RAW_END[tag].search(page, at)
+            at = over.end() if over else len(page)
+    return None
+
+
+def lines_of(page: str, scope: str | None = None) -> list[str]:
+    """The page, or what it holds in elements named ``scope``, as lines of text, one a block; empty lines where text is left out."""
     lines: list[str] = []
     parts: list[str] = []
     open_tags: list[tuple[str, bool]] = []  # tag, whether it hides what it holds
@@ -128,9 +141,10 @@ def passages(lines: list[str], window: int = WINDOW) -> list[tuple[int, int, int
 
 
 def main_text(page: str | None, window: int = WINDOW, slight: float = SLIGHT) -> str:
-    lines = lines_of(page or "")
+    scope = scope_of(page or "")
+    lines = lines_of(page or "", scope)
     found = passages(lines, window)
-    least = slight * max((n for _, _, n in found), default=0)
+    least = 0 if scope else slight * max((n for _, _, n in found), default=0)
     return " ".join(x for a, b, n in found if n >= least for x in lines[a:b] if x)
 
 
