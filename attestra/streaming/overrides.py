@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.operators import audit
+from attestra.sources import files
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +16,18 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(df: DataFrame, mode: str) -> DataFrame:
-    """The result table of a stream; its state is a row for each target or day and type."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """The result table of a stream, written by the executors; it, offsets and state lie in the shared checkpoint folder."""
+    path, last = files.scratch(df.sparkSession, "stream"), []
+
+    def put(result: DataFrame, batch: int) -> None:
+        result.write.mode("overwrite").parquet(f"{path}/result-{batch}")
+        last[:] = [batch]
+
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    if not last:  # no input
+        return df.sparkSession.createDataFrame([], df.schema)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/result-{last[0]}")
 
 
 def effective(spark: SparkSession, sf_dir: str) -> DataFrame:
