@@ -18,6 +18,7 @@ where the caller asks for them.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from . import storage
+from . import storage, workers
 from .pieces import interned, pieces
 
 #: The pre-tokenisation pattern of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces, words and pairs a worker remembers before it starts anew; bounds memory only.
-MEMO = 800_000
+MEMO = 300_000
+#: Bytes of two words that are compared at once to find where they part; longer shared beginnings are followed byte by byte.
+_HEAD = 24
 
 
 def byte_letters() -> list[str]:
@@ -111,13 +114,17 @@ class TrieBpe:
         each node; from one word to the next it goes back to the node where they part.
         """
         order = sorted(words)
-        heads = np.array(order, dtype="S24").view(np.uint8).reshape(len(order), 24) if order else np.zeros((0, 24), np.uint8)
+        heads = np.array(order, dtype=f"S{_HEAD}").view(np.uint8).reshape(len(order), _HEAD) if order else np.zeros((0, _HEAD), np.uint8)
         shared = np.concatenate([[0], np.cumprod(heads[1:] == heads[:-1], axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64)]).tolist() if order else []
         found: dict[bytes, list[int]] = {}
         token, lengths, known, fits = self.reachable.get, self.lengths.get, self.fits_memo.get, self.fits
         last, size, before = [-1], [0], b""  # by depth: the last token of the prefix, and its length
         for word, same in zip(order, shared, strict=True):
-            same = min(same, len(before), len(word))
+            most = min(len(before), len(word))
+            same = min(same, most)
+            if same == _HEAD:
+                while same < most and word[same] == before[same]:
+                    same += 1
             del last[same + 1 :], size[same + 1 :]
             before = word
             for depth in range(same + 1, len(word) + 1):
@@ -167,9 +174,11 @@ class TrieBpe:
 
 
 _BY_VOCABULARY: dict[int, tuple[TrieBpe, dict]] = {}
+workers.remembers("bpe", _BY_VOCABULARY.clear)
 
 
 def _worker(vocabulary: str) -> tuple[TrieBpe, dict]:
+    workers.begin("bpe")
     key = hash(vocabulary)
     if key not in _BY_VOCABULARY:
         _BY_VOCABULARY[key] = TrieBpe(vocabulary), {}
@@ -218,14 +227,14 @@ def _learned(bpe: TrieBpe, known: dict, distinct: list[str]) -> list[tuple]:
     if len(known) > MEMO:
         known.clear()
     for piece, ids in bpe.encode_pieces([p for p in distinct if p not in known]).items():
-        known[piece] = tuple(ids), ("%d," * len(ids) % tuple(ids)).encode(), b"".join(map(bpe.bytes_of.__getitem__, ids))
+        known[piece] = array("i", ids), ("%d," * len(ids) % tuple(ids)).encode(), b"".join(map(bpe.bytes_of.__getitem__, ids))
     return [known[p] for p in distinct]
 
 
 def _id_lists(got: list[tuple], codes: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The ids of each text as a list, and how many ids each has."""
     sizes = np.array([len(x[0]) for x in got], np.int64)
-    flat = np.array([i for x in got for i in x[0]], np.int32)
+    flat = np.frombuffer(b"".join([x[0].tobytes() for x in got]), np.int32)
     own = sizes[codes]
     before = np.concatenate([[0], np.cumsum(own)])
     ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - before[:-1], own) + np.arange(before[-1])]

@@ -13,7 +13,7 @@ def _least(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
 
 
-def labels(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def labels(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b; longs): label is the least node it can reach.
 
     Large-star and small-star in turn: each step joins every node with the least of its
@@ -23,7 +23,7 @@ def labels(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     spark = links.sparkSession
     now, path = storage.written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = None
-    for _ in range(max_rounds):
+    while True:  # the rounds grow with the logarithm of the longest path
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
@@ -36,4 +36,3 @@ def labels(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             stars = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
             return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
         mark = seen
-    raise RuntimeError(f"links did not settle in {max_rounds} rounds")

@@ -1,15 +1,17 @@
 """Operator 5: benchmark decontamination by a distributed positional inverted index.
 
-The index holds postings (term, document, position) of the terms that the test items ask
-for, each with the few words around it.  Every window of an item is anchored at its rarest
-terms, by counts over the whole corpus.  The anchors' lists are shifted by their offsets, so
-that occurrences of an item at one place of a document agree in ``delta``; lists intersect
-where both anchors of a window agree, and the words around them confirm the exact phrase.
-Only DataFrame functions are used.
+The index holds the postings (term, document, position) of all terms that the test items have,
+made in one pass over the documents.  Of every window of an item the rarest terms, by their
+counts in the index, are its anchors.  Their lists are shifted by the anchors' offsets and
+intersected: only where all anchors of a window agree on a place does it remain a candidate.
+The lists of the window's other terms are then looked up at the candidate's places, and a
+window occurs where all of its terms have a posting at their offset.  Proximity search
+intersects the same lists with a tolerance.  Only DataFrame functions are used.
 
 Defined results: a null or wordless text has no words, windows or hits; rows that repeat an
 id are matched each by its own text, and identical rows get identical results; empty tables
-give empty results or no hits; other columns are ignored.
+give empty results or no hits; other columns are ignored, or kept as they are by ``clean``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from . import storage
 
 WINDOW = 10
 ANCHORS = 2
-#: Item-side tables of up to so many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Item-side tables go to every executor up to this size; larger ones are joined by a shuffle, whose large partitions Spark splits.
+BROADCAST_BYTES = 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_NO_ID = -(1 << 63)
 
 
 def words(text: Column) -> Column:
@@ -32,94 +35,92 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), _BETWEEN), "")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("h"), words(text).alias("w"))
+def _key(docs: DataFrame) -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h")]
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a written table, marked for broadcast if its bytes allow; every row counts with its strings and 64 bytes more."""
+    table, _ = storage.written(df, label)
+    strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    size = table.agg(F.sum(sum(strings, F.lit(64)))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def items_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item, item_ids, iw, n): distinct word sequences with the ids that have them and their window length."""
+    """(item, ids, iw, n): distinct word sequences with the ids that have them and their window length."""
     own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("iw")).filter(F.size("iw") > 0)
     same = own.groupBy("iw").agg(F.collect_set("item_id").alias("item_ids"))
-    return same.select(F.concat_ws(" ", "iw").alias("item"), "item_ids", "iw", F.least(F.size("iw"), F.lit(window)).alias("n"))
-
-
-def term_counts(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
-    """(term, tf): how often each of ``terms`` occurs in all documents."""
-    all_words = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    return all_words.join(_small(terms, rows), "term").groupBy("term").agg(F.count("*").alias("tf"))
-
-
-def build_index(docs: DataFrame, terms: DataFrame, rows: int, reach: int = WINDOW - 1) -> DataFrame:
-    """Postings (term, d, h, pos, around, at) of ``terms``: ``around[at]`` is the term, with ``reach`` words on each side."""
-    flat = _keyed(docs).select("d", "h", "w", F.posexplode("w").alias("pos", "term"))
-    found = flat.join(_small(terms, rows), "term")
-    at = F.least(F.col("pos"), F.lit(reach))
-    return found.select("term", "d", "h", "pos", F.slice("w", F.col("pos") - at + 1, at + reach + 1).alias("around"), at.alias("at"))
-
-
-def anchored(items: DataFrame, counts: DataFrame, anchors: int = ANCHORS) -> DataFrame:
-    """(item, pairs): for each item the sets of positions at which its windows are anchored, the rarest terms first."""
-    flat = items.select("item", "n", F.size("iw").alias("size"), F.posexplode("iw").alias("p", "term")).join(counts, "term", "left")
-    ranked = flat.groupBy("item", "n", "size").agg(F.array_sort(F.collect_list(F.struct("p", F.coalesce("tf", F.lit(0)).alias("tf")))).alias("by_place"))
-    of_window = lambda s: F.transform(F.slice(F.array_sort(F.transform(F.slice("by_place", s + 1, F.col("n")), lambda x: F.struct(x["tf"], x["p"]))), 1, anchors), lambda x: x["p"])
-    return ranked.select("item", F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("size") - F.col("n")), of_window)).alias("pairs"))
-
-
-def _extent(sign: int, reach: int) -> Column:
-    """How many words next to the anchor agree in one direction, ``reach`` at most."""
-    same = F.transform(F.sequence(F.lit(1), F.lit(reach)), lambda k: F.coalesce(F.get("around", F.col("at") + sign * k) == F.get("iw", F.col("p") + sign * k), F.lit(False)))
-    first = F.array_position(same, F.lit(False))
-    return F.when(first == 0, reach).otherwise(first - 1).cast("int")
+    return same.select(F.xxhash64("iw").alias("item"), "item_ids", "iw", F.least(F.size("iw"), F.lit(window)).alias("n"))
+
+
+def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(d, h, n_words, pos, term): the postings of ``terms`` (term), and for each document a row at its first place whether or not that has one."""
+    flat = docs.select(*_key(docs), words(F.col("text")).alias("w")).select("d", "h", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "word"))
+    found = flat.join(terms, F.col("word") == F.col("term"), "left")
+    return found.filter("term is not null or coalesce(pos, 0) = 0").select("d", "h", "n_words", "pos", "term")
+
+
+def anchored(places: DataFrame, counts: DataFrame, anchors: int = ANCHORS) -> DataFrame:
+    """(item, s, p, term, rank): for the window that begins at place s of an item, the places p of its rarest terms, the rarest first."""
+    known = places.join(counts, "term", "left").select("item", "p", "n", "size", "term", F.coalesce("tf", F.lit(0)).alias("tf"))
+    begins = F.sequence(F.greatest(F.lit(0), F.col("p") - F.col("n") + 1), F.least(F.col("p"), F.col("size") - F.col("n")))
+    rank = F.row_number().over(Window.partitionBy("item", "s").orderBy("tf", "p"))
+    return known.withColumn("s", F.explode(begins)).withColumn("rank", rank).filter(F.col("rank") <= anchors).select("item", "s", "p", "term", "rank")
+
+
+def occurrences(index: DataFrame, items: DataFrame, places: DataFrame) -> DataFrame:
+    """(d, h, item, lo, hi): where in documents windows of items occur; all three are written tables."""
+    postings = index.filter("term is not null").select("d", "h", "pos", "term")
+    counts, _ = storage.written(postings.groupBy("term").agg(F.count("*").alias("tf")), "term-counts")
+    chosen, _ = storage.written(anchored(places, counts), "anchors")
+    lists = _sized(chosen.select("item", "p", "term").distinct(), "anchor-lists")
+    shifted = postings.join(lists, "term").groupBy("d", "h", "item", (F.col("pos") - F.col("p")).alias("delta")).agg(F.collect_set("p").alias("seen"))
+    windows = _sized(chosen.groupBy("item", "s").agg(F.collect_set("p").alias("asked"), F.min_by("p", "rank").alias("lead")).join(items.select("item", "n"), "item"), "windows")
+    agree = shifted.select("*", F.explode("seen").alias("lead")).join(windows, ["item", "lead"]).filter(F.size(F.array_except("asked", "seen")) == 0).select("d", "h", "item", "delta", "s", "n")
+    candidates, _ = storage.written(agree, "candidates")
+    needed = candidates.select("d", "h", "item", "delta", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("n") - 1)).alias("p")).distinct()
+    asked = needed.join(_sized(places.select("item", "p", "term"), "item-places"), ["item", "p"]).withColumn("pos", F.col("delta") + F.col("p"))
+    held, _ = storage.written(postings.join(_sized(asked, "asked-places"), ["d", "h", "pos", "term"]).select("d", "h", "item", "delta", "p"), "held-places")
+    places_held = held.groupBy("d", "h", "item", "delta").agg(F.collect_set("p").alias("held"))
+    full = candidates.join(places_held, ["d", "h", "item", "delta"]).filter(F.size(F.array_intersect(F.sequence(F.col("s"), F.col("s") + F.col("n") - 1), "held")) == F.col("n"))
+    return full.select("d", "h", "item", (F.col("delta") + F.col("s")).alias("lo"), (F.col("delta") + F.col("s") + F.col("n") - 1).alias("hi"))
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index, the items, and the occurrences."""
+    items, _ = storage.written(items_of(benchmark, window), "items")
+    places, _ = storage.written(items.select("item", "n", F.size("iw").alias("size"), F.posexplode("iw").alias("p", "term")), "places")
+    index, _ = storage.written(build_index(docs, _sized(places.select("term").distinct(), "terms")), "postings")
+    return index, items, storage.written(occurrences(index, items, places), "occurrences")[0]
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(d, h, item, item_ids, lo, hi): stretches lo..hi of a document's words made of exact occurrences of an item's windows."""
-    items, _ = storage.written(items_of(benchmark, window), "items")
-    terms = items.select(F.explode("iw").alias("term")).distinct()
-    counts, _ = storage.written(terms.join(term_counts(docs, terms, terms.count()), "term", "left"), "term-counts")
-    pairs = anchored(items, counts)
-    places, _ = storage.written(items.join(pairs, "item").select("item", "item_ids", "iw", "n", "pairs", F.explode(F.array_distinct(F.flatten("pairs"))).alias("p")).withColumn("term", F.get("iw", F.col("p"))), "anchors")
-    n_places, reach = places.count(), window - 1
-    chosen = places.select("term").distinct()
-    index, _ = storage.written(build_index(docs, chosen, n_places, reach), "postings")
-    # Each hit is confirmed on the words around it before anything is moved, so that lists hold
-    # places of true occurrences only when they are intersected.
-    hits = index.join(_small(places.select("item", "term", "p", "iw", "n"), n_places), "term").withColumn("left", _extent(-1, reach)).withColumn("right", _extent(1, reach)).filter("left + right + 1 >= n")
-    aligned = hits.groupBy("d", "h", "item", (F.col("pos") - F.col("p")).alias("delta")).agg(F.collect_set(F.struct("p", "left", "right")).alias("found"))
-    with_item = aligned.join(_small(items.select("item", "item_ids").join(pairs, "item"), n_places), "item")
-    agree = with_item.filter(F.exists("pairs", lambda x: F.size(F.array_except(x, F.col("found.p"))) == 0))
-    near = agree.select("d", "h", "item", "item_ids", "delta", F.explode("found").alias("f")).select("*", "f.*")
-    return near.select("d", "h", "item", "item_ids", (F.col("delta") + F.col("p") - F.col("left")).alias("lo"), (F.col("delta") + F.col("p") + F.col("right")).alias("hi"))
-
-
-def _per_document(found: DataFrame) -> DataFrame:
-    """(d, h, n_hit, ids): words in any stretch, and the items found."""
+def _per_document(found: DataFrame, items: DataFrame) -> DataFrame:
+    """(d, h, n_hit, ids): words in any window, and the items found."""
     before = Window.partitionBy("d", "h").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("hi") - F.greatest(F.col("lo") - 1, F.coalesce(F.max("hi").over(before), F.lit(-1))))
     stretches = found.select("d", "h", "lo", "hi").distinct().withColumn("new", new).groupBy("d", "h").agg(F.sum("new").alias("n_hit"))
-    ids = found.select("d", "h", F.explode("item_ids").alias("id")).groupBy("d", "h").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    named = found.select("d", "h", "item").distinct().join(items.select("item", F.explode("item_ids").alias("id")), "item")
+    ids = named.groupBy("d", "h").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     return stretches.join(ids, ["d", "h"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, item_ids, contaminated."""
-    found = _per_document(occurrences(docs, benchmark, window))
-    all_docs = _keyed(docs).select("d", "h", F.size("w").cast("long").alias("n_words"))
+    index, items, hits = _searched(docs, benchmark, window)
+    found, _ = storage.written(_per_document(hits, items), "contaminated")
+    all_docs = index.filter("coalesce(pos, 0) = 0").select("d", "h", F.col("n_words").cast("long").alias("n_words"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return all_docs.join(found, ["d", "h"], "left").select(F.when(F.col("d") != -(1 << 63), F.col("d")).alias("doc_id"), "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (hit > 0).alias("contaminated"))
+    return all_docs.join(found, ["d", "h"], "left").select(F.when(F.col("d") != _NO_ID, F.col("d")).alias("doc_id"), "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (hit > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without an occurrence of any window."""
-    found = occurrences(docs, benchmark, window).select("d", "h").distinct()
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return keyed.join(found, (keyed["_d"] == found["d"]) & (keyed["_h"] == found["h"]), "left_anti").select(docs.columns)
+    _, _, hits = _searched(docs, benchmark, window)
+    found, _ = storage.written(hits.select("d", "h").distinct(), "contaminated")
+    keyed = docs.select(*_key(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return keyed.join(found, ["d", "h"], "left_anti").select([F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def proximity(docs: DataFrame, phrases: DataFrame, within: int) -> DataFrame:
@@ -128,10 +129,9 @@ def proximity(docs: DataFrame, phrases: DataFrame, within: int) -> DataFrame:
     ``pos`` is the first word of such a place; each word of the phrase occurs at or after it.
     """
     asked, _ = storage.written(phrases.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")), "queries")
-    rows = asked.count()
-    index = build_index(docs, asked.select("term").distinct(), rows, 0)
-    hits = index.join(_small(asked, rows), "term").select("query_id", "d", "h", "pos", "term").distinct()
+    index = build_index(docs, _sized(asked.select("term").distinct(), "terms")).filter("term is not null")
+    hits = index.join(_sized(asked, "asked"), "term").select("query_id", "d", "h", "pos", "term").distinct()
     ahead = Window.partitionBy("query_id", "d", "h").orderBy("pos").rangeBetween(0, within - 1)
     needed = asked.groupBy("query_id").agg(F.count("*").alias("needed"))
-    full = hits.withColumn("seen", F.size(F.collect_set("term").over(ahead))).join(_small(needed, rows), "query_id").filter("seen = needed")
-    return full.select("query_id", F.when(F.col("d") != -(1 << 63), F.col("d")).alias("doc_id"), "pos").distinct()
+    full = hits.withColumn("seen", F.size(F.collect_set("term").over(ahead))).join(_sized(needed, "needed"), "query_id").filter("seen = needed")
+    return full.select("query_id", F.when(F.col("d") != _NO_ID, F.col("d")).alias("doc_id"), "pos").distinct()

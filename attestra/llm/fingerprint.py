@@ -18,11 +18,11 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from . import storage
+from . import storage, workers
 
 BUCKETS = 256
 #: Positions in the window, beside the first byte, that make up a triplet.
@@ -85,6 +85,7 @@ def digests(docs: DataFrame, *, text_col: str = "text", out_col: str = "fingerpr
     rest = docs.drop(out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("fingerprint")
         for batch in batches:
             found = [digest((x or "").encode()).hex() for x in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, out_col])
@@ -92,63 +93,72 @@ def digests(docs: DataFrame, *, text_col: str = "text", out_col: str = "fingerpr
     return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(out_col, StringType())]))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (bucket, doc_id, text, beyond) that lie in a task in ascending order of ids.
-
-    Buckets are ranges of ids; each ends with the row that follows it (``beyond``), which is
-    the first of the next bucket and, for the last, the first of all.  Only the bounds of the
-    buckets, a few for each task, come to the driver; each text is moved once.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.select("doc_id").agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)], 20 * wanted).alias("q")).first()["q"] if wanted > 1 else None
-    cuts = sorted(set(cuts or []))
-    bucket = F.lit(0)
-    if cuts:  # how many cuts are not above the id, by binary search
-        known, steps = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), [1 << k for k in reversed(range(len(cuts).bit_length()))]
-        bucket = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(known, at + step - 1) <= F.col("doc_id")), at + step).otherwise(at))
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(bucket))
-    firsts = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("f")).orderBy("bucket").collect()  # a row for each bucket
-    sent_to = {row["f"]["doc_id"]: firsts[k - 1]["bucket"] for k, row in enumerate(firsts)}  # None: rows without an id come first
-    target = F.lit(None).cast("int")
-    if known_firsts := {i: to for i, to in sent_to.items() if i is not None}:
-        target = F.element_at(F.create_map(*[F.lit(x) for pair in known_firsts.items() for x in (int(pair[0]), pair[1])]).cast("map<bigint,int>"), F.col("doc_id"))
-    if None in sent_to:
-        target = F.when(F.col("doc_id").isNull(), sent_to[None]).otherwise(target)
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("beyond"))
-    sent = F.struct(F.col("target").alias("bucket"), F.lit(True).alias("beyond"))
-    twice = rows.withColumn("target", target).withColumn("to", F.explode(F.when(F.col("target").isNull(), F.array(own)).otherwise(F.array(own, sent))))
-    return twice.select("to.bucket", "doc_id", "text", "to.beyond").repartition("bucket").sortWithinPartitions("bucket", "beyond", "doc_id", "text")
+_OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+#: Characters of a text that, after its id, decide which range it goes to: rows that share an id are spread too.
+_RANGE_CHARS = 64
 
 
-_OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def _compared(doc_id: int | None, text: str, own: bytes, following: str, following_own: bytes) -> tuple:
+    """A row of the result, from a document's text and digest and those of the next."""
+    k = len(text) // 4
+    edited = (text[: len(text) - k] + following[:k]).encode()
+    e = digest(edited)
+    return doc_id, len(text), sha256(edited).hexdigest(), own.hex(), e.hex(), likeness(own, e), likeness(own, following_own)
 
 
 def edited_neighbours(docs: DataFrame) -> DataFrame:
-    """Per document: its digest, that of its text with the last quarter taken from the next document, and likenesses."""
+    """Per document: its digest, that of its text with the last quarter taken from the next document, and likenesses.
+
+    Texts are dealt out by ranges of ids, each is moved once.  A task compares all neighbours
+    within its range, and gives the first and the last document of it as they are; the last of
+    each range is then compared with the first of the next that has any, and that of the last
+    range with the first of all.
+    """
     storage.prepare_python(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # bucket, doc_id, text, digest
-        closed = None  # the bucket whose end has been seen
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        workers.begin("fingerprint")
+        part, first, held = TaskContext.get().partitionId(), None, None  # documents: id, text, digest
+
+        def rows(done: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*done)) if done else [()] * len(_NAMES)
+            full = [pa.array([*c, *[None] * len(edges)], t) for c, t in zip(columns, _KINDS, strict=True)]
+            own = [pa.array([None] * len(done) + [e[k] for e in edges], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))]
+            return pa.RecordBatch.from_arrays([pa.array([part] * (len(done) + len(edges)), pa.int32()), *own, *full], ["part", "edge", "id", "text", *_NAMES])
+
         for batch in batches:
-            out = []
-            for bucket, doc_id, text, beyond in zip(*[batch.column(c).to_pylist() for c in ("bucket", "doc_id", "text", "beyond")], strict=True):
+            done = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = text or ""
-                if beyond and closed == bucket:
-                    continue
-                own = digest(text.encode())
-                if held is not None and held[0] == bucket:
-                    _, before, mine, d = held
-                    k = len(mine) // 4
-                    edited = (mine[: len(mine) - k] + text[:k]).encode()
-                    e = digest(edited)
-                    out.append((before, len(mine), sha256(edited).hexdigest(), d.hex(), e.hex(), likeness(d, e), likeness(d, own)))
-                held, closed = (None, bucket) if beyond else ((bucket, doc_id, text, own), closed)
-            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            columns = list(zip(*out)) if out else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-
-    return with_next(docs).mapInArrow(run, _OUT)
+                now = doc_id, text, digest(text.encode())
+                if held is None:
+                    first = now
+                else:
+                    done.append(_compared(*held, *now[1:]))
+                held = now
+            yield rows(done, [])
+        if held is not None:
+            yield rows([], [("first", *first[:2]), ("last", *held[:2])])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("fingerprint")
+        for batch in batches:
+            done = [_compared(i, t, digest(t.encode()), n, digest(n.encode())) for i, t, n in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "following")], strict=True)]
+            columns = list(zip(*done)) if done else [()] * len(_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], _NAMES)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, _RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
+    ranges, _ = storage.written(ordered.mapInArrow(within, "part int, edge string, id bigint, text string, " + _OUT), "neighbours")
+    edges = ranges.filter("edge is not null").select("part", "edge", "id", "text")
+    parts = edges.filter("edge = 'first'").select("part")  # one row a range
+    following = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy()))
+    pairs = parts.select("part", following.alias("to"))
+    lasts = edges.filter("edge = 'last'").select("part", F.col("id").alias("doc_id"), "text")
+    firsts = edges.filter("edge = 'first'").select(F.col("part").alias("to"), F.col("text").alias("following"))
+    met = lasts.join(pairs, "part").join(firsts, "to").select("doc_id", "text", "following").mapInArrow(across, _OUT)
+    return ranges.filter("edge is null").select(*_NAMES).unionByName(met)

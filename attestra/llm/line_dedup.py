@@ -4,13 +4,15 @@ Lines become ids; prefix doubling then ranks every place by its next 2, 4, 8, ..
 rank of 2^(k+1) lines at a place is that of the pair (rank here, rank 2^k lines on) among all
 distinct pairs in sorted order.  Places that share a rank form a longest-common-prefix
 interval of at least that depth.  A place whose pair is unique is settled and leaves; only
-shared ranks are sorted and carried on.  From each line the least run that reaches
-``min_chars`` characters is looked up as two overlapping power-of-two ranks; where the same
-run begins earlier (by document id, then line), its lines are deleted, and short common lines
-alone are left.  The last lines of a repeated run, from which it no longer reaches that size,
-go with ``whole`` only (the pipeline's rule): it also looks up the least run that ends at each
-line, so that maximal runs are covered to their ends.  Only DataFrame functions are used; each
-round is a written table, and ranks come from a range sort without any global window.
+shared ranks are sorted and carried on.  A repeated run counts from ``min_chars`` characters.
+From each line the least run that reaches that size, and to each line the least such run that
+ends there, are looked up as two overlapping power-of-two ranks; together they cover all
+lines of a maximal repeated run and no others.  Where the same run begins earlier (by document
+id, then line), its lines are deleted, so of each maximal run the first copy alone is left;
+short common lines stay.  Only DataFrame functions are used; each round is a written table,
+and ranks come from a range sort without any global window.  Counts are combined before they
+are shuffled and written before they are joined, so that Spark splits the rows of a line or
+run that very many places share.
 
 Defined results: a null text has no lines and stays null; identical rows (same id and text)
 count as one document; of rows that share an id but not a text the order is by text hash; a
@@ -40,14 +42,17 @@ def line_table(docs: DataFrame) -> DataFrame:
     return flat.select("d", "h", "no", F.length("line").cast("long").alias("size"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit("second"), F.col("line")).alias("b"))
 
 
-def _windows(lines: DataFrame, min_chars: int, whole: bool = False) -> DataFrame:
-    """(d, h, no, span): the number of lines from a line that first reach ``min_chars``; lines that never do are left out.
+def _windows(lines: DataFrame, min_chars: int) -> DataFrame:
+    """(d, h, no, span): the least runs that reach ``min_chars``, from each line on and up to each line.
 
-    With ``whole``: also the least such runs up to each line.  The two kinds inside a run cover all of it.
+    Those inside a longer run cover all of it.
     """
-    if whole:
-        up_to = _windows(lines.withColumn("no", -F.col("no")), min_chars).select(*KEY, (-F.col("no") - F.col("span") + 1).alias("no"), "span")
-        return _windows(lines, min_chars).unionByName(up_to).distinct()
+    up_to = _from_each(lines.withColumn("no", -F.col("no")), min_chars).select(*KEY, (-F.col("no") - F.col("span") + 1).alias("no"), "span")
+    return _from_each(lines, min_chars).unionByName(up_to).distinct()
+
+
+def _from_each(lines: DataFrame, min_chars: int) -> DataFrame:
+    """(d, h, no, span): the number of lines from a line that first reach ``min_chars``; lines that never do are left out."""
     w = Window.partitionBy(*KEY).orderBy("no")
     summed = lines.withColumn("upto", F.sum("size").over(w))
     ends = F.struct(F.col("upto").alias("v"), F.lit(0).alias("asks"))
@@ -67,9 +72,9 @@ def _ranked(places: DataFrame, by: list[str], label: str) -> tuple[DataFrame, li
     return ranked, [path]
 
 
-def _later_copies(lines: DataFrame, min_chars: int, whole: bool) -> DataFrame:
+def _later_copies(lines: DataFrame, min_chars: int) -> DataFrame:
     """(d, h, lo, hi): windows of lines that begin earlier elsewhere."""
-    windows, _ = storage.written(_windows(lines, min_chars, whole), "line-windows")
+    windows, _ = storage.written(_windows(lines, min_chars), "line-windows")
     longest = windows.agg(F.max("span")).first()[0] or 0
     level, found, ranks = 0, [], None
     while longest >> level:
@@ -94,16 +99,16 @@ def _later_copies(lines: DataFrame, min_chars: int, whole: bool) -> DataFrame:
         runs = runs.unionByName(more)
     runs, _ = storage.written(runs, "line-runs")
     same = ["level", "span", "r1", "r2"]
-    firsts = runs.groupBy(*same).agg(F.min(F.struct(*KEY, "no")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    firsts, _ = storage.written(runs.groupBy(*same).agg(F.min(F.struct(*KEY, "no")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first-runs")
     later = runs.join(firsts, same).filter(F.struct(*KEY, "no") > F.col("first"))
     return later.select(*KEY, F.col("no").alias("lo"), (F.col("no") + F.col("span") - 1).alias("hi"))
 
 
-def removed_runs(docs: DataFrame, min_chars: int = MIN_CHARS, *, whole: bool = False) -> DataFrame:
+def removed_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(d, h, runs): per document the maximal runs of lines to delete, as an array of (lo, hi)."""
     once = line_table(docs).repartition(*KEY).dropDuplicates([*KEY, "no"])
     lines, _ = storage.written(once, "lines")
-    later = _later_copies(lines, min_chars, whole)
+    later = _later_copies(lines, min_chars)
     w = Window.partitionBy(*KEY).orderBy("lo", "hi")
     before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
     begun = later.withColumn("new", F.coalesce((F.col("lo") > before + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -111,14 +116,20 @@ def removed_runs(docs: DataFrame, min_chars: int = MIN_CHARS, *, whole: bool = F
     return runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, *, counts: bool = False, whole: bool = False) -> DataFrame:
-    """``docs`` without the later copies of repeated runs of lines.
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` without the later copies of repeated runs of lines."""
+    return _cut(docs, min_chars).select([f"new.`{c}`" for c in docs.columns])
 
-    With ``whole`` a run goes to its very end; else its last lines stay where, from them on, it
-    no longer reaches ``min_chars``.  With ``counts``: also n_lines, n_removed and n_runs.
-    """
+
+def counted(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Per document: doc_id, text without later copies, n_lines, n_removed, n_runs."""
+    return _cut(docs.select("doc_id", "text"), min_chars).select("new.doc_id", "new.text", "n_lines", "n_removed", "n_runs")
+
+
+def _cut(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(new, n_lines, n_removed, n_runs): the rows of ``docs`` with their texts cut, as structs, so that no names clash."""
     keyed = _keys(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("text").cast("string").alias("text")))
-    runs = removed_runs(docs, min_chars, whole=whole)
+    runs = removed_runs(docs, min_chars)
     joined = keyed.join(runs, KEY, "left").withColumn("lines", F.split("text", "\n", -1))
     kept = F.filter("lines", lambda x, k: ~F.exists("runs", lambda r: (k >= r["lo"]) & (k <= r["hi"])))
     out = joined.withColumn("kept", F.when(F.col("runs").isNull(), F.col("lines")).otherwise(kept))
@@ -126,14 +137,12 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, *, counts: bool = False,
     new = {"text": text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("runs").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
-    columns = [new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    if counts:
-        n = lambda c: F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(c)), F.lit(0)).cast("long")
-        columns += [n("lines").alias("n_lines"), (n("lines") - n("kept")).alias("n_removed"), F.coalesce(F.size("runs"), F.lit(0)).cast("long").alias("n_runs")]
-    return out.select(columns)
+    row = F.struct(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns]).alias("new")
+    n = lambda c: F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(c)), F.lit(0)).cast("long")
+    return out.select(row, n("lines").alias("n_lines"), (n("lines") - n("kept")).alias("n_removed"), F.coalesce(F.size("runs"), F.lit(0)).cast("long").alias("n_runs"))
 
 
 def without_emptied(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``dedup`` of whole runs, without documents of which nothing but blank lines is left."""
-    blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^\s*$")
-    return dedup(docs, min_chars, counts=True, whole=True).filter((F.col("n_removed") == 0) | ~blank).drop("n_lines", "n_removed", "n_runs")
+    """``dedup``, without the documents of which it leaves nothing but blank lines."""
+    blank = F.coalesce(F.col("new.text"), F.lit("")).rlike(r"^\s*$")
+    return _cut(docs, min_chars).filter((F.col("n_removed") == 0) | ~blank).select([f"new.`{c}`" for c in docs.columns])

@@ -40,7 +40,7 @@ def interned(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     split = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\x01 "), "\n", "\x01\n"), _MARK)
     sizes = np.diff(split.offsets.to_numpy())
     coded = split.flatten().dictionary_encode()
-    distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    distinct, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()  # several times as fast as to_pylist
     if odd:
         at = {p: i for i, p in enumerate(distinct)}
         begin = np.concatenate([[0], np.cumsum(sizes)])

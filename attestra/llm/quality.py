@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import storage
+from . import storage, workers
 from .labelled import held_out, logistic, sample
 
 MAX_DOCS = 40_000
@@ -65,6 +65,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_docs:
     storage.prepare_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("quality")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([form(x or "") for x in batch.column("text").to_pylist()], pa.list_(pa.float64()))], ["label", "form"])
 
@@ -83,6 +84,7 @@ def classified(docs: DataFrame, model: tuple, *, host: Column, path: Column) ->
     mean, spread, weights = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("quality")
         for batch in batches:
             x = (np.array([form(t or "") for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, -1) - mean) / spread
             own = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -12, 12))) if batch.num_rows else np.zeros(0)

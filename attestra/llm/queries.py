@@ -82,7 +82,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup(_table(spark, sf_dir, "documents"), counts=True)
+    found = line_dedup.counted(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -90,7 +90,8 @@ OP10_SQL = """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents),
 x AS (SELECT doc_id, unnest(w) AS line, unnest(range(1, len(w) + 1)) AS no FROM l),
 c AS (SELECT doc_id, no, length(line) AS n, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY no) AS upto FROM x),
-e AS (SELECT a.doc_id, a.no, min(b.no) AS hi FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.no >= a.no AND b.upto >= a.upto - a.n + 200 GROUP BY ALL),
+e AS (SELECT a.doc_id, a.no, min(b.no) AS hi FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.no >= a.no AND b.upto >= a.upto - a.n + 200 GROUP BY ALL
+UNION SELECT b.doc_id, max(a.no), b.no FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.no >= a.no AND b.upto >= a.upto - a.n + 200 GROUP BY b.doc_id, b.no),
 r AS (SELECT e.doc_id, e.no AS lo, hi, row_number() OVER (PARTITION BY array_to_string(w[e.no : hi], chr(10)), hi - e.no ORDER BY e.doc_id, e.no) AS copy FROM e JOIN l ON e.doc_id = l.doc_id),
 gone AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS no FROM r WHERE copy > 1),
 runs AS (SELECT doc_id, count(*) AS n_removed, count(DISTINCT run) AS n_runs, list(no) AS nos FROM (SELECT doc_id, no, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS run FROM gone) GROUP BY doc_id),

@@ -1,12 +1,16 @@
 """Operator 7: SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has two 32-bit segments.  Within each segment the Hamming ball of radius one
-is enumerated with the other segment as it is; each value so reached is a table key.  Two
-fingerprints that differ in two bits or fewer reach a common key, and all that reach one
-key are within two bits, which is verified on the complete fingerprints.  As a key's members
-differ from it in at most one known bit, a table entry is a 64-bit map of members plus a
-flag: no entry can hold more than 65 fingerprints, however many documents are alike, and
-entries are combined before they are shuffled.  Equal fingerprints are one row throughout.
+A fingerprint is cut into segments.  Of two fingerprints within ``max_distance`` bits, at
+least one pair of like segments is within ``max_distance // segments`` bits.  So each segment
+has a table of fingerprints keyed (segment number, segment value); each fingerprint probes,
+for every segment, all keys in the small Hamming ball around its own value, and what the
+tables hold there is verified on the complete fingerprints.  By default there are two
+segments of 32 bits and balls of radius one (33 probes a segment) for two bits.
+
+A table entry with more than ``HOT`` fingerprints is split by the other bits: there both the
+members and the probes also enumerate the ball of half the distance around the rest of their
+bits, and meet at values between them.  So no key gathers more than a ball holds, however
+many fingerprints share a segment.  Equal fingerprints are one row throughout.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero,
 linked like any other; repeated ids each get a row; rows without an id get a fingerprint and
@@ -17,17 +21,20 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import storage
+from . import storage, survivors, workers
 from .components import labels
 
 SEED = 42  # fixed value: the hash seed of the contract
 BITS = 64
+#: Fingerprints that one table entry holds before it is split.
+HOT = 64
 
 
 def fingerprint(text: bytes, shingle_words: int = 3) -> int:
@@ -48,62 +55,83 @@ def fingerprint(text: bytes, shingle_words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """(doc_id, fp): fingerprints as signed 64-bit integers."""
+    """(d, k, q, fp): the key of each row, and its fingerprint as a signed 64-bit integer."""
     storage.prepare_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("simhash")
         for batch in batches:
             found = np.array([fingerprint(x or b"", shingle_words) for x in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in survivors.KEY], pa.array(found.view(np.int64))], [*survivors.KEY, "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(*survivors.row_key(docs), F.col("text").cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "d bigint, k bigint, q bigint, fp bigint")
 
 
-def links(fps: DataFrame, max_distance: int = 2) -> DataFrame:
-    """(a, b): links that join all fingerprints (distinct ``fp``) within ``max_distance`` (0 to 2).
+def _ball(bits: int, radius: int) -> list[int]:
+    """The masks of up to ``radius`` of ``bits`` bits."""
+    return [sum(1 << k for k in some) for n in range(radius + 1) for some in combinations(range(bits), n)]
 
-    The links of a key form a star around its least member, so they connect what pairs would.
+
+def _masks(masks: list[int], shift: int = 0):
+    """Masks as an array of longs."""
+    signed = [(m << shift) - (1 << BITS) * (m << shift >> (BITS - 1)) for m in masks]
+    return F.array(*[F.lit(m).cast("long") for m in signed])
+
+
+def links(fps: DataFrame, max_distance: int = 2, segments: int = 2) -> DataFrame:
+    """(a, b): all pairs of distinct fingerprints (``fp``) within ``max_distance`` bits, a < b.
+
+    ``segments`` has to divide 64; balls have the radius ``max_distance // segments``.
     """
-    if not 0 <= max_distance <= 2:
-        raise ValueError("max_distance: 0, 1 or 2")
-    if max_distance == 0:
+    if max_distance < 1:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).filter("a <> b")
-    ball = F.array(*[F.struct(F.lit(k).alias("k"), F.lit((1 << k) - (1 << 64) * (k == 63)).alias("bit")) for k in range(BITS)], F.struct(F.lit(BITS).alias("k"), F.lit(0).cast("long").alias("bit")))
-    probes = fps.select("fp", F.explode(ball).alias("x")).select(F.col("fp").bitwiseXOR(F.col("x.bit")).alias("key"), F.col("x.bit").alias("bit"))
-    table = probes.groupBy("key").agg(F.bit_or("bit").alias("members"), F.max(F.col("bit") == 0).alias("self"))
-    shared = table.filter(F.bit_count("members") + F.col("self").cast("int") > 1)
-    reached = F.expr(f"array_compact(transform(sequence(0, {BITS}), k -> CASE WHEN k < {BITS} AND getbit(members, k % {BITS}) = 1 THEN key ^ shiftleft(1L, k % {BITS}) WHEN k = {BITS} AND self THEN key END))")
-    stars = shared.select(F.array_sort(reached).alias("m"))
-    pairs = stars.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, BITS)).alias("b"))
-    if max_distance == 1:  # only the key itself is within one bit of every member
-        pairs = shared.filter("self").select(F.col("key").alias("a"), F.explode(reached).alias("b")).filter("a <> b")
-    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance).distinct()
+    if BITS % segments:
+        raise ValueError("segments: a divisor of 64")
+    width, near, far = BITS // segments, max_distance // segments, -(-max_distance // 2)
+    one = (1 << width) - 1
+    rest_ball = _ball(BITS - width, far) if segments > 1 else [0]
+    all_segments = [F.struct(F.lit(k).alias("seg"), _masks([one], k * width)[0].alias("mask"), _masks(_ball(width, near), k * width).alias("near")) for k in range(segments)]
+    parts, _ = storage.written(fps.select("fp", F.explode(F.array(*all_segments)).alias("s")).select("fp", "s.seg", "s.mask", F.col("fp").bitwiseAND(F.col("s.mask")).alias("value")), "segments")
+    hot, _ = storage.written(parts.groupBy("seg", "value").agg(F.count("*").alias("members")).filter(f"members > {HOT}").select("seg", "value"), "hot-segments")
+    ball_of = F.get(F.array(*[x["near"] for x in all_segments]), F.col("seg"))
+    probes = parts.select("seg", F.col("fp").alias("a"), F.explode(F.transform(ball_of, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
+    tables = parts.select("seg", "value", F.col("fp").alias("b"))
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance
+    key = ["seg", "value"]
+    if hot.isEmpty():
+        return probes.join(tables, key).filter(F.col("a") < F.col("b")).filter(close).select("a", "b").distinct()
+    cold = probes.join(hot, key, "left_anti").join(tables.join(hot, key, "left_anti"), key).filter(F.col("a") < F.col("b")).filter(close)
+    # The masks of the rest lie around the segment: bits below it stay, those above move up by its width.
+    around = [F.array(*[F.lit(m - (1 << BITS) * (m >> (BITS - 1))).cast("long") for m in [(r & ((1 << k * width) - 1)) | (r >> (k * width) << ((k + 1) * width)) for r in rest_ball]]) for k in range(segments)]
+    rest_of = F.get(F.array(*around), F.col("seg"))
+    mask_of = F.get(F.array(*[x["mask"] for x in all_segments]), F.col("seg"))
+    met = lambda df, c: df.join(hot, key, "left_semi").select("*", F.explode(F.transform(rest_of, lambda m: F.col(c).bitwiseAND(F.bitwise_not(mask_of)).bitwiseXOR(m))).alias("rest"))
+    split = met(probes, "a").join(met(tables, "b"), [*key, "rest"]).filter(F.col("a") < F.col("b")).filter(close)
+    return cold.select("a", "b").unionByName(split.select("a", "b")).distinct()
+
+
+def _grouped(docs: DataFrame, shingle_words: int, max_distance: int) -> tuple[DataFrame, DataFrame]:
+    """(d, k, q, fp) of every row; (fp, root) of every fingerprint."""
+    found, _ = storage.written(fingerprints(docs, shingle_words), "fingerprints")
+    distinct, _ = storage.written(found.select("fp").distinct(), "distinct-fingerprints")
+    roots = distinct.join(labels(links(distinct, max_distance)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("root"))
+    return found, storage.written(roots, "fingerprint-roots")[0]
 
 
 def components(docs: DataFrame, *, shingle_words: int = 3, max_distance: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): the least id among all documents that links reach."""
-    found, _ = storage.written(fingerprints(docs, shingle_words), "fingerprints")
-    distinct, _ = storage.written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = distinct.join(labels(links(distinct.select("fp"), max_distance)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("label", "fp"))
-    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    found, roots = _grouped(docs, shingle_words, max_distance)
+    least, _ = storage.written(found.groupBy("fp").agg(F.min("d").alias("least")).join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    named, _ = storage.written(roots.join(least, "root").select("fp", "component_id"), "component-names")
+    return found.join(named, "fp").select(F.col("d").alias("doc_id"), "fp", "component_id")
 
 
 def hexed(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose ids are in ``kept``, one row each (the least text), and rows without an id."""
-    known = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return known.withColumn("_rank", rank).filter("_rank = 1").drop("_rank").unionByName(docs.filter("doc_id is null")).select(docs.columns)
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the least id of each component; rows without an id stay.
-
-    Where rows repeat an id, the one with the least text stays.
-    """
-    return only(docs, components(docs, **options).filter("doc_id = component_id").select("doc_id").distinct())
+def keep_one(docs: DataFrame, *, shingle_words: int = 3, max_distance: int = 2) -> DataFrame:
+    """One document of each component: the one with the least id (``survivors.keep_one``)."""
+    found, roots = _grouped(docs, shingle_words, max_distance)
+    return survivors.keep_one(docs, found.join(roots, "fp").select(*survivors.KEY, "root"))

@@ -6,17 +6,24 @@ same document or another.  Equal strings have equal anchors (module ``anchors``)
 1.  Each text gives its anchors with a hash of the bytes of all windows anchored there, the
     anchor's context.  Anchors seen once are dropped.
 2.  Contexts seen more than once repeat whole.  They are counted, not moved.
-3.  The distinct contexts of one anchor differ somewhere.  What all have in common around the
-    anchor becomes one symbol, what none shares with another is cut off, and a suffix array
-    over all of them (module ``suffix_array``) with the common prefixes of neighbours shows the
-    window starts that repeat.
-4.  An anchor with more than ``LIMIT`` distinct contexts is split by the bytes next to it on
-    both sides; the few windows that hold fewer bytes than that on one side are compared by
-    hashed rows, in as many tasks as there are.  So no task gathers an unbounded group.
+3.  The distinct contexts of one anchor differ somewhere.  A window of them has i bytes before
+    the anchor and the rest behind it; contexts are grouped by what all windows with i in a
+    range have in common: the anchor's bytes, the bytes before it that the least i takes, and
+    those behind it that the largest i leaves.  The first range is all of i.  What all contexts
+    of a group have in common around the anchor becomes one symbol, what none shares with
+    another is cut off, and a suffix array over all of them (module ``suffix_array``) with the
+    common prefixes of neighbours shows the window starts that repeat.
+4.  A group of more than ``LIMIT`` contexts is halved: each half of its range of i takes the
+    contexts that have windows there, and groups them by more bytes.  A group for a single i
+    has one and the same window, which repeats.  So no task gathers an unbounded group, and
+    how many contexts an anchor has decides how often its range is halved and nothing else.
+
+Rows are told apart by their id and 128 bits of their text, contexts by their anchor's hash
+and their own, 128 bits together; contexts that meet in a group are compared by their bytes.
 
 Defined results: a null text counts as empty; shorter texts than ``length`` lose nothing;
 repeated rows are copies of each other, so both lose what they share; an empty table gives an
-empty result; other columns are ignored or, in ``dedup``, stay.
+empty result; other columns are ignored or, in ``dedup``, stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,50 +35,57 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import storage
+from . import storage, workers
 from .anchors import GRAM, LENGTH, anchors
 from .suffix_array import common_prefixes, suffix_array
 
-#: Distinct contexts of one anchor that a task solves together: a few MB, and seconds of work.
-LIMIT = 5000
-#: Bytes on both sides of an anchor by which large groups are split, in turn.
-SPLITS = (4, 12, 28, 60)
+#: Contexts that a task solves together: a few MB, and seconds of work.
+LIMIT = 2000
+#: The bytes of a window beside its anchor.
+AROUND = LENGTH - GRAM
+ROW = ("r", "q")
 
 
-def _row_key() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+def _row_key(docs: DataFrame) -> list[Column]:
+    text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    return [F.xxhash64(doc_id, text).alias("r"), F.xxhash64(F.lit("second"), doc_id, text).alias("q")]
+
+
+def _bytes() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
 
 
 def anchor_table(docs: DataFrame) -> DataFrame:
-    """(r, place, first, last, a, c): the anchors of every text; r stands for the row."""
+    """(r, q, place, first, last, a, c): the anchors of every text; r and q stand for the row."""
     storage.prepare_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("substring_dedup")
         for batch in batches:
             found = [anchors(x or b"") for x in batch.column("text").to_pylist()]
-            rows = np.repeat(batch.column("r").to_numpy(), [len(x[0]) for x in found])
+            times = [len(x[0]) for x in found]
+            rows = [pa.array(np.repeat(batch.column(x).to_numpy(), times)) for x in ROW]
             place, a, first, last, c = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(x.astype(np.int32)) for x in (place, first, last)], pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["r", "place", "first", "last", "a", "c"])
+            yield pa.RecordBatch.from_arrays([*rows, *[pa.array(x.astype(np.int32)) for x in (place, first, last)], pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], [*ROW, "place", "first", "last", "a", "c"])
 
-    rows = docs.select(_row_key().alias("r"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "r bigint, place int, first int, last int, a bigint, c bigint")
+    return docs.select(*_row_key(docs), _bytes()).mapInArrow(run, "r bigint, q bigint, place int, first int, last int, a bigint, c bigint")
 
 
 def _contexts(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(a, c, n, left, right): the bytes around the anchor of each distinct context, cut from one text that has it."""
-    per_row, path = storage.written(distinct.select("a", "c", "n", "at.*").groupBy("r").agg(F.collect_list(F.struct("a", "c", "n", "place", "first", "last")).alias("cuts")), "context-places")
+    """(a, c, gram, left, right): the anchor's bytes and those around it of each distinct context, cut from one text that has it."""
+    per_row, path = storage.written(distinct.select("a", "c", "at.*").groupBy(*ROW).agg(F.collect_list(F.struct("a", "c", "place", "first", "last")).alias("cuts")), "context-places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("substring_dedup")
         for batch in batches:
             out = []
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
-                out += [(x["a"], x["c"], x["n"], text[x["first"] : x["place"]], text[x["place"] + GRAM : x["last"] + LENGTH]) for x in cuts]
+                out += [(x["a"], x["c"], text[x["place"] : x["place"] + GRAM], text[x["first"] : x["place"]], text[x["place"] + GRAM : x["last"] + LENGTH]) for x in cuts]
             columns = list(zip(*out)) if out else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["a", "c", "n", "left", "right"])
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["a", "c", "gram", "left", "right"])
 
-    rows = docs.select(_row_key().alias("r"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    cut = rows.join(per_row, "r").select("text", "cuts").mapInArrow(run, "a bigint, c bigint, n bigint, left binary, right binary")
+    cut = docs.select(*_row_key(docs), _bytes()).join(per_row, list(ROW)).select("text", "cuts").mapInArrow(run, "a bigint, c bigint, gram binary, left binary, right binary")
     found, _ = storage.written(cut.dropDuplicates(["a", "c"]), "contexts")
     storage.drop(docs.sparkSession, path)
     return found
@@ -131,26 +145,36 @@ def repeated_starts(contexts: list[tuple[bytes, bytes]], length: int = LENGTH, g
     return found
 
 
-def _solved(contexts: DataFrame, by: list[str]) -> DataFrame:
-    """(a, c, lo, hi) over contexts grouped by ``by``; a group is held at a time."""
+_GROUP = ("gram", "low", "high", "near")
+
 
-    def solve(group: list[tuple]) -> list[tuple]:
-        return [(a, c, lo, hi) for (a, c, _, _), some in zip(group, repeated_starts([x[2:] for x in group]), strict=True) for lo, hi in some] if len(group) > 1 else []
+def _solved(contexts: DataFrame) -> DataFrame:
+    """(a, c, lo, hi) over contexts (.., low, high, near) of the groups; a group is held at a time."""
+
+    def solve(key: tuple | None, group: list[tuple]) -> list[tuple]:
+        if len(group) < 2:
+            return []
+        out = []
+        for (a, c, left, _), some in zip(group, repeated_starts([x[2:] for x in group]), strict=True):
+            first, last = len(left) - key[2], len(left) - key[1]  # the starts of windows with high and with low bytes before the anchor
+            out += [(a, c, max(lo, first), min(hi, last)) for lo, hi in some if lo <= last and hi >= first]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("substring_dedup")
         key, group = None, []
         for batch in batches:
             out = []
-            columns = [batch.column(x).to_pylist() for x in by]
+            columns = [batch.column(x).to_pylist() for x in _GROUP]
             for own, *row in zip(zip(*columns, strict=True), *[batch.column(x).to_pylist() for x in ("a", "c", "left", "right")], strict=True):
                 if own != key:
-                    out += solve(group)
+                    out += solve(key, group)
                     key, group = own, []
                 group.append(tuple(row))
             yield _ranges(out)
-        yield _ranges(solve(group))
+        yield _ranges(solve(key, group))
 
-    dealt = contexts.select(*dict.fromkeys([*by, "a", "c", "left", "right"])).repartition(*by).sortWithinPartitions(*by)
+    dealt = contexts.select(*_GROUP, "a", "c", "left", "right").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     return dealt.mapInArrow(run, "a bigint, c bigint, lo int, hi int")
 
 
@@ -159,36 +183,27 @@ def _ranges(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["a", "c", "lo", "hi"])
 
 
-def _by_rows(contexts: DataFrame, low: int, high: int | None) -> DataFrame:
-    """(a, c, lo, hi) of windows with ``low`` to under ``high`` bytes on their shorter side of the anchor (None: no bound), by their bytes."""
-    total = LENGTH - GRAM
-    sides = F.sequence(F.lit(0), F.lit(total))
-    near = F.filter(sides, lambda i: (F.least(i, total - i) >= low) & (F.least(i, total - i) < (high if high is not None else total)) & (i <= F.length("left")) & (total - i <= F.length("right")))
-    each = contexts.select("a", "c", "left", "right", F.explode(near).alias("i"))
-    start = (F.length("left") - F.col("i")).cast("int")
-    rows = each.select("a", "c", start.alias("lo"), "i", F.concat(F.expr("substring(left, length(left) - i + 1, i)"), F.expr(f"substring(right, 1, {total} - i)")).alias("bytes"))
-    hashed = rows.select("a", "c", "lo", "i", F.xxhash64("bytes").alias("x"), F.xxhash64(F.lit("second"), F.col("bytes")).alias("y"))
-    same = hashed.groupBy("a", "i", "x", "y").agg(F.min("c").alias("one"), F.max("c").alias("other")).filter("one <> other").select("a", "i", "x", "y")
-    return hashed.join(same, ["a", "i", "x", "y"]).select("a", "c", "lo", F.col("lo").alias("hi"))
+def _grouped(contexts: DataFrame) -> DataFrame:
+    """Contexts (.., low, high) that have windows in their range, with the bytes that those share beside the anchor."""
+    near = F.concat(F.expr("substring(left, length(left) - low + 1, low)"), F.expr(f"substring(right, 1, {AROUND} - high)"))
+    return contexts.filter(f"length(left) >= low and length(right) >= {AROUND} - high").withColumn("near", near)
 
 
 def _partial(contexts: DataFrame, limit: int) -> DataFrame:
     """(a, c, lo, hi): window starts that repeat in another context of the same anchor."""
-    by: list[str] = ["a"]
-    left, found, low = contexts, [], 0
-    for depth in (*SPLITS, None):
-        sizes, _ = storage.written(left.groupBy(*by).agg(F.count("*").alias("members")).filter(f"members > {limit}"), "hot-anchors")
-        if sizes.isEmpty():
-            found.append(_solved(left, by))
-            break
-        found.append(_solved(left.join(sizes, by, "left_anti"), by))
-        hot, _ = storage.written(left.join(sizes, by, "left_semi"), "hot-contexts")
-        found.append(_by_rows(hot, low, depth))
-        if depth is None:
+    left, found = _grouped(contexts.withColumns({"low": F.lit(0), "high": F.lit(AROUND)})), []
+    while True:  # a range is halved eight times at most
+        hot, _ = storage.written(left.groupBy(*_GROUP).agg(F.count("*").alias("members")).filter(f"members > {limit}").select(*_GROUP), "hot-groups")
+        if hot.isEmpty():
+            found.append(_solved(left))
             break
-        near = F.concat(F.expr(f"substring(left, length(left) - {depth - 1}, {depth})"), F.expr(f"substring(right, 1, {depth})"))
-        left = hot.filter(f"length(left) >= {depth} and length(right) >= {depth}").withColumn("near", near)
-        by, low = ["a", "near"], depth
+        found.append(_solved(left.join(hot, list(_GROUP), "left_anti")))
+        large, _ = storage.written(left.join(hot, list(_GROUP), "left_semi").drop("near"), "hot-contexts")
+        start = (F.length("left") - F.col("low")).cast("int")
+        found.append(large.filter("low = high").select("a", "c", start.alias("lo"), start.alias("hi")))
+        middle = ((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high")))
+        left, _ = storage.written(_grouped(large.filter("low < high").withColumn("half", F.explode(halves)).select("a", "c", "gram", "left", "right", "half.*")), "halved-contexts")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -196,26 +211,30 @@ def _partial(contexts: DataFrame, limit: int) -> DataFrame:
 
 
 def removed_ranges(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(r, ranges): for each row that loses anything, the maximal runs of bytes (start, end)."""
+    """(r, q, ranges): for each row that loses anything, the maximal runs of bytes (start, end).
+
+    What is counted by key is written before it is joined, so that Spark can split the rows of
+    an anchor or context that very many places share.
+    """
     spark = docs.sparkSession
     all_anchors, all_path = storage.written(anchor_table(docs), "anchors")
-    again = all_anchors.groupBy("a").agg(F.count("*").alias("times")).filter("times > 1").select("a")
+    again, again_path = storage.written(all_anchors.groupBy("a").agg(F.count("*").alias("times")).filter("times > 1").select("a"), "anchors-again")
     known, known_path = storage.written(all_anchors.join(again, "a"), "repeated-anchors")
-    storage.drop(spark, all_path)
-    distinct, distinct_path = storage.written(known.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("r", "place", "first", "last")).alias("at")), "distinct-contexts")
-    several = distinct.groupBy("a").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("a")
+    storage.drop(spark, all_path, again_path)
+    distinct, distinct_path = storage.written(known.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "place", "first", "last")).alias("at")), "distinct-contexts")
+    several, _ = storage.written(distinct.groupBy("a").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("a"), "anchors-of-several")
     contexts = _contexts(docs, distinct.join(several, "a", "left_semi"))
     part = _partial(contexts, limit).groupBy("a", "c").agg(F.array_distinct(F.collect_list(F.struct("lo", "hi"))).alias("starts"))
+    marks, marks_path = storage.written(distinct.select("a", "c", "n").join(part, ["a", "c"], "left").filter("n > 1 or starts is not null"), "marked-contexts")
     whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("last") - F.col("first")).alias("hi")))
-    marks = distinct.select("a", "c", "n").join(part, ["a", "c"], "left").filter("n > 1 or starts is not null")
-    of_rows = known.join(marks, ["a", "c"]).select("r", "first", F.explode(F.when(F.col("n") > 1, whole).otherwise(F.col("starts"))).alias("s"))
-    spans = of_rows.select("r", (F.col("first") + F.col("s.lo")).alias("start"), (F.col("first") + F.col("s.hi") + LENGTH).alias("end"))
-    w = Window.partitionBy("r").orderBy("start", "end")
+    of_rows = known.join(marks, ["a", "c"]).select(*ROW, "first", F.explode(F.when(F.col("n") > 1, whole).otherwise(F.col("starts"))).alias("s"))
+    spans = of_rows.select(*ROW, (F.col("first") + F.col("s.lo")).alias("start"), (F.col("first") + F.col("s.hi") + LENGTH).alias("end"))
+    w = Window.partitionBy(*ROW).orderBy("start", "end")
     gap = F.col("start") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.coalesce(gap.cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = runs.groupBy("r", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    ranges, _ = storage.written(merged.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges")), "removed-ranges")
-    storage.drop(spark, known_path, distinct_path)
+    merged = runs.groupBy(*ROW, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    ranges, _ = storage.written(merged.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges")), "removed-ranges")
+    storage.drop(spark, known_path, distinct_path, marks_path)
     return ranges
 
 
@@ -226,6 +245,7 @@ def digests(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     ranges = removed_ranges(docs, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("substring_dedup")
         for batch in batches:
             out = []
             for doc_id, text, gone in zip(*[batch.column(x).to_pylist() for x in ("doc_id", "text", "ranges")], strict=True):
@@ -234,8 +254,8 @@ def digests(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
             columns = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.string()], strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = docs.select(_row_key().alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    return rows.join(ranges, "r", "left").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    rows = docs.select(*_row_key(docs), F.col("doc_id").cast("long").alias("doc_id"), _bytes())
+    return rows.join(ranges, list(ROW), "left").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def kept(text: bytes, gone: list[tuple[int, int]]) -> bytes:
@@ -253,13 +273,14 @@ def dedup(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     ranges = removed_ranges(docs, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("substring_dedup")
         for batch in batches:
-            gone = batch.column("__ranges").to_pylist()
-            texts = [x if not g else kept(x.encode(), [(y["start"], y["end"]) for y in g]).decode("utf-8", "replace") for x, g in zip(batch.column("text").to_pylist(), gone, strict=True)]
-            columns = [pa.array(texts, pa.string()) if name == "text" else batch.column(name) for name in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
-
-    rows = docs.withColumn("text", F.col("text").cast("string")).withColumn("__r", _row_key())
-    named = ranges.withColumnRenamed("r", "__r").withColumnRenamed("ranges", "__ranges")
-    joined = rows.join(named, "__r", "left").select(*docs.columns, "__ranges")
-    return joined.mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
+            row, gone = batch.column("row"), batch.column("ranges").to_pylist()
+            texts = [x if not g else kept(x.encode(), [(y["start"], y["end"]) for y in g]).decode("utf-8", "replace") for x, g in zip(row.field("text").to_pylist(), gone, strict=True)]
+            columns = [pa.array(texts, pa.string()) if name == "text" else row.field(k) for k, name in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    as_text = docs.withColumn("text", F.col("text").cast("string"))
+    names = as_text.columns
+    rows = as_text.select(*_row_key(as_text), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    return rows.join(ranges, list(ROW), "left").select("row", "ranges").mapInArrow(run, as_text.schema)

@@ -13,28 +13,37 @@ store; other columns of the input are ignored whatever their names.
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import storage
+from . import storage, workers
 from .pieces import interned
 
 STORE_SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids array<int>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 #: Distinct pieces a worker remembers before it starts anew; bounds memory, never results.
 MEMO = 1_000_000
-_SPACE = re.compile(r"[\s\x1c-\x1f\x85]")
+#: White space, of any library's kind, after the first character.
+_LATER_SPACE = r"(?s)^.+[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: An offset table of up to so many rows, one for each file of a store, goes to every executor (16 MB); a larger one is joined by a shuffle.
+MOST_OFFSETS = 1 << 20
+#: Characters of a text that, after its id, decide which range of a store it goes to: rows that share an id are spread too.
+_RANGE_CHARS = 64
 
 
 class _Encoder:
-    """Token ids of texts as little-endian 32-bit integers, by the tokenizers library."""
+    """Token ids of texts as little-endian 32-bit integers, by the tokenizers library.
+
+    Distinct pieces are encoded once; their ids lie one after the other in ``ids``, and a text's
+    ids are gathered from there.
+    """
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
@@ -42,8 +51,32 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {"": b""}
-        self.line_end = array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids)
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(1 << 20, "<u4")
+        self.begin, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
+        self.used = 0
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, one after the other, and how many each has."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), "<u4", int(sizes.sum())), sizes
+
+    def _keep(self, names: list[str], ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Add ids, and where in them the ids of each piece are."""
+        n = len(self.known)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(names) > len(self.begin):
+            self.begin, self.size = np.concatenate([self.begin, np.zeros_like(self.begin)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[n : n + len(names)], self.size[n : n + len(names)] = begin + self.used, size
+        self.known.update(zip(names, range(n, n + len(names)), strict=True))
+        self.used += len(ids)
 
     def _learn(self, new: list[str]) -> None:
         """Encode pieces.
@@ -51,45 +84,53 @@ class _Encoder:
         Those without white space inside are encoded as lines of one text, since a line end
         between them is a word of its own; its id tells their ids apart.
         """
-        inner = [p[1:] if p[0] == "\n" else p for p in new]
-        plain = [(p, x) for p, x in zip(new, inner, strict=True) if x and not _SPACE.search(x, 1) and x[0] != "\n"] if len(self.line_end) == 1 else []
-        rest = list(set(new).difference([p for p, _ in plain]))
-        for k in range(0, len(rest), 4096):
-            for p, got in zip(rest[k : k + 4096], self.tokenizer.encode_batch_fast(rest[k : k + 4096], add_special_tokens=False), strict=True):
-                self.known[p] = array("I", got.ids).tobytes()
-        line, blocks = self.line_end.tobytes(), [plain[k : k + 64] for k in range(0, len(plain), 64)]
-        for at in range(0, len(blocks), 64):
-            some = blocks[at : at + 64]
-            for block, got in zip(some, self.tokenizer.encode_batch_fast(["\n".join([x for _, x in b]) for b in some], add_special_tokens=False), strict=True):
-                ids = np.array(got.ids, "<u4")
-                ends = np.flatnonzero(ids == self.line_end[0]).tolist()
-                if len(ends) != len(block) - 1:
-                    raise AssertionError("a line end was joined to a word; this vocabulary needs another separator")
-                raw = ids.tobytes()
-                for (p, _), a, b in zip(block, [0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True):
-                    self.known[p] = line + raw[4 * a : 4 * b] if p[0] == "\n" else raw[4 * a : 4 * b]
-
-    def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
-        """All ids of ``texts``, ``end`` after each, and where each text begins."""
+        words = pa.array(new, pa.string())
+        opened = pc.starts_with(words, "\n")
+        inner = pc.if_else(opened, pc.utf8_slice_codeunits(words, 1), words)
+        alone = pc.or_(pc.or_(pc.equal(inner, ""), pc.starts_with(inner, "\n")), pc.match_substring_regex(inner, _LATER_SPACE)).to_numpy(zero_copy_only=False)
+        if len(self.line_end) != 1:
+            alone[:] = True
+        lines = inner.filter(pa.array(~alone)).to_numpy(zero_copy_only=False).tolist()
+        if lines:
+            ids, _ = self._encoded(["\n" + "\n".join(lines[k : k + 64]) for k in range(0, len(lines), 64)])
+            ends = np.flatnonzero(ids == self.line_end[0])
+            if len(ends) != len(lines):
+                raise AssertionError("a line end was joined to a word; this vocabulary needs another separator")
+            begin = ends + ~opened.to_numpy(zero_copy_only=False)[~alone]  # a piece that opens with a line end keeps the id of it
+            self._keep([new[k] for k in np.flatnonzero(~alone).tolist()], ids, begin, np.append(ends[1:], len(ids)) - begin)
+        rest = [new[k] for k in np.flatnonzero(alone).tolist()]
+        if rest:
+            ids, sizes = self._encoded(rest)
+            self._keep(rest, ids, np.cumsum(sizes) - sizes, sizes)
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts``, ``end`` after each unless None, and where each text begins."""
         if len(self.known) > MEMO:
-            self.known = {"": b""}
+            self.forget()
         distinct, codes, starts = interned(texts)
-        self._learn([p for p in distinct if p not in self.known])
-        if end:  # one more piece for each text
-            codes = np.insert(codes, starts[1:], len(distinct))
+        if new := [p for p in distinct if p not in self.known]:
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        begin, size = self.begin[at], self.size[at]
+        if end is not None:  # one more piece for each text, one place before the kept ids
+            begin, size, codes = np.append(begin, -1), np.append(size, 1), np.insert(codes, starts[1:], len(distinct))
             starts = starts + np.arange(len(starts))
-        raw = [*map(self.known.__getitem__, distinct), end]
-        sizes = np.array([len(x) >> 2 for x in raw])
-        begin, blob = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(raw), "<u4")
-        own = sizes[codes]
-        before = np.concatenate([[0], np.cumsum(own)])
-        return blob[np.repeat(begin[codes] - before[:-1], own) + np.arange(before[-1])], before[starts]
+        own = size[codes]
+        before = np.concatenate([[0], np.cumsum(own, dtype=np.int64)])
+        place = np.repeat(begin[codes] - before[:-1], own)
+        place += np.arange(before[-1])
+        out = self.ids[place]  # place -1 is the last of the array, which is put right below
+        if end is not None:
+            out[before[starts[1:]] - 1] = end
+        return out, before[starts]
 
 
 _ENCODERS: dict[int, _Encoder] = {}
+workers.remembers("token_store", _ENCODERS.clear)
 
 
 def _encoder(vocabulary: str) -> _Encoder:
+    workers.begin("token_store")
     key = hash(vocabulary)
     if key not in _ENCODERS:
         _ENCODERS[key] = _Encoder(vocabulary)
@@ -100,28 +141,26 @@ def write_store(docs: DataFrame, vocabulary_path: str, path: str, *, end_id: int
     """Encode ``text`` and write the ids to an ORC store at ``path``.
 
     ``end_id`` is appended to every document unless None.  The texts are dealt out by ranges
-    of ``doc_id`` before they are encoded, so nothing is encoded twice and no task holds
-    more than its range.
+    of ``doc_id``, and of the texts' beginnings where an id repeats, before they are encoded,
+    so nothing is encoded twice and no task holds more than its range.
     """
     spark = docs.sparkSession
     storage.prepare_python(spark)
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())  # one vocabulary file: a few MB
-    end = b"" if end_id is None else end_id.to_bytes(4, "little")
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, at, encoder = TaskContext.get().partitionId(), 0, _encoder(vocabulary.value)
         for batch in batches:
-            ids, offsets = encoder.encode(batch.column("text"), end)
+            ids, offsets = encoder.encode(batch.column("text"), end_id)
             flat = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([part] * batch.num_rows, pa.int32()), pa.array(at + offsets[:-1]), pa.array(np.diff(offsets)), lists], schema=_ARROW)
             at += int(offsets[-1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, _RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(encode, STORE_SCHEMA)
         .write.option("orc.compress", "ZSTD")
@@ -136,12 +175,15 @@ def write_store(docs: DataFrame, vocabulary_path: str, path: str, *, end_id: int
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a store with ``start``, the number of ids in all documents before each.
 
-    The offset of each file is summed over one row per file; the documents are not moved.
+    The offset of each file is summed over one row per file, and these offsets go to where
+    the documents are, which are not moved as long as there are no more than ``MOST_OFFSETS`` files.
     """
     store = spark.read.schema(STORE_SCHEMA).orc(path)
-    parts = store.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    parts, _ = storage.written(store.groupBy("part").agg(F.sum("n_tokens").alias("n")), "store-parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    if parts.count() <= MOST_OFFSETS:
+        offsets = F.broadcast(offsets)
     return store.join(offsets, "part").select("doc_id", (F.col("offset") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
@@ -154,6 +196,7 @@ def with_crc(rows: DataFrame) -> DataFrame:
     """Replace ``ids`` by ``ids_crc32``, the crc32 of the ids as little-endian unsigned 32-bit integers."""
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("token_store")
         for batch in batches:
             ids = batch.column("ids")
             raw = memoryview(ids.values.buffers()[1] or b"")

@@ -3,21 +3,25 @@
 A model holds log-odds of tokens, toxic against clean, with a Dirichlet prior in proportion
 to the corpus.  Tokens are words, and word beginnings that stand for words too rare to count;
 those whose log-odds are not many standard errors above zero share one slightly negative
-score.  A linear scan finds all maximal segments of a document; that needs steps for tokens
-with positive scores only.  Segment scores get expected counts under clean text by the
-extreme-value law for such maxima, and the significant ones add up to a document's evidence,
-which a logistic curve, fitted on the sample, turns into a probability.
+score.  A linear scan finds all maximal segments of a document: each segment points to the
+last one before it that begins at a lower sum, and a new one follows these pointers.  Segment
+scores get expected counts under clean text by the extreme-value law for such maxima, and the
+significant ones add up to a document's evidence, which a logistic curve, fitted on the
+sample, turns into a probability.
 
-The model is fitted on a bounded sample of labelled documents (``max_docs``); its lexicon has
-``max_tokens`` entries at most.  Scoring covers every document and whole texts.
+The model is fitted on a bounded sample of labelled documents (``max_docs``); its lexicon is
+all that is significant there.  Scoring covers every document and whole texts; its time grows
+linearly with a text's length.
 
 Defined results: a null text counts as empty; an empty one has no passages and gets the score
 of no evidence; equal rows are kept; without any labels, or with one class only, every score
-is 0; an empty table gives an empty result; other columns are ignored.
+is 0; an empty table gives an empty result; other columns are ignored, or kept as they are by
+``without_toxic``, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import storage
+from . import storage, workers
 from .labelled import held_out, logistic, sample
 
-MAX_DOCS, MAX_TOKENS = 40_000, 20_000
+MAX_DOCS = 40_000
 PRIOR, LEAST_Z, LEAST_DOCS = 50.0, 4.0, 3
 BEGINNINGS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
+#: A segment counts if clean text has such a one with a probability under one half.
+LEAST_SURPRISE = math.log(2)
 _WORD = re.compile(r"\w+")
 _MEMO = 300_000
 
@@ -65,42 +71,58 @@ class Model:
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
         """All maximal scoring segments: first token, last token, score."""
-        out: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum with
+        first, last, low, high, link = [], [], [], [], []  # of each segment: its ends, the sums before and with it, and the segment before it that begins lower
         level, at = 0.0, -1
         for k, word in enumerate(words):
             score = self.of(word)
             if not score:
                 continue
             level += self.other * (k - at - 1)
-            first, before = k, level
+            begin, before = k, level
             level += score
-            at = k
+            at, j = k, len(low) - 1
             while True:
-                j = len(out) - 1
-                while j >= 0 and out[j][2] >= before:
-                    j -= 1
-                if j < 0 or out[j][3] >= level:
+                while j >= 0 and low[j] >= before:  # all between j and its link begin no lower than j
+                    j = link[j]
+                if j < 0 or high[j] >= level:
                     break
-                first, before = out[j][0], out[j][2]
-                del out[j:]
-            out.append((first, k, before, level))
-        return [(a, b, high - low) for a, b, low, high in out]
+                begin, before, below = first[j], low[j], link[j]
+                for column in (first, last, low, high, link):
+                    del column[j:]
+                j = below
+            first.append(begin)
+            last.append(k)
+            low.append(before)
+            high.append(level)
+            link.append(j)
+        return [(a, b, x - y) for a, b, x, y in zip(first, last, high, low)]
+
+    def log_expected(self, score: float, n_words: int) -> float:
+        """The logarithm of how many segments of this score a clean text of that length is expected to have."""
+        return math.log(self.scale * max(n_words, 1)) - self.rate * score
 
     def expected(self, score: float, n_words: int) -> float:
-        """How many segments of this score a clean text of that length is expected to have."""
-        return float(self.scale * max(n_words, 1) * np.exp(-self.rate * score))
+        return math.exp(self.log_expected(score, n_words))
 
-    def evidence(self, words: list[str]) -> tuple[float, float, float]:
-        """Sum and maximum of -log p over the significant segments, and how many words count for a segment."""
-        found = [-np.log(max(1e-12, -np.expm1(-self.expected(s, len(words))))) for _, _, s in self.segments(words)]
-        found = [x for x in found if x > 0.7]
-        return min(sum(found), 60.0), max(found, default=0.0), float(bool(found))
+    def surprise(self, score: float, n_words: int) -> float:
+        """-log of the probability that clean text of that length has such a segment."""
+        log = self.log_expected(score, n_words)
+        if log < -30:  # the probability is the expectation
+            return -log
+        return 0.0 if log > 5 else -math.log(-math.expm1(-math.exp(log)))
+
+    def evidence(self, scores: list[float], n_words: int) -> tuple[float, float, float]:
+        """From the scores of a text's segments: log of one and the sum of the significant ones' surprises, the largest, whether there is any."""
+        found = [x for x in (self.surprise(s, n_words) for s in scores) if x > LEAST_SURPRISE]
+        return math.log1p(sum(found)), max(found, default=0.0), float(bool(found))
 
     def probability(self, text: str) -> float:
         if not self.curve:
             return 0.0
-        total, most, some = self.evidence(_WORD.findall(text.lower()))
-        return float(1 / (1 + np.exp(-np.clip(self.curve @ np.array([1.0, np.log1p(total), most, some]), -30, 30))))
+        words = _WORD.findall(text.lower())
+        total, most, some = self.evidence([s for _, _, s in self.segments(words)], len(words))
+        x = self.curve[0] + self.curve[1] * total + self.curve[2] * most + self.curve[3] * some
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, x))))
 
 
 def _features(text: str) -> set[str]:
@@ -108,12 +130,13 @@ def _features(text: str) -> set[str]:
     return found | {w[:n] + "*" for w in found for n in BEGINNINGS if len(w) > n}
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, max_tokens: int = MAX_TOKENS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS) -> Model:
     """A model from labelled documents that are not held out."""
     storage.prepare_python(docs.sparkSession)
-    chosen = sample(docs, labels, "toxic", max_docs)
+    chosen, chosen_path = storage.written(sample(docs, labels, "toxic", max_docs).select("text", "label"), "toxicity-sample")  # max_docs texts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("toxicity")
         for batch in batches:
             toxic, clean = Counter(), Counter()
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
@@ -133,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, max_tok
     t, c = F.col("t") + prior + 0.01, F.col("c") + prior + 0.01
     odds = F.log(t / (nt + PRIOR - t + 0.02)) - F.log(c / (nc + PRIOR - c + 0.02))
     kept = counted.filter(~F.col("token").startswith("\n")).filter(f"t >= {LEAST_DOCS}").withColumn("score", odds).withColumn("z", odds / F.sqrt(1 / t + 1 / c)).filter(f"z >= {LEAST_Z}")
-    rows = kept.orderBy(F.desc("z"), "token").limit(max_tokens).collect()  # max_tokens rows
+    rows = sorted(kept.collect(), key=lambda r: r["token"])  # the significant tokens of max_docs documents
     model = Model({r["token"]: r["score"] for r in rows})
     rates = np.array([r["c"] + 0.5 for r in rows if not r["token"].endswith("*")] or [0.5]) / words
     scores = np.array([r["score"] for r in rows if not r["token"].endswith("*")] or [1.0])
@@ -145,21 +168,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, max_tok
         low, high = (model.rate, high) if mean < 1 else (low, model.rate)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("toxicity")
         for batch in batches:
             words = [_WORD.findall((x or "").lower()) for x in batch.column("text").to_pylist()]
             found = [[s for _, _, s in model.segments(w)] for w in words]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([len(w) for w in words], pa.int64()), pa.array(found, pa.list_(pa.float64()))], ["label", "n", "found"])
 
-    got = chosen.mapInArrow(segments, "label int, n bigint, found array<double>").collect()  # max_docs rows of a few numbers
-    clean_sum, clean_n = sum(np.exp(-model.rate * 1.0) * max(1, r["n"]) for r in got if not r["label"]), sum(1 for r in got if not r["label"] for s in r["found"] if s >= 1.0)
-    model.scale = max(1e-6, (clean_n + 1) / (clean_sum + 1))
-    rows_of = []
-    for r in got:
-        found = [-np.log(max(1e-12, -np.expm1(-model.expected(s, r["n"])))) for s in r["found"]]
-        found = [x for x in found if x > 0.7]
-        rows_of.append((np.log1p(min(sum(found), 60.0)), max(found, default=0.0), float(bool(found))))
-    model.curve = tuple(logistic(np.array(rows_of), np.array([r["label"] for r in got], float)))
-    storage.drop(docs.sparkSession, path)
+    got, got_path = storage.written(chosen.mapInArrow(segments, "label int, n bigint, found array<double>"), "toxicity-segments")
+    large = F.size(F.filter("found", lambda s: s >= 1.0))
+    clean = got.filter("label = 0").agg(F.sum(large).alias("seen"), (F.sum(F.greatest("n", F.lit(1))) * math.exp(-model.rate)).alias("expected")).first()
+    model.scale = max(1e-6, ((clean["seen"] or 0) + 1) / ((clean["expected"] or 0) + 1))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [model.evidence(s, n) for s, n in zip(batch.column("found").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *[pa.array([r[k] for r in rows], pa.float64()) for k in range(3)]], ["label", "total", "most", "some"])
+
+    rows = got.mapInArrow(features, "label int, total double, most double, some double").collect()  # max_docs rows of four numbers
+    model.curve = tuple(map(float, logistic(np.array([(r["total"], r["most"], r["some"]) for r in rows]), np.array([r["label"] for r in rows], float))))
+    storage.drop(docs.sparkSession, path, chosen_path, got_path)
     return model
 
 
@@ -168,6 +195,7 @@ def scored(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> Da
     storage.prepare_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("toxicity")
         for batch in batches:
             found = [model.probability(x or "") for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
@@ -181,6 +209,7 @@ def toxic_passages(docs: DataFrame, model: Model, *, most_expected: float = 0.5)
     storage.prepare_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("toxicity")
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -201,6 +230,7 @@ def without_toxic(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD
     storage.prepare_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("toxicity")
         for batch in batches:
             yield batch.filter(pa.array([model.probability(x or "") < threshold for x in batch.column("text").to_pylist()], pa.bool_()))
 

@@ -29,7 +29,7 @@ def test_whole_runs_equal_all_runs(spark):
             first.update(run for run, _ in own)
     want = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in rows}
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs, 30, whole=True).collect()} == want
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs, 30).collect()} == want
     assert {r["doc_id"] for r in line_dedup.without_emptied(docs, 30).collect()} == {d for d, t in rows if want[d].strip() or want[d] == t}
 
 

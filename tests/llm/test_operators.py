@@ -89,8 +89,18 @@ def test_simhash(docs, none):
         component[f] = min((d for d, g in rows if g in seen and d is not None), default=None)
     want = Counter((d, f"{f:016x}", component[f]) for d, f in rows)
     assert Counter(map(tuple, simhash.components(docs).select("doc_id", simhash.hexed(), "component_id").collect())) == want
-    kept = [r["doc_id"] for r in simhash.keep_one(docs).collect() if r["doc_id"] is not None]
-    assert len(kept) == len(set(kept)) and set(kept) == {c for c in component.values() if c is not None}
+    groups = {}  # which component each text is in, by its least fingerprint
+    for f in component:
+        seen, todo = {f}, [f]
+        while todo:
+            x = todo.pop()
+            near = [g for g in component if g not in seen and (g ^ x).bit_count() <= 2]
+            seen.update(near)
+            todo += near
+        groups[f] = min(seen)
+    kept = [(r["doc_id"], groups[plain(r["text"])]) for r in simhash.keep_one(docs).collect()]
+    assert len(kept) == len(set(groups.values())) and {g for _, g in kept} == set(groups.values())
+    assert all(d == component[g] for d, g in kept)
     assert simhash.components(none).count() == 0
 
 
@@ -177,13 +187,11 @@ def test_line_dedup(docs, none):
     for d, t in rows:
         lines = t.split("\n")
         for i in range(len(lines)):
-            for j in range(i, len(lines)):
-                if sum(map(len, lines[i : j + 1])) >= 200:
-                    run = tuple(lines[i : j + 1])
-                    if run in first:
-                        gone.update((d, t, k) for k in range(i, j + 1))
-                    first.add(run)
-                    break
+            own = [(tuple(lines[i : j + 1]), j) for j in range(i, len(lines)) if sum(map(len, lines[i : j + 1])) >= 200]
+            for run, j in own:
+                if run in first:
+                    gone.update((d, t, k) for k in range(i, j + 1))
+            first.update(run for run, _ in own)
     want = Counter((d, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d if d is not None else 1 << 62, t, k) not in gone)) for d, t in rows_of(docs))
     out = line_dedup.dedup(docs)
     assert out.columns == docs.columns
@@ -231,17 +239,3 @@ def test_quality(labelled, none):
     assert sum(r["keep"] == (r["doc_id"] % 7 != 0) for r in got) >= 0.97 * len(got)
     empty = quality.scored(none.select("doc_id", "text", "source", "lang"), labels.limit(0), host=F.col("source"), path=F.col("lang"))
     assert empty.count() == 0
-
-
-def test_pipeline_keeps_each_stage_s_contract(spark, small):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    before = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after, _ = storage.written(stage(spark, before, small), name, keep=True)
-        assert after.columns == docs.columns
-        assert after.select("doc_id").subtract(before.select("doc_id")).count() == 0
-        before = after
-    out = corpus_pipeline.STAGES[-1][1](spark, before, small)
-    assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r["doc_id"] for r in before.select("doc_id").collect()}
