@@ -29,7 +29,7 @@ from .pieces import interned
 STORE_SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids array<int>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 #: Distinct pieces a worker remembers before it starts anew; bounds memory, never results.
-MEMO = 1_000_000
+MEMO = 600_000
 #: White space, of any library's kind, after the first character.
 _LATER_SPACE = r"(?s)^.+[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: An offset table of up to so many rows, one for each file of a store, goes to every executor (16 MB); a larger one is joined by a shuffle.
@@ -117,8 +117,9 @@ class _Encoder:
             starts = starts + np.arange(len(starts))
         own = size[codes]
         before = np.concatenate([[0], np.cumsum(own, dtype=np.int64)])
-        place = np.repeat(begin[codes] - before[:-1], own)
-        place += np.arange(before[-1])
+        narrow = np.int32 if max(self.used, int(before[-1])) < 1 << 31 else np.int64
+        place = np.repeat((begin[codes] - before[:-1]).astype(narrow), own)
+        place += np.arange(before[-1], dtype=narrow)
         out = self.ids[place]  # place -1 is the last of the array, which is put right below
         if end is not None:
             out[before[starts[1:]] - 1] = end

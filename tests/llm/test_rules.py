@@ -119,12 +119,12 @@ def test_columns_of_pages_may_have_any_names(spark):
 @pytest.mark.parametrize("limit", [2, 50])
 def test_many_contexts_of_one_anchor(spark, limit):
     random.seed(9)
-    core = "".join(random.choice("abcdefgh") for _ in range(90))
+    core = "".join(random.choice("abcdefgh") for _ in range(150))
     rows = []
     for k in range(40):
         left = "".join(random.choice("xy") for _ in range(9)) + "L" * random.randrange(70)
         right = "R" * random.randrange(80) + "".join(random.choice("uv") for _ in range(9))
-        rows.append((k, left[::-1] + core + right + "".join(random.choice("mnop") for _ in range(60))))
+        rows.append((k, left + core + right + "".join(random.choice("mnop") for _ in range(60))))
     data = [t.encode() for _, t in rows]
     times = {}
     for b in data:
