@@ -2,8 +2,9 @@
 
 A model holds log-odds of tokens, toxic against clean, with a Dirichlet prior in proportion
 to the corpus.  Tokens are words, and word beginnings that stand for words too rare to count;
-those whose log-odds are not many standard errors above zero share one slightly negative
-score.  A linear scan finds all maximal segments of a document: each segment points to the
+those whose log-odds are not many standard errors above zero, or too small to outweigh how rare
+toxic documents are, share one slightly negative score: what merely goes with a language or a
+topic adds up to nothing, however long the text.  A linear scan finds all maximal segments of a document: each segment points to the
 last one before it that begins at a lower sum, and a new one follows these pointers.  Segment
 scores get expected counts under clean text by the extreme-value law for such maxima, and the
 significant ones add up to a document's evidence, which a logistic curve, fitted on the
@@ -155,7 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS) -> Mode
     prior = (F.col("t") + F.col("c")) * F.lit(PRIOR / (nt + nc))
     t, c = F.col("t") + prior + 0.01, F.col("c") + prior + 0.01
     odds = F.log(t / (nt + PRIOR - t + 0.02)) - F.log(c / (nc + PRIOR - c + 0.02))
-    kept = counted.filter(~F.col("token").startswith("\n")).filter(f"t >= {LEAST_DOCS}").withColumn("score", odds).withColumn("z", odds / F.sqrt(1 / t + 1 / c)).filter(f"z >= {LEAST_Z}")
+    spread = F.sqrt(1 / t + 1 / c)
+    # What is surely more frequent in toxic documents, and by so much that a document with it is more likely toxic than not.
+    kept = counted.filter(~F.col("token").startswith("\n")).filter(f"t >= {LEAST_DOCS}").withColumns({"score": odds, "spread": spread}).filter((F.col("score") >= LEAST_Z * F.col("spread")) & (F.col("score") - 2 * F.col("spread") >= math.log(nc / nt)))
     rows = sorted(kept.collect(), key=lambda r: r["token"])  # the significant tokens of max_docs documents
     model = Model({r["token"]: r["score"] for r in rows})
     rates = np.array([r["c"] + 0.5 for r in rows if not r["token"].endswith("*")] or [0.5]) / words
