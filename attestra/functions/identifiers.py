@@ -10,10 +10,13 @@ FORMATS = {
     "GSTIN": "^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]$",
     "PAN": "^[A-Z]{5}[0-9]{4}[A-Z]$",
     "UDYAM": "^UDYAM-[A-Z]{2}-[0-9]{2}-[0-9]{7}$",
-    "DPIIT": "^DIPP[0-9]{3,8}$",
+    "DPIIT": "^(DIPP|DPIIT)?[0-9A-Z]{4,25}$",
     "UAN": "^[0-9]{12}$",
     "ESIC": "^[0-9]{10}$",
+    "ESIC_EMPLOYER": "^[0-9]{17}$",
     "MOBILE": "^[6-9][0-9]{9}$",
+    "CIN": "^[LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}$",
+    "EPFO": "^[A-Z]{5}[0-9]{7,17}$",
 }
 
 
@@ -37,13 +40,30 @@ def state_of(gstin: Column) -> Column:
     return F.when(F.length(F.trim(gstin)) == 15, F.substring(F.trim(gstin), 1, 2))
 
 
-def masked(c: Column) -> Column:
-    """A GSTIN keeps two characters in front and three behind, a PAN five and one, anything else its last four."""
-    n = F.length(c)
-    return F.when(n == 15, F.concat(F.substring(c, 1, 2), F.lit("**********"), F.right(c, F.lit(3)))).when(n == 10, F.concat(F.substring(c, 1, 5), F.lit("****"), F.right(c, F.lit(1)))).when(n > 4, F.concat(F.lit("***"), F.right(c, F.lit(4)))).otherwise("***")
+def _shown(c: Column, first: int, mask: str, last: int, least: int, short: str) -> Column:
+    """The first and last characters of an identifier of ``least`` or more, else ``short``."""
+    x = F.upper(F.trim(c))
+    middle = F.concat(F.substring(x, 1, first) if first else F.lit(""), F.lit(mask), F.right(x, F.lit(last)))
+    return F.when(F.coalesce(c, F.lit("")) == "", "none").when(F.length(x) >= least, middle).otherwise(short)
 
 
-MASKED_SQL = "CASE WHEN length(value) = 15 THEN substring(value, 1, 2) || '**********' || right(value, 3) WHEN length(value) = 10 THEN substring(value, 1, 5) || '****' || right(value, 1) WHEN length(value) > 4 THEN '***' || right(value, 4) ELSE '***' END"
+#: By kind of identifier: characters shown in front, the mask, characters shown behind, the least length, what shorter ones become.
+MASKS = {
+    "GSTIN": (6, "****", 5, 10, "****"), "PAN": (5, "***", 2, 10, "****"), "UDYAM": (12, "***", 4, 15, "****"), "MOBILE": (0, "******", 4, 10, "******"),
+    "DPIIT": (4, "****", 4, 8, "****"), "EPFO": (4, "****", 4, 8, "****"), "ESIC": (4, "****", 4, 8, "****"), "SENSITIVE": (0, "***", 4, 5, "****"),
+}
+
+
+def masked(c: Column, kind: str) -> Column:
+    return _shown(c, *MASKS[kind])
+
+
+def all_masks(c: Column) -> Column:
+    """An identifier as each kind masks it."""
+    return F.concat_ws(",", *[masked(c, k) for k in MASKS])
+
+
+MASKS_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN coalesce(value, '') = '' THEN 'none' WHEN length(trim(value)) >= {n} THEN substring(upper(trim(value)), 1, {a}) || '{m}' || right(upper(trim(value)), {b}) ELSE '{s}' END" for a, m, b, n, s in MASKS.values()) + ")"
 
 
 def fingerprint(c: Column, digits: int) -> Column:
@@ -60,6 +80,21 @@ def block_node_id(document: Column, page: Column, block_id: Column, snippet: Col
     return F.coalesce(F.when(block_id.isNotNull(), F.concat_ws(":", at, block_id)), F.when(snippet.isNotNull(), F.concat_ws(":", at, page, fingerprint(snippet, 10))), F.concat_ws(":", at, page, F.lit("PRIMARY")))
 
 
+#: Words in the names of details: hashed, redacted, masked.
+HASHED, REDACTED, MASKED = ("token", "secret", "signature", "key"), ("authorization", "password", "cookie", "api-key", "apikey"), ("identifier", "pan", "gstin", "udyam", "mobile", "aadhaar")
+
+
+def sanitized(details: Column) -> Column:
+    """A map of details without what must not be logged: credentials redacted, secrets hashed, identifiers masked; the rest stays."""
+    named = lambda k, words: F.regexp_like(F.lower(k), F.lit("|".join(words)))
+    return F.transform_values(details, lambda k, v: F.when(named(k, REDACTED), F.lit("[REDACTED]")).when(named(k, HASHED), fingerprint(v, 12)).when(named(k, MASKED), F.when(F.length(F.trim(v)) > 4, F.concat(F.lit("***"), F.right(F.trim(v), F.lit(4)))).otherwise("****")).otherwise(v))
+
+
 def canonical_json(**columns: Column) -> Column:
-    """JSON with keys in alphabetical order and no white space."""
+    """JSON with keys in alphabetical order and no white space; decimals and floats come as what they are given as, see ``six_places``."""
     return F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)]))
+
+
+def six_places(c: Column) -> Column:
+    """A number rounded to six places."""
+    return F.round(c.cast("double"), 6)

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words and scales of amounts, durations, booleans and absent values.
+# Words, scales and currencies of amounts, durations, booleans and absent values.
+CURRENCIES = (r"rs\.?", "inr", "rupees")
 SCALES = (("crores?|crs?", 10_000_000), ("lakhs?|lacs?", 100_000), ("millions?|m", 1_000_000), ("thousands?|k", 1_000))
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
 TRUE_WORDS = ("true", "yes", "y", "1", "required", "submitted", "available", "valid", "compliant")
@@ -30,7 +31,7 @@ def _word(pattern: str) -> str:
 
 
 def _bare(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.trim(c)), r"[?₹]|rs\.?|inr|rupees", ""))
+    return F.trim(F.regexp_replace(F.lower(F.trim(c)), "|".join(("[?₹]", *CURRENCIES)), ""))
 
 
 def _scale(bare: Column) -> Column:
@@ -48,7 +49,7 @@ def _plain(bare: Column, scale: Column) -> Column:
 
 
 def _number(plain: Column, scale: Column) -> Column:
-    left = F.regexp_replace(plain, r"[?$]|\b(rs\.?|inr|rupees|crores?|crs?|lakhs?|lacs?|millions?|thousands?|k|m|cr)\b", "")
+    left = F.regexp_replace(plain, r"[?$]|" + _word("|".join((*CURRENCIES, *[words for words, _ in SCALES]))), "")
     number = F.regexp_extract(plain, r"[-+]?\d*\.?\d+", 0).try_cast("decimal(28,6)")
     return F.when(~F.regexp_like(left, F.lit("[a-zA-Z]")), (number * scale.cast("decimal(9,0)")).cast("decimal(38,6)"))
 
@@ -129,7 +130,7 @@ def lookup_key(c: Column) -> Column:
 
 
 class Readings:
-    """The columns that ``with_readings`` adds, by part: raw, num, months, day, flag, cat, present, name and, of expected values, members, low_num, high_num, low_day, high_day."""
+    """The columns that ``with_readings`` adds, by part: raw, num, months, day, flag, cat, present, name, issued, expires, void and, of expected values, members, low_num, high_num, low_day, high_day."""
 
     def __init__(self, prefix: str) -> None:
         self.prefix = prefix
@@ -164,5 +165,8 @@ def with_readings(df: DataFrame, c: Column, prefix: str, *, expected: bool = Fal
         sources |= {f"{k}_num": x for k, x in ends.items()}
         df = df.withColumns({f"{prefix}_members": F.transform(F.split(raw, ","), categorical)} | {f"{prefix}_{k}_day": date(x) for k, x in ends.items()})
     df = _numbers(df, prefix, sources)
-    readings = {"months": _lasts(F.col(f"{prefix}_spelled"), "MONTHS"), "day": date(raw), "flag": boolean(raw), "cat": categorical(raw), "present": exists(raw), "name": legal_name(raw)}
+    record = F.when(raw.startswith("{"), raw)  # a certificate as a record of its dates
+    of = lambda *names: F.coalesce(*[F.get_json_object(record, f"$.{x}") for x in names])
+    readings = {"issued": date(of("issue_date")), "expires": date(of("expiry_date")), "void": F.coalesce(of("valid") == "false", F.lit(False)) | F.coalesce(of("is_valid") == "false", F.lit(False))}
+    readings |= {"months": _lasts(F.col(f"{prefix}_spelled"), "MONTHS"), "day": date(raw), "flag": boolean(raw), "cat": categorical(raw), "present": exists(raw), "name": legal_name(raw)}
     return df.withColumns({f"{prefix}_{k}": x for k, x in readings.items()}).drop(f"{prefix}_spelled", f"{prefix}_low", f"{prefix}_high")

@@ -1,19 +1,21 @@
-"""The fifteen typed comparison operators, as Column expressions over normalised values.
+"""The fifteen typed comparison operators.
 
-``a`` and ``e`` are the readings (``normalize.Readings``) of the actual and the expected value,
-added once by ``normalize.with_readings`` before the two are joined.  Each predicate gives a struct
-of a status (PASS, FAIL, MISSING, REVIEW) and whether a person must look at it.  A missing
-value never passes.
+``judge`` decides distinct (operator, actual, expected) and so reads each value once, however
+many bids state it.  Operators are dealt to a few families, each a stage of its own, so that
+every one stays small enough to be compiled.  A missing value never passes.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .normalize import Readings
+from .normalize import Readings, with_readings
 
 
 def _choice(holds: Column) -> Column:
@@ -64,12 +66,29 @@ def contains(a: Readings, e: Readings) -> Column:
 
 
 def matches(a: Readings, e: Readings) -> Column:
-    """``e`` holds a pattern of the requirements, which must compile."""
-    return _choice(F.coalesce(F.regexp_like(a["raw"], F.concat(F.lit("(?i)"), e["raw"])), F.lit(False)))
+    """PASS, FAIL, or REVIEW for a pattern that does not compile; Spark's own pattern functions would fail the job.
+
+    Runs on distinct values and patterns only, in Arrow batches.
+    """
+
+    def found(values: pd.Series, patterns: pd.Series) -> pd.Series:
+        def one(value: str | None, pattern: str | None) -> str:
+            if value is None or pattern is None:
+                return "FAIL"
+            try:
+                return "PASS" if re.search(pattern, value, re.IGNORECASE) else "FAIL"
+            except re.error:
+                return "REVIEW"
+
+        return pd.Series([one(v, p) for v, p in zip(values, patterns, strict=True)], dtype=object)
+
+    return F.pandas_udf(found, StringType())(a["raw"], e["raw"])
 
 
 def valid_on(a: Readings, reference: Column) -> Column:
-    return F.when(reference.isNull() | a["day"].isNull(), "REVIEW").otherwise(_choice(reference <= a["day"]))
+    """A record of dates holds from its issue to its expiry unless marked void; any other value is read as an expiry date."""
+    inside = (reference <= a["expires"]) & F.coalesce(a["issued"] <= reference, F.lit(True))
+    return F.when(reference.isNull(), "REVIEW").when(a["void"], "FAIL").when(a["expires"].isNotNull(), _choice(inside)).when(a["raw"].startswith("{") | a["day"].isNull(), "REVIEW").otherwise(_choice(reference <= a["day"]))
 
 
 def on_dates(a: Readings, e: Readings, compare: Callable[[Column, Column], Column]) -> Column:
@@ -84,36 +103,47 @@ def between(a: Readings, e: Readings) -> Column:
     )
 
 
-def evaluate(operator: Column, a: Readings, e: Readings, reference: Column) -> Column:
-    """The status of any operator, the guard against missing values first; an unknown operator is for review."""
-    op = F.trim(operator)
-    blank = a["raw"].isNull() | (F.trim(a["raw"]) == "")
-    status = (
-        F.when(op == ">=", ordered(a, e, lambda x, y: x >= y, ladder=True))
-        .when(op == "<=", ordered(a, e, lambda x, y: x <= y, ladder=True))
-        .when(op == ">", ordered(a, e, lambda x, y: x > y, ladder=False))
-        .when(op == "<", ordered(a, e, lambda x, y: x < y, ladder=False))
-        .when(op == "==", equal(a, e))
-        .when(op == "!=", _inverted(a, equal(a, e)))
-        .when(op == "IN", member(a, e))
-        .when(op == "NOT_IN", _inverted(a, member(a, e)))
-        .when(op == "CONTAINS", contains(a, e))
-        .when(op == "MATCHES", matches(a, e))
-        .when(op == "EXISTS", F.when(a["present"], "PASS").otherwise("MISSING"))
-        .when(op == "VALID_ON", valid_on(a, reference))
-        .when(op == "BEFORE", on_dates(a, e, lambda x, y: x < y))
-        .when(op == "AFTER", on_dates(a, e, lambda x, y: x > y))
-        .when(op == "BETWEEN", between(a, e))
-        .otherwise("REVIEW")
-    )
-    full = F.when(blank, "MISSING").otherwise(status)
-    asks = (full == "REVIEW") | ((full == "MISSING") & (op != "EXISTS"))
-    return F.struct(full.alias("status"), asks.alias("review"))
+def _families(a: Readings, e: Readings, reference: Column) -> list[dict[str, Column]]:
+    """The status of each operator, by families that share readings."""
+    return [
+        {">=": ordered(a, e, lambda x, y: x >= y, ladder=True), "<=": ordered(a, e, lambda x, y: x <= y, ladder=True), ">": ordered(a, e, lambda x, y: x > y, ladder=False), "<": ordered(a, e, lambda x, y: x < y, ladder=False)},
+        {"==": equal(a, e), "!=": _inverted(a, equal(a, e)), "BETWEEN": between(a, e)},
+        {"IN": member(a, e), "NOT_IN": _inverted(a, member(a, e)), "CONTAINS": contains(a, e), "EXISTS": F.when(a["present"], "PASS").otherwise("MISSING")},
+        {"VALID_ON": valid_on(a, reference), "BEFORE": on_dates(a, e, lambda x, y: x < y), "AFTER": on_dates(a, e, lambda x, y: x > y)},
+        {"MATCHES": matches(a, e)},
+    ]
+
+
+def readings(values: DataFrame) -> DataFrame:
+    """(value, a_..): the readings of distinct values."""
+    return with_readings(values.select("value").filter("value is not null").distinct(), F.col("value"), "a")
+
+
+def judge(asked: DataFrame, known: DataFrame, reference_date: str) -> DataFrame:
+    """(operator, actual, expected, status, asks) for distinct ``asked`` (operator, actual, expected).
+
+    ``known`` has the readings of all actual values.  A missing or blank value is MISSING, and an
+    operator that is none of the fifteen is for review; ``asks`` is whether a person must look.
+    """
+    a, e, reference = Readings("a"), Readings("e"), F.to_date(F.lit(reference_date))
+    distinct = asked.select(F.trim("operator").alias("operator"), "actual", "expected").distinct()
+    wanted = with_readings(distinct.select("expected").distinct(), F.col("expected"), "e", expected=True)
+    typed = distinct.join(known, F.col("actual") == F.col("value")).drop("value").join(wanted.withColumnRenamed("expected", "_expected"), F.col("expected").eqNullSafe(F.col("_expected")))
+    families = _families(a, e, reference)
+    parts, named = [], [op for family in families for op in family]
+    for family in families:
+        status = F.lit(None).cast("string")
+        for op, outcome in family.items():
+            status = F.when(F.col("operator") == op, outcome).otherwise(status)
+        parts.append(typed.filter(F.col("operator").isin(*family)).select("operator", "actual", "expected", status.alias("status")))
+    parts.append(typed.filter(~F.col("operator").isin(*named)).select("operator", "actual", "expected", F.lit("REVIEW").alias("status")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    blank = F.trim("actual") == ""
+    decided = out.withColumn("status", F.when(blank, "MISSING").otherwise(F.col("status")))
+    return decided.withColumn("asks", (F.col("status") == "REVIEW") | ((F.col("status") == "MISSING") & (F.col("operator") != "EXISTS")))
 
 
 def severity(status: Column, mandatory: Column) -> Column:
     return F.when(status == "PASS", "INFO").when((status == "FAIL") & mandatory, "CRITICAL").when(status.isin("FAIL", "REVIEW", "PARTIAL"), "MAJOR").otherwise("MINOR")
-
-
-def needs_review(outcome: Column, confidence: Column) -> Column:
-    return outcome["review"] | outcome["status"].isin("REVIEW", "PARTIAL") | (F.coalesce(confidence, F.lit("")) == "LOW")

@@ -2,21 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Event types that stand for officer decisions.
-DECISIONS = {"purchase": "ACCEPT", "signup": "WAIVE", "error": "CONFIRM_FAIL", "click": "DISMISS"}
-LAYERS = {"RESULT": 3, "FACT": 2, "REQ": 1, "BLOCK": 0}
+from attestra.sources import files
 
+from . import integrity, resolve, rollup
 
-def edges(results: DataFrame, first_facts: DataFrame) -> DataFrame:
-    """(bid_id, src, dst, kind): results evaluate requirements and use facts, facts are found in blocks."""
-    result = F.concat(F.lit("RESULT:"), "requirement_id").alias("src")
-    evaluates = results.select("bid_id", result, F.concat(F.lit("REQ:"), "requirement_id").alias("dst"), F.lit("EVALUATES").alias("kind"))
-    uses = results.filter("basis = 'EVALUATED'").select("bid_id", result, F.concat(F.lit("FACT:"), "field").alias("dst"), F.lit("USES").alias("kind"))
-    found = first_facts.select("bid_id", F.concat(F.lit("FACT:"), "field").alias("src"), F.concat_ws(":", F.lit("BLOCK"), "source_document", "page").alias("dst"), F.lit("FOUND_IN").alias("kind"))
-    return evaluates.unionByName(uses).unionByName(found)
+#: Event types that stand for officer decisions.
+DECISIONS = {"purchase": "ACCEPT", "signup": "WAIVE", "error": "CONFIRM_FAIL", "click": "DISMISS"}
+NODE_TYPES = ("REQ", "FACT", "RESULT", "BLOCK", "FIELD", "INTEGRITY", "REVIEW", "ADJUDICATION")
+SNAPSHOT_VERSIONS = ("1.0",)
+
+
+def _node(kind: str, *parts: str) -> Column:
+    return F.concat(F.lit(f"{kind}:"), F.concat_ws(":", *parts))
+
+
+def _fact(field: str, seq: str) -> Column:
+    return F.concat(F.lit("FACT:"), F.concat_ws("-", field, seq))
+
+
+def edges(results: DataFrame, facts: DataFrame, findings: DataFrame, queue: DataFrame, checks: DataFrame, decided: DataFrame) -> DataFrame:
+    """(bid_id, src, dst, kind), each once: what rests on what in a bid.
+
+    Requirements and facts resolve to canonical fields and are found in blocks; results evaluate
+    requirements, use facts and blocks, and are affected by findings of their field; findings
+    compare facts; review items are for results or findings; decisions override results and
+    settle review items; facts of verified registry records rest on those.
+    """
+    edge = lambda df, src, dst, kind: df.select("bid_id", src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"))
+    result, requirement, block = _node("RESULT", "requirement_id"), _node("REQ", "requirement_id"), _node("BLOCK", "source_document", "page")
+    named = resolve.with_canonical(facts, "field")
+    fact = _fact("field", "fact_seq")
+    evaluated = results.filter("basis = 'EVALUATED'")
+    held = named.select("bid_id", fact.alias("fact"), F.col("value").alias("actual"), "source_document", "page", F.lower("field").alias("f"), integrity.grouped_field(F.col("canonical"), F.col("field")).alias("g"))
+    used = evaluated.join(held, ["bid_id", "actual", "source_document", "page"]).filter((F.lower("field") == F.col("f")) | (F.col("canonical") == F.col("g")))
+    finding = F.concat(F.lit("INTEGRITY:"), rollup.finding_id())
+    touched = integrity.affected(findings, results).join(findings, ["bid_id", "field"])  # of which only those of a finding's own fields
+    own = results.select("bid_id", "requirement_id", F.lower("field").alias("rf"), F.col("canonical").alias("rc"))
+    touched = touched.join(own, ["bid_id", "requirement_id"]).filter((F.col("rc") == F.col("field")) | F.col("rf").isin(F.lower("field"), F.col("raw_field_a"), F.col("raw_field_b")))
+    item = F.concat(F.lit("REVIEW:"), "related")
+    of_result, of_finding = queue.filter("source_order = 1"), queue.filter("source_order = 2")
+    shown = of_result.join(results.filter("source_document is not null").select("bid_id", F.col("requirement_id").alias("related"), "source_document", "page"), ["bid_id", "related"])
+    settled = results.filter("field = 'turnover_cr' and basis <> 'SUPERSEDED'").join(decided.select(F.col("target").alias("bid_id"), "event_id"), "bid_id")
+    decision = F.concat(F.lit("ADJUDICATION:"), F.col("event_id").cast("string"))
+    told = checks.filter("status = 'VERIFIED'").select("bid_id", "registry", F.coalesce("identifier", F.lit("")).alias("identifier"), F.explode(F.map_keys("details")).alias("known"))
+    parts = [
+        edge(results.filter("canonical is not null"), requirement, _node("FIELD", "canonical"), "REQUIREMENT_RESOLVES_TO"),
+        edge(results, requirement, F.concat(F.lit("BLOCK:"), "tender_id", F.lit(".pdf:1")), "REQUIREMENT_HAS_EVIDENCE"),
+        edge(named, fact, block, "FACT_GROUNDED_BY"),
+        edge(named.filter("canonical is not null"), fact, _node("FIELD", "canonical"), "FACT_RESOLVES_TO"),
+        edge(results, result, requirement, "RESULT_EVALUATES_REQUIREMENT"),
+        edge(used, result, F.col("fact"), "RESULT_USES_FACT"),
+        edge(evaluated, result, block, "RESULT_SUPPORTED_BY"),
+        *[edge(findings, finding, _node("BLOCK", f"document_{x}", f"page_{x}"), "INTEGRITY_SUPPORTED_BY") for x in "ab"],
+        *[edge(findings, finding, _fact(f"raw_field_{x}", f"seq_{x}"), "INTEGRITY_FINDING_COMPARES") for x in "ab"],
+        edge(touched, result, finding, "RESULT_AFFECTED_BY_INTEGRITY"),
+        edge(of_result, item, F.concat(F.lit("RESULT:"), "related"), "REVIEW_ITEM_FOR_RESULT"),
+        edge(of_finding, item, F.concat(F.lit("INTEGRITY:"), "related"), "REVIEW_ITEM_FOR_RESULT"),
+        edge(shown, item, block, "REVIEW_ITEM_SUPPORTED_BY"),
+        edge(settled, decision, result, "ADJUDICATION_OVERRIDES_RESULT"),
+        edge(settled.join(of_result.select("bid_id", F.col("related").alias("requirement_id")), ["bid_id", "requirement_id"], "left_semi"), decision, F.concat(F.lit("REVIEW:"), "requirement_id"), "ADJUDICATION_FOR_REVIEW_ITEM"),
+        edge(told, F.concat(F.lit("FACT:"), F.lower("registry"), F.lit("."), "known"), _node("BLOCK", "registry", "identifier"), "FACT_GROUNDED_BY"),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -25,43 +80,110 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 
 def structure(edges: DataFrame) -> DataFrame:
-    """One row: edges, self loops, and ends that are no node."""
-    known = nodes(edges).select("bid_id", F.col("id").alias("dst"))
-    loose = edges.join(known, ["bid_id", "dst"], "left_anti").agg(F.lit(0).cast("long").alias("n_edges"), F.lit(0).cast("long").alias("self_loops"), F.count("*").alias("dangling"))
-    counted = edges.agg(F.count("*").alias("n_edges"), F.count_if(F.col("src") == F.col("dst")).alias("self_loops"), F.lit(0).cast("long").alias("dangling"))
-    return counted.unionByName(loose).agg(*[F.sum(c).alias(c) for c in ("n_edges", "self_loops", "dangling")])
-
-
-def layered(edges: DataFrame) -> DataFrame:
-    """Whether all edges of a kind lead to a lower layer, which rules out cycles."""
-    layer = lambda c: F.element_at(F.create_map(*[F.lit(x) for pair in LAYERS.items() for x in pair]), F.substring_index(c, ":", 1))
-    return edges.groupBy("kind").agg(F.bool_and(layer("src") > layer("dst")).alias("acyclic"))
+    """One row: edges, self loops, ends that are no node, ends of an unknown type, and ids with several types."""
+    kind = lambda c: F.substring_index(c, ":", 1)
+    unknown = ~kind("src").isin(*NODE_TYPES) | ~kind("dst").isin(*NODE_TYPES)
+    known = nodes(edges)
+    loose = edges.join(known.select("bid_id", F.col("id").alias("dst")), ["bid_id", "dst"], "left_anti").agg(F.count("*").alias("dangling"))
+    mixed = known.groupBy("bid_id", "id").agg(F.countDistinct("node_type").alias("types")).agg(F.count_if(F.col("types") > 1).alias("type_conflicts"))
+    counted = edges.agg(F.count("*").alias("n_edges"), F.count_if(F.col("src") == F.col("dst")).alias("self_loops"), F.count_if(unknown).alias("unknown_types"))
+    return counted.join(F.broadcast(loose)).join(F.broadcast(mixed))  # one row each
+
+
+def cyclic_bids(edges: DataFrame) -> DataFrame:
+    """(bid_id) of bids with a cycle.
+
+    Edges whose end leads nowhere are taken away until none is left or none goes; what stays
+    lies on or leads to a cycle.  The rounds grow with the longest path, which the types of
+    nodes bound in a sound graph; each round is a written table.
+    """
+    spark, left, before = edges.sparkSession, edges.select("bid_id", "src", "dst").distinct(), -1
+    while True:
+        path = files.scratch(spark, "cycle-search")
+        left.write.parquet(path)
+        left = spark.read.parquet(path)
+        n = left.count()
+        if n in (0, before):
+            return left.select("bid_id").distinct()
+        before = n
+        left = left.join(left.select("bid_id", F.col("src").alias("dst")).distinct(), ["bid_id", "dst"], "left_semi").select("bid_id", "src", "dst")
 
 
 def trace(edges: DataFrame) -> DataFrame:
-    """(bid_id, result, evidence): what each result rests on, two steps on."""
-    a = edges.select("bid_id", F.col("src").alias("result"), F.col("dst").alias("mid"))
-    b = edges.select("bid_id", F.col("src").alias("mid"), F.col("dst").alias("evidence"))
+    """(bid_id, result, evidence): the blocks that the facts of each result are found in."""
+    a = edges.filter("kind = 'RESULT_USES_FACT'").select("bid_id", F.col("src").alias("result"), F.col("dst").alias("mid"))
+    b = edges.filter("kind = 'FACT_GROUNDED_BY'").select("bid_id", F.col("src").alias("mid"), F.col("dst").alias("evidence"))
     return a.join(b, ["bid_id", "mid"]).select("bid_id", "result", "evidence").distinct()
 
 
+def dossiers(results: DataFrame, facts: DataFrame, findings: DataFrame, checks: DataFrame) -> DataFrame:
+    """One row a bid: its results, facts, findings and registry checks nested, each in order."""
+    nest = lambda df, name, *columns: df.groupBy("bid_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+    r = nest(results, "results", "requirement_id", "status", "severity", "actual", "expected_value", "applicability")
+    f = nest(facts, "facts", "field", "fact_seq", "value", "source_document", "page")
+    i = nest(findings.withColumn("finding_id", rollup.finding_id()), "findings", "finding_id", "status", "finding_type", "value_a", "value_b")
+    c = nest(checks, "checks", "registry", "status", "identifier", "holder")
+    return r.join(f, "bid_id", "left").join(i, "bid_id", "left").join(c, "bid_id", "left")
+
+
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """(side, id): ids on one side alone."""
     a, b = left.select("id").distinct(), right.select("id").distinct()
     return a.join(b, "id", "left_anti").select(F.lit("left_only").alias("side"), "id").unionByName(b.join(a, "id", "left_anti").select(F.lit("right_only").alias("side"), "id"))
 
 
-def snapshots(results: DataFrame) -> DataFrame:
-    """An order-independent hash of each bid's results; times are not part of it."""
+def config_hash(config: dict[str, str]) -> Column:
+    """The SHA-256 of a configuration as JSON with sorted keys."""
+    return F.sha2(F.lit(json.dumps(config, separators=(",", ":"), sort_keys=True)), 256)
+
+
+def snapshots(results: DataFrame, config: dict[str, str]) -> DataFrame:
+    """An order-independent hash of each bid's results, and that of the configuration; times are not part of them."""
     lines = F.sort_array(F.collect_list(F.concat_ws(":", "requirement_id", "status", "severity")))
-    return results.groupBy("bid_id").agg(F.sha2(F.array_join(lines, ";"), 256).alias("snapshot_hash"))
+    return results.groupBy("bid_id").agg(F.sha2(F.array_join(lines, ";"), 256).alias("snapshot_hash")).withColumn("config_hash", config_hash(config))
+
+
+def snapshot_records(bids: DataFrame, results: DataFrame, facts: DataFrame) -> DataFrame:
+    """Snapshots as nested records: versions, ids, requirements, facts, hash."""
+    r = results.groupBy("bid_id").agg(F.sort_array(F.collect_list(F.struct("requirement_id", "operator"))).alias("requirements"))
+    f = facts.groupBy("bid_id").agg(F.sort_array(F.collect_list(F.struct(F.concat_ws("-", "field", "fact_seq").alias("fact_id"), "field", "source_document"))).alias("bidder_facts"))
+    return bids.select("bid_id", "tender_id").join(r, "bid_id").join(f, "bid_id").withColumn("snapshot_version", F.lit(SNAPSHOT_VERSIONS[0])).join(snapshots(results, {}), "bid_id")
+
+
+def snapshot_errors(records: DataFrame) -> DataFrame:
+    """``records`` with ``errors``; where a required part lacks, that alone is told."""
+    required = ("snapshot_version", "tender_id", "bid_id", "requirements", "bidder_facts", "snapshot_hash")
+    lacking = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required]))
+    blank = lambda x: F.coalesce(F.trim(x), F.lit("")) == ""
+    without = lambda c, what, part: F.when(F.size(F.filter(c, lambda x: blank(x[part]))) > 0, F.concat_ws(" ", F.size(F.filter(c, lambda x: blank(x[part]))).cast("string"), F.lit(f"{what} without {part}")))
+    faults = F.array_compact(F.array(
+        F.when(~F.col("snapshot_version").isin(*SNAPSHOT_VERSIONS), F.concat(F.lit("unsupported version "), "snapshot_version")),
+        F.when(blank(F.col("bid_id").cast("string")), "empty bid_id"), F.when(blank(F.col("tender_id")), "empty tender_id"),
+        without("requirements", "requirements", "requirement_id"), without("requirements", "requirements", "operator"),
+        without("bidder_facts", "facts", "fact_id"), without("bidder_facts", "facts", "field"), without("bidder_facts", "facts", "source_document"),
+    ))
+    return records.withColumn("errors", F.when(F.size(lacking) > 0, lacking).otherwise(faults))
+
+
+def layers(results: DataFrame, findings: DataFrame) -> DataFrame:
+    """(layer, bid_id, item, value): what a replay has to give again, layer by layer."""
+    r = results.select(F.lit("RESULT").alias("layer"), "bid_id", F.col("requirement_id").alias("item"), F.col("status").alias("value"))
+    f = findings.select(F.lit("FINDING").alias("layer"), "bid_id", rollup.finding_id().alias("item"), F.col("status").alias("value"))
+    c = rollup.compliance(results).select(F.lit("COMPLIANCE").alias("layer"), "bid_id", F.lit("compliance_status").alias("item"), F.col("compliance_status").alias("value"))
+    return r.unionByName(f).unionByName(c)
 
 
 def replay_differences(stored: DataFrame, replayed: DataFrame) -> DataFrame:
-    """Results that a replay gives differently, or that one side lacks."""
-    a = stored.select("bid_id", "requirement_id", F.col("status").alias("stored"))
-    b = replayed.select("bid_id", "requirement_id", F.col("status").alias("replayed"))
-    return a.join(b, ["bid_id", "requirement_id"], "full_outer").filter(~F.col("stored").eqNullSafe(F.col("replayed")))
+    """(layer, bid_id, item, stored, replayed) of what a replay gives differently, or what one side lacks."""
+    a, b = stored.withColumnRenamed("value", "stored"), replayed.withColumnRenamed("value", "replayed")
+    return a.join(b, ["layer", "bid_id", "item"], "full_outer").filter(~F.col("stored").eqNullSafe(F.col("replayed")))
+
+
+def replay_rates(bids: DataFrame, stored: DataFrame, replayed: DataFrame) -> DataFrame:
+    """One row: bids, those that a replay gives again in every layer, and their share in percent."""
+    differs = replay_differences(stored, replayed).select("bid_id").distinct().withColumn("differs", F.lit(True))
+    out = bids.select("bid_id").join(differs, "bid_id", "left").agg(F.count("*").alias("cases"), F.count_if(F.col("differs").isNull()).alias("complete_matches"))
+    return out.withColumn("match_rate", F.round(100.0 * F.col("complete_matches") / F.col("cases"), 2))
 
 
 def decisions(events: DataFrame) -> DataFrame:
@@ -71,7 +193,7 @@ def decisions(events: DataFrame) -> DataFrame:
 
 
 def latest_overrides(decisions: DataFrame) -> DataFrame:
-    return decisions.groupBy("target").agg(F.max_by("decision", F.struct("ts", "event_id")).alias("decision"))
+    return decisions.groupBy("target").agg(F.max_by(F.struct("decision", "event_id"), F.struct("ts", "event_id")).alias("x")).select("target", "x.*")
 
 
 def trail(decisions: DataFrame) -> DataFrame:
@@ -79,9 +201,11 @@ def trail(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("target").agg(F.count("*").alias("n"), F.array_join(F.transform(listed, lambda x: x["decision"]), ",").alias("trail"))
 
 
-def apply_overrides(results: DataFrame, latest: DataFrame, field: str) -> DataFrame:
-    """Results with the statuses that overrides of one field's results lead to."""
+def apply_overrides(results: DataFrame, latest: DataFrame, where: Column) -> DataFrame:
+    """Results with what officers decided about those that ``where`` holds for: accepted or waived ones pass, confirmed ones fail, and nobody needs to look again."""
     o = latest.select(F.col("target").alias("_bid"), "decision")
-    joined = results.join(o, (F.col("bid_id") == F.col("_bid")) & (F.col("field") == field), "left")
-    status = F.when(F.col("decision") == "ACCEPT", "OVERRIDDEN_PASS").when(F.col("decision") == "WAIVE", "N/A").when(F.col("decision") == "CONFIRM_FAIL", "OVERRIDDEN_FAIL").otherwise(F.col("status"))
-    return joined.withColumn("status", status).drop("_bid", "decision")
+    joined = results.join(o, (F.col("bid_id") == F.col("_bid")) & where, "left")
+    d = F.col("decision")
+    status = F.when(d.isin("ACCEPT", "WAIVE"), "OVERRIDDEN_PASS").when(d == "CONFIRM_FAIL", "OVERRIDDEN_FAIL").otherwise(F.col("status"))
+    review = F.when(d.isin("ACCEPT", "WAIVE", "CONFIRM_FAIL"), False).otherwise(F.col("requires_review"))
+    return joined.withColumns({"status": status, "requires_review": review}).drop("_bid", "decision")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from attestra.functions import normalize
 
+from . import resolve
+
 
 def _has(field: Column, *words: str) -> Column:
     out = F.contains(field, F.lit(words[0]))
@@ -41,29 +43,64 @@ def compare(field: Column, a: normalize.Readings, b: normalize.Readings) -> Colu
     )
 
 
-def pairs(facts: DataFrame) -> DataFrame:
+#: Readings of values go to every executor up to so many rows (some 200 bytes each); more are joined by a shuffle.
+MOST_VALUES = 300_000
+
+
+def grouped_field(canonical: Column, field: Column) -> Column:
+    """The field under which facts are compared: the canonical one if its facts may contradict each other, else the field itself."""
+    return F.when(canonical.isNotNull() & ~canonical.isin(*resolve.NOT_COMPARED), canonical).otherwise(F.lower(F.trim(field)))
+
+
+def pairs(facts: DataFrame, known: DataFrame) -> DataFrame:
     """All pairs of facts of one field in one bid that come from different documents or pages, compared.
 
-    Pairs are what the operator reports; they are bounded by the documents of one bid, never
-    by a field's rows across bids.
+    ``known`` has the readings of all values.  Facts are joined with themselves on bid and field;
+    pairs are what the operator reports, bounded by the documents of one bid.
     """
-    read = normalize.with_readings(facts, F.col("value"), "v")
-    side = lambda x: read.select("bid_id", "field", *[F.col(f"v_{p}").alias(f"{x}_{p}") for p in ("raw", "months", "num", "name")], F.col("source_document").alias(f"document_{x}"), F.col("page").alias(f"page_{x}"), F.col("fact_seq").alias(f"seq_{x}"))
-    both = side("a").join(side("b"), ["bid_id", "field"]).filter("seq_a < seq_b and (document_a <> document_b or page_a <> page_b)")
-    return both.withColumn("x", compare(F.col("field"), normalize.Readings("a"), normalize.Readings("b"))).select("bid_id", "field", "seq_a", "seq_b", F.col("a_raw").alias("value_a"), F.col("b_raw").alias("value_b"), "document_a", "document_b", "x.*")
+    small = known.select(F.col("value"), *[F.col(f"a_{x}").alias(x) for x in ("months", "num", "name")])
+    if small.count() <= MOST_VALUES:
+        small = F.broadcast(small)
+    read = resolve.with_canonical(facts, "field").join(small, "value").select("bid_id", grouped_field(F.col("canonical"), F.col("field")).alias("field"), F.col("field").alias("name_of"), "value", "months", "num", "name", "source_document", "page", "fact_seq")
+    one, two = read.alias("a"), read.alias("b")
+    c = F.col
+    both = one.join(two, (c("a.bid_id") == c("b.bid_id")) & (c("a.field") == c("b.field")) & ((c("a.fact_seq") < c("b.fact_seq")) | ((c("a.fact_seq") == c("b.fact_seq")) & (c("a.name_of") < c("b.name_of")))) & ((c("a.source_document") != c("b.source_document")) | (c("a.page") != c("b.page"))))
+    side = lambda x: [c(f"{x}.{p}").alias(f"{x}_{p}") for p in ("months", "num", "name")] + [c(f"{x}.value").alias(f"{x}_raw"), c(f"{x}.name_of").alias(f"raw_field_{x}"), c(f"{x}.source_document").alias(f"document_{x}"), c(f"{x}.page").alias(f"page_{x}"), c(f"{x}.fact_seq").alias(f"seq_{x}")]
+    flat = both.select(c("a.bid_id").alias("bid_id"), c("a.field").alias("field"), *side("a"), *side("b"))
+    return flat.withColumn("x", compare(F.col("field"), normalize.Readings("a"), normalize.Readings("b"))).select("bid_id", "field", "raw_field_a", "raw_field_b", "seq_a", "seq_b", F.col("a_raw").alias("value_a"), F.col("b_raw").alias("value_b"), "document_a", "document_b", "page_a", "page_b", "x.*")
+
 
+def findings(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("status <> 'CONSISTENT'")
 
-def findings(facts: DataFrame) -> DataFrame:
-    return pairs(facts).filter("status <> 'CONSISTENT'")
 
+def affected(findings: DataFrame, results: DataFrame) -> DataFrame:
+    """(bid_id, field, requirement_id) of results whose requirement has the field of a finding of the bid: its canonical field, or either raw one."""
+    f = findings.select("bid_id", "field", F.explode(F.array_distinct(F.array(F.lower("field"), F.lower("raw_field_a"), F.lower("raw_field_b")))).alias("k")).distinct()
+    r = results.filter("field is not null").select("bid_id", "requirement_id", F.explode(F.array_distinct(F.array_compact(F.array(F.lower("field"), F.lower("canonical"))))).alias("k"))
+    return f.join(r, ["bid_id", "k"]).select("bid_id", "field", "requirement_id").distinct()
 
-def hinted(pairs: DataFrame) -> DataFrame:
-    """Compare supplied pairs (field, hint, value_a, value_b, document_b, page_b): the field may come from the hint, which may also decide."""
+
+def compared_facts(findings: DataFrame, facts: DataFrame) -> DataFrame:
+    """(bid_id, field, raw_field, fact_seq) of the facts in the field of a finding of the bid."""
+    kept = resolve.with_canonical(facts, "field").select("bid_id", grouped_field(F.col("canonical"), F.col("field")).alias("field"), F.col("field").alias("raw_field"), "fact_seq")
+    return kept.join(findings.select("bid_id", "field").distinct(), ["bid_id", "field"], "left_semi")
+
+
+def hinted(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Compare supplied pairs (field, hint, value_a, value_b, document_b, page_b): the field may come from the hint, which may also decide.
+
+    ``known`` has the readings of values; an empty one has none.
+    """
     h = F.coalesce("hint", F.lit(""))
     guess = F.when(_has(h, "GSTIN"), "gstin").when(_has(h, "WARRANTY"), "warranty_years").when(_has(h, "TURNOVER"), "turnover_cr").when(_has(h, "NAME"), "company_name").otherwise(F.lower(h))
     field = F.when(F.coalesce("field", F.lit("")) != "", F.col("field")).otherwise(guess)
     one_sided = (F.coalesce("document_b", F.lit("")) == "") & (F.col("page_b") == 1) & (F.coalesce("value_b", F.lit("")) == "")
     out = lambda s, t, v: F.struct(F.lit(s).alias("status"), F.lit(t).alias("finding_type"), F.lit(v).alias("severity"))
     x = F.when(one_sided, out("REVIEW", "INCOMPLETE_EVIDENCE", "MEDIUM")).when(h == "COMPANY_NAME_VARIANT", out("REVIEW", "COMPANY_NAME_VARIANT", "MEDIUM")).when(h == "BENIGN_NAME_VARIANT", out("CONSISTENT", "BENIGN_NAME_VARIANT", "INFO")).otherwise(compare(F.col("effective_field"), normalize.Readings("a"), normalize.Readings("b")))
-    read = normalize.with_readings(normalize.with_readings(pairs.withColumn("effective_field", field), F.col("value_a"), "a"), F.col("value_b"), "b")
+    read = pairs.withColumn("effective_field", field).withColumns({"a_raw": F.col("value_a"), "b_raw": F.col("value_b")})
+    few = known.count() <= MOST_VALUES
+    for side in "ab":
+        one = known.select(F.col("value").alias(f"value_{side}"), *[F.col(f"a_{part}").alias(f"{side}_{part}") for part in ("months", "num", "name")])
+        read = read.join(F.broadcast(one) if few else one, f"value_{side}", "left")
     return read.withColumn("x", x).select(*pairs.columns, "effective_field", "x.*")

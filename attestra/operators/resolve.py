@@ -8,20 +8,34 @@ from pyspark.sql import functions as F
 from attestra.functions import normalize
 from attestra.sources.bridge import SOURCE_PRIORITIES
 
-#: Aliases of the canonical fields.
+# The aliases of the canonical fields, whether facts of a field may contradict each other, and names that stand for no one field.
 ALIASES = {
-    "GSTIN": ("gstin", "gst", "gst_number", "gst_no", "gst_registration"),
-    "PAN": ("pan", "pan_number", "pan_no", "pan_card"),
-    "ANNUAL_TURNOVER": ("turnover_cr", "annual_turnover", "turnover", "average_turnover"),
-    "WARRANTY_PERIOD": ("warranty_years", "warranty", "warranty_period", "guarantee_period"),
-    "DELIVERY_PERIOD": ("delivery_days", "delivery", "delivery_period", "delivery_time"),
-    "COMPANY_NAME": ("company_name", "bidder_name", "legal_name", "entity_name"),
-    "ISO_CERTIFICATION": ("iso_cert", "iso_certificate", "iso_9001"),
-    "MSE_STATUS": ("is_mse", "mse_registered", "udyam_registration", "msme"),
-    "BID_VALIDITY": ("valid_until", "bid_validity", "validity_date"),
-    "LOCAL_CONTENT": ("local_content", "local_content_percentage", "mii_percentage"),
+    "ANNUAL_TURNOVER": ("annual_turnover", "turnover_cr", "turnover_amount", "bidder_turnover_lakh", "turnover_inr", "yearly_turnover", "annual_turnover_inr", "turnover", "annual_revenue", "firm_turnover", "revenue"),
+    "AVERAGE_ANNUAL_TURNOVER": ("average_annual_turnover", "avg_annual_turnover", "average_turnover_3_years", "3_year_average_turnover", "three_year_average_turnover", "aat"),
+    "NET_WORTH": ("net_worth_cr", "net_worth", "bidder_net_worth", "net_worth_amount", "networth", "networth_cr"),
+    "EMD_REQUIREMENT": ("emd_required", "emd_exemption", "earnest_money_deposit_required", "emd_mandatory"),
+    "EMD_AMOUNT": ("emd_amount", "emd_amount_inr", "earnest_money_amount", "emd_value"),
+    "EPBG_PERCENTAGE": ("epbg_percentage", "epbg_percent", "epbg", "performance_bank_guarantee_percent", "pbg_percentage", "pb_guarantee_percentage"),
+    "EPBG_AMOUNT": ("epbg_amount", "pbg_amount", "performance_guarantee_amount"),
+    "GSTIN": ("gstin", "gst_number", "gst_in", "gstin_number", "gst"),
+    "PAN": ("pan", "pan_number", "company_pan", "bidder_pan", "pan_card"),
+    "UDYAM_REGISTRATION": ("udyam", "udyam_number", "udyam_registration", "udyam_reg_number", "msme_registration_number", "msme_number", "udyam_registration_number", "msme_reg_no"),
+    "LEGAL_ENTITY_NAME": ("company_name", "legal_name", "entity_name", "bidder_name", "firm_name", "vendor_name", "contractor_name"),
+    "IS_MSE": ("is_mse", "mse_registered", "msme_status", "is_msme", "mse_status"),
+    "IS_STARTUP": ("is_startup", "startup_recognized", "dpiit_recognized", "startup_status", "is_dpiit_startup"),
+    "WARRANTY_DURATION": ("warranty_years", "warranty", "warranty_duration", "warranty_months", "warranty_period", "warranty_term"),
+    "DELIVERY_PERIOD": ("delivery_days", "delivery_period", "delivery_time", "lead_time_days", "delivery_timeline", "delivery_schedule_days"),
+    "LOCAL_CONTENT_PERCENT": ("local_content_percent", "local_content_percentage", "mii_local_content", "class_1_local_content", "local_content_declared"),
+    "ISO_CERTIFICATION": ("iso_cert", "iso_certification", "iso_9001_cert", "iso_9001", "iso_9001_certification", "iso_14001_cert"),
+    "LOCAL_SUPPORT": ("local_support", "local_service_support", "service_center_available", "local_service_centers"),
+    "OEM_AUTHORIZATION": ("oem_authorization", "authorized_distributor", "oem_authorization_letter", "maf_submitted", "manufacturer_authorization"),
+    "BID_VALIDITY_DAYS": ("bid_validity_days", "bid_validity", "offer_validity_days", "tender_validity_days"),
+    "PAST_EXPERIENCE_DURATION": ("experience_years", "years_of_experience", "past_experience_years", "industry_experience_years"),
+    "SIMILAR_PROJECTS_COUNT": ("similar_projects", "similar_contracts_completed", "completed_projects_count", "past_project_count"),
 }
-AMBIGUOUS = ("experience", "turnover_ratio", "registration", "certificate", "date", "amount")
+NOT_COMPARED = ("EMD_REQUIREMENT",)
+AMBIGUOUS = ("experience", "certificate", "certification", "financials", "financial_capacity", "validity", "security", "deposit", "turnover_ratio", "financial_ratio")
+SELF_MADE = ("OEM", "ORIGINAL_EQUIPMENT_MANUFACTURER", "MANUFACTURER")
 
 
 def precedence(requirements: DataFrame) -> DataFrame:
@@ -33,69 +47,118 @@ def precedence(requirements: DataFrame) -> DataFrame:
     priority = F.col("source_priority")
     for kind, rank in SOURCE_PRIORITIES.items():
         priority = F.when((F.col("source_priority") == 0) & (F.col("source_type") == kind), rank).otherwise(priority)
-    ranked = requirements.withColumn("source_priority", priority).withColumn("_dim", F.coalesce("field", F.concat(F.lit("unique_"), "requirement_id")))
-    w = Window.partitionBy("tender_id", "_dim").orderBy(F.desc("source_priority"), F.desc("requirement_id"))
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    chain = F.collect_list("requirement_id").over(whole)
-    out = ranked.withColumn("_rank", F.row_number().over(w)).withColumn("chain", chain).withColumn("_first", F.first("requirement_id").over(whole))
-    effective = F.col("_rank") == 1
-    return out.withColumn("is_effective", effective).withColumn("superseded_by", F.when(~effective, F.col("_first"))).withColumn("supersedes", F.when(effective & (F.size("chain") > 1), F.array_join(F.slice("chain", 2, 1000), ", "))).drop("_dim", "_rank", "_first")
+    dim = F.coalesce("field", F.concat(F.lit("unique_"), "requirement_id"))
+    keyed = requirements.withColumn("source_priority", priority)
+    row = F.struct(F.col("source_priority").alias("p"), F.col("requirement_id").alias("id"), F.struct(*[F.col(c) for c in keyed.columns]).alias("row"))
+    grouped = keyed.groupBy("tender_id", dim.alias("dim")).agg(F.sort_array(F.collect_list(row), asc=False).alias("all"))  # the clauses of one field in one tender
+    names = F.transform("all", lambda x: x["id"])
+    each = grouped.select(names.alias("chain"), F.posexplode("all").alias("place", "x")).select("chain", "place", "x.row.*")
+    effective = F.col("place") == 0
+    return each.withColumns({
+        "is_effective": effective,
+        "superseded_by": F.when(~effective, F.col("chain")[0]),
+        "supersedes": F.when(effective & (F.size("chain") > 1), F.array_join(F.slice("chain", 2, F.size("chain")), ", ")),
+    }).drop("place", "chain")
 
 
-def first_facts(facts: DataFrame) -> DataFrame:
-    """The first fact of each field in a bid, by input order."""
-    return facts.groupBy("bid_id", F.lower("field").alias("field")).agg(F.min_by(F.struct("value", "source_document", "page", "extraction_confidence", "fact_seq"), "fact_seq").alias("x")).select("bid_id", "field", "x.*")
+def summary(facts: DataFrame) -> DataFrame:
+    """(bid_id, field, canonical, first, last): the first and last fact of each field in a bid, by input order."""
+    fact = F.struct("value", "source_document", "page", "extraction_confidence", "fact_seq")
+    both = facts.groupBy("bid_id", F.lower("field").alias("field")).agg(F.min_by(fact, "fact_seq").alias("first"), F.max_by(fact, "fact_seq").alias("last"))
+    return with_canonical(both, "field")
 
 
-def last_facts(facts: DataFrame) -> DataFrame:
-    """The last value of each field in a bid, by input order."""
-    return facts.groupBy("bid_id", F.lower("field").alias("field")).agg(F.max_by("value", "fact_seq").alias("value"))
+def first_facts(summary: DataFrame) -> DataFrame:
+    return summary.select("bid_id", "field", "canonical", "first.*")
 
 
-def profile(facts: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """One row a bid: for each field ``<field>_first``, ``<field>_last`` and ``<field>_confidence`` (of the first)."""
-    low = F.lower("field")
+def last_facts(summary: DataFrame) -> DataFrame:
+    return summary.select("bid_id", "field", "last.value")
+
+
+def profile(summary: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """One row a bid that has any of ``fields``: for each ``<field>_first``, ``<field>_last`` and ``<field>_confidence`` (of the first)."""
     columns = []
     for f in fields:
-        mine = F.when(low == f, F.col("fact_seq"))
-        columns += [F.min_by("value", mine).alias(f"{f}_first"), F.max_by("value", mine).alias(f"{f}_last"), F.min_by("extraction_confidence", mine).alias(f"{f}_confidence")]
-    return facts.filter(low.isin(*fields)).groupBy("bid_id").agg(*columns)
+        mine = lambda c, f=f: F.max(F.when(F.col("field") == f, F.col(c)))  # noqa: E731  one row at most
+        columns += [mine("first.value").alias(f"{f}_first"), mine("last.value").alias(f"{f}_last"), mine("first.extraction_confidence").alias(f"{f}_confidence")]
+    return summary.filter(F.col("field").isin(*fields)).groupBy("bid_id").agg(*columns)
 
 
 def ontology(spark) -> DataFrame:
-    """(alias, canonical): each alias once."""
-    return spark.createDataFrame([(a, c) for c, some in ALIASES.items() for a in some], "alias string, canonical string")
+    """(alias, canonical): each name of a field once; a canonical id names itself."""
+    own = [(c.lower(), c) for c in ALIASES if c.lower() not in {a for some in ALIASES.values() for a in some}]
+    return spark.createDataFrame([(a, c) for c, some in ALIASES.items() for a in some] + own, "alias string, canonical string")
 
 
 def resolve_fields(df: DataFrame, raw: str) -> DataFrame:
-    """``df`` with canonical and resolution (RESOLVED, AMBIGUOUS, UNMAPPED) of the field name in ``raw``.
+    """``df`` with canonical, resolution (RESOLVED, AMBIGUOUS, UNMAPPED) and method of the field name in ``raw``.
 
     Ambiguous names come first, then an exact canonical id or alias, then the alias of the
     normalised name.
     """
-    names = F.broadcast(ontology(df.sparkSession))  # a fixed list
-    exact, loose = names.select(F.col("alias").alias("_a1"), F.col("canonical").alias("_c1")), names.select(F.col("alias").alias("_a2"), F.col("canonical").alias("_c2"))
-    keyed = df.withColumn("_raw", F.lower(F.trim(raw))).withColumn("_key", normalize.field_key(F.col(raw)))
-    joined = keyed.join(exact, F.col("_raw") == F.col("_a1"), "left").join(loose, F.col("_key") == F.col("_a2"), "left")
-    own = F.when(F.upper(F.trim(raw)).isin(*ALIASES), F.upper(F.trim(raw)))
+    names = F.broadcast(ontology(df.sparkSession).select(F.col("alias").alias("_alias"), F.col("canonical").alias("_canonical")))  # a fixed list
+    exact, key = F.trim(raw), normalize.field_key(F.col(raw))
+    joined = df.withColumn("_key", key).join(names, F.col("_key") == F.col("_alias"), "left")
     unclear = F.coalesce(F.col("_key").isin(*AMBIGUOUS), F.lit(False))
-    canonical = F.when(~unclear, F.coalesce(own, "_c1", "_c2"))
-    return joined.withColumn("canonical", canonical).withColumn("resolution", F.when(unclear, "AMBIGUOUS").when(F.col("canonical").isNotNull(), "RESOLVED").otherwise("UNMAPPED")).drop("_raw", "_key", "_a1", "_a2", "_c1", "_c2")
+    canonical = F.when(~unclear, F.col("_canonical"))
+    aliases = [a for some in ALIASES.values() for a in some]
+    method = F.when(canonical.isNull(), None).when(exact.isin(*ALIASES), "EXACT_CANONICAL").when(exact.isin(*aliases), "EXACT_ALIAS").otherwise("NORMALIZED_ALIAS")
+    out = joined.withColumns({"canonical": canonical, "resolution": F.when(unclear, "AMBIGUOUS").when(canonical.isNotNull(), "RESOLVED").otherwise("UNMAPPED"), "method": method})
+    return out.drop("_key", "_alias", "_canonical")
+
+
+def with_canonical(df: DataFrame, field: str) -> DataFrame:
+    """``df`` with the canonical field that a field's name stands for, null if none."""
+    return resolve_fields(df, field).drop("resolution", "method")
+
+
+#: The fields of a bid that decide whether a clause applies.
+PROFILE = ("is_mse", "mse_registered", "udyam_registration", "is_startup", "startup_recognized", "dpiit_recognized", "dpiit_number", "dpiit_certificate", "is_oem", "bidder_role", "employee_count")
+
+
+def first_boolean(names: tuple[str, ...]) -> Column:
+    """The first of several fields whose first fact is a boolean."""
+    return F.coalesce(*[normalize.boolean(F.col(f"{n}_first")) for n in names])
 
 
 def applicability() -> tuple[Column, Column]:
-    """(status, rule) over a requirement joined to its bid's profile of is_mse and employee_count."""
-    field, category = F.lower(F.coalesce("field", F.lit(""))), F.lower("category")
-    exempt = (F.contains(field, F.lit("turnover")) | F.contains(field, F.lit("experience")) | F.contains(category, F.lit("experience"))) & F.col("mse_exemption_allowed") & F.coalesce(normalize.boolean(F.col("is_mse_last")), F.lit(False))
-    low = F.coalesce(F.col("is_mse_confidence") == "LOW", F.lit(False))
+    """(status, rule) over a requirement joined to its bid's profile (``PROFILE``); the first rule that holds decides."""
+    c = F.col
+    field, category = F.lower(F.coalesce("field", F.lit(""))), F.coalesce("category", F.lit(""))
+    has = lambda x, *words: F.regexp_like(x, F.lit("|".join(words)))
+    true = lambda name: F.coalesce(normalize.boolean(c(f"{name}_last")), F.lit(False))
+    low = lambda *names: F.coalesce(F.coalesce(*[c(f"{n}_confidence") for n in names]) == "LOW", F.lit(False))
+    listed = lambda names, one: F.array_contains(F.transform(F.split(F.upper(names), ","), F.trim), one)
+    role = F.upper(F.trim(F.coalesce("bidder_role_last", F.lit(""))))
+    oem = (category == "OEM_AUTHORIZATION") | has(field, "oem_auth")
+    epfo, esic = has(field, "epfo") | (category == "EPFO_COMPLIANCE"), has(field, "esic") | (category == "ESIC_COMPLIANCE")
+    people = F.trim(c("employee_count_last"))
+    counted = F.regexp_like(people, F.lit(r"^[+-]?\d+$"))
+    number = people.try_cast("int")
+    small = lambda n: counted & (number < n) & ~c("mandate_for_all_sizes")
+    spared = has(field, "turnover", "experience", "past_performance") | has(F.lower(category), "turnover", "experience", "past_performance")
+    mse, startup = spared & c("mse_exemption_allowed") & true("is_mse"), spared & c("startup_exemption_allowed") & true("is_startup")
     steps = [
-        (~F.col("is_effective"), "NOT_APPLICABLE", "PRECEDENCE_SUPERSEDED"),
-        (F.col("app_status") == "NOT_APPLICABLE", "NOT_APPLICABLE", "EXPLICIT_SPECIFICATION"),
-        (F.col("app_status").isin("UNKNOWN", "UNKNOWN_REVIEW", "REVIEW"), "UNKNOWN_REVIEW", "TENDER_SPECIFICATION_UNCERTAIN"),
-        (exempt & low, "UNKNOWN_REVIEW", "EXEMPTION_EVIDENCE_AMBIGUOUS"),
-        (exempt, "NOT_APPLICABLE", "MSE_STATUTORY_EXEMPTION"),
+        (~c("is_effective"), "NOT_APPLICABLE", "PRECEDENCE_SUPERSEDED"),
+        (c("app_status") == "NOT_APPLICABLE", "NOT_APPLICABLE", "EXPLICIT_SPECIFICATION"),
+        (c("app_status").isin("UNKNOWN", "UNKNOWN_REVIEW", "REVIEW"), "UNKNOWN_REVIEW", "TENDER_SPECIFICATION_UNCERTAIN"),
+        (c("applicable_categories").isNotNull() & (F.trim("tender_category") != "") & ~listed("applicable_categories", F.upper(F.trim("tender_category"))), "NOT_APPLICABLE", "CATEGORY_EXCLUSION"),
+        (oem & low("is_oem", "bidder_role"), "UNKNOWN_REVIEW", "OEM_STATUS_UNCERTAIN"),
+        (oem & (true("is_oem") | role.isin(*SELF_MADE)), "NOT_APPLICABLE", "OEM_SELF_MANUFACTURER"),
+        (c("applicable_roles").isNotNull() & (role == ""), "UNKNOWN_REVIEW", "BIDDER_ROLE_UNVERIFIED"),
+        (c("applicable_roles").isNotNull() & ~listed("applicable_roles", role), "NOT_APPLICABLE", "BIDDER_ROLE_EXCLUSION"),
+        ((epfo | esic) & people.isNotNull() & ~counted, "UNKNOWN_REVIEW", "STATUTORY_THRESHOLD_UNVERIFIED"),
+        (((epfo & small(20)) | (esic & small(10))) & low("employee_count"), "UNKNOWN_REVIEW", "STATUTORY_THRESHOLD_UNVERIFIED"),
+        (epfo & small(20), "NOT_APPLICABLE", "STATUTORY_THRESHOLD_EPFO"),
+        (esic & small(10), "NOT_APPLICABLE", "STATUTORY_THRESHOLD_ESIC"),
+        (mse & low("is_mse", "udyam_registration"), "UNKNOWN_REVIEW", "EXEMPTION_EVIDENCE_AMBIGUOUS"),
+        (mse, "NOT_APPLICABLE", "MSE_STATUTORY_EXEMPTION"),
+        (startup & low("is_startup", "dpiit_recognized"), "UNKNOWN_REVIEW", "EXEMPTION_EVIDENCE_AMBIGUOUS"),
+        (startup, "NOT_APPLICABLE", "STARTUP_STATUTORY_EXEMPTION"),
     ]
     status, rule = F.lit("APPLICABLE"), F.lit("STANDARD_APPLICABLE")
     for when, s, r in reversed(steps):
+        when = F.coalesce(when, F.lit(False))
         status, rule = F.when(when, s).otherwise(status), F.when(when, r).otherwise(rule)
     return status, rule

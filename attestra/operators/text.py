@@ -7,31 +7,55 @@ from pyspark.sql import functions as F
 
 from attestra.functions import normalize
 
-#: Patterns of facts in block text, by field.
+# Patterns of facts in block text by field, words that carry no meaning, and patterns of procurement text.
 FACT_PATTERNS = {
-    "gstin": r"\b([0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z])\b",
-    "pan": r"\b([A-Z]{5}[0-9]{4}[A-Z])\b",
-    "warranty_years": r"(?i)\b(\d+)\s*(?:years?|yrs?)\b",
-    "turnover_cr": r"(?i)\b(\d+(?:\.\d+)?)\s*(?:crores?|cr)\b",
-    "delivery_days": r"(?i)\b(\d+)\s*days?\b",
-    "email": r"\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})\b",
-    "number": r"\b(\d{3,})\b",
+    "gstin": r"(\b\d{2}[A-Z]{5}\d{4}[A-Z]{1}[A-Z\d]{1}[Z]{1}[A-Z\d]{1}\b)",
+    "pan": r"(\b[A-Z]{5}\d{4}[A-Z]{1}\b)",
+    "warranty_years": r"(?:warranty|guarantee)\s*(?:period)?\s*[:=-]?\s*(\d+)\s*(?:years?|yrs?|months?)",
+    "turnover_cr": r"(?:turnover|revenue)\s*[:=-]?\s*(?:inr|rs\.?|₹)?\s*(\d+(?:\.\d+)?)\s*(?:crores?|cr|lakhs?|lakh)?",
+    "delivery_days": r"(?:delivery|lead\s*time)\s*[:=-]?\s*(\d+)\s*days?",
+    "iso_cert": r"\b(ISO\s*\d{4,5}(?::\d{4})?)\b",
 }
-LEAST_CHARS, FEW_CHARS = 20, 80
+STOP_WORDS = ("the", "and", "of", "for", "with", "shall", "must", "is", "are", "in", "to", "a", "an", "on", "at", "by", "from", "as", "be", "this", "that", "it", "or")
+CLAIM_WORDS = ("status", "compliance", "undertaking", "confirmation", "cert", "certificate", "declared", "declaration")
+TOKEN_PATTERNS = (
+    r"\b\d+(?:[.,]\d+)?\s*(?:%|cr|crore|lakh|inr|rs|days|months|years|qty|nos|meters)?\b",
+    r"\b(?:tender|bid|bidder|gem|gst|gstin|pan|cin|udyam|oem|nsic|clause|turnover|experience|delivery)\b",
+    r"\b(?:compliance|specification|technical|financial|schedule|section|annexure|declaration)\b",
+    r"\b(?:pvt|ltd|limited|corporation|enterprises|solutions|technologies|company)\b",
+    r"\b\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}\b",
+)
+DURATION_PHRASE = r"\b(?:\d+(?:\.\d+)?|zero|one|two|three|four|five|six|seven|eight|nine|ten)\s*(?:years?|yrs?|yr|months?|mths?|mth|mo|days?|d)\b"
+AMOUNT_PHRASE = r"\d+(?:[.,]\d+)?\s*(?:crores?|crs?|lakhs?|lacs?|millions?|thousands?|k|m|cr|%)?"
+UNPRINTABLE = r"[\x00-\x08\x0E-\x1F\x7F]"
 
 
 def extract(blocks: DataFrame, text: str = "text", patterns: dict[str, str] = FACT_PATTERNS) -> DataFrame:
-    """``blocks`` with a row for each pattern that a block matches: field and its first match."""
-    found = F.array(*[F.struct(F.lit(k).alias("field"), F.regexp_extract(text, p, 1).alias("found")) for k, p in patterns.items()])
+    """``blocks`` with a row for each pattern that a block matches: field and what its first match names."""
+    found = F.array(*[F.struct(F.lit(k).alias("field"), F.regexp_extract(text, f"(?i){p}", 1).alias("found")) for k, p in patterns.items()])
     return blocks.withColumn("x", F.explode(F.filter(found, lambda x: x["found"] != ""))).select(*blocks.columns, "x.*")
 
 
-def quality(text: Column) -> tuple[Column, Column]:
-    """(score, confidence) of a page's text: its share of printable characters and its length."""
-    n = F.length(text)
-    printable = F.length(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")) / F.greatest(F.lit(1), n)
-    score = F.round(printable * F.least(F.lit(1.0), n / FEW_CHARS), 6)
-    return score, F.when(n < LEAST_CHARS, "LOW").when((n < FEW_CHARS) | (printable < 0.9), "MEDIUM").otherwise("HIGH")
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _share(text: Column, pattern: str) -> Column:
+    """How much of a text's characters match a pattern of one character."""
+    return F.regexp_count(text, F.lit(pattern)) / F.length(text)
+
+
+def quality(text: Column, *, ocr: Column | None = None) -> tuple[Column, Column]:
+    """(score, confidence) of a page: by length and printable characters, or from the recogniser's own confidence for scans."""
+    clean = _stripped(text)
+    n = F.length(clean)
+    printable = 1 - F.try_divide(F.regexp_count(clean, F.lit(UNPRINTABLE)), n)
+    base = F.when((n >= 80) & (printable >= 0.85), 0.95).when(n >= 20, 0.70).otherwise(0.35)
+    if ocr is not None:
+        read = F.greatest(F.lit(0.2), F.least(F.lit(1.0), ocr))
+        base = F.when(ocr.isNotNull(), F.when(n < 20, read * 0.5).otherwise(read)).otherwise(base)
+    score = F.when(n == 0, 0.0).otherwise(base * printable)
+    return F.round(score, 4), F.when(score >= 0.80, "HIGH").when(score >= 0.50, "MEDIUM").otherwise("LOW")
 
 
 def longest_run_share(text: Column) -> Column:
@@ -40,39 +64,94 @@ def longest_run_share(text: Column) -> Column:
     return F.round(F.coalesce(F.array_max(runs), F.lit(0)) / F.greatest(F.lit(1), F.length(text)), 6)
 
 
-def validity(text: Column) -> Column:
-    """ACCEPTED, LOW_CONFIDENCE or FAILED by shares of letters and digits, white space, and one character's longest run."""
-    n = F.greatest(F.lit(1), F.length(text))
-    letters, spaces = F.regexp_count(text, F.lit(r"[A-Za-z0-9]")) / n, F.regexp_count(text, F.lit(r"\s")) / n
-    bad = (F.length(F.trim(text)) == 0) | (letters < 0.3) | (spaces > 0.6) | (longest_run_share(text) > 0.5)
-    return F.when(bad, "FAILED").when((letters < 0.6) | (F.length(text) < LEAST_CHARS), "LOW_CONFIDENCE").otherwise("ACCEPTED")
+def validity(text: Column, confidence: Column) -> tuple[Column, Column]:
+    """(composite, status) of recognised text: letters and digits, procurement patterns, length and confidence, halved for long runs of one character."""
+    clean = _stripped(text)
+    n = F.length(clean)
+    printable, letters, run = 1 - F.try_divide(F.regexp_count(clean, F.lit(UNPRINTABLE)), n), F.try_divide(F.regexp_count(clean, F.lit(r"[\p{L}\p{N}]")), n), longest_run_share(clean)
+    hits = F.lit(0)
+    for p in TOKEN_PATTERNS:
+        hits = hits + F.regexp_like(clean, F.lit(f"(?i){p}")).cast("int")
+    tokens = F.when(n < 10, 0.0).otherwise(F.least(F.lit(1.0), hits / 3.0))
+    sure = F.greatest(F.lit(0.1), F.least(F.lit(1.0), confidence))
+    whole = (0.35 * sure + 0.25 * letters + 0.25 * tokens + 0.15 * F.least(F.lit(1.0), n / 150.0)) * printable
+    composite = F.when(n == 0, 0.0).otherwise(F.when(run > 0.35, whole * 0.5).otherwise(whole))
+    failed = (n < 10) | (printable < 0.70) | (letters < 0.20) | (run > 0.50) | (composite < 0.25)
+    low = (n < 30) | (letters < 0.40) | (sure < 0.50) | (composite < 0.50)
+    return F.round(composite, 6), F.when(n == 0, "FAILED").when(failed, "FAILED").when(low, "LOW_CONFIDENCE").otherwise("ACCEPTED")
 
 
-def supported(value: Column, text: Column) -> Column:
-    """How a block supports a value: EXACT, TOKENS (three quarters of its words) or UNSUPPORTED."""
-    words = F.array_distinct(F.filter(F.split(F.lower(value), r"[^a-z0-9]+"), lambda w: F.length(w) > 2))
-    seen = F.filter(words, lambda w: F.contains(F.lower(text), w))
-    return F.when(F.contains(F.lower(text), F.lower(value)), "EXACT").when((F.size(words) > 0) & (F.size(seen) >= 0.75 * F.size(words)), "TOKENS").otherwise("UNSUPPORTED")
+def _any(parts: Column, test) -> Column:
+    return F.coalesce(F.exists(parts, test), F.lit(False))
 
 
-def ground(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(candidate_id, grounded, n_blocks) for candidates (candidate_id, doc_id, block_ids): one unknown id fails the candidate."""
-    each = candidates.select("candidate_id", "doc_id", F.explode(F.array_distinct("block_ids")).alias("block_id"))
-    known = blocks.select("doc_id", "block_id", F.lit(True).alias("known"))
-    return each.join(known, ["doc_id", "block_id"], "left").groupBy("candidate_id").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("grounded"), F.count("*").alias("n_blocks"))
+def support(value: Column, field: Column, text: Column) -> Column:
+    """How a text supports a claimed value of a field; ``SUPPORTED`` has the outcomes that do.
 
+    Identifiers are looked for as letters and digits alone, durations and amounts as equal
+    quantities, booleans by the words of the field without a negation, and other texts as a
+    whole, else by three quarters of their words, codes among them all.
+    """
+    low, v, f = F.lower(text), F.trim(value), F.lower(field)
+    vl = F.lower(v)
+    has = lambda c, *words: F.regexp_like(c, F.lit("|".join(words)))
+    alnum = lambda c: F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
+    identifier = F.when((F.length(alnum(v)) >= 3) & F.contains(alnum(text), alnum(v)), "EXACT_IDENTIFIER_MATCH").otherwise("IDENTIFIER_MISMATCH")
+    spaced = lambda x: F.regexp_replace(x, r"([0-9])\s*([a-z%])", "$1 $2")
+    phrases = F.transform(F.regexp_extract_all(low, F.lit(DURATION_PHRASE), F.lit(0)), spaced)
+    months, days = normalize.duration(v), normalize.duration(v, "DAYS")
+    lasting = F.when(_any(phrases, lambda x: (normalize.duration(x) == months) | (normalize.duration(x, "DAYS") == days)), "DURATION_NORMALIZED_MATCH").otherwise("DURATION_MISMATCH")
+    timed = (has(f, "warranty", "experience", "validity", "delivery", "duration") | F.regexp_like(vl, F.lit(r"\b(years?|yrs?|yr|months?|mths?|mth|mo|days?|d)\b"))) & (months.isNotNull() | days.isNotNull())
+    amount = normalize.amount(v)
+    amounts = F.transform(F.regexp_extract_all(low, F.lit(AMOUNT_PHRASE), F.lit(0)), spaced)
+    digits = F.regexp_extract(v, r"[-+]?\d+(?:\.\d+)?", 0)
+    bare = F.transform(F.regexp_extract_all(low, F.lit(r"[-+]?[\d.]+"), F.lit(0)), lambda x: x)
+    numeric = F.when(_any(amounts, lambda x: normalize.amount(x) == amount), "CURRENCY_MATCH").when((digits != "") & F.array_contains(bare, digits), "NUMERIC_TOKEN_MATCH").otherwise("NUMERIC_MISMATCH")
+    flag = normalize.boolean(v)
+    named = F.filter(F.split(F.regexp_replace(f, "^(is_|has_|are_)", ""), r"[_\s\-]+"), lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS, *CLAIM_WORDS))
+    seen = F.size(F.filter(named, lambda t: F.contains(low, t)))
+    negated = F.regexp_like(low, F.lit(r"\b(not|unauthorized|non-compliant|ineligible|rejected|disqualified)\b"))
+    affirmed = (
+        F.when(F.size(named) == 0, F.when(has(low, "yes", "confirmed", "submitted", "available", "compliant"), "AFFIRMATIVE_WORD_FOUND").otherwise("BOOLEAN_UNSUPPORTED"))
+        .when(seen == F.size(named), F.when(negated, "NEGATED_BOOLEAN").otherwise("BOOLEAN_AFFIRMED"))
+        .when((seen > 0) & (seen / F.size(named) >= 0.5), "BOOLEAN_PARTIAL_AFFIRMED")
+        .otherwise("BOOLEAN_UNSUPPORTED")
+    )
+    words = F.filter(F.regexp_extract_all(vl, F.lit(r"\b[A-Za-z0-9]+(?::[A-Za-z0-9]+)?\b"), F.lit(0)), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
+    held = F.size(F.filter(words, lambda t: F.contains(low, t)))
+    codes = F.filter(words, lambda t: F.regexp_like(t, F.lit("[0-9:]")))
+    textual = (
+        F.when(F.contains(low, vl), "EXACT_SUBSTRING_MATCH")
+        .when(F.size(words) == 0, "NO_SUBSTANTIVE_TOKENS")
+        .when(F.size(F.filter(codes, lambda t: ~F.contains(low, t))) > 0, "CODE_MISMATCH")
+        .when(held / F.size(words) >= 0.75, "TOKEN_CONTAINMENT_MATCH")
+        .otherwise("TEXT_UNSUPPORTED")
+    )
+    return (
+        F.when(value.isNull() | (v == ""), "EMPTY_VALUE")
+        .when(has(f, "gstin", "pan", "udyam", "cin", "registration", "cert_number"), identifier)
+        .when(timed, lasting)
+        .when(amount.isNotNull(), numeric)
+        .when(flag, affirmed)
+        .when(~flag, "BOOLEAN_NEGATIVE_ACCEPTED")
+        .otherwise(textual)
+    )
+
+
+SUPPORTED = (
+    "EXACT_IDENTIFIER_MATCH", "DURATION_NORMALIZED_MATCH", "CURRENCY_MATCH", "NUMERIC_TOKEN_MATCH", "BOOLEAN_AFFIRMED", "BOOLEAN_PARTIAL_AFFIRMED", "AFFIRMATIVE_WORD_FOUND", "BOOLEAN_NEGATIVE_ACCEPTED", "EXACT_SUBSTRING_MATCH", "TOKEN_CONTAINMENT_MATCH",
+)
 
-def merge(candidates: DataFrame) -> DataFrame:
-    """Merge candidates (key, candidate_id, position, mandatory, text) of one key whose positions touch or overlap.
 
-    Positions are block numbers; runs of consecutive numbers are the connected components, so
-    the result does not depend on the order of the input.
-    """
-    from pyspark.sql import Window
+def ground(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(candidate_id, grounded, n_blocks, resolved) for candidates (candidate_id, doc_id, block_ids): one unknown id fails the candidate.
 
-    w = Window.partitionBy("key").orderBy("position")
-    begun = candidates.withColumn("new", F.coalesce((F.col("position") > F.lag("position").over(w) + 1).cast("int"), F.lit(1))).withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return begun.groupBy("key", "part").agg(F.count("*").alias("n"), F.bool_or("mandatory").alias("mandatory"), F.max(F.length("text")).alias("longest"), F.min("position").alias("first_position"))
+    ``resolved`` has the known blocks in the order of the ids, each once, with their texts.
+    """
+    each = candidates.select("candidate_id", "doc_id", F.posexplode(F.array_distinct("block_ids")).alias("place", "block_id"))
+    known = blocks.select("doc_id", "block_id", "page_number", F.col("text").alias("block_text"), F.lit(True).alias("known"))
+    resolved = F.sort_array(F.collect_list(F.when(F.col("known"), F.struct("place", "block_id", "page_number", "block_text"))))
+    return each.join(known, ["doc_id", "block_id"], "left").groupBy("candidate_id").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("grounded"), F.count("*").alias("n_blocks"), resolved.alias("resolved"))
 
 
 def typed(field: Column, value: Column) -> Column:
@@ -90,10 +169,22 @@ def valid_box(box: Column, width: float, height: float) -> Column:
     return F.when(F.size(box) != 4, "SIZE").when(F.exists(box, lambda v: v < 0), "NEGATIVE").when((box[2] <= box[0]) | (box[3] <= box[1]), "ORDER").when((box[2] > height) | (box[3] > width), "BOUNDS").otherwise("OK")
 
 
+# Document types and what names them; the first that holds decides.
 def document_type(path: Column, text: Column) -> Column:
+    """The type of a document by its folder, its file name, and the first 300 characters of its text."""
     low, head = F.lower(path), F.lower(F.substring(text, 1, 300))
-    has = lambda c, *w: F.regexp_like(c, F.lit("|".join(w)))
-    return F.when(has(low, "tender", "nit"), "TENDER").when(has(low, "gst") | has(head, "gstin"), "GST_CERTIFICATE").when(has(head, "thanks", "the "), "LETTER").otherwise("OTHER")
+    name = F.substring_index(low, "/", -1)
+    holds = lambda c, *words: F.regexp_like(c, F.lit("|".join(words)))
+    return (
+        F.when(F.contains(low, F.lit("/tenders/")) | name.startswith("tender-"), "TENDER")
+        .when(F.contains(low, F.lit("/bids/")) | name.startswith("bid-"), "BID")
+        .when(holds(name, "^gem_", "^nit", "tender"), "TENDER")
+        .when(holds(name, "technical", "tech_bid") | F.contains(head, F.lit("technical bid")), "TECHNICAL_BID")
+        .when(holds(name, "financial", "boq", "price_bid"), "FINANCIAL_BID")
+        .when(holds(name, "cert", "udyam", "iso", "pan", "gst"), "CERTIFICATE")
+        .when(holds(name, "decl", "undertaking", "affidavit"), "DECLARATION")
+        .otherwise("UNKNOWN")
+    )
 
 
 def candidates(df: DataFrame, payload: str, schema: str) -> DataFrame:

@@ -5,41 +5,72 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.functions import normalize, predicates
+from attestra.functions import predicates
 
 from . import resolve
 
+#: A table of judgements goes to every executor up to so many rows (some 100 bytes each); a larger one is joined by a shuffle.
+MOST_JUDGED = 500_000
+CLAUSE = ("requirement_id", "category", "field", "operator", "expected_value", "mandatory", "is_effective", "superseded_by", "supersedes", "mse_exemption_allowed", "startup_exemption_allowed", "require_explicit_claim")
 
-def asked(requirements: DataFrame, bids: DataFrame, facts: DataFrame) -> DataFrame:
+
+def asked(requirements: DataFrame, bids: DataFrame, summary: DataFrame) -> DataFrame:
     """A row for each bid and requirement of its tender, with the bid's profile and applicability.
 
     Requirements are a list of clauses and broadcast; bids keep their partitioning.
     """
-    effective = normalize.with_readings(resolve.precedence(requirements).withColumn("_field", F.lower("field")), F.col("expected_value"), "e", expected=True)
+    effective = resolve.with_canonical(resolve.precedence(requirements), "field").withColumnRenamed("canonical", "asked_canonical")
     status, rule = resolve.applicability()
-    known = bids.join(resolve.profile(facts, ("is_mse",)), "bid_id", "left")
-    return known.join(F.broadcast(effective), "tender_id").withColumn("applicability", status).withColumn("applicability_rule", rule)
+    known = bids.join(resolve.profile(summary, resolve.PROFILE), "bid_id", "left")
+    return known.join(F.broadcast(effective), "tender_id").withColumns({"applicability": status, "applicability_rule": rule})
+
+
+def matched(requirements: DataFrame, bids: DataFrame, summary: DataFrame) -> DataFrame:
+    """``asked`` with the fact that answers each requirement, and how its exemption stands.
+
+    The first fact of the requirement's own field answers it; where the bid has none, the first
+    of any field with the same canonical field does.
+    """
+    rows = asked(requirements, bids, summary).withColumn("_field", F.lower("field"))
+    first = resolve.first_facts(summary)
+    own = first.select("bid_id", F.col("field").alias("_field"), F.struct("value", "source_document", "page", "extraction_confidence").alias("own"))
+    order = F.struct("fact_seq", "field")
+    canonical = first.filter("canonical is not null").groupBy("bid_id", F.col("canonical").alias("asked_canonical")).agg(F.min_by(F.struct("value", "source_document", "page", "extraction_confidence"), order).alias("other"))
+    found = rows.join(own, ["bid_id", "_field"], "left").join(canonical, ["bid_id", "asked_canonical"], "left").withColumn("fact", F.coalesce("own", "other"))
+    mse, startup = resolve.first_boolean(("is_mse", "mse_registered", "udyam_registration")), resolve.first_boolean(("is_startup", "startup_recognized", "dpiit_recognized"))
+    certified = F.coalesce("dpiit_number_first", "dpiit_certificate_first").isNotNull()
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    basis = (
+        F.when(~F.col("is_effective"), "SUPERSEDED")
+        .when(F.col("mse_exemption_allowed") & yes(mse), "EXEMPT")
+        .when(F.col("mse_exemption_allowed") & mse.isNull() & F.col("require_explicit_claim"), "UNCLAIMED")
+        .when(F.col("startup_exemption_allowed") & yes(startup) & certified, "EXEMPT")
+        .when(F.col("startup_exemption_allowed") & (yes(startup) | (startup.isNull() & F.col("require_explicit_claim"))), "UNCLAIMED")
+        .when(F.col("fact").isNull(), "ABSENT")
+        .otherwise("EVALUATED")
+    )
+    return found.select("bid_id", "tender_id", *CLAUSE, "applicability", "applicability_rule", basis.alias("basis"), F.col("asked_canonical").alias("canonical"), F.col("fact.value").alias("actual"), "fact.source_document", "fact.page", "fact.extraction_confidence")
+
+
+def judged(matched: DataFrame, known: DataFrame, reference_date: str) -> DataFrame:
+    """(operator, actual, expected, status, asks) of what ``matched`` asks for, each once; ``known`` has the readings of values."""
+    asked_for = matched.filter("basis = 'EVALUATED'").select("operator", "actual", F.col("expected_value").alias("expected"))
+    return predicates.judge(asked_for, known, reference_date)
 
 
-def verify(requirements: DataFrame, bids: DataFrame, facts: DataFrame, reference_date: str) -> DataFrame:
-    """One result for each bid and requirement.
+def results(matched: DataFrame, judged: DataFrame) -> DataFrame:
+    """One result for each bid and requirement, from written tables of both.
 
     Superseded clauses and verified exemptions are N/A; an exemption that has to be claimed
-    and is not is for review; no fact is MISSING; otherwise the operator decides on the first
-    fact of the field.
+    and is not is for review; no fact is MISSING; otherwise the operator has decided.
     """
-    rows = asked(requirements, bids, facts)
-    found = normalize.with_readings(resolve.first_facts(facts).withColumnRenamed("field", "_field"), F.col("value"), "a")
-    joined = rows.join(found, ["bid_id", "_field"], "left")
-    mse = normalize.boolean(F.col("is_mse_first"))
-    out = joined.withColumn("outcome", predicates.evaluate(F.col("operator"), normalize.Readings("a"), normalize.Readings("e"), F.to_date(F.lit(reference_date))))
-    exempt = F.col("mse_exemption_allowed") & F.coalesce(mse, F.lit(False))
-    unclaimed = F.col("mse_exemption_allowed") & mse.isNull() & F.col("require_explicit_claim")
-    none = F.col("source_document").isNull()
-    basis = F.when(~F.col("is_effective"), "SUPERSEDED").when(exempt, "EXEMPT").when(unclaimed, "UNCLAIMED").when(none, "ABSENT").otherwise("EVALUATED")
-    out = out.withColumn("basis", basis)
+    outcome = judged.select(F.col("operator").alias("_op"), F.col("actual").alias("_a"), F.col("expected").alias("_e"), F.col("status").alias("found"), "asks")
+    if judged.count() <= MOST_JUDGED:
+        outcome = F.broadcast(outcome)
+    same = (F.trim("operator") == F.col("_op")) & (F.col("actual") == F.col("_a")) & F.col("expected_value").eqNullSafe(F.col("_e")) & (F.col("basis") == "EVALUATED")
+    joined = matched.join(outcome, same, "left")
     b = F.col("basis")
-    status = F.when(b.isin("SUPERSEDED", "EXEMPT"), "N/A").when(b == "UNCLAIMED", "REVIEW").when(b == "ABSENT", "MISSING").otherwise(F.col("outcome.status"))
-    severity = F.when(b.isin("SUPERSEDED", "EXEMPT"), "INFO").when(b == "UNCLAIMED", "MAJOR").when((b == "ABSENT") & F.col("mandatory"), "CRITICAL").when(b == "ABSENT", "MINOR").otherwise(predicates.severity(F.col("outcome.status"), F.col("mandatory")))
-    review = F.when(b.isin("SUPERSEDED", "EXEMPT"), False).when(b == "UNCLAIMED", True).when(b == "ABSENT", F.col("mandatory")).otherwise(predicates.needs_review(F.col("outcome"), F.col("extraction_confidence")))
-    return out.select("bid_id", "tender_id", "requirement_id", "category", "field", "operator", "mandatory", "applicability", "applicability_rule", "basis", status.alias("status"), severity.alias("severity"), review.alias("requires_review"), F.col("value").alias("actual"), "expected_value", "source_document", "page")
+    status = F.when(b.isin("SUPERSEDED", "EXEMPT"), "N/A").when(b == "UNCLAIMED", "REVIEW").when(b == "ABSENT", "MISSING").otherwise(F.coalesce("found", F.lit("MISSING")))
+    severity = F.when(b.isin("SUPERSEDED", "EXEMPT"), "INFO").when(b == "UNCLAIMED", "MAJOR").when((b == "ABSENT") & F.col("mandatory"), "CRITICAL").when(b == "ABSENT", "MINOR").otherwise(predicates.severity(F.col("status"), F.col("mandatory")))
+    review = F.when(b.isin("SUPERSEDED", "EXEMPT"), False).when(b == "UNCLAIMED", True).when(b == "ABSENT", F.col("mandatory")).otherwise(F.coalesce("asks", F.lit(True)) | (F.coalesce("extraction_confidence", F.lit("")) == "LOW"))
+    return joined.withColumn("status", status).select("bid_id", "tender_id", "requirement_id", "category", "field", "canonical", "operator", "mandatory", "applicability", "applicability_rule", "basis", "superseded_by", "status", severity.alias("severity"), review.alias("requires_review"), "actual", "expected_value", "source_document", "page")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import identifiers, normalize, predicates
 from attestra.operators import integrity, registry, resolve, rollup, verify
-from attestra.sources import bridge
+from attestra.sources import bridge, tables
 
 from . import oracle
 
@@ -50,9 +50,9 @@ _scalar("h08_field_key", normalize.field_key, oracle.field_key("value"))
 _scalar("h09_legal_name", normalize.legal_name, oracle.legal_name("value"), "field = 'company_name'")
 _scalar("h10_registry_name", normalize.registry_name, oracle.registry_name("value"), "field = 'company_name'")
 _scalar("h11_lookup_key", normalize.lookup_key, "upper(regexp_replace(value, '\\s', '', 'g'))")
-_scalar("h12_identifier_formats", lambda c: identifiers.formats(c), identifiers.FORMATS_SQL, "field in ('gstin', 'company_name')")
+_scalar("h12_identifier_formats", lambda c: identifiers.formats(c), identifiers.FORMATS_SQL, "field in ('gstin', 'pan', 'udyam_registration', 'dpiit_number', 'company_name')")
 _scalar("h13_pan_of_gstin", lambda c: F.concat_ws("/", identifiers.pan_of(c), identifiers.state_of(c)), "CASE WHEN length(trim(value)) = 15 THEN substring(upper(trim(value)), 3, 10) || '/' || substring(trim(value), 1, 2) ELSE '' END", "field in ('gstin', 'iso_cert')")
-_scalar("h14_masks", identifiers.masked, identifiers.MASKED_SQL, "field in ('gstin', 'company_name')")
+_scalar("h14_masks", identifiers.all_masks, identifiers.MASKS_SQL, "field in ('gstin', 'pan', 'udyam_registration', 'company_name')")
 _scalar("h15_fingerprint", lambda c: F.concat_ws("/", identifiers.fingerprint(c, 12), identifiers.fingerprint(c, 16)), "substring(sha256(value), 1, 12) || '/' || substring(sha256(value), 1, 16)")
 
 
@@ -70,10 +70,10 @@ def _node_ids(spark, sf_dir):
     return f.select("bid_id", "fact_seq", identifiers.block_node_id(F.col("source_document"), F.col("page"), block, snippet).alias("node_id"))
 
 
-@register("h18_canonical_json", oracle.sql("SELECT bid_id, fact_seq, sha256('{\"bid_id\":' || CAST(bid_id AS VARCHAR) || ',\"document\":\"' || source_document || '\",\"page\":' || CAST(page AS VARCHAR) || ',\"value\":\"' || value || '\"}') AS digest FROM facts WHERE field = 'turnover_cr'", "facts"))
+@register("h18_canonical_json", "SELECT o_orderkey, sha256('{\"key\":' || CAST(o_orderkey AS VARCHAR) || ',\"share\":' || CAST(round(o_totalprice / 7, 6) AS VARCHAR) || ',\"status\":\"' || o_orderstatus || '\"}') AS digest FROM orders WHERE o_totalprice < 1000000")
 def _canonical(spark, sf_dir):
-    f = bridge.facts(spark, sf_dir).filter("field = 'turnover_cr'")
-    return f.select("bid_id", "fact_seq", F.sha2(identifiers.canonical_json(bid_id=F.col("bid_id"), document=F.col("source_document"), page=F.col("page"), value=F.col("value")), 256).alias("digest"))
+    o = bridge.table(spark, sf_dir, "orders").filter("o_totalprice < 1000000")
+    return o.select("o_orderkey", F.sha2(identifiers.canonical_json(status=F.col("o_orderstatus"), key=F.col("o_orderkey"), share=identifiers.six_places(F.col("o_totalprice") / 7)), 256).alias("digest"))
 
 
 @register("h19_typed_values", oracle.sql(f"SELECT bid_id, field, fact_seq, CASE WHEN field IN ('iso_cert', 'is_mse') THEN CAST({oracle.boolean('value')} AS VARCHAR) WHEN field = 'turnover_cr' THEN CAST(CAST({oracle.amount('value')} AS BIGINT) AS VARCHAR) WHEN field = 'warranty_years' THEN CAST(CAST({oracle.duration('value')} AS BIGINT) AS VARCHAR) WHEN field = 'delivery_days' THEN CAST(CAST({oracle.duration('value', 'DAYS')} AS BIGINT) AS VARCHAR) WHEN field = 'gstin' THEN upper(trim(value)) ELSE value END AS typed FROM facts", "facts"))
@@ -89,8 +89,10 @@ def _typed(spark, sf_dir):
 
 def _operator(name: str, op: str, field: str, expected: str | None) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        typed = normalize.with_readings(normalize.with_readings(bridge.facts(spark, sf_dir).filter(F.col("field") == field), F.col("value"), "a"), F.lit(expected).cast("string"), "e", expected=True)
-        return typed.select("bid_id", "fact_seq", F.col("value").alias("actual"), predicates.evaluate(F.lit(op), normalize.Readings("a"), normalize.Readings("e"), F.to_date(F.lit(bridge.REFERENCE_DATE)))["status"].alias("status"))
+        mine = bridge.facts(spark, sf_dir).filter(F.col("field") == field)
+        asked = mine.select(F.lit(op).alias("operator"), F.col("value").alias("actual"), F.lit(expected).cast("string").alias("expected")).distinct()
+        decided = predicates.judge(asked, readings(spark, sf_dir), bridge.REFERENCE_DATE).select(F.col("actual").alias("value"), "status")
+        return mine.join(decided, "value").select("bid_id", "fact_seq", F.col("value").alias("actual"), "status")
 
     e = "CAST(NULL AS VARCHAR)" if expected is None else "'" + expected + "'"
     register(name, oracle.sql("SELECT bid_id, fact_seq, a AS actual, op_status AS status FROM (" + oracle.readings(f"(SELECT bid_id, fact_seq, value AS a, {e} AS e, '{op}' AS op FROM facts WHERE field = '{field}')") + ")", "facts"))(query)
@@ -104,12 +106,11 @@ for _name, _op, _field, _expected in (
     _operator(_name, _op, _field, _expected)
 
 
-@register("b16_dispatch", oracle.sql("SELECT operator, op_status AS status, count(*) AS n FROM joined JOIN decided d ON joined.a IS NOT DISTINCT FROM d.a AND joined.e IS NOT DISTINCT FROM d.e AND joined.op = d.op GROUP BY ALL", "joined", "decided"))
+@register("b16_dispatch", oracle.sql("SELECT trim(operator) AS operator, op_status AS status, count(*) AS n FROM joined JOIN decided d ON joined.a IS NOT DISTINCT FROM d.a AND joined.e IS NOT DISTINCT FROM d.e AND joined.op = d.op WHERE basis = 'EVALUATED' GROUP BY ALL", "joined", "decided"))
 def _dispatch(spark, sf_dir):
-    facts, reqs = bridge.facts(spark, sf_dir), bridge.requirements(spark)
-    first = resolve.first_facts(facts)
-    rows = bridge.bids(spark, sf_dir).join(F.broadcast(normalize.with_readings(reqs, F.col("expected_value"), "e", expected=True)), "tender_id").join(normalize.with_readings(first, F.col("value"), "a"), ["bid_id", "field"], "left")
-    return rows.withColumn("status", predicates.evaluate(F.col("operator"), normalize.Readings("a"), normalize.Readings("e"), F.to_date(F.lit(bridge.REFERENCE_DATE)))["status"]).groupBy("operator", "status").agg(F.count("*").alias("n"))
+    asked = matched(spark, sf_dir).filter("basis = 'EVALUATED'").select(F.trim("operator").alias("operator"), "actual", F.col("expected_value").alias("expected"))
+    found = judged(spark, sf_dir).select(F.col("operator").alias("o"), F.col("actual").alias("a"), F.col("expected").alias("e"), "status")
+    return asked.join(found, (asked["operator"] == F.col("o")) & (asked["actual"] == F.col("a")) & asked["expected"].eqNullSafe(F.col("e"))).groupBy("operator", "status").agg(F.count("*").alias("n"))
 
 
 @register("b17_severity_and_review", oracle.sql("SELECT status, mandatory, severity, requires_review, count(*) AS n FROM results WHERE basis = 'EVALUATED' GROUP BY ALL", "results"))
@@ -130,85 +131,130 @@ def _events_of_type(spark, sf_dir):
 # --- precedence, profiles, applicability ---------------------------------------------------
 
 
-@register("e01_precedence", oracle.sql("SELECT tender_id, requirement_id, source_priority, rank = 1 AS is_effective, CASE WHEN rank > 1 THEN winner END AS superseded_by, CASE WHEN rank = 1 AND len(chain) > 1 THEN array_to_string(chain[2:], ', ') END AS supersedes FROM prec", "prec"))
+_PART_CLAUSES = "SELECT p_brand AS tender_id, 'R' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS requirement_id, lower(p_type) AS field, CASE p_size % 3 WHEN 0 THEN 'GTC' WHEN 1 THEN 'STC' ELSE 'ATC' END AS source_type, CASE WHEN p_size % 2 = 0 THEN 0 ELSE p_size % 4 END AS source_priority FROM part"
+
+
+@register("e01_precedence", f"WITH reqs AS ({_PART_CLAUSES}), prec AS (SELECT *, row_number() OVER w AS rank, first_value(requirement_id) OVER w AS winner, list(requirement_id) OVER (PARTITION BY tender_id, field ORDER BY source_priority DESC, requirement_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS chain FROM (SELECT * REPLACE (CASE WHEN source_priority = 0 THEN CASE source_type WHEN 'GTC' THEN 1 WHEN 'STC' THEN 2 WHEN 'ATC' THEN 3 ELSE 0 END ELSE source_priority END AS source_priority) FROM reqs) WINDOW w AS (PARTITION BY tender_id, field ORDER BY source_priority DESC, requirement_id DESC)) SELECT tender_id, requirement_id, source_priority, rank = 1 AS is_effective, CASE WHEN rank > 1 THEN winner END AS superseded_by, CASE WHEN rank = 1 AND len(chain) > 1 THEN array_to_string(chain[2:], ', ') END AS supersedes FROM prec")
 def _precedence(spark, sf_dir):
-    return resolve.precedence(bridge.requirements(spark).join(bridge.bids(spark, sf_dir).select("tender_id").distinct(), "tender_id")).select("tender_id", "requirement_id", "source_priority", "is_effective", "superseded_by", "supersedes")
+    size = F.col("p_size")
+    clauses = bridge.table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("tender_id"), F.concat(F.lit("R"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("requirement_id"), F.lower("p_type").alias("field"),
+        F.when(size % 3 == 0, "GTC").when(size % 3 == 1, "STC").otherwise("ATC").alias("source_type"), F.when(size % 2 == 0, 0).otherwise(size % 4).alias("source_priority"),
+    )
+    return resolve.precedence(clauses).select("tender_id", "requirement_id", "source_priority", "is_effective", "superseded_by", "supersedes")
 
 
 @register("e02_first_facts", oracle.sql("SELECT bid_id, field, value, source_document, page FROM first_facts", "first_facts"))
 def _first(spark, sf_dir):
-    return resolve.first_facts(bridge.facts(spark, sf_dir)).select("bid_id", "field", "value", "source_document", "page")
+    return resolve.first_facts(summary(spark, sf_dir)).select("bid_id", "field", "value", "source_document", "page")
 
 
 @register("e03_last_facts", oracle.sql("SELECT bid_id, field, value FROM last_facts", "last_facts"))
 def _last(spark, sf_dir):
-    return resolve.last_facts(bridge.facts(spark, sf_dir))
+    return resolve.last_facts(summary(spark, sf_dir))
+
 
+_RUNNING = "'{0}-' || CAST(bid_id AS VARCHAR) || '-' || lpad(CAST(row_number() OVER (PARTITION BY bid_id ORDER BY {1}) AS VARCHAR), 3, '0')"
 
-@register("e04_review_ids", oracle.sql("SELECT bid_id, category, related, 'REV-' || CAST(bid_id AS VARCHAR) || '-' || lpad(CAST(row_number() OVER (PARTITION BY bid_id ORDER BY source_order, related) AS VARCHAR), 3, '0') AS review_id FROM queue", "queue"))
+
+@register("e04_review_ids", oracle.sql(f"SELECT bid_id, category, related, {_RUNNING.format('REV', 'source_order, related')} AS review_id FROM queue", "queue"))
 def _review_ids(spark, sf_dir):
-    return rollup.numbered(queue(spark, sf_dir)).select("bid_id", "category", "related", "review_id")
+    return rollup.numbered(queue(spark, sf_dir), "REV", ["source_order", "related"]).select("bid_id", "category", "related", F.col("running_id").alias("review_id"))
+
 
+@register("e04_running_ids", oracle.sql(f"SELECT bid_id, kind, what, running_id FROM (SELECT bid_id, 'FINDING' AS kind, finding_id AS what, {_RUNNING.format('INT', 'finding_id')} AS running_id FROM findings UNION ALL SELECT bid_id, 'REQUIREMENT', requirement_id, {_RUNNING.format('REQ', 'requirement_id')} FROM results UNION ALL SELECT bid_id, 'FACT', field || '-' || CAST(fact_seq AS VARCHAR), {_RUNNING.format('FACT', 'fact_seq, field')} FROM facts)", "findings", "results", "facts"))
+def _running_ids(spark, sf_dir):
+    f = findings(spark, sf_dir).select("bid_id", F.lit("FINDING").alias("kind"), rollup.finding_id().alias("what"))
+    r = results(spark, sf_dir).select("bid_id", F.lit("REQUIREMENT").alias("kind"), F.col("requirement_id").alias("what"))
+    g = bridge.facts(spark, sf_dir).select("bid_id", F.lit("FACT").alias("kind"), F.concat_ws("-", "field", "fact_seq").alias("what"), "fact_seq", "field")
+    parts = [rollup.numbered(f, "INT", ["what"]), rollup.numbered(r, "REQ", ["what"]), rollup.numbered(g, "FACT", ["fact_seq", "field"])]
+    out = [x.select("bid_id", "kind", "what", "running_id") for x in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
-@register("e05_first_boolean", oracle.sql(f"SELECT bid_id, coalesce({oracle.boolean('max(value) FILTER (field = $$is_mse$$)')}, {oracle.boolean('max(value) FILTER (field = $$iso_cert$$)')}) AS flag FROM first_facts GROUP BY bid_id".replace("$$", "'"), "first_facts"))
+
+@register("e05_first_boolean", oracle.sql(f"SELECT bid_id, coalesce({oracle.boolean('max(value) FILTER (field = $$is_mse$$)')}, {oracle.boolean('max(value) FILTER (field = $$iso_cert$$)')}) AS flag FROM first_facts WHERE field IN ($$is_mse$$, $$iso_cert$$) GROUP BY bid_id".replace("$$", "'"), "first_facts"))
 def _first_boolean(spark, sf_dir):
-    p = resolve.profile(bridge.facts(spark, sf_dir), ("is_mse", "iso_cert"))
-    return p.select("bid_id", F.coalesce(normalize.boolean(F.col("is_mse_first")), normalize.boolean(F.col("iso_cert_first"))).alias("flag"))
+    p = resolve.profile(summary(spark, sf_dir), ("is_mse", "iso_cert"))
+    return p.select("bid_id", resolve.first_boolean(("is_mse", "iso_cert")).alias("flag"))
 
 
 @register("k01_applicability", oracle.sql("SELECT bid_id, requirement_id, applicability, applicability_rule FROM asked", "asked"))
 def _applicability(spark, sf_dir):
-    return verify.asked(bridge.requirements(spark), bridge.bids(spark, sf_dir), bridge.facts(spark, sf_dir)).select("bid_id", "requirement_id", "applicability", "applicability_rule")
+    return verify.asked(bridge.requirements(spark), bridge.bids(spark, sf_dir), summary(spark, sf_dir)).select("bid_id", "requirement_id", "applicability", "applicability_rule")
 
 
 # --- joins ---------------------------------------------------------------------------------
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.verify(bridge.requirements(spark), bridge.bids(spark, sf_dir), bridge.facts(spark, sf_dir), bridge.REFERENCE_DATE)
+def _once(name: str, build: Callable[[SparkSession, str], DataFrame]) -> Query:
+    return lambda spark, sf_dir: tables.once(spark, sf_dir, name, lambda: build(spark, sf_dir))
+
+
+#: Tables that most queries start from; each is written once.
+readings = _once("readings", lambda s, d: predicates.readings(bridge.facts(s, d)))
+summary = _once("summary", lambda s, d: resolve.summary(bridge.facts(s, d)))
+matched = _once("matched", lambda s, d: verify.matched(bridge.requirements(s), bridge.bids(s, d), summary(s, d)))
+judged = _once("judged", lambda s, d: verify.judged(matched(s, d), readings(s, d), bridge.REFERENCE_DATE))
+results = _once("results", lambda s, d: verify.results(matched(s, d), judged(s, d)))
+pairs = _once("pairs", lambda s, d: integrity.pairs(bridge.facts(s, d), readings(s, d)))
+checks = _once("checks", lambda s, d: registry.check(registry.keys(identities(s, d)), bridge.registry(s, d)))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.findings(bridge.facts(spark, sf_dir))
+    return integrity.findings(pairs(spark, sf_dir))
 
 
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = resolve.profile(bridge.facts(spark, sf_dir), ("gstin", "company_name"))
-    return p.select("bid_id", F.col("gstin_last").alias("identifier"), F.col("company_name_last").alias("expected_name"))
+    """(bid_id, gstin, pan, udyam, authorization, declaration, itr_pan, expected_name): what a bid calls itself last."""
+    p = resolve.profile(summary(spark, sf_dir), ("gstin", "pan", "udyam_registration", "oem_authorization", "mii_declaration", "company_name"))
+    last = lambda f, name: F.col(f"{f}_last").alias(name)
+    return p.select("bid_id", last("gstin", "gstin"), last("pan", "pan"), last("udyam_registration", "udyam"), last("oem_authorization", "authorization"), last("mii_declaration", "declaration"), F.coalesce("pan_last", identifiers.pan_of(F.col("gstin_last"))).alias("itr_pan"), last("company_name", "expected_name"))
 
 
-def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.check(identities(spark, sf_dir), bridge.registry(spark, sf_dir))
+def gst_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks(spark, sf_dir).filter("registry = 'GST'").select("bid_id", "identifier", "expected_name", F.col("holder").alias("registered_name"), "status")
 
 
 def debarment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.is_debarred(identities(spark, sf_dir), bridge.debarred(spark, sf_dir))
 
 
+def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(bid_id, related): facts of weight that were read with low confidence."""
+    weak = resolve.first_facts(summary(spark, sf_dir)).filter("extraction_confidence = 'LOW' and field in ('gstin', 'turnover_cr')")
+    return weak.select("bid_id", F.concat_ws("-", "field", "page").alias("related"))
+
+
+def signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    return results(spark, sf_dir), findings(spark, sf_dir), checks(spark, sf_dir), debarment(spark, sf_dir), warnings(spark, sf_dir)
+
+
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.review_queue(results(spark, sf_dir), findings(spark, sf_dir), checks(spark, sf_dir), debarment(spark, sf_dir))
+    return rollup.review_queue(*signals(spark, sf_dir))
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.scores(results(spark, sf_dir), findings(spark, sf_dir), debarment(spark, sf_dir))
+def tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.tally(bridge.bids(spark, sf_dir), *signals(spark, sf_dir))
 
 
-def risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.risk(bridge.bids(spark, sf_dir), rollup.risk_factors(results(spark, sf_dir), findings(spark, sf_dir), checks(spark, sf_dir), debarment(spark, sf_dir)))
+_NAMES = "SELECT DISTINCT event_type || ' ' || CAST(user_id % 7 AS VARCHAR) AS raw FROM events UNION SELECT DISTINCT CASE CAST(event_id AS BIGINT) % 9 WHEN 0 THEN 'GST Number' WHEN 1 THEN 'turnover_ratio' WHEN 2 THEN 'Warranty-Period' WHEN 3 THEN 'experience' WHEN 4 THEN 'pan' WHEN 5 THEN 'PAN' WHEN 6 THEN 'Net.Worth / CR' WHEN 7 THEN '3-year average turnover' ELSE 'COMPANY_NAME' END FROM events"
+_ALIAS_LIST = oracle._list([a for some in resolve.ALIASES.values() for a in some])
 
 
-@register("c01_resolve_fields", f"WITH names AS (SELECT DISTINCT event_type || ' ' || CAST(user_id % 7 AS VARCHAR) AS raw FROM events UNION SELECT DISTINCT CASE CAST(event_id AS BIGINT) % 6 WHEN 0 THEN 'GST Number' WHEN 1 THEN 'turnover_ratio' WHEN 2 THEN 'Warranty-Period' WHEN 3 THEN 'experience' WHEN 4 THEN 'pan' ELSE 'COMPANY_NAME' END FROM events), alias(a, c) AS (VALUES {oracle.ALIAS_VALUES}) SELECT raw, CASE WHEN {oracle.field_key('raw')} IN {oracle.AMBIGUOUS_LIST} THEN NULL ELSE coalesce((SELECT any_value(c) FROM alias WHERE c = upper(trim(raw))), (SELECT any_value(c) FROM alias WHERE a = lower(trim(raw))), (SELECT any_value(c) FROM alias WHERE a = {oracle.field_key('raw')})) END AS canonical FROM names")
+@register("c01_resolve_fields", f"WITH names AS ({_NAMES}), alias(a, c) AS (VALUES {oracle.ALIAS_VALUES}) SELECT raw, CASE WHEN k NOT IN {oracle.AMBIGUOUS_LIST} THEN c END AS canonical, CASE WHEN k IN {oracle.AMBIGUOUS_LIST} THEN 'AMBIGUOUS' WHEN c IS NOT NULL THEN 'RESOLVED' ELSE 'UNMAPPED' END AS resolution, CASE WHEN k IN {oracle.AMBIGUOUS_LIST} OR c IS NULL THEN NULL WHEN trim(raw) IN {oracle._list(resolve.ALIASES)} THEN 'EXACT_CANONICAL' WHEN trim(raw) IN {_ALIAS_LIST} THEN 'EXACT_ALIAS' ELSE 'NORMALIZED_ALIAS' END AS method FROM (SELECT raw, {oracle.field_key('raw')} AS k FROM names) LEFT JOIN alias ON a = k")
 def _fields(spark, sf_dir):
     e = bridge.table(spark, sf_dir, "events")
-    k = F.col("event_id").cast("bigint") % 6
-    named = F.when(k == 0, "GST Number").when(k == 1, "turnover_ratio").when(k == 2, "Warranty-Period").when(k == 3, "experience").when(k == 4, "pan").otherwise("COMPANY_NAME")
+    k = F.col("event_id").cast("bigint") % 9
+    named = F.lit("COMPANY_NAME")
+    for i, name in enumerate(("GST Number", "turnover_ratio", "Warranty-Period", "experience", "pan", "PAN", "Net.Worth / CR", "3-year average turnover")):
+        named = F.when(k == i, name).otherwise(named)
     raw = e.select(F.concat_ws(" ", "event_type", (F.col("user_id") % 7).cast("string")).alias("raw")).union(e.select(named)).distinct()
-    return resolve.resolve_fields(raw, "raw").select("raw", "canonical")
+    return resolve.resolve_fields(raw, "raw").select("raw", "canonical", "resolution", "method")
 
 
-@register("c02_match_facts", oracle.sql("SELECT q.bid_id, q.requirement_id, f.value, f.source_document FROM asked q LEFT JOIN first_facts f ON q.bid_id = f.bid_id AND q.field = f.field", "asked", "first_facts"))
+@register("c02_match_facts", oracle.sql("SELECT bid_id, requirement_id, a AS value, source_document, page FROM joined", "joined"))
 def _match(spark, sf_dir):
-    return results(spark, sf_dir).select("bid_id", "requirement_id", F.col("actual").alias("value"), "source_document")
+    return matched(spark, sf_dir).select("bid_id", "requirement_id", F.col("actual").alias("value"), "source_document", "page")
 
 
 @register("c03_verify_bids", oracle.sql("SELECT bid_id, tender_id, requirement_id, status, severity, requires_review, basis FROM results", "results"))
@@ -221,36 +267,38 @@ def _exemptions(spark, sf_dir):
     return results(spark, sf_dir).filter("basis in ('EXEMPT', 'UNCLAIMED')").select("bid_id", "requirement_id", "basis", "status")
 
 
-@register("c05_contradiction_pairs", oracle.sql("SELECT bid_id, field, seq_a, seq_b, status, finding_type, severity FROM findings", "findings"))
+@register("c05_contradiction_pairs", oracle.sql("SELECT bid_id, field, raw_field_a, raw_field_b, seq_a, seq_b, status, finding_type, severity FROM findings", "findings"))
 def _contradictions(spark, sf_dir):
-    return findings(spark, sf_dir).select("bid_id", "field", "seq_a", "seq_b", "status", "finding_type", "severity")
+    return findings(spark, sf_dir).select("bid_id", "field", "raw_field_a", "raw_field_b", "seq_a", "seq_b", "status", "finding_type", "severity")
 
 
 @register("c06_compare_values", oracle.sql("SELECT field, finding_type, status, count(*) AS n FROM pairs GROUP BY ALL", "pairs"))
 def _compare(spark, sf_dir):
-    return integrity.pairs(bridge.facts(spark, sf_dir)).groupBy("field", "finding_type", "status").agg(F.count("*").alias("n"))
+    return pairs(spark, sf_dir).groupBy("field", "finding_type", "status").agg(F.count("*").alias("n"))
 
 
-_HINTS = "CASE seq_a % 5 WHEN 0 THEN 'GSTIN_MISMATCH' WHEN 1 THEN 'WARRANTY_X' WHEN 2 THEN 'COMPANY_NAME_VARIANT' WHEN 3 THEN 'BENIGN_NAME_VARIANT' ELSE 'turnover' END"
+_HINTS = "CASE seq_a % 5 WHEN 0 THEN 'GSTIN_MISMATCH' WHEN 1 THEN 'WARRANTY_X' WHEN 2 THEN 'COMPANY_NAME_VARIANT' WHEN 3 THEN 'BENIGN_NAME_VARIANT' ELSE 'TURNOVER_' || upper(field) END"
+_KNOWN_FIELD = "CASE WHEN (seq_a + seq_b) % 2 = 0 THEN '' ELSE field END"
 
 
-@register("c07_hinted_pairs", oracle.sql(f"SELECT bid_id, seq_a, seq_b, eff AS effective_field, CASE WHEN doc = '' AND pg = 1 AND vb = '' THEN 'INCOMPLETE_EVIDENCE' WHEN hint IN ('COMPANY_NAME_VARIANT', 'BENIGN_NAME_VARIANT') THEN hint ELSE ({oracle.compare('eff', 'value_a', 'vb')}).finding_type END AS finding_type FROM (SELECT *, CASE WHEN contains(hint, 'GSTIN') THEN 'gstin' WHEN contains(hint, 'WARRANTY') THEN 'warranty_years' WHEN contains(hint, 'TURNOVER') THEN 'turnover_cr' WHEN contains(hint, 'NAME') THEN 'company_name' ELSE lower(hint) END AS eff FROM (SELECT bid_id, seq_a, seq_b, value_a, {_HINTS} AS hint, CASE WHEN seq_b % 4 = 0 THEN '' ELSE value_b END AS vb, CASE WHEN seq_b % 4 = 0 THEN '' ELSE document_b END AS doc, 1 AS pg FROM raw_pairs WHERE field = 'turnover_cr'))", "raw_pairs"))
+@register("c07_hinted_pairs", oracle.sql(f"SELECT bid_id, raw_field_a, seq_a, raw_field_b, seq_b, eff AS effective_field, CASE WHEN doc = '' AND pg = 1 AND vb = '' THEN 'INCOMPLETE_EVIDENCE' WHEN hint IN ('COMPANY_NAME_VARIANT', 'BENIGN_NAME_VARIANT') THEN hint ELSE ({oracle.compare('eff', 'value_a', 'vb')}).finding_type END AS finding_type FROM (SELECT *, CASE WHEN known <> '' THEN known WHEN contains(hint, 'GSTIN') THEN 'gstin' WHEN contains(hint, 'WARRANTY') THEN 'warranty_years' WHEN contains(hint, 'TURNOVER') THEN 'turnover_cr' WHEN contains(hint, 'NAME') THEN 'company_name' ELSE lower(hint) END AS eff FROM (SELECT bid_id, raw_field_a, seq_a, raw_field_b, seq_b, value_a, {_HINTS} AS hint, {_KNOWN_FIELD} AS known, CASE WHEN seq_b % 4 = 0 THEN '' ELSE value_b END AS vb, CASE WHEN seq_b % 4 = 0 THEN '' ELSE document_b END AS doc, 1 AS pg FROM raw_pairs))", "raw_pairs"))
 def _hinted(spark, sf_dir):
-    p = integrity.pairs(bridge.facts(spark, sf_dir)).filter("field = 'turnover_cr'")
     gone = F.col("seq_b") % 4 == 0
-    asked = p.select("bid_id", "seq_a", "seq_b", F.lit("").alias("field"), F.expr(_HINTS).alias("hint"), "value_a", F.when(gone, "").otherwise(F.col("value_b")).alias("value_b"), F.when(gone, "").otherwise(F.col("document_b")).alias("document_b"), F.lit(1).alias("page_b"))
-    return integrity.hinted(asked).select("bid_id", "seq_a", "seq_b", "effective_field", "finding_type")
+    asked = pairs(spark, sf_dir).select("bid_id", "raw_field_a", "seq_a", "raw_field_b", "seq_b", F.expr(_KNOWN_FIELD).alias("field"), F.expr(_HINTS).alias("hint"), "value_a", F.when(gone, "").otherwise(F.col("value_b")).alias("value_b"), F.when(gone, "").otherwise(F.col("document_b")).alias("document_b"), F.lit(1).alias("page_b"))
+    return integrity.hinted(asked, readings(spark, sf_dir)).select("bid_id", "raw_field_a", "seq_a", "raw_field_b", "seq_b", "effective_field", "finding_type")
 
 
-@register("c08_registry_checks", oracle.sql("SELECT bid_id, identifier, registered_name, status FROM checks", "checks"))
+@register("c08_registry_checks", oracle.sql("SELECT bid_id, registry, identifier, holder, status FROM checks", "checks"))
 def _checks(spark, sf_dir):
-    return checks(spark, sf_dir).select("bid_id", "identifier", "registered_name", "status")
+    return checks(spark, sf_dir).select("bid_id", "registry", "identifier", "holder", "status")
 
 
-@register("c09_registry_fallback", oracle.sql(f"SELECT bid_id, CASE WHEN st IS NULL THEN 'NOT_FOUND' WHEN st <> 'ACTIVE' THEN 'INACTIVE' WHEN NOT ({oracle.registry_name('nm')} = {oracle.registry_name('expected_name')} OR contains({oracle.registry_name('nm')}, {oracle.registry_name('expected_name')}) OR contains({oracle.registry_name('expected_name')}, {oracle.registry_name('nm')})) THEN 'IDENTITY_MISMATCH' ELSE 'VERIFIED' END AS status FROM (SELECT i.bid_id, i.expected_name, coalesce(r.registered_name, n.registered_name) AS nm, coalesce(r.registration_status, n.registration_status) AS st FROM ids i LEFT JOIN registry r ON r.gstin = i.identifier AND i.bid_id % 2 = 0 LEFT JOIN registry n ON upper(replace(n.registered_name, ' ', '')) = upper(replace(i.expected_name, ' ', '')))", "ids", "registry"))
+@register("c09_registry_fallback", oracle.sql("SELECT q.bid_id, q.registry, a.r IS NOT NULL AS by_identifier, a.r IS NULL AND b.r IS NOT NULL AS by_other FROM questions q LEFT JOIN records a ON a.registry = q.registry AND a.k = upper(regexp_replace(q.identifier, '\\s', '', 'g')) LEFT JOIN records b ON b.registry = q.registry AND b.k = upper(regexp_replace(q.other, '\\s', '', 'g')) WHERE q.other IS NOT NULL", "questions", "records"))
 def _fallback(spark, sf_dir):
-    asked = identities(spark, sf_dir).withColumn("identifier", F.when(F.col("bid_id") % 2 == 0, F.col("identifier")))
-    return registry.check(asked, bridge.registry(spark, sf_dir), fallback=True).select("bid_id", "status")
+    asked = registry.keys(identities(spark, sf_dir)).filter("other is not null")
+    own = registry.check(asked.withColumn("other", F.lit(None).cast("string")), bridge.registry(spark, sf_dir)).select("bid_id", "registry", (F.col("status") != "NOT_FOUND").alias("by_identifier"))
+    any_key = registry.check(asked, bridge.registry(spark, sf_dir)).select("bid_id", "registry", (F.col("status") != "NOT_FOUND").alias("found"))
+    return any_key.join(own, ["bid_id", "registry"]).select("bid_id", "registry", "by_identifier", (F.col("found") & ~F.col("by_identifier")).alias("by_other"))
 
 
 @register("c10_debarment", oracle.sql("SELECT bid_id, debarred FROM debarment", "debarment"))
@@ -258,22 +306,34 @@ def _debarment(spark, sf_dir):
     return debarment(spark, sf_dir)
 
 
-@register("c11_identities", oracle.sql("SELECT bid_id, identifier, expected_name, substring(identifier, 3, 10) AS pan FROM ids", "ids"))
+@register("c11_identities", oracle.sql("SELECT bid_id, gstin, pan, udyam, CASE WHEN pan IS NOT NULL THEN pan WHEN length(trim(gstin)) = 15 THEN substring(upper(trim(gstin)), 3, 10) END AS itr_pan, expected_name FROM ids", "ids"))
 def _identities(spark, sf_dir):
-    return identities(spark, sf_dir).withColumn("pan", identifiers.pan_of(F.col("identifier")))
+    return identities(spark, sf_dir).select("bid_id", "gstin", "pan", "udyam", "itr_pan", "expected_name")
 
 
-@register("c12_names_agree", oracle.sql(f"SELECT bid_id, {oracle.registry_name('registered_name')} = {oracle.registry_name('expected_name')} OR contains({oracle.registry_name('registered_name')}, {oracle.registry_name('expected_name')}) OR contains({oracle.registry_name('expected_name')}, {oracle.registry_name('registered_name')}) AS agrees FROM checks WHERE registered_name IS NOT NULL", "checks"))
+@register("c12_names_agree", oracle.sql(f"SELECT bid_id, registry, {oracle.registry_name('holder')} = {oracle.registry_name('expected_name')} OR contains({oracle.registry_name('holder')}, {oracle.registry_name('expected_name')}) OR contains({oracle.registry_name('expected_name')}, {oracle.registry_name('holder')}) AS agrees FROM checks WHERE holder IS NOT NULL", "checks"))
 def _agree(spark, sf_dir):
-    a, b = normalize.registry_name(F.col("registered_name")), normalize.registry_name(F.col("expected_name"))
-    return checks(spark, sf_dir).filter("registered_name is not null").select("bid_id", ((a == b) | F.contains(a, b) | F.contains(b, a)).alias("agrees"))
+    a, b = normalize.registry_name(F.col("holder")), normalize.registry_name(F.col("expected_name"))
+    return checks(spark, sf_dir).filter("holder is not null").select("bid_id", "registry", ((a == b) | F.contains(a, b) | F.contains(b, a)).alias("agrees"))
+
 
+_OUTCOMES = tuple(registry.PROVIDER_STATUS)
+_OUTCOME_OF = "CASE event_id % 12 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_OUTCOMES)) + " ELSE 'SOMETHING_ELSE' END"
 
-@register("c13_provider_outcomes", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'VERIFIED' WHEN 'click' THEN 'INACTIVE' WHEN 'view' THEN 'NOT_FOUND' WHEN 'signup' THEN 'UNVERIFIED' ELSE 'REVIEW' END AS status FROM events")
+
+@register("c13_provider_outcomes", f"SELECT event_id, coalesce(s, 'REVIEW') AS status FROM (SELECT event_id, {_OUTCOME_OF} AS o FROM events) LEFT JOIN (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{v}{chr(39)})' for k, v in registry.PROVIDER_STATUS.items())}) t(k, s) ON k = o")
 def _outcomes(spark, sf_dir):
-    t = F.col("event_type")
-    outcome = F.when(t == "purchase", "ACTIVE").when(t == "click", "SUSPENDED").when(t == "view", "NOT_FOUND").when(t == "signup", "INVALID_FORMAT").otherwise("OUTAGE")
-    return registry.common_status(bridge.table(spark, sf_dir, "events").select("event_id", outcome.alias("outcome"))).select("event_id", "status")
+    return registry.common_status(bridge.table(spark, sf_dir, "events").select("event_id", F.expr(_OUTCOME_OF).alias("outcome"))).select("event_id", "status")
+
+
+@register("c16_affected_results", oracle.sql("SELECT DISTINCT f.bid_id, f.field, r.requirement_id FROM findings f JOIN results r ON r.bid_id = f.bid_id AND (r.canonical = f.field OR lower(r.field) IN (lower(f.field), lower(f.raw_field_a), lower(f.raw_field_b)))", "findings", "results"))
+def _affected(spark, sf_dir):
+    return integrity.affected(findings(spark, sf_dir), results(spark, sf_dir))
+
+
+@register("c16_compared_facts", oracle.sql("SELECT g.bid_id, g.field, g.raw AS raw_field, g.fact_seq FROM grouped g WHERE EXISTS (SELECT 1 FROM findings f WHERE f.bid_id = g.bid_id AND f.field = g.field)", "grouped", "findings"))
+def _compared(spark, sf_dir):
+    return integrity.compared_facts(findings(spark, sf_dir), bridge.facts(spark, sf_dir))
 
 
 # --- roll-up -------------------------------------------------------------------------------
@@ -286,39 +346,41 @@ def _compliance(spark, sf_dir):
 
 @register("d02_integrity_status", oracle.sql("SELECT bid_id, contradictions, integrity_reviews, n_findings, CASE WHEN contradictions > 0 THEN 'CONTRADICTION' WHEN integrity_reviews > 0 THEN 'REVIEW' ELSE 'CONSISTENT' END AS integrity_status FROM integ", "integ"))
 def _integrity(spark, sf_dir):
-    return rollup.integrity(findings(spark, sf_dir)).select("bid_id", "contradictions", "integrity_reviews", "n_findings", rollup.integrity_status().alias("integrity_status"))
+    return rollup.finding_tally(findings(spark, sf_dir)).select("bid_id", "contradictions", "integrity_reviews", "n_findings", rollup.integrity_status().alias("integrity_status"))
 
 
 @register("d03_overall_status", oracle.sql("SELECT * FROM overall", "overall"))
 def _overall(spark, sf_dir):
-    return rollup.overall(bridge.bids(spark, sf_dir), results(spark, sf_dir), findings(spark, sf_dir), checks(spark, sf_dir), debarment(spark, sf_dir))
+    return rollup.overall(tally(spark, sf_dir)).select("bid_id", "compliance_status", "integrity_status", "overall_status", "review_required", "anomalies", "debarred")
 
 
 @register("d04_scores", oracle.sql("SELECT bid_id, requirements, applicable, passed, failed, missing, under_review, round(raw_score, 6) AS raw_score, round(final_score, 6) AS final_score, cap, debarred FROM scores", "scores"))
 def _scores(spark, sf_dir):
-    return scores(spark, sf_dir).withColumn("raw_score", F.round("raw_score", 6)).withColumn("final_score", F.round("final_score", 6))
+    c = F.col
+    return rollup.scores(tally(spark, sf_dir)).select("bid_id", c("total").alias("requirements"), "applicable", c("live_passed").alias("passed"), c("live_failed").alias("failed"), c("live_missing").alias("missing"), "under_review", F.round("raw_score", 6).alias("raw_score"), F.round("final_score", 6).alias("final_score"), "cap", "debarred")
 
 
 @register("d05_risk", oracle.sql("SELECT bid_id, level, round(risk_score, 6) AS risk_score, n_factors FROM risk", "risk"))
 def _risk(spark, sf_dir):
-    return risks(spark, sf_dir).withColumn("risk_score", F.round("risk_score", 6))
+    return rollup.risk(tally(spark, sf_dir)).select("bid_id", "level", F.round("risk_score", 6).alias("risk_score"), "n_factors")
 
 
 @register("d06_recommendation", oracle.sql("SELECT * FROM recommend", "recommend"))
 def _recommend(spark, sf_dir):
-    r, f, c = results(spark, sf_dir), findings(spark, sf_dir), checks(spark, sf_dir)
-    return rollup.recommendation(scores(spark, sf_dir), risks(spark, sf_dir), r, rollup.pending(r), f, c)
+    return rollup.recommendation(tally(spark, sf_dir))
+
+
+_PENDING = "bid_id, requirement_id, mandatory, applicability, status, deficiency_type, registry_expected, registry_result, requires_review, action"
 
 
-@register("d07_pending", oracle.sql("SELECT * FROM pend", "pend"))
+@register("d07_pending", oracle.sql(f"SELECT {_PENDING} FROM pend", "pend"))
 def _pending(spark, sf_dir):
-    return rollup.pending(results(spark, sf_dir))
+    return rollup.pending(results(spark, sf_dir), checks(spark, sf_dir))
 
 
-@register("c15_pending_registry", oracle.sql("SELECT p.bid_id, p.requirement_id, CASE WHEN contains(p.requirement_id, 'R07') THEN 'GST: ' || c.status END AS registry_result FROM pend p LEFT JOIN checks c ON p.bid_id = c.bid_id", "pend", "checks"))
+@register("c15_pending_registry", oracle.sql("SELECT bid_id, requirement_id, registry_expected, registry_result FROM pend WHERE registry_expected IS NOT NULL", "pend"))
 def _pending_registry(spark, sf_dir):
-    found = checks(spark, sf_dir).select("bid_id", F.col("status").alias("check_status"))
-    return rollup.pending(results(spark, sf_dir)).join(found, "bid_id", "left").select("bid_id", "requirement_id", F.when(F.contains("requirement_id", F.lit("R07")), F.concat(F.lit("GST: "), "check_status")).alias("registry_result"))
+    return rollup.pending(results(spark, sf_dir), checks(spark, sf_dir)).filter("registry_expected is not null").select("bid_id", "requirement_id", "registry_expected", "registry_result")
 
 
 @register("g03_review_queue", oracle.sql("SELECT bid_id, category, severity, related FROM queue", "queue"))
@@ -328,4 +390,4 @@ def _queue(spark, sf_dir):
 
 @register("g04_risk_factors", oracle.sql("SELECT bid_id, code, severity, count(*) AS n FROM factors GROUP BY ALL", "factors"))
 def _factors(spark, sf_dir):
-    return rollup.risk_factors(results(spark, sf_dir), findings(spark, sf_dir), checks(spark, sf_dir), debarment(spark, sf_dir)).groupBy("bid_id", "code", "severity").agg(F.count("*").alias("n"))
+    return rollup.risk_factors(*signals(spark, sf_dir)).groupBy("bid_id", "code", "severity").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestra.functions import identifiers, similarity
-from attestra.operators import text
+from attestra.operators import extraction, registry, text
 from attestra.sources import bridge, files
 
 from . import compliance_queries as base
@@ -30,18 +30,25 @@ def _json(spark, sf_dir):
     return files.round_trip(bridge.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "json")
 
 
-@register("a02_flatten_clauses", oracle.sql("SELECT tender_id, requirement_id, field, CASE WHEN category IN ('WARRANTY', 'DELIVERY') THEN category ELSE 'OTHER' END AS category FROM reqs WHERE tender_id IN (SELECT o_orderpriority FROM orders)", "reqs"))
+_CATEGORIES = {"ECONOMY": "FINANCIAL_CAPACITY", "STANDARD": "TECHNICAL_SPECIFICATION", "PROMO": "DELIVERY", "LARGE": "WARRANTY"}
+_CATEGORY_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in _CATEGORIES.items())
+
+
+@register("a02_flatten_clauses", f"SELECT p_brand AS tender_id, p_partkey AS clause_id, p_name AS description, coalesce(c, 'OTHER') AS category FROM part LEFT JOIN (VALUES {_CATEGORY_ROWS}) t(k, c) ON k = split_part(upper(p_type), ' ', 1)")
 def _flatten(spark, sf_dir):
-    tenders = bridge.bids(spark, sf_dir).select("tender_id").distinct()
-    nested = bridge.requirements(spark).groupBy("tender_id").agg(F.collect_list(F.struct("requirement_id", "field", "category")).alias("clauses")).join(tenders, "tender_id")
+    clause = F.struct(F.col("p_partkey").alias("clause_id"), F.split("p_type", " ")[0].alias("clause_type"), F.col("p_name").alias("description"))
+    nested = bridge.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("tender_id"), F.expr("p_partkey div 1000").alias("part")).agg(F.collect_list(clause).alias("clauses"))  # tenders as they come: clauses nested, a thousand a record
+    kinds = F.broadcast(spark.createDataFrame(list(_CATEGORIES.items()), "k string, category string"))  # a fixed list
     flat = nested.select("tender_id", F.explode("clauses").alias("c")).select("tender_id", "c.*")
-    return flat.withColumn("category", F.when(F.col("category").isin("WARRANTY", "DELIVERY"), F.col("category")).otherwise("OTHER"))
+    return flat.join(kinds, F.upper("clause_type") == F.col("k"), "left").select("tender_id", "clause_id", "description", F.coalesce("category", F.lit("OTHER")).alias("category"))
 
 
-@register("a03_split_pairs", oracle.sql("SELECT 'FACT' AS kind, field, count(*) AS n FROM facts GROUP BY field UNION ALL SELECT 'EXPECTED', truth, count(*) FROM bids GROUP BY truth", "facts", "bids"))
+@register("a03_split_pairs", oracle.sql("SELECT 'FACT' AS kind, bid_id, requirement_id AS id, coalesce(a, '') AS content FROM joined WHERE a IS NOT NULL UNION ALL SELECT 'REQUIREMENT', bid_id, requirement_id, operator || ' ' || coalesce(expected_value, '') FROM joined WHERE a IS NOT NULL UNION ALL SELECT 'EXPECTED', j.bid_id, requirement_id, truth FROM joined j JOIN bids b ON j.bid_id = b.bid_id WHERE a IS NOT NULL", "joined", "bids"))
 def _split(spark, sf_dir):
-    f = bridge.facts(spark, sf_dir).groupBy("field").agg(F.count("*").alias("n")).select(F.lit("FACT").alias("kind"), "field", "n")
-    return f.unionByName(bridge.bids(spark, sf_dir).groupBy(F.col("truth").alias("field")).agg(F.count("*").alias("n")).select(F.lit("EXPECTED").alias("kind"), "field", "n"))
+    pairs = base.matched(spark, sf_dir).filter("actual is not null").join(bridge.bids(spark, sf_dir).select("bid_id", "truth"), "bid_id")
+    row = lambda kind, content: F.struct(F.lit(kind).alias("kind"), content.alias("content"))
+    three = F.array(row("FACT", F.col("actual")), row("REQUIREMENT", F.concat_ws(" ", "operator", F.coalesce("expected_value", F.lit("")))), row("EXPECTED", F.col("truth")))
+    return pairs.select("bid_id", F.col("requirement_id").alias("id"), F.explode(three).alias("x")).select("x.kind", "bid_id", "id", "x.content")
 
 
 @register("a04_csv_manifest", "SELECT doc_id, lang, source, n_chars FROM documents")
@@ -49,16 +56,30 @@ def _csv(spark, sf_dir):
     return files.round_trip(bridge.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "csv", header="true")
 
 
-@register("a05_manifest", "SELECT 'orders' AS name, count(*) AS n, count(DISTINCT o_custkey) AS n_keys FROM orders UNION ALL SELECT 'events', count(*), count(DISTINCT user_id) FROM events")
+_MANIFEST = (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("events", "event_id"), ("documents", "doc_id"), ("pages", "page_id"))
+
+
+@register("a05_manifest", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, count(DISTINCT {k}) AS n_keys, sha256('{t}:' || CAST(count(*) AS VARCHAR) || ':' || CAST(count(DISTINCT {k}) AS VARCHAR)) AS digest FROM {t}" for t, k in _MANIFEST))
 def _manifest(spark, sf_dir):
-    one = lambda name, key: bridge.table(spark, sf_dir, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.countDistinct(key).alias("n_keys")).select("name", "n", "n_keys")
-    return one("orders", "o_custkey").unionByName(one("events", "user_id"))
+    one = lambda name, key: bridge.table(spark, sf_dir, name).agg(F.count("*").alias("n"), F.countDistinct(key).alias("n_keys")).select(F.lit(name).alias("name"), "n", "n_keys")
+    out = one(*_MANIFEST[0])
+    for name, key in _MANIFEST[1:]:
+        out = out.unionByName(one(name, key))
+    return out.withColumn("digest", F.sha2(F.concat_ws(":", "name", "n", "n_keys"), 256))
 
 
-@register("a06_partitioned_store", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority = '2-HIGH'")
+@register("a05_file_manifest")
+def _file_manifest(spark, sf_dir):
+    """Name, bytes and SHA-256 of every input file; no SQL reads files as bytes."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(sf_dir)
+    return found.select(F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+@register("a06_store_by_id", oracle.sql("SELECT r.bid_id, requirement_id, status FROM results r WHERE r.bid_id IN (SELECT bid_id FROM bids ORDER BY bid_id LIMIT 5)", "results", "bids"))
 def _store(spark, sf_dir):
-    path = files.partitioned(bridge.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority")
-    return spark.read.parquet(path).filter("o_orderpriority = '2-HIGH'")
+    path = files.by_id(base.results(spark, sf_dir).select("bid_id", "requirement_id", "status"), "bid_id")
+    wanted = [r["bid_id"] for r in bridge.bids(spark, sf_dir).orderBy("bid_id").limit(5).collect()]  # five ids, as a user would ask for
+    return spark.read.parquet(path).filter(F.col("bid_id").isin(wanted))
 
 
 @register("a07_metric_documents", "SELECT event_type, '{\"event_type\":\"' || event_type || '\",\"n\":' || CAST(count(*) AS VARCHAR) || '}' AS document FROM events GROUP BY event_type")
@@ -72,18 +93,26 @@ def _blocks(spark, sf_dir):
     return bridge.blocks(spark, sf_dir).select("doc_id", "page_number", "position", "block_id", F.length("text").cast("long").alias("size"))
 
 
-@register("a09_contract_check", "SELECT event_id, CAST(CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 1 ELSE 0 END + CASE WHEN user_id < 5 THEN 1 ELSE 0 END AS INT) AS n_errors FROM events")
+@register("a09_contract_check", "SELECT event_id, CAST(CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 1 ELSE 0 END + CASE WHEN user_id < 5 THEN 1 ELSE 0 END + CASE WHEN event_id % 4 < 2 THEN 1 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS n_errors FROM events")
 def _contract(spark, sf_dir):
-    checked = files.contract_errors(bridge.table(spark, sf_dir, "events"), ["event_id"], {"event_type": ["view", "click", "purchase"]}, {"user_id": 5})
+    records = bridge.table(spark, sf_dir, "events").withColumns({"blocks": F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 1, (F.col("event_id") % 4).cast("int")), "extra": F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("colour"), F.lit("red"))).otherwise(F.create_map(F.lit("note"), F.lit("x")))})
+    checked = files.contract_errors(records, ["event_id"], {"event_type": ["view", "click", "purchase"]}, {"user_id": 5}, sizes={"blocks": 2}, keys={"extra": ["note"]})
     return checked.select("event_id", F.size("errors").alias("n_errors"))
 
 
-_PATTERNS = ", ".join(f"('{k}', '{p}')" for k, p in text.FACT_PATTERNS.items())
+_PATTERNS = ", ".join(f"('{k}', '(?i){p}')" for k, p in text.FACT_PATTERNS.items())
+oracle.view("all_blocks", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, block_id, text FROM blocks UNION ALL SELECT 'B' || CAST(doc_id AS VARCHAR), block_id, text FROM statements", "blocks", "statements")
+
 
+def all_blocks(spark, sf_dir):
+    """The blocks of the documents and of the bids' statements."""
+    d = bridge.blocks(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "block_id", "text")
+    return d.unionByName(bridge.statements(spark, sf_dir).select(F.concat(F.lit("B"), F.col("doc_id").cast("string")).alias("doc_id"), "block_id", "text"))
 
-@register("t01_extract_facts", oracle.sql(f"SELECT doc_id, block_id, field, regexp_extract(text, pattern, 1) AS found FROM blocks, (VALUES {_PATTERNS}) p(field, pattern) WHERE regexp_extract(text, pattern, 1) <> ''", "blocks"))
+
+@register("t01_extract_facts", oracle.sql(f"SELECT doc_id, block_id, field, regexp_extract(text, pattern, 1) AS found FROM all_blocks, (VALUES {_PATTERNS}) p(field, pattern) WHERE regexp_extract(text, pattern, 1) <> ''", "all_blocks"))
 def _extract(spark, sf_dir):
-    return text.extract(bridge.blocks(spark, sf_dir)).select("doc_id", "block_id", "field", "found")
+    return text.extract(all_blocks(spark, sf_dir)).select("doc_id", "block_id", "field", "found")
 
 
 @register("t03_keyword_evidence", oracle.sql("SELECT doc_id, min_by(block_id, position) AS block_id FROM blocks WHERE contains(lower(text), 'license') OR contains(lower(text), 'copyright') GROUP BY doc_id", "blocks"))
@@ -92,17 +121,34 @@ def _keyword(spark, sf_dir):
     return bridge.blocks(spark, sf_dir).filter(F.contains(low, F.lit("license")) | F.contains(low, F.lit("copyright"))).groupBy("doc_id").agg(F.min_by("block_id", "position").alias("block_id"))
 
 
-_PRINTABLE = "length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'))::DOUBLE / greatest(1, length(text))"
+_CLEAN = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+_UNPRINTABLE = "len(regexp_extract_all(c, '[\\x00-\\x08\\x0E-\\x1F\\x7F]'))"
 
 
-@register("t04_page_quality", oracle.sql(f"SELECT block_id, round(({_PRINTABLE}) * least(1.0::DOUBLE, length(text)::DOUBLE / 80), 6) AS score, CASE WHEN length(text) < 20 THEN 'LOW' WHEN length(text) < 80 OR ({_PRINTABLE}) < 0.9 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM blocks", "blocks"))
+@register("t04_page_quality", oracle.sql(f"SELECT block_id, round(score, 4) AS score, CASE WHEN score >= 0.80 THEN 'HIGH' WHEN score >= 0.50 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM (SELECT block_id, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE (CASE WHEN ocr IS NOT NULL THEN CASE WHEN n < 20 THEN greatest(0.2::DOUBLE, least(1.0::DOUBLE, ocr)) * 0.5::DOUBLE ELSE greatest(0.2::DOUBLE, least(1.0::DOUBLE, ocr)) END WHEN n >= 80 AND printable >= 0.85 THEN 0.95::DOUBLE WHEN n >= 20 THEN 0.70::DOUBLE ELSE 0.35::DOUBLE END) * printable END AS score FROM (SELECT block_id, ocr, length(c) AS n, 1 - {_UNPRINTABLE}::DOUBLE / nullif(length(c), 0) AS printable FROM (SELECT block_id, CASE WHEN position % 3 = 0 THEN (position % 10) / 10.0::DOUBLE END AS ocr, {_CLEAN} AS c FROM blocks)))", "blocks"))
 def _quality(spark, sf_dir):
-    score, confidence = text.quality(F.col("text"))
+    score, confidence = text.quality(F.col("text"), ocr=F.when(F.col("position") % 3 == 0, (F.col("position") % 10) / 10.0))
     return bridge.blocks(spark, sf_dir).select("block_id", score.alias("score"), confidence.alias("confidence"))
 
 
-_VALID = "CASE WHEN length(trim(text)) = 0 OR len(regexp_extract_all(text, '[A-Za-z0-9]'))::DOUBLE / greatest(1, length(text)) < 0.3 OR len(regexp_extract_all(text, '\\s'))::DOUBLE / greatest(1, length(text)) > 0.6 OR run > 0.5 THEN 'FAILED' WHEN len(regexp_extract_all(text, '[A-Za-z0-9]'))::DOUBLE / greatest(1, length(text)) < 0.6 OR length(text) < 20 THEN 'LOW_CONFIDENCE' ELSE 'ACCEPTED' END"
-oracle.view("run_sizes", "SELECT block_id, max(c) AS c FROM (SELECT block_id, ch, g, count(*) AS c FROM (SELECT block_id, ch, i - row_number() OVER (PARTITION BY block_id, ch ORDER BY i) AS g FROM (SELECT block_id, unnest(string_split(text, '')) AS ch, unnest(range(1, len(string_split(text, '')) + 1)) AS i FROM blocks WHERE text <> '')) GROUP BY block_id, ch, g) GROUP BY block_id", "blocks")
+_RUN_SIZES = "SELECT block_id, max(c) AS c FROM (SELECT block_id, ch, g, count(*) AS c FROM (SELECT block_id, ch, i - row_number() OVER (PARTITION BY block_id, ch ORDER BY i) AS g FROM (SELECT block_id, unnest(string_split(text, '')) AS ch, unnest(range(1, len(string_split(text, '')) + 1)) AS i FROM {0} WHERE text <> '')) GROUP BY block_id, ch, g) GROUP BY block_id"
+oracle.view("run_sizes", _RUN_SIZES.format("blocks"), "blocks")
+oracle.view("clean_run_sizes", _RUN_SIZES.format(f"(SELECT block_id, {_CLEAN} AS text FROM blocks)"), "blocks")
+_HITS = " + ".join(f"CAST(regexp_matches(c, '(?i){p}') AS INT)" for p in text.TOKEN_PATTERNS)
+oracle.view(
+    "validated",
+    f"""SELECT block_id, doc_id, text, round(composite, 6) AS composite, CASE WHEN n = 0 OR n < 10 OR printable < 0.70 OR letters < 0.20 OR run > 0.50 OR composite < 0.25 THEN 'FAILED' WHEN n < 30 OR letters < 0.40 OR sure < 0.50 OR composite < 0.50 THEN 'LOW_CONFIDENCE' ELSE 'ACCEPTED' END AS validity FROM (
+SELECT *, CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN run > 0.35 THEN whole * 0.5::DOUBLE ELSE whole END AS composite FROM (
+SELECT *, (0.35::DOUBLE * sure + 0.25::DOUBLE * letters + 0.25::DOUBLE * tokens + 0.15::DOUBLE * least(1.0::DOUBLE, n / 150.0::DOUBLE)) * printable AS whole FROM (
+SELECT b.block_id, doc_id, text, length(c) AS n, 1 - {_UNPRINTABLE}::DOUBLE / nullif(length(c), 0) AS printable, len(regexp_extract_all(c, '[\\p{{L}}\\p{{N}}]'))::DOUBLE / nullif(length(c), 0) AS letters, round(coalesce(r.c2, 0)::DOUBLE / greatest(1, length(c)), 6) AS run, CASE WHEN length(c) < 10 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, ({_HITS}) / 3.0::DOUBLE) END AS tokens, greatest(0.1::DOUBLE, least(1.0::DOUBLE, (doc_id % 10) / 10.0::DOUBLE)) AS sure
+FROM (SELECT *, {_CLEAN} AS c FROM blocks) b LEFT JOIN (SELECT block_id, c AS c2 FROM clean_run_sizes) r ON b.block_id = r.block_id)))""",
+    "blocks", "clean_run_sizes",
+)
+
+
+def validated(spark, sf_dir):
+    composite, status = text.validity(F.col("text"), (F.col("doc_id") % 10) / 10.0)
+    return bridge.blocks(spark, sf_dir).withColumns({"composite": composite, "validity": status})
 
 
 @register("h27_longest_run", oracle.sql("SELECT b.block_id, round(coalesce(c, 0)::DOUBLE / greatest(1, length(text)), 6) AS share FROM blocks b LEFT JOIN run_sizes r ON b.block_id = r.block_id", "blocks", "run_sizes"))
@@ -110,28 +156,130 @@ def _run(spark, sf_dir):
     return bridge.blocks(spark, sf_dir).select("block_id", text.longest_run_share(F.col("text")).alias("share"))
 
 
-@register("t05_validity", oracle.sql(f"SELECT block_id, {_VALID} AS validity FROM (SELECT b.block_id, text, round(coalesce(c, 0)::DOUBLE / greatest(1, length(text)), 6) AS run FROM blocks b LEFT JOIN run_sizes r ON b.block_id = r.block_id)", "blocks", "run_sizes"))
+@register("t05_validity", oracle.sql("SELECT block_id, composite, validity FROM validated", "validated"))
 def _validity(spark, sf_dir):
-    return bridge.blocks(spark, sf_dir).select("block_id", text.validity(F.col("text")).alias("validity"))
+    return validated(spark, sf_dir).select("block_id", "composite", "validity")
 
 
-@register("t06_gated_facts", oracle.sql(f"SELECT block_id, field, found, validity = 'LOW_CONFIDENCE' AS for_review FROM (SELECT v.block_id, v.validity, field, regexp_extract(text, pattern, 1) AS found FROM (SELECT block_id, text, {_VALID} AS validity FROM (SELECT b.block_id, text, round(coalesce(c, 0)::DOUBLE / greatest(1, length(text)), 6) AS run FROM blocks b LEFT JOIN run_sizes r ON b.block_id = r.block_id)) v, (VALUES {_PATTERNS}) p(field, pattern)) WHERE found <> '' AND validity <> 'FAILED'", "blocks", "run_sizes"))
+_NUMBER = "CASE WHEN doc_id % 2 = 0 THEN text || ' warranty: 3 years' ELSE text END"
+
+
+@register("t06_gated_facts", oracle.sql(f"SELECT block_id, field, found, validity = 'LOW_CONFIDENCE' AS for_review FROM (SELECT v.block_id, v.validity, field, regexp_extract({_NUMBER}, pattern, 1) AS found FROM validated v, (VALUES {_PATTERNS}) p(field, pattern)) WHERE found <> '' AND validity <> 'FAILED'", "validated"))
 def _gated(spark, sf_dir):
-    gated = bridge.blocks(spark, sf_dir).withColumn("validity", text.validity(F.col("text"))).filter("validity <> 'FAILED'")
+    gated = validated(spark, sf_dir).filter("validity <> 'FAILED'").withColumn("text", F.expr(_NUMBER))
     return text.extract(gated).select("block_id", "field", "found", (F.col("validity") == "LOW_CONFIDENCE").alias("for_review"))
 
 
-@register("c14_grounding", oracle.sql("SELECT doc_id AS candidate_id, bool_and(k <= n_blocks) AS grounded, count(*) AS n_blocks FROM (SELECT doc_id, count(*) AS n_blocks FROM blocks GROUP BY doc_id), (VALUES (1), (2), (5)) t(k) GROUP BY doc_id", "blocks"))
+@register("c14_grounding", oracle.sql("SELECT doc_id AS candidate_id, bool_and(k <= n_blocks) AS grounded, count(*) AS n_blocks, coalesce(string_agg(CASE WHEN k <= n_blocks THEN CAST(k - 1 AS VARCHAR) END, ',' ORDER BY k), '') AS resolved FROM (SELECT doc_id, count(*) AS n_blocks FROM blocks GROUP BY doc_id), (VALUES (1), (2), (5)) t(k) GROUP BY doc_id", "blocks"))
 def _ground(spark, sf_dir):
     blocks = bridge.blocks(spark, sf_dir).withColumn("block_id", F.col("position").cast("string"))
-    wanted = bridge.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("candidate_id"), "doc_id", F.array(F.lit("0"), F.lit("1"), F.lit("4"), F.lit("1")).alias("block_ids"))
-    return text.ground(wanted, blocks)
+    wanted = bridge.table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("candidate_id"), "doc_id", F.array(F.lit("0"), F.lit("1"), F.lit("4"), F.lit("1")).alias("block_ids"))
+    return text.ground(wanted, blocks).withColumn("resolved", F.array_join(F.transform("resolved", lambda x: x["block_id"]), ","))
+
 
+# Candidates of the statements: each line states its warranty, over its own block and the next.
+_MERGED = """SELECT doc_id, value_key, n, mandatory, description, blocks FROM (SELECT doc_id, value_key, run, count(*) AS n, bool_or(mandatory) AS mandatory, arg_max(description, length(description) * 1000 - page_number) AS description, max(page_number) - min(page_number) + 2 AS blocks FROM (
+SELECT *, sum(new) OVER (PARTITION BY doc_id, value_key ORDER BY page_number ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT doc_id, page_number, CAST(l_partkey % 2 + 1 AS VARCHAR) || 'years' AS value_key, l_partkey % 3 = 0 AS mandatory, s_name || repeat('x', CAST(l_partkey % 4 AS INT)) AS description, CASE WHEN page_number - lag(page_number) OVER (PARTITION BY doc_id, l_partkey % 2 ORDER BY page_number) <= 1 THEN 0 ELSE 1 END AS new FROM statements)) GROUP BY doc_id, value_key, run)"""
 
-@register("g08_merge_candidates", "SELECT key, part, count(*) AS n, bool_or(role = 'user') AS mandatory, CAST(max(length(text)) AS INT) AS longest, CAST(min(turn) AS BIGINT) AS first_position FROM (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY turn ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT conv_id AS key, turn, role, text, CASE WHEN turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) <= 1 THEN 0 ELSE 1 END AS new FROM conversations WHERE length(text) % 5 <> 0)) GROUP BY key, part")
+
+@register("g08_merge_candidates", oracle.sql(_MERGED, "statements"))
 def _merge(spark, sf_dir):
-    c = bridge.table(spark, sf_dir, "conversations").filter("length(text) % 5 <> 0").select(F.col("conv_id").alias("key"), F.concat_ws("-", "conv_id", "turn").alias("candidate_id"), F.col("turn").cast("long").alias("position"), (F.col("role") == "user").alias("mandatory"), "text")
-    return text.merge(c)
+    page, key = F.col("page_number"), F.col("l_partkey")
+    c = bridge.statements(spark, sf_dir).select(
+        "doc_id", "page_number", F.when(key % 5 == 0, "Warranty Years").otherwise("warranty_years").alias("field"), F.concat((key % 2 + 1).cast("string"), F.when(key % 7 == 0, "_years").otherwise(" years")).alias("value"), (key % 3 == 0).alias("mandatory"),
+        F.concat("s_name", F.repeat(F.lit("x"), (key % 4).cast("int"))).alias("description"), F.array(F.concat(F.lit("s"), page.cast("string")), F.concat(F.lit("s"), (page + 1).cast("string"))).alias("blocks"),
+    )
+    return extraction.merged(c, ["page_number"]).select("doc_id", "value_key", "n", "mandatory", "description", F.size("blocks").alias("blocks"))
+
+
+_DESCRIPTIONS = ("Exemption* from turnover: BoQ compliance document", "Land border undertaking: registration with the Competent Authority", "Documents required from seller: OEM Annual Turnover, OEM Authorization*", "Documents required from seller: Compliance of BoQ", "Delivery in time", "Seeking exemption from experience")
+_DESCRIPTION = "CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN '{d}'" for k, d in enumerate(_DESCRIPTIONS)) + " END"
+
+
+@register("t07_decompose", f"""WITH c AS (SELECT p_brand AS doc_id, p_partkey AS candidate_id, p_partkey % 6 AS k, p_partkey % 6 IN (0, 2) AS asks FROM part),
+m AS (SELECT *, coalesce(bool_or(asks) OVER (PARTITION BY doc_id ORDER BY candidate_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS asked FROM c)
+SELECT doc_id, candidate_id, unnest(CASE k WHEN 0 THEN ['boq_compliance_document', 'exemption_supporting_documents'] WHEN 1 THEN ['land_border_registration', 'land_border_compliance_undertaking'] WHEN 2 THEN ['clause', 'oem_annual_turnover_document', 'oem_authorization_certificate'] || CASE WHEN asked THEN [] ELSE ['exemption_supporting_documents'] END WHEN 3 THEN ['clause', 'boq_compliance_document'] ELSE ['clause'] END) AS field FROM m""")
+def _decompose(spark, sf_dir):
+    c = bridge.table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("candidate_id"), F.expr(_DESCRIPTION).alias("description"), F.lit("clause").alias("field"), F.lit("OTHER").alias("category"), F.lit("EXISTS").alias("operator"), F.lit("").alias("expected_value"))
+    return extraction.decomposed(c).select("doc_id", "candidate_id", "field")
+
+
+# What a model would answer for each statement: its warranty twice (two passes) and its turnover; some answers are broken, name unknown blocks, or digits that the block does not have.
+oracle.view("extracted", """SELECT doc_id, page_number, 'warranty_years' AS field, 'WARRANTY_DURATION' AS canonical, CAST(CASE WHEN l_partkey % 6 = 5 THEN 99 ELSE l_partkey % 5 + 1 END * 12 AS VARCHAR) AS normalised, true AS mandatory, 2 AS n, CASE WHEN l_partkey % 6 = 5 AND NOT contains(text, '99') THEN 'REVIEW_REQUIRED' ELSE 'ACCEPTED' END AS grounding FROM statements WHERE l_partkey % 10 <> 0 AND l_partkey % 7 <> 0
+UNION ALL SELECT doc_id, page_number, 'turnover_cr', 'ANNUAL_TURNOVER', CAST((CAST(l_quantity AS INT) % 5 + 1) * 10000000 AS VARCHAR), false, 1, 'ACCEPTED' FROM statements WHERE l_partkey % 10 <> 0 AND l_partkey % 7 <> 0""", "statements")
+
+
+def _claim(field, value, mandatory):
+    return F.format_string('{"description":"d","field":"%s","operator":">=","expected_value":"%s","mandatory":%s,"evidence_block_ids":["%s","%s"]}', F.lit(field), value, F.lit(mandatory), "asked_block", "asked_block")
+
+
+def extracted(spark, sf_dir):
+    st = bridge.statements(spark, sf_dir)
+    key = F.col("l_partkey")
+    st = st.withColumn("asked_block", F.when(key % 7 == 0, "nowhere").otherwise(F.col("block_id")))
+    w = _claim("warranty_years", F.concat(F.when(key % 6 == 5, "99").otherwise((key % 5 + 1).cast("string")), F.lit(" years")), "true")
+    t = _claim("turnover_cr", F.concat((F.col("l_quantity").cast("int") % 5 + 1).cast("string"), F.lit(" crore")), "false")
+    answer = F.concat(F.lit('```json\n{"requirements":['), F.concat_ws(",", w, w, t), F.when(key % 10 == 0, "").otherwise("]}"), F.lit("\n```"))
+    asked = st.select(F.concat_ws("/", F.col("doc_id").cast("string"), "block_id").alias("doc_id"), answer.alias("payload"))
+    blocks = st.select(F.concat_ws("/", F.col("doc_id").cast("string"), "block_id").alias("doc_id"), "block_id", "page_number", "text")
+    return extraction.requirements(asked, blocks)
+
+
+@register("t08_extract_requirements", oracle.sql("SELECT CAST(doc_id AS VARCHAR) || '/s' || CAST(page_number AS VARCHAR) AS doc_id, field, canonical, normalised, mandatory, n, grounding FROM extracted", "extracted"))
+def _requirements(spark, sf_dir):
+    return extracted(spark, sf_dir)
+
+
+_FACT_CLAIMS = {  # by field: the stated value, when it is wrong, and how its support is named
+    "gstin": ("CASE WHEN l_partkey % 8 = 0 THEN '99ZZZZZ0000F1Z9' ELSE {gstin} END", "l_partkey % 8 = 0", "EXACT_IDENTIFIER_MATCH", "IDENTIFIER_MISMATCH"),
+    "warranty_months": ("CAST((l_partkey % 5 + CASE WHEN l_partkey % 9 = 0 THEN 50 ELSE 1 END) * 12 AS VARCHAR) || ' months'", "l_partkey % 9 = 0", "DURATION_NORMALIZED_MATCH", "DURATION_MISMATCH"),
+    "turnover_cr": ("CAST((CAST(l_quantity AS INT) % 5 + 1) * 100 + CASE WHEN l_partkey % 11 = 0 THEN 7 ELSE 0 END AS VARCHAR) || ' lakh'", "l_partkey % 11 = 0", "CURRENCY_MATCH", "NUMERIC_MISMATCH"),
+    "local_support": ("'Yes'", "NOT (l_partkey % 4 = 0)", "BOOLEAN_AFFIRMED", "BOOLEAN_UNSUPPORTED"),
+    "quality_standard": ("'ISO 9001:2015'", "l_partkey % 3 <> 0", "EXACT_SUBSTRING_MATCH", "CODE_MISMATCH"),
+    "seller_note": ("'Warranty Turnover Delivery zzz'", "false", "TOKEN_CONTAINMENT_MATCH", ""),
+    "remark": ("''", "true", "", "EMPTY_VALUE"),
+    "is_available": ("'No'", "false", "BOOLEAN_NEGATIVE_ACCEPTED", ""),
+}
+_FACT_CLAIMS["local_support"] = ("'Yes'", "true", "", "CASE WHEN l_partkey % 4 <> 0 THEN 'BOOLEAN_UNSUPPORTED' WHEN l_partkey % 3 <> 0 THEN 'NEGATED_BOOLEAN' ELSE 'BOOLEAN_AFFIRMED' END")
+
+
+def _outcome_sql(field):
+    _, wrong, good, bad = _FACT_CLAIMS[field]
+    quoted = lambda x: x if x.startswith("CASE") else f"'{x}'"
+    return f"CASE WHEN {wrong} THEN {quoted(bad)} ELSE {quoted(good)} END"
+
+
+oracle.view("claims", " UNION ALL ".join(f"SELECT doc_id, page_number, {k} AS place, '{f}' AS field, {c[0].format(gstin=oracle.gstin('l_suppkey'))} AS value, {_outcome_sql(f)} AS outcome FROM statements" for k, (f, c) in enumerate(_FACT_CLAIMS.items())), "statements")
+
+
+def claims(spark, sf_dir):
+    """What is claimed of each statement: values of all fields, right and wrong ones."""
+    values = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(f).alias("field"), F.expr(c[0].format(gstin="gstin").replace("VARCHAR", "STRING")).alias("value")) for k, (f, c) in enumerate(_FACT_CLAIMS.items())])
+    st = bridge.statements(spark, sf_dir).withColumn("gstin", bridge.gstin_of("l_suppkey"))
+    return st.select("doc_id", "page_number", "block_id", "text", F.explode(values).alias("x")).select("doc_id", "page_number", "block_id", "text", "x.*")
+
+
+@register("t02_value_support", oracle.sql("SELECT doc_id, page_number, field, value, outcome AS support FROM claims", "claims"))
+def _support(spark, sf_dir):
+    return claims(spark, sf_dir).select("doc_id", "page_number", "field", "value", text.support(F.col("value"), F.col("field"), F.col("text")).alias("support"))
+
+
+_SUPPORTED = oracle._list(text.SUPPORTED)
+
+
+@register("t09_extract_facts", oracle.sql(f"SELECT format('FACT-{{}}-{{}}-{{:03d}}', CAST(doc_id AS VARCHAR), upper(field), page_number * 10 + place) AS fact_id, field, value, page_number AS page, CASE WHEN place % 2 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, outcome FROM claims WHERE outcome IN {_SUPPORTED}", "claims"))
+def _facts(spark, sf_dir):
+    block = F.col("block_id")
+    c = claims(spark, sf_dir).select("doc_id", (F.col("page_number") * 10 + F.col("place")).cast("int").alias("place"), "field", "value", F.when(F.col("place") % 2 == 0, F.array(block)).otherwise(F.array(block, block)).alias("block_ids"))
+    return extraction.facts(c, bridge.statements(spark, sf_dir)).select("fact_id", "field", "value", "page", "confidence", "outcome")
+
+
+@register("c19_gold_recall", oracle.sql("SELECT field, count(*) AS gold, count(*) FILTER (hit) AS found, round(count(*) FILTER (hit)::DOUBLE / count(*), 6) AS recall FROM (SELECT g.field, EXISTS (SELECT 1 FROM extracted e WHERE e.doc_id = g.doc_id AND e.page_number = g.page_number AND e.field = g.field AND e.normalised = g.normalised) AS hit FROM (SELECT doc_id, page_number, 'warranty_years' AS field, CAST((l_partkey % 5 + 1) * 12 AS VARCHAR) AS normalised FROM statements UNION ALL SELECT doc_id, page_number, 'turnover_cr', CAST((CAST(l_quantity AS INT) % 5 + 1) * 10000000 AS VARCHAR) FROM statements) g) GROUP BY field", "statements", "extracted"))
+def _recall(spark, sf_dir):
+    key = F.concat_ws("/", F.col("doc_id").cast("string"), "block_id")
+    st = bridge.statements(spark, sf_dir)
+    gold = st.select(key.alias("doc_id"), F.lit("warranty_years").alias("field"), ((F.col("l_partkey") % 5 + 1) * 12).cast("string").alias("normalised")).unionByName(st.select(key.alias("doc_id"), F.lit("turnover_cr").alias("field"), ((F.col("l_quantity").cast("int") % 5 + 1) * 10000000).cast("string").alias("normalised")))
+    return extraction.gold_recall(gold, extracted(spark, sf_dir))
 
 
 @register("h20_page_boxes", "SELECT event_id, list_transform([least(y0, y1), least(x0, x1), greatest(y0, y1), greatest(x0, x1)], lambda v: round(v, 2)) AS box FROM (SELECT event_id, least(595.0::DOUBLE, (user_id * 7 % 700)::DOUBLE) AS x0, least(842.0::DOUBLE, (user_id * 13 % 900)::DOUBLE) AS y0, least(595.0::DOUBLE, (event_id % 650)::DOUBLE) AS x1, least(842.0::DOUBLE, (event_id % 880)::DOUBLE) AS y1 FROM events)")
@@ -140,9 +288,15 @@ def _boxes(spark, sf_dir):
     return bridge.table(spark, sf_dir, "events").select("event_id", text.page_box(c("user_id") * 7 % 700, c("user_id") * 13 % 900, c("event_id") % 650, c("event_id") % 880, 595, 842).alias("box"))
 
 
-@register("h22_document_types", "SELECT page_id, CASE WHEN regexp_matches(lower(url), 'tender|nit') THEN 'TENDER' WHEN regexp_matches(lower(url), 'gst') OR regexp_matches(lower(substring(html, 1, 300)), 'gstin') THEN 'GST_CERTIFICATE' WHEN regexp_matches(lower(substring(html, 1, 300)), 'thanks|the ') THEN 'LETTER' ELSE 'OTHER' END AS document_type FROM pages")
+_PATHS = ("x/tenders/a.pdf", "x/bids/b.pdf", "gem_12.pdf", "x/Technical-part.pdf", "boq.xls", "iso9001.pdf", "an-undertaking.pdf", "other.pdf", "TENDER-9.pdf", "bid-7.pdf")
+_PATH = "CASE doc_id % 10 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_PATHS)) + " END"
+_HEAD = "CASE WHEN doc_id % 4 = 3 THEN 'Technical Bid ' || text ELSE text END"
+_NAME = "regexp_extract(p, '[^/]*$', 0)"
+
+
+@register("h22_document_types", f"SELECT doc_id, CASE WHEN contains(p, '/tenders/') OR starts_with({_NAME}, 'tender-') THEN 'TENDER' WHEN contains(p, '/bids/') OR starts_with({_NAME}, 'bid-') THEN 'BID' WHEN regexp_matches({_NAME}, '^gem_|^nit|tender') THEN 'TENDER' WHEN regexp_matches({_NAME}, 'technical|tech_bid') OR contains(t, 'technical bid') THEN 'TECHNICAL_BID' WHEN regexp_matches({_NAME}, 'financial|boq|price_bid') THEN 'FINANCIAL_BID' WHEN regexp_matches({_NAME}, 'cert|udyam|iso|pan|gst') THEN 'CERTIFICATE' WHEN regexp_matches({_NAME}, 'decl|undertaking|affidavit') THEN 'DECLARATION' ELSE 'UNKNOWN' END AS document_type FROM (SELECT doc_id, lower({_PATH}) AS p, lower(substring({_HEAD}, 1, 300)) AS t FROM documents)")
 def _types(spark, sf_dir):
-    return bridge.table(spark, sf_dir, "pages").select("page_id", text.document_type(F.col("url"), F.col("html")).alias("document_type"))
+    return bridge.table(spark, sf_dir, "documents").select("doc_id", text.document_type(F.expr(_PATH), F.expr(_HEAD)).alias("document_type"))
 
 
 @register("h23_ids_of_names", "SELECT page_id, upper(regexp_extract('Bid-' || CAST(page_id AS VARCHAR) || url, '(?i)BID-\\d+', 0)) AS bid FROM pages")
@@ -150,33 +304,33 @@ def _ids(spark, sf_dir):
     return bridge.table(spark, sf_dir, "pages").select("page_id", F.upper(F.regexp_extract(F.concat(F.lit("Bid-"), F.col("page_id").cast("string"), "url"), r"(?i)BID-\d+", 0)).alias("bid"))
 
 
-@register("h25_sanitized_details", "SELECT event_id, '***' || right('key' || CAST(user_id AS VARCHAR) || 'xyz', 4) AS masked, substring(sha256(event_type), 1, 12) AS hashed FROM events")
+@register("h25_sanitized_details", "SELECT event_id, '***' || right('key' || CAST(user_id AS VARCHAR) || 'xyz', 4) AS masked, substring(sha256(event_type), 1, 12) AS hashed, '[REDACTED]' AS redacted, event_type AS kept FROM events")
 def _sanitized(spark, sf_dir):
-    details = F.create_map(F.lit("identifier"), F.concat(F.lit("key"), F.col("user_id").cast("string"), F.lit("xyz")), F.lit("token"), F.col("event_type"))
-    clean = F.transform_values(details, lambda k, v: F.when(k == "token", identifiers.fingerprint(v, 12)).otherwise(F.concat(F.lit("***"), F.right(v, F.lit(4)))))
-    return bridge.table(spark, sf_dir, "events").select("event_id", clean["identifier"].alias("masked"), clean["token"].alias("hashed"))
+    u = F.col("user_id").cast("string")
+    details = F.create_map(F.lit("identifier"), F.concat(F.lit("key"), u, F.lit("xyz")), F.lit("client_token"), F.col("event_type"), F.lit("Authorization"), F.concat(F.lit("Bearer "), u), F.lit("note"), F.col("event_type"))
+    clean = identifiers.sanitized(details)
+    return bridge.table(spark, sf_dir, "events").select("event_id", clean["identifier"].alias("masked"), clean["client_token"].alias("hashed"), clean["Authorization"].alias("redacted"), clean["note"].alias("kept"))
 
 
-@register("t10_registry_facts", oracle.sql("SELECT bid_id, unnest(['registered_name', 'gstin']) AS field, unnest([registered_name, identifier]) AS value FROM checks WHERE status = 'VERIFIED'", "checks"))
+@register("t10_registry_facts", oracle.sql("SELECT bid_id, registry, d.field AS field, d.value AS value FROM (SELECT bid_id, registry, unnest(details) AS d FROM checks WHERE status = 'VERIFIED') WHERE d.value IS NOT NULL", "checks"))
 def _registry_facts(spark, sf_dir):
-    ok = base.checks(spark, sf_dir).filter("status = 'VERIFIED'").select("bid_id", "registered_name", F.col("identifier").alias("gstin"))
-    return ok.unpivot("bid_id", ["registered_name", "gstin"], "field", "value").filter("value is not null")
+    return registry.facts_of(base.checks(spark, sf_dir))
 
 
-@register("t11_certificate_facts", oracle.sql("SELECT bid_id, 'gst_status' AS field, status AS value, CASE status WHEN 'VERIFIED' THEN 'HIGH' ELSE 'LOW' END AS confidence FROM checks", "checks"))
+@register("t11_certificate_facts", oracle.sql("SELECT bid_id, lower(registry) || '_status' AS field, status AS value, CASE status WHEN 'VERIFIED' THEN 'HIGH' ELSE 'LOW' END AS confidence FROM checks", "checks"))
 def _certificates(spark, sf_dir):
-    return base.checks(spark, sf_dir).select("bid_id", F.lit("gst_status").alias("field"), F.col("status").alias("value"), F.when(F.col("status") == "VERIFIED", "HIGH").otherwise("LOW").alias("confidence"))
+    return registry.certificates(base.checks(spark, sf_dir))
 
 
 @register("u01_name_similarity")
 def _similar(spark, sf_dir):
-    c = base.checks(spark, sf_dir).filter("registered_name is not null").select("bid_id", "registered_name", "expected_name")
-    return c.select("bid_id", (similarity.matched_ratio("registered_name", "expected_name") >= similarity.LEAST).alias("alike"))
+    c = base.gst_checks(spark, sf_dir).filter("registered_name is not null").select("bid_id", "registered_name", "expected_name")
+    return similarity.alike(c, "registered_name", "expected_name").select("bid_id", "alike")
 
 
-@register("u01_edit_similarity", oracle.sql("SELECT bid_id, round(1 - levenshtein(registered_name, expected_name)::DOUBLE / greatest(length(registered_name), length(expected_name), 1), 6) AS ratio FROM checks WHERE registered_name IS NOT NULL", "checks"))
+@register("u01_edit_similarity", oracle.sql("SELECT bid_id, round(1 - levenshtein(holder, expected_name)::DOUBLE / greatest(length(holder), length(expected_name), 1), 6) AS ratio FROM checks WHERE registry = 'GST' AND holder IS NOT NULL", "checks"))
 def _edit(spark, sf_dir):
-    return base.checks(spark, sf_dir).filter("registered_name is not null").select("bid_id", similarity.edit_ratio("registered_name", "expected_name").alias("ratio"))
+    return base.gst_checks(spark, sf_dir).filter("registered_name is not null").select("bid_id", similarity.edit_ratio("registered_name", "expected_name").alias("ratio"))
 
 
 @register("h21_box_checks", "SELECT event_id, CASE WHEN b[1] < 0 OR b[2] < 0 OR b[3] < 0 OR b[4] < 0 THEN 'NEGATIVE' WHEN b[3] <= b[1] OR b[4] <= b[2] THEN 'ORDER' WHEN b[3] > 842 OR b[4] > 595 THEN 'BOUNDS' ELSE 'OK' END AS outcome FROM (SELECT event_id, [user_id * 13 % 900 - 20, user_id * 7 % 700, event_id % 900, event_id % 650] AS b FROM events)")
@@ -186,15 +340,6 @@ def _box_checks(spark, sf_dir):
     return bridge.table(spark, sf_dir, "events").withColumn("b", box).select("event_id", text.valid_box(F.col("b"), 595, 842).alias("outcome"))
 
 
-_CLAIM = "substring(coalesce(text, ''), 1, 24) || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' zq' ELSE ' qqqq zzzz wwww' END"
-
-
-@register("t02_value_support", f"SELECT doc_id, CASE WHEN contains(lower(text), lower(claim)) THEN 'EXACT' WHEN len(words) > 0 AND len(list_filter(words, lambda w: contains(lower(text), w))) >= 0.75 * len(words) THEN 'TOKENS' ELSE 'UNSUPPORTED' END AS support FROM (SELECT doc_id, text, claim, list_distinct(list_filter(regexp_split_to_array(lower(claim), '[^a-z0-9]+'), lambda w: length(w) > 2)) AS words FROM (SELECT doc_id, text, {_CLAIM} AS claim FROM documents))")
-def _support(spark, sf_dir):
-    claimed = bridge.table(spark, sf_dir, "documents").withColumn("claim", F.expr(_CLAIM))
-    return claimed.select("doc_id", text.supported(F.col("claim"), F.col("text")).alias("support"))
-
-
 _PAYLOAD = "concat('```json\\n[{\"id\": ', event_id, ', \"field\": \"', event_type, '\"}', CASE WHEN event_id % 10 = 0 THEN '' ELSE ']' END, '\\n```')"
 
 
@@ -204,9 +349,10 @@ def _payloads(spark, sf_dir):
     return text.candidates(raw, "payload", "array<struct<id bigint, field string>>")
 
 
-@register("c17_override_targets", oracle.sql("SELECT event_id, CASE WHEN user_id IN (SELECT bid_id FROM bids) THEN 'RESULT' WHEN user_id IN (SELECT c_custkey FROM customer) THEN 'FINDING' ELSE 'REJECTED' END AS target_kind FROM events", "bids"))
+@register("c17_override_targets", oracle.sql("SELECT event_id, CASE WHEN k = 0 AND user_id IN (SELECT bid_id FROM queue) THEN 'REVIEW_ITEM' WHEN user_id IN (SELECT bid_id FROM results) THEN 'REQUIREMENT' WHEN user_id IN (SELECT bid_id FROM findings) THEN 'INTEGRITY_FINDING' ELSE 'REJECTED' END AS target_kind FROM (SELECT event_id, user_id, event_id % 2 AS k FROM events)", "queue", "results", "findings"))
 def _targets(spark, sf_dir):
-    e = bridge.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("target"))
-    results = bridge.bids(spark, sf_dir).select(F.col("bid_id").alias("target"), F.lit(True).alias("r"))
-    findings = bridge.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target"), F.lit(True).alias("f"))
-    return e.join(results, "target", "left").join(findings, "target", "left").select("event_id", F.when(F.col("r"), "RESULT").when(F.col("f"), "FINDING").otherwise("REJECTED").alias("target_kind"))
+    """An officer's target: an item of the queue, else a result, else a finding of a bid; what is none of them is rejected."""
+    e = bridge.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("target"), (F.col("event_id") % 2 == 0).alias("names_item"))
+    known = lambda df, mark: df.select(F.col("bid_id").alias("target")).distinct().withColumn(mark, F.lit(True))
+    out = e.join(known(base.queue(spark, sf_dir), "q"), "target", "left").join(known(base.results(spark, sf_dir), "r"), "target", "left").join(known(base.findings(spark, sf_dir), "f"), "target", "left")
+    return out.select("event_id", F.when(F.col("names_item") & F.col("q"), "REVIEW_ITEM").when(F.col("r"), "REQUIREMENT").when(F.col("f"), "INTEGRITY_FINDING").otherwise("REJECTED").alias("target_kind"))

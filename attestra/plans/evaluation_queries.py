@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,12 @@ def register(name: str, sql: str | None = None):
 
 
 _PREDICTED = "CASE compliance_status WHEN 'PASS' THEN 'PASS' WHEN 'FAIL' THEN 'FAIL' ELSE 'REVIEW' END"
-oracle.view("labelled", f"SELECT b.bid_id, b.tender_id, truth, {_PREDICTED} AS predicted, c.total, c.missing FROM bids b JOIN compliance c ON b.bid_id = c.bid_id", "bids", "compliance")
+oracle.view("labelled", f"SELECT b.bid_id, b.tender_id, truth, {_PREDICTED} AS predicted, c.total, c.missing, o.review_required FROM bids b JOIN compliance c ON b.bid_id = c.bid_id JOIN (SELECT bid_id, review_required FROM overall) o ON b.bid_id = o.bid_id", "bids", "compliance", "overall")
 
 
 def labelled(spark, sf_dir):
-    predicted = rollup.compliance(base.results(spark, sf_dir)).withColumn("predicted", F.expr(_PREDICTED))
-    return bridge.bids(spark, sf_dir).join(predicted, "bid_id").select("bid_id", "tender_id", "truth", "predicted", "total", "missing")
+    predicted = rollup.overall(base.tally(spark, sf_dir)).withColumn("predicted", F.expr(_PREDICTED))
+    return bridge.bids(spark, sf_dir).join(predicted, "bid_id").select("bid_id", "tender_id", "truth", "predicted", "total", "missing", "review_required")
 
 
 @register("c18_label_join", oracle.sql("SELECT bid_id, truth, predicted, truth = predicted AS agrees FROM labelled", "labelled"))
@@ -44,7 +46,14 @@ def _confusion(spark, sf_dir):
     return evaluate.confusion(labelled(spark, sf_dir), "truth", "predicted", ["PASS", "FAIL", "REVIEW"])
 
 
-@register("d09_rates", oracle.sql("SELECT tp, fp, fn, tn, round((tp + tn)::DOUBLE / nullif(tp + fp + fn + tn, 0), 6) AS accuracy, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall, round(tn::DOUBLE / nullif(tn + fp, 0), 6) AS specificity, round(greatest(0.0::DOUBLE, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 4) AS low, round(least(1.0::DOUBLE, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 4) AS high FROM (SELECT *, (tp + fp + fn + tn)::DOUBLE AS n, (tp + tn)::DOUBLE / nullif(tp + fp + fn + tn, 0) AS p, 1.959963984540054::DOUBLE AS z FROM (SELECT count(*) FILTER (truth = 'PASS' AND predicted = 'PASS') AS tp, count(*) FILTER (truth <> 'PASS' AND predicted = 'PASS') AS fp, count(*) FILTER (truth = 'PASS' AND predicted <> 'PASS') AS fn, count(*) FILTER (truth <> 'PASS' AND predicted <> 'PASS') AS tn FROM labelled))", "labelled"))
+_RATES = """SELECT tp, fp, fn, tn, round((tp + tn)::DOUBLE / nullif(n, 0), 6) AS accuracy, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall, round(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 6) AS f1, round(tn::DOUBLE / nullif(tn + fp, 0), 6) AS specificity,
+round(false_pass::DOUBLE / nullif(n_fail, 0), 6) AS false_pass_rate, round(false_fail::DOUBLE / nullif(n_pass, 0), 6) AS false_fail_rate, round(abstained::DOUBLE / nullif(n, 0), 6) AS abstention_rate, round(escaped::DOUBLE / nullif(abstained, 0), 6) AS review_escape_rate,
+round(greatest(0.0::DOUBLE, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 4) AS low, round(least(1.0::DOUBLE, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 4) AS high
+FROM (SELECT *, (tp + tn)::DOUBLE / nullif(n, 0) AS p, 1.959963984540054::DOUBLE AS z FROM (SELECT count(*)::DOUBLE AS n, count(*) FILTER (truth = 'PASS' AND predicted = 'PASS') AS tp, count(*) FILTER (truth <> 'PASS' AND predicted = 'PASS') AS fp, count(*) FILTER (truth = 'PASS' AND predicted <> 'PASS') AS fn, count(*) FILTER (truth <> 'PASS' AND predicted <> 'PASS') AS tn,
+count(*) FILTER (truth = 'FAIL' AND predicted = 'PASS') AS false_pass, count(*) FILTER (truth = 'PASS' AND predicted = 'FAIL') AS false_fail, count(*) FILTER (truth = 'FAIL') AS n_fail, count(*) FILTER (truth = 'PASS') AS n_pass, count(*) FILTER (predicted = 'REVIEW') AS abstained, count(*) FILTER (predicted = 'REVIEW' AND NOT review_required) AS escaped FROM labelled))"""
+
+
+@register("d09_rates", oracle.sql(_RATES, "labelled"))
 def _rates(spark, sf_dir):
     return evaluate.rates(labelled(spark, sf_dir))
 
@@ -64,9 +73,7 @@ def _difficulty(spark, sf_dir):
 
 @register("d12_contradictions_by_type", oracle.sql("SELECT field, count(*) AS pairs, count(*) FILTER (status = 'CONTRADICTION') AS detected, round(count(*) FILTER (status = 'CONTRADICTION')::DOUBLE / count(*), 6) AS share FROM pairs GROUP BY field", "pairs"))
 def _by_type(spark, sf_dir):
-    from attestra.operators import integrity
-
-    p = integrity.pairs(bridge.facts(spark, sf_dir)).groupBy("field").agg(F.count("*").alias("pairs"), F.count_if(F.col("status") == "CONTRADICTION").alias("detected"))
+    p = base.pairs(spark, sf_dir).groupBy("field").agg(F.count("*").alias("pairs"), F.count_if(F.col("status") == "CONTRADICTION").alias("detected"))
     return p.withColumn("share", F.round(F.col("detected") / F.col("pairs"), 6))
 
 
@@ -117,20 +124,27 @@ def _gates(spark, sf_dir):
     return base.results(spark, sf_dir).agg(F.bool_and(~((c("basis") == "ABSENT") & (c("status") == "PASS"))).alias("missing_never_passes"), F.bool_and(~((c("basis") == "SUPERSEDED") & (c("status") != "N/A"))).alias("superseded_is_na"), F.bool_and(~((c("status") == "FAIL") & c("mandatory") & (c("severity") != "CRITICAL"))).alias("mandatory_is_critical"))
 
 
-@register("d21_evidence_counts", oracle.sql("SELECT bid_id, count(source_document) AS n, array_to_string(list_sort(list(DISTINCT source_document) FILTER (source_document IS NOT NULL)), ',') AS documents FROM results GROUP BY bid_id", "results"))
+@register("d21_evidence_counts", oracle.sql("SELECT bid_id, count(source_document) AS n, count(DISTINCT CASE WHEN source_document IS NOT NULL THEN source_document || ':' || CAST(page AS VARCHAR) END) AS pages, array_to_string(list_sort(list(DISTINCT source_document) FILTER (source_document IS NOT NULL)), ',') AS documents FROM results GROUP BY bid_id", "results"))
 def _evidence(spark, sf_dir):
-    return base.results(spark, sf_dir).groupBy("bid_id").agg(F.count("source_document").alias("n"), F.array_join(F.sort_array(F.collect_set("source_document")), ",").alias("documents"))
+    page = F.when(F.col("source_document").isNotNull(), F.concat_ws(":", "source_document", "page"))
+    return base.results(spark, sf_dir).groupBy("bid_id").agg(F.count("source_document").alias("n"), F.countDistinct(page).alias("pages"), F.array_join(F.sort_array(F.collect_set("source_document")), ",").alias("documents"))
 
 
-@register("d22_dossiers", oracle.sql("SELECT bid_id, count(*) AS n, sha256(string_agg(requirement_id || ':' || status, ';' ORDER BY requirement_id)) AS digest FROM results GROUP BY bid_id", "results"))
+@register("d22_dossiers", oracle.sql("SELECT r.bid_id, requirements, facts, findings, checks, contradictions, checked FROM (SELECT bid_id, count(*) AS requirements, sha256(string_agg(requirement_id || ':' || status || ':' || severity, ';' ORDER BY requirement_id)) AS checked FROM results GROUP BY bid_id) r JOIN (SELECT bid_id, sha256(string_agg(field || '=' || value || '@' || source_document || ':' || CAST(page AS VARCHAR), ';' ORDER BY field, fact_seq)) AS facts FROM facts GROUP BY bid_id) f ON r.bid_id = f.bid_id LEFT JOIN (SELECT bid_id, count(*) AS contradictions, sha256(string_agg(finding_id || ':' || status, ';' ORDER BY finding_id)) AS findings FROM findings GROUP BY bid_id) i ON r.bid_id = i.bid_id LEFT JOIN (SELECT bid_id, string_agg(registry || '=' || status, ',' ORDER BY registry) AS checks FROM checks GROUP BY bid_id) c ON r.bid_id = c.bid_id", "results", "facts", "findings", "checks"))
 def _dossiers(spark, sf_dir):
-    nested = base.results(spark, sf_dir).groupBy("bid_id").agg(F.sort_array(F.collect_list(F.struct("requirement_id", "status"))).alias("results"))
-    return nested.select("bid_id", F.size("results").cast("long").alias("n"), F.sha2(F.array_join(F.transform("results", lambda x: F.concat_ws(":", x["requirement_id"], x["status"])), ";"), 256).alias("digest"))
+    nested = audit.dossiers(base.results(spark, sf_dir), bridge.facts(spark, sf_dir), base.findings(spark, sf_dir), base.checks(spark, sf_dir))
+    told = lambda c, f, sep=";": F.array_join(F.transform(c, f), sep)
+    facts = told("facts", lambda x: F.concat(x["field"], F.lit("="), x["value"], F.lit("@"), x["source_document"], F.lit(":"), x["page"].cast("string")))
+    found = told("findings", lambda x: F.concat_ws(":", x["finding_id"], x["status"]))
+    return nested.select(
+        "bid_id", F.size("results").cast("long").alias("requirements"), F.sha2(facts, 256).alias("facts"), F.sha2(found, 256).alias("findings"), told("checks", lambda x: F.concat_ws("=", x["registry"], x["status"]), ",").alias("checks"),
+        F.when(F.col("findings").isNotNull(), F.size("findings").cast("long")).alias("contradictions"), F.sha2(told("results", lambda x: F.concat_ws(":", x["requirement_id"], x["status"], x["severity"])), 256).alias("checked"),
+    )
 
 
-@register("d24_completeness", "SELECT 'c_custkey' AS column_name, count(c_custkey) AS filled FROM customer UNION ALL SELECT 'c_name', count(*) FILTER (trim(coalesce(c_name, '')) <> '') FROM customer UNION ALL SELECT 'c_acctbal', count(c_acctbal) FROM customer")
+@register("d24_completeness", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (trim(coalesce(CAST({c} AS VARCHAR), '')) <> '') AS filled FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))
 def _completeness(spark, sf_dir):
-    return evaluate.completeness(bridge.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"))
+    return evaluate.completeness(bridge.table(spark, sf_dir, "customer"))
 
 
 @register("h26_wilson", "SELECT user_id, round(greatest(0.0::DOUBLE, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 4) AS low, round(least(1.0::DOUBLE, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 4) AS high FROM (SELECT user_id, count(*)::DOUBLE AS n, count(*) FILTER (event_type = 'error')::DOUBLE / count(*) AS p, 1.959963984540054::DOUBLE AS z FROM events GROUP BY user_id)")
@@ -186,7 +200,7 @@ def _frequency(spark, sf_dir):
 @register("f05_sorted_serialization", oracle.sql("SELECT bid_id, string_agg(field || '=' || value, '|' ORDER BY field) AS line FROM last_facts GROUP BY bid_id", "last_facts"))
 def _sorted(spark, sf_dir):
     listed = F.sort_array(F.collect_list(F.struct("field", "value")))
-    return resolve.last_facts(bridge.facts(spark, sf_dir)).groupBy("bid_id").agg(F.array_join(F.transform(listed, lambda x: F.concat_ws("=", x["field"], x["value"])), "|").alias("line"))
+    return resolve.last_facts(base.summary(spark, sf_dir)).groupBy("bid_id").agg(F.array_join(F.transform(listed, lambda x: F.concat_ws("=", x["field"], x["value"])), "|").alias("line"))
 
 
 @register("f06_queue_page", "SELECT event_id, event_type FROM events ORDER BY event_type, event_id LIMIT 25 OFFSET 50")
@@ -204,9 +218,9 @@ def _passes(spark, sf_dir):
     return one.unionByName(two)
 
 
-@register("g02_findings_and_anomalies", oracle.sql("SELECT bid_id, finding_type, 'FINDING' AS origin FROM findings WHERE field = 'gstin' UNION ALL SELECT user_id, upper(event_type), 'ANOMALY' FROM events WHERE event_type NOT IN ('view', 'click')", "findings"))
+@register("g02_findings_and_anomalies", oracle.sql("SELECT bid_id, finding_type, 'FINDING' AS origin FROM findings UNION ALL SELECT user_id, upper(event_type), 'ANOMALY' FROM events WHERE event_type NOT IN ('view', 'click')", "findings"))
 def _anomalies(spark, sf_dir):
-    f = base.findings(spark, sf_dir).filter("field = 'gstin'").select("bid_id", "finding_type", F.lit("FINDING").alias("origin"))
+    f = base.findings(spark, sf_dir).select("bid_id", "finding_type", F.lit("FINDING").alias("origin"))
     e = bridge.table(spark, sf_dir, "events").filter(~F.col("event_type").isin("view", "click")).select(F.col("user_id").alias("bid_id"), F.upper("event_type").alias("finding_type"), F.lit("ANOMALY").alias("origin"))
     return f.unionByName(e)
 
@@ -216,10 +230,19 @@ def _differences(spark, sf_dir):
     return audit.differences(bridge.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), bridge.table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id")))
 
 
-@register("g06_declared_not_checked", oracle.sql("SELECT DISTINCT value AS identifier FROM facts WHERE field = 'gstin' AND value NOT IN (SELECT gstin FROM registry)", "facts", "registry"))
+@register("g06_declared_not_checked", oracle.sql("SELECT DISTINCT 'not_registered' AS side, value AS identifier FROM facts WHERE field = 'gstin' AND value NOT IN (SELECT key FROM registry WHERE registry = 'GST') UNION ALL SELECT DISTINCT 'not_declared', key FROM registry WHERE registry = 'GST' AND key NOT IN (SELECT value FROM facts WHERE field = 'gstin')", "facts", "registry"))
 def _undeclared(spark, sf_dir):
-    declared = bridge.facts(spark, sf_dir).filter("field = 'gstin'").select(F.col("value").alias("identifier")).distinct()
-    return declared.join(bridge.registry(spark, sf_dir).select(F.col("gstin").alias("identifier")), "identifier", "left_anti")
+    declared = bridge.facts(spark, sf_dir).filter("field = 'gstin'").select(F.col("value").alias("id"))
+    registered = bridge.registry(spark, sf_dir).filter("registry = 'GST'").select(F.col("key").alias("id"))
+    side = F.when(F.col("side") == "left_only", "not_registered").otherwise("not_declared")
+    return audit.differences(declared, registered).select(side.alias("side"), F.col("id").alias("identifier"))
+
+
+@register("g07_block_sets", "SELECT conv_id, array_to_string(list_transform(list_sort(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))), lambda x: CAST(x AS VARCHAR)), ',') AS joined, list_has_any(coalesce(a, []), coalesce(b, [])) AS overlap, list_sort(list_distinct(coalesce(a, []))) = list_sort(list_distinct(coalesce(b, []))) AS same FROM (SELECT conv_id, list(turn) FILTER (role = 'user') AS a, list(turn) FILTER (role = 'assistant') AS b FROM conversations GROUP BY conv_id)")
+def _block_sets(spark, sf_dir):
+    side = lambda r: F.sort_array(F.collect_set(F.when(F.col("role") == r, F.col("turn"))))
+    g = bridge.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(side("user").alias("a"), side("assistant").alias("b"))
+    return g.select("conv_id", F.array_join(F.transform(F.sort_array(F.array_union("a", "b")), lambda x: x.cast("string")), ",").alias("joined"), F.arrays_overlap("a", "b").alias("overlap"), (F.col("a") == F.col("b")).alias("same"))
 
 
 @register("g07_block_sets", "SELECT conv_id, CAST(len(list(DISTINCT turn)) AS INT) AS n_turns, list_has_any(list(turn) FILTER (role = 'user'), list(turn) FILTER (role = 'assistant')) AS overlap FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0")
@@ -231,12 +254,39 @@ def _block_sets(spark, sf_dir):
 
 # --- provenance ----------------------------------------------------------------------------
 
-oracle.view("edges", "SELECT bid_id, 'RESULT:' || requirement_id AS src, 'REQ:' || requirement_id AS dst, 'EVALUATES' AS kind FROM results UNION ALL SELECT bid_id, 'RESULT:' || requirement_id, 'FACT:' || field, 'USES' FROM results WHERE basis = 'EVALUATED' UNION ALL SELECT bid_id, 'FACT:' || field, 'BLOCK:' || source_document || ':' || CAST(page AS VARCHAR), 'FOUND_IN' FROM first_facts", "results", "first_facts")
+_BLOCK = "'BLOCK:' || source_document || ':' || CAST(page AS VARCHAR)"
+_FACT = "'FACT:' || {0} || '-' || CAST({1} AS VARCHAR)"
+oracle.view("decided_events", f"SELECT user_id AS target, event_id, decision FROM (SELECT user_id, event_id, {_DECISION} AS decision, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE {_DECISION} IS NOT NULL) WHERE r = 1")
+oracle.view(
+    "edges",
+    f"""SELECT DISTINCT * FROM (
+SELECT bid_id, 'REQ:' || requirement_id AS src, 'FIELD:' || canonical AS dst, 'REQUIREMENT_RESOLVES_TO' AS kind FROM results WHERE canonical IS NOT NULL
+UNION ALL SELECT bid_id, 'REQ:' || requirement_id, 'BLOCK:' || tender_id || '.pdf:1', 'REQUIREMENT_HAS_EVIDENCE' FROM results
+UNION ALL SELECT bid_id, {_FACT.format('raw', 'fact_seq')}, {_BLOCK}, 'FACT_GROUNDED_BY' FROM grouped
+UNION ALL SELECT g.bid_id, {_FACT.format('raw', 'fact_seq')}, 'FIELD:' || c.canonical, 'FACT_RESOLVES_TO' FROM grouped g JOIN canon c ON g.raw = c.field WHERE c.canonical IS NOT NULL
+UNION ALL SELECT bid_id, 'RESULT:' || requirement_id, 'REQ:' || requirement_id, 'RESULT_EVALUATES_REQUIREMENT' FROM results
+UNION ALL SELECT r.bid_id, 'RESULT:' || requirement_id, {_FACT.format('f.raw', 'f.fact_seq')}, 'RESULT_USES_FACT' FROM results r JOIN grouped f ON r.bid_id = f.bid_id AND r.actual = f.value AND r.source_document = f.source_document AND r.page = f.page AND (lower(r.field) = f.raw OR r.canonical = f.field) WHERE r.basis = 'EVALUATED'
+UNION ALL SELECT bid_id, 'RESULT:' || requirement_id, {_BLOCK}, 'RESULT_SUPPORTED_BY' FROM results WHERE basis = 'EVALUATED'
+UNION ALL SELECT bid_id, 'INTEGRITY:' || finding_id, 'BLOCK:' || document_a || ':' || CAST(page_a AS VARCHAR), 'INTEGRITY_SUPPORTED_BY' FROM findings
+UNION ALL SELECT bid_id, 'INTEGRITY:' || finding_id, 'BLOCK:' || document_b || ':' || CAST(page_b AS VARCHAR), 'INTEGRITY_SUPPORTED_BY' FROM findings
+UNION ALL SELECT bid_id, 'INTEGRITY:' || finding_id, {_FACT.format('raw_field_a', 'seq_a')}, 'INTEGRITY_FINDING_COMPARES' FROM findings
+UNION ALL SELECT bid_id, 'INTEGRITY:' || finding_id, {_FACT.format('raw_field_b', 'seq_b')}, 'INTEGRITY_FINDING_COMPARES' FROM findings
+UNION ALL SELECT r.bid_id, 'RESULT:' || requirement_id, 'INTEGRITY:' || finding_id, 'RESULT_AFFECTED_BY_INTEGRITY' FROM results r JOIN findings f ON r.bid_id = f.bid_id AND (r.canonical = f.field OR lower(r.field) IN (lower(f.field), f.raw_field_a, f.raw_field_b))
+UNION ALL SELECT bid_id, 'REVIEW:' || related, CASE source_order WHEN 1 THEN 'RESULT:' ELSE 'INTEGRITY:' END || related, 'REVIEW_ITEM_FOR_RESULT' FROM queue WHERE source_order <= 2
+UNION ALL SELECT q.bid_id, 'REVIEW:' || related, 'BLOCK:' || source_document || ':' || CAST(page AS VARCHAR), 'REVIEW_ITEM_SUPPORTED_BY' FROM queue q JOIN results r ON q.bid_id = r.bid_id AND q.related = r.requirement_id WHERE source_order = 1 AND source_document IS NOT NULL
+UNION ALL SELECT bid_id, 'ADJUDICATION:' || CAST(event_id AS VARCHAR), 'RESULT:' || requirement_id, 'ADJUDICATION_OVERRIDES_RESULT' FROM results JOIN decided_events ON target = bid_id WHERE rank = 1 AND field = 'turnover_cr'
+UNION ALL SELECT r.bid_id, 'ADJUDICATION:' || CAST(event_id AS VARCHAR), 'REVIEW:' || related, 'ADJUDICATION_FOR_REVIEW_ITEM' FROM queue r JOIN decided_events ON target = r.bid_id JOIN results x ON x.bid_id = r.bid_id AND x.requirement_id = r.related AND x.rank = 1 AND x.field = 'turnover_cr' WHERE source_order = 1
+UNION ALL SELECT bid_id, 'FACT:' || lower(registry) || '.' || d.field, 'BLOCK:' || registry || ':' || coalesce(identifier, ''), 'FACT_GROUNDED_BY' FROM (SELECT bid_id, registry, identifier, unnest(details) AS d FROM checks WHERE status = 'VERIFIED'))""",
+    "results", "grouped", "canon", "findings", "queue", "decided_events", "checks",
+)
 oracle.view("nodes", "SELECT DISTINCT bid_id, id, split_part(id, ':', 1) AS node_type FROM (SELECT bid_id, src AS id FROM edges UNION ALL SELECT bid_id, dst FROM edges)", "edges")
 
 
-def edges(spark, sf_dir):
-    return audit.edges(base.results(spark, sf_dir), resolve.first_facts(bridge.facts(spark, sf_dir)))
+def _decided(spark, sf_dir):
+    return audit.latest_overrides(audit.decisions(bridge.table(spark, sf_dir, "events")))
+
+
+edges = base._once("edges", lambda s, d: audit.edges(base.results(s, d), bridge.facts(s, d), base.findings(s, d), base.queue(s, d), base.checks(s, d), _decided(s, d)))
 
 
 @register("i01_nodes", oracle.sql("SELECT bid_id, id, node_type FROM nodes", "nodes"))
@@ -244,60 +294,142 @@ def _nodes(spark, sf_dir):
     return audit.nodes(edges(spark, sf_dir))
 
 
-@register("i02_edges", oracle.sql("SELECT DISTINCT bid_id, src, dst, kind FROM edges", "edges"))
+@register("i02_edges", oracle.sql("SELECT bid_id, src, dst, kind FROM edges", "edges"))
 def _edges(spark, sf_dir):
     return edges(spark, sf_dir)
 
 
-@register("i03_structure", oracle.sql("SELECT count(*) AS n_edges, count(*) FILTER (src = dst) AS self_loops, 0::BIGINT AS dangling FROM edges", "edges"))
+_TYPES = oracle._list(audit.NODE_TYPES)
+
+
+@register("i03_structure", oracle.sql(f"SELECT (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM edges WHERE src = dst) AS self_loops, 0::BIGINT AS dangling, (SELECT count(*) FROM edges WHERE split_part(src, ':', 1) NOT IN {_TYPES} OR split_part(dst, ':', 1) NOT IN {_TYPES}) AS unknown_types, (SELECT count(*) FROM (SELECT bid_id, id FROM nodes GROUP BY ALL HAVING count(DISTINCT node_type) > 1)) AS type_conflicts", "edges", "nodes"))
 def _structure(spark, sf_dir):
     return audit.structure(edges(spark, sf_dir))
 
 
-@register("i04_layer_order", oracle.sql("SELECT kind, bool_and(CASE split_part(src, ':', 1) WHEN 'RESULT' THEN 3 WHEN 'FACT' THEN 2 ELSE 1 END > CASE split_part(dst, ':', 1) WHEN 'RESULT' THEN 3 WHEN 'FACT' THEN 2 WHEN 'REQ' THEN 1 ELSE 0 END) AS acyclic FROM edges GROUP BY kind", "edges"))
-def _layers(spark, sf_dir):
-    return audit.layered(edges(spark, sf_dir))
+@register("i04_acyclicity", oracle.sql("WITH RECURSIVE tops AS (SELECT DISTINCT kind, split_part(src, ':', 1) AS a, split_part(dst, ':', 1) AS b FROM edges), reach AS (SELECT DISTINCT a, b FROM tops UNION SELECT r.a, t.b FROM reach r JOIN tops t ON r.b = t.a) SELECT bid_id, false AS cyclic FROM bids WHERE NOT EXISTS (SELECT 1 FROM reach WHERE a = b)".replace("WITH RECURSIVE tops", "SELECT * FROM (WITH RECURSIVE tops") + ")", "edges", "bids"))
+def _acyclic(spark, sf_dir):
+    cyclic = audit.cyclic_bids(edges(spark, sf_dir)).select("bid_id", F.lit(True).alias("cyclic"))
+    return bridge.bids(spark, sf_dir).select("bid_id").join(cyclic, "bid_id", "left").select("bid_id", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
-@register("i05_trace_decisions", oracle.sql("SELECT DISTINCT a.bid_id, a.src AS result, b.dst AS evidence FROM edges a JOIN edges b ON a.bid_id = b.bid_id AND a.dst = b.src", "edges"))
+@register("i05_trace_decisions", oracle.sql("SELECT DISTINCT a.bid_id, a.src AS result, b.dst AS evidence FROM edges a JOIN edges b ON a.bid_id = b.bid_id AND a.dst = b.src WHERE a.kind = 'RESULT_USES_FACT' AND b.kind = 'FACT_GROUNDED_BY'", "edges"))
 def _trace(spark, sf_dir):
     return audit.trace(edges(spark, sf_dir))
 
 
-@register("i06_evidence_to_decisions", oracle.sql("SELECT b.bid_id, b.dst AS evidence, count(DISTINCT a.src) AS n_results FROM edges a JOIN edges b ON a.bid_id = b.bid_id AND a.dst = b.src GROUP BY ALL", "edges"))
+@register("i06_evidence_to_decisions", oracle.sql("SELECT b.bid_id, b.dst AS evidence, count(DISTINCT a.src) AS n_results, array_to_string(list_sort(list(DISTINCT a.src)), ',') AS results FROM edges a JOIN edges b ON a.bid_id = b.bid_id AND a.dst = b.src WHERE a.kind = 'RESULT_USES_FACT' AND b.kind = 'FACT_GROUNDED_BY' GROUP BY b.bid_id, b.dst", "edges"))
 def _back(spark, sf_dir):
-    return audit.trace(edges(spark, sf_dir)).groupBy("bid_id", "evidence").agg(F.count("*").alias("n_results"))
+    return audit.trace(edges(spark, sf_dir)).groupBy("bid_id", "evidence").agg(F.count("*").alias("n_results"), F.array_join(F.sort_array(F.collect_list("result")), ",").alias("results"))
 
 
-@register("i07_fact_trace", oracle.sql("SELECT bid_id, dst AS fact, count(*) AS used_by FROM edges WHERE kind = 'USES' GROUP BY ALL", "edges"))
+@register("i07_fact_and_finding_trace", oracle.sql("SELECT bid_id, dst AS traced, kind, count(*) AS n, array_to_string(list_sort(list(src)), ',') AS by FROM edges WHERE kind IN ('RESULT_USES_FACT', 'INTEGRITY_FINDING_COMPARES', 'RESULT_AFFECTED_BY_INTEGRITY') GROUP BY ALL", "edges"))
 def _fact_trace(spark, sf_dir):
-    return edges(spark, sf_dir).filter("kind = 'USES'").groupBy("bid_id", F.col("dst").alias("fact")).agg(F.count("*").alias("used_by"))
+    kept = edges(spark, sf_dir).filter(F.col("kind").isin("RESULT_USES_FACT", "INTEGRITY_FINDING_COMPARES", "RESULT_AFFECTED_BY_INTEGRITY"))
+    return kept.groupBy("bid_id", F.col("dst").alias("traced"), "kind").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("src")), ",").alias("by"))
+
+
+@register("i08_registry_evidence", oracle.sql("SELECT bid_id, src AS fact, dst AS evidence FROM edges WHERE kind = 'FACT_GROUNDED_BY' AND contains(src, '.')", "edges"))
+def _registry_evidence(spark, sf_dir):
+    return edges(spark, sf_dir).filter((F.col("kind") == "FACT_GROUNDED_BY") & F.contains("src", F.lit("."))).select("bid_id", F.col("src").alias("fact"), F.col("dst").alias("evidence"))
 
 
-@register("d23_graph_stats", oracle.sql("SELECT node_type, count(*) AS n, round(count(*)::DOUBLE / count(DISTINCT bid_id), 6) AS per_bid FROM nodes GROUP BY node_type", "nodes"))
+@register("d23_graph_stats", oracle.sql("SELECT 'NODE' AS what, node_type AS type, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM bids), 6) AS per_bid FROM nodes GROUP BY node_type UNION ALL SELECT 'EDGE', kind, count(*), round(count(*)::DOUBLE / (SELECT count(*) FROM bids), 6) FROM edges GROUP BY kind", "nodes", "edges", "bids"))
 def _graph(spark, sf_dir):
-    return audit.nodes(edges(spark, sf_dir)).groupBy("node_type").agg(F.count("*").alias("n"), F.round(F.count("*") / F.countDistinct("bid_id"), 6).alias("per_bid"))
+    n_bids = bridge.bids(spark, sf_dir).agg(F.count("*").alias("bids"))  # one row
+    n = audit.nodes(edges(spark, sf_dir)).groupBy(F.lit("NODE").alias("what"), F.col("node_type").alias("type")).agg(F.count("*").alias("n"))
+    e = edges(spark, sf_dir).groupBy(F.lit("EDGE").alias("what"), F.col("kind").alias("type")).agg(F.count("*").alias("n"))
+    return n.unionByName(e).join(F.broadcast(n_bids)).select("what", "type", "n", F.round(F.col("n") / F.col("bids"), 6).alias("per_bid"))
 
 
 # --- snapshots, overrides, streams ---------------------------------------------------------
 
+_CONFIG = {"aggregator_version": "1", "contradiction_engine_version": "1", "default_evaluation_date": bridge.REFERENCE_DATE, "ontology_version": "1", "precedence_policy": "GTC<STC<ATC", "replay_engine_version": "1", "rule_engine_version": "1"}
+_CONFIG_HASH = "sha256('" + json.dumps(_CONFIG, separators=(",", ":"), sort_keys=True) + "')"
+_SNAPSHOT = f"""SELECT bid_id, sha256(string_agg(requirement_id || ':' || status || ':' || severity, ';' ORDER BY requirement_id)) AS snapshot_hash, {_CONFIG_HASH} AS config_hash FROM results GROUP BY bid_id"""
 
-@register("j01_snapshots", oracle.sql("SELECT bid_id, sha256(string_agg(requirement_id || ':' || status || ':' || severity, ';' ORDER BY requirement_id)) AS snapshot_hash FROM results GROUP BY bid_id", "results"))
+
+@register("j01_snapshots", oracle.sql(_SNAPSHOT, "results"))
 def _snapshots(spark, sf_dir):
-    return audit.snapshots(base.results(spark, sf_dir))
+    return audit.snapshots(base.results(spark, sf_dir), _CONFIG)
+
+
+def snapshot_records(spark, sf_dir):
+    """Snapshots as records to be checked; some are spoilt in each way that a check can tell."""
+    return audit.snapshot_records(bridge.bids(spark, sf_dir), base.results(spark, sf_dir), bridge.facts(spark, sf_dir)).withColumns(
+        {
+            "snapshot_version": F.when(F.col("bid_id") % 11 == 0, "9.9").otherwise(F.col("snapshot_version")),
+            "tender_id": F.when(F.col("bid_id") % 13 == 0, " ").otherwise(F.col("tender_id")),
+            "snapshot_hash": F.when(F.col("bid_id") % 17 != 0, F.col("snapshot_hash")),
+            "bidder_facts": F.when(F.col("bid_id") % 19 == 0, F.transform("bidder_facts", lambda x: F.struct(x["fact_id"].alias("fact_id"), F.lit("").alias("field"), x["source_document"].alias("source_document")))).otherwise(F.col("bidder_facts")),
+        }
+    )
+
 
+@register(
+    "j02_snapshot_errors",
+    oracle.sql(
+        """SELECT bid_id, CASE WHEN bid_id % 17 = 0 THEN 'missing snapshot_hash' ELSE concat_ws('; ', CASE WHEN bid_id % 11 = 0 THEN 'unsupported version 9.9' END, CASE WHEN bid_id % 13 = 0 THEN 'empty tender_id' END, CASE WHEN bid_id % 19 = 0 THEN CAST(n_facts AS VARCHAR) || ' facts without field' END) END AS errors
+FROM bids JOIN (SELECT bid_id, count(*) AS n_facts FROM facts GROUP BY bid_id) USING (bid_id)""",
+        "bids", "facts",
+    ),
+)
+def _snapshot_errors(spark, sf_dir):
+    return audit.snapshot_errors(snapshot_records(spark, sf_dir)).select("bid_id", F.array_join("errors", "; ").alias("errors"))
 
-@register("j03_replay_differences", oracle.sql("SELECT bid_id, requirement_id, status AS stored, CASE WHEN bid_id % 10 = 0 AND field = 'gstin' THEN 'REVIEW' ELSE status END AS replayed FROM results WHERE bid_id % 10 = 0 AND field = 'gstin' AND status <> 'REVIEW'", "results"))
+
+oracle.view("overridden", """SELECT r.* REPLACE (CASE WHEN o.decision IN ('ACCEPT', 'WAIVE') THEN 'OVERRIDDEN_PASS' WHEN o.decision = 'CONFIRM_FAIL' THEN 'OVERRIDDEN_FAIL' ELSE r.status END AS status, CASE WHEN o.decision IN ('ACCEPT', 'WAIVE', 'CONFIRM_FAIL') THEN false ELSE requires_review END AS requires_review) FROM results r LEFT JOIN decided_events o ON o.target = r.bid_id AND r.rank = 1 AND r.field = 'turnover_cr'""", "results", "decided_events")
+
+
+def _overridden(spark, sf_dir):
+    return audit.apply_overrides(base.results(spark, sf_dir), _decided(spark, sf_dir), (F.col("field") == "turnover_cr") & (F.col("basis") != "SUPERSEDED"))
+
+
+def _drifted(spark, sf_dir):
+    """The replay of every bid from its stored inputs, at another evaluation date: what changes is what depends on the date."""
+    from attestra.operators import verify
+
+    again = verify.judged(base.matched(spark, sf_dir), base.readings(spark, sf_dir), "1994-06-17")
+    return verify.results(base.matched(spark, sf_dir), again)
+
+
+oracle.view("again", "SELECT DISTINCT a, e, op, op_status FROM (" + oracle.readings("(SELECT DISTINCT a, e, op FROM joined)").replace(f"DATE '{bridge.REFERENCE_DATE}'", "DATE '1994-06-17'") + ")", "joined")
+oracle.view("replayed", "SELECT j.bid_id, j.requirement_id, CASE WHEN basis IN ('SUPERSEDED', 'EXEMPT') THEN 'N/A' WHEN basis = 'UNCLAIMED' THEN 'REVIEW' WHEN basis = 'ABSENT' THEN 'MISSING' ELSE op_status END AS status, CASE WHEN basis IN ('SUPERSEDED', 'EXEMPT') THEN 'INFO' WHEN basis = 'UNCLAIMED' THEN 'MAJOR' WHEN basis = 'ABSENT' THEN CASE WHEN mandatory THEN 'CRITICAL' ELSE 'MINOR' END WHEN op_status = 'PASS' THEN 'INFO' WHEN op_status = 'FAIL' AND mandatory THEN 'CRITICAL' WHEN op_status IN ('FAIL', 'REVIEW') THEN 'MAJOR' ELSE 'MINOR' END AS severity FROM joined j JOIN again d ON j.a IS NOT DISTINCT FROM d.a AND j.e IS NOT DISTINCT FROM d.e AND j.op = d.op", "joined", "again")
+_COUNTS = "SELECT bid_id, CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (status = 'MISSING') > 0 THEN 'MISSING' WHEN count(*) FILTER (status IN ('REVIEW', 'PARTIAL')) > 0 THEN 'REVIEW' WHEN count(*) FILTER (status = 'PASS') = count(*) THEN 'PASS' ELSE 'PARTIAL' END AS s FROM {0} GROUP BY bid_id"
+
+
+@register("j03_replay_differences", oracle.sql(f"SELECT 'RESULT' AS layer, a.bid_id, a.requirement_id AS item, a.status AS stored, b.status AS replayed FROM results a JOIN replayed b ON a.bid_id = b.bid_id AND a.requirement_id = b.requirement_id WHERE a.status <> b.status UNION ALL SELECT 'COMPLIANCE', a.bid_id, 'compliance_status', a.s, b.s FROM ({_COUNTS.format('results')}) a JOIN ({_COUNTS.format('replayed')}) b ON a.bid_id = b.bid_id WHERE a.s <> b.s", "results", "replayed"))
 def _replay(spark, sf_dir):
-    r = base.results(spark, sf_dir).select("bid_id", "requirement_id", "field", "status")
-    changed = r.withColumn("status", F.when((F.col("bid_id") % 10 == 0) & (F.col("field") == "gstin"), "REVIEW").otherwise(F.col("status")))
-    return audit.replay_differences(r, changed)
+    stored, replayed, none = base.results(spark, sf_dir), _drifted(spark, sf_dir), base.findings(spark, sf_dir)
+    return audit.replay_differences(audit.layers(stored, none), audit.layers(replayed, none))
 
 
-@register("j04_apply_overrides", oracle.sql(f"SELECT bid_id, requirement_id, CASE decision WHEN 'ACCEPT' THEN 'OVERRIDDEN_PASS' WHEN 'WAIVE' THEN 'N/A' WHEN 'CONFIRM_FAIL' THEN 'OVERRIDDEN_FAIL' ELSE status END AS status FROM results LEFT JOIN (SELECT user_id, {_DECISION} AS decision, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE {_DECISION} IS NOT NULL) o ON o.r = 1 AND o.user_id = results.bid_id AND results.field = 'turnover_cr'", "results"))
+@register("j04_apply_overrides", oracle.sql("SELECT bid_id, requirement_id, status, requires_review FROM overridden", "overridden"))
 def _apply(spark, sf_dir):
-    latest = audit.latest_overrides(audit.decisions(bridge.table(spark, sf_dir, "events")))
-    return audit.apply_overrides(base.results(spark, sf_dir), latest, "turnover_cr").select("bid_id", "requirement_id", "status")
+    return _overridden(spark, sf_dir).select("bid_id", "requirement_id", "status", "requires_review")
+
+
+@register("j04_recomputed", oracle.over("overridden", "SELECT o.bid_id, o.compliance_status, o.overall_status, round(s.final_score, 6) AS final_score, k.level, c.verdict FROM overall o JOIN scores s ON o.bid_id = s.bid_id JOIN risk k ON o.bid_id = k.bid_id JOIN recommend c ON o.bid_id = c.bid_id", "overall", "scores", "risk", "recommend"))
+def _recomputed(spark, sf_dir):
+    _, found, known, listed, weak = base.signals(spark, sf_dir)
+    t = rollup.tally(bridge.bids(spark, sf_dir), _overridden(spark, sf_dir), found, known, listed, weak)
+    both = rollup.overall(rollup.risk(rollup.scores(t))).select("bid_id", "compliance_status", "overall_status", F.round("final_score", 6).alias("final_score"), "level")
+    return both.join(rollup.recommendation(t).select("bid_id", "verdict"), "bid_id")
+
+
+oracle.view("differs", "SELECT bid_id, max(CASE WHEN a.status <> b.status THEN 1 ELSE 0 END) AS differs FROM results a JOIN replayed b USING (bid_id, requirement_id) GROUP BY bid_id", "results", "replayed")
+
+
+@register("j06_replay_rates", oracle.sql("SELECT 'SAME_DATE' AS replay, count(*) AS cases, count(*) AS complete_matches, 100.0::DOUBLE AS match_rate FROM differs UNION ALL SELECT 'EARLIER_DATE', count(*), count(*) FILTER (differs = 0), round(100.0::DOUBLE * count(*) FILTER (differs = 0) / count(*), 2) FROM differs", "differs"))
+def _replay_rates(spark, sf_dir):
+    from attestra.operators import verify
+
+    stored, none = base.results(spark, sf_dir), base.findings(spark, sf_dir)
+    again = verify.results(base.matched(spark, sf_dir), verify.judged(base.matched(spark, sf_dir), base.readings(spark, sf_dir), bridge.REFERENCE_DATE))
+    left = audit.layers(stored, none)
+    same = audit.replay_rates(bridge.bids(spark, sf_dir), left, audit.layers(again, none)).select(F.lit("SAME_DATE").alias("replay"), "*")
+    earlier = audit.replay_rates(bridge.bids(spark, sf_dir), left, audit.layers(_drifted(spark, sf_dir), none)).select(F.lit("EARLIER_DATE").alias("replay"), "*")
+    return same.unionByName(earlier)
 
 
 @register("j05_audit_trail", f"SELECT user_id AS target, count(*) AS n, string_agg({_DECISION}, ',' ORDER BY ts, event_id) AS trail FROM events WHERE {_DECISION} IS NOT NULL GROUP BY user_id")
@@ -312,7 +444,7 @@ def _override_stream(spark, sf_dir):
     return overrides.effective(spark, sf_dir)
 
 
-@register("s02_audit_stream", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+@register("s02_audit_stream", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT '***' || right('user-' || CAST(user_id AS VARCHAR), 3)) AS masks, min(substring(sha256(coalesce(CAST(props AS VARCHAR), '')), 1, 12)) AS first_print FROM events GROUP BY ALL")
 def _audit_stream(spark, sf_dir):
     from attestra.streaming import overrides
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from attestra.functions.normalize import ABSENT_WORDS, FALSE_WORDS, NO_DATE_WORDS, NUMBER_WORDS, TRUE_WORDS
-from attestra.operators.resolve import ALIASES, AMBIGUOUS
+from attestra.operators.resolve import ALIASES, AMBIGUOUS, NOT_COMPARED, PROFILE, SELF_MADE
 from attestra.sources.bridge import REFERENCE_DATE, requirement_rows
 
 
@@ -101,13 +101,14 @@ _IN = f"CASE WHEN coalesce(list_contains(list_transform(string_split(e, ','), la
 _NOT = "CASE WHEN NOT a_present THEN 'MISSING' WHEN ({0}) = 'PASS' THEN 'FAIL' WHEN ({0}) = 'FAIL' THEN 'PASS' ELSE ({0}) END"
 _LOW, _HIGH = (f"trim((CASE WHEN regexp_matches(e, '\\s+to\\s+') THEN regexp_split_to_array(e, '\\s+to\\s+') ELSE string_split(e, '-') END)[{k}])" for k in (1, 2))
 _BETWEEN = f"CASE WHEN a_num IS NOT NULL AND {amount('lo')} IS NOT NULL AND {amount('hi')} IS NOT NULL THEN CASE WHEN a_num BETWEEN {amount('lo')} AND {amount('hi')} THEN 'PASS' ELSE 'FAIL' END WHEN a_day IS NOT NULL AND {date('lo')} IS NOT NULL AND {date('hi')} IS NOT NULL THEN CASE WHEN a_day BETWEEN {date('lo')} AND {date('hi')} THEN 'PASS' ELSE 'FAIL' END ELSE 'REVIEW' END"
+_part = lambda key: f"(CASE WHEN a LIKE '{{%' THEN json_extract_string(a, '$.{key}') END)"
 _STATUS = f"""CASE WHEN a IS NULL OR trim(a) = '' THEN 'MISSING'
 WHEN op = '>=' THEN {_ladder('>=', True)} WHEN op = '<=' THEN {_ladder('<=', True)} WHEN op = '>' THEN {_ladder('>', False)} WHEN op = '<' THEN {_ladder('<', False)}
 WHEN op = '==' THEN {_EQ} WHEN op = '!=' THEN {_NOT.format(_EQ)} WHEN op = 'IN' THEN {_IN} WHEN op = 'NOT_IN' THEN {_NOT.format(_IN)}
 WHEN op = 'CONTAINS' THEN CASE WHEN coalesce(contains(lower(a), lower(e)), false) THEN 'PASS' ELSE 'FAIL' END
-WHEN op = 'MATCHES' THEN CASE WHEN coalesce(regexp_matches(a, '(?i)' || e), false) THEN 'PASS' ELSE 'FAIL' END
+WHEN op = 'MATCHES' THEN CASE WHEN e IS NULL THEN 'FAIL' WHEN try(regexp_matches(a, '(?i)' || e)) IS NULL THEN 'REVIEW' WHEN try(regexp_matches(a, '(?i)' || e)) THEN 'PASS' ELSE 'FAIL' END
 WHEN op = 'EXISTS' THEN CASE WHEN a_present THEN 'PASS' ELSE 'MISSING' END
-WHEN op = 'VALID_ON' THEN CASE WHEN a_day IS NULL THEN 'REVIEW' WHEN DATE '{REFERENCE_DATE}' <= a_day THEN 'PASS' ELSE 'FAIL' END
+WHEN op = 'VALID_ON' THEN CASE WHEN a LIKE '{{%' THEN CASE WHEN {_part('valid')} = 'false' OR {_part('is_valid')} = 'false' THEN 'FAIL' WHEN {date(_part('expiry_date'))} IS NULL THEN 'REVIEW' WHEN DATE '{REFERENCE_DATE}' <= {date(_part('expiry_date'))} AND ({date(_part('issue_date'))} IS NULL OR {date(_part('issue_date'))} <= DATE '{REFERENCE_DATE}') THEN 'PASS' ELSE 'FAIL' END WHEN a_day IS NULL THEN 'REVIEW' WHEN DATE '{REFERENCE_DATE}' <= a_day THEN 'PASS' ELSE 'FAIL' END
 WHEN op = 'BEFORE' THEN CASE WHEN a_day IS NULL OR e_day IS NULL THEN 'REVIEW' WHEN a_day < e_day THEN 'PASS' ELSE 'FAIL' END
 WHEN op = 'AFTER' THEN CASE WHEN a_day IS NULL OR e_day IS NULL THEN 'REVIEW' WHEN a_day > e_day THEN 'PASS' ELSE 'FAIL' END
 WHEN op = 'BETWEEN' THEN {_BETWEEN} ELSE 'REVIEW' END"""
@@ -134,6 +135,21 @@ WHEN {has('company', 'bidder', 'legal_name', 'entity_name')} THEN CASE WHEN {la}
 ELSE {pair(same, 'CONSISTENT_MATCH', 'GENERAL_CONTRADICTION', 'MEDIUM')} END"""
 
 
+def over(stand_in: str, select: str, *needs: str) -> str:
+    """``sql`` with the view ``stand_in`` in the place of the results."""
+    known = _VIEWS["results"]
+    _VIEWS["original"], before = known, dict(_VIEWS)
+    try:
+        body, parts = _VIEWS[stand_in]
+        _VIEWS["results"] = body.replace("FROM results", "FROM original"), tuple("original" if x == "results" else x for x in parts)
+        return sql(select, *needs)
+    finally:
+        _VIEWS.clear()
+        _VIEWS.update(before)
+        _VIEWS["results"] = known
+        _VIEWS.pop("original", None)
+
+
 _ROWS = ", ".join("(" + ", ".join(_value(v) for v in r) + ")" for r in requirement_rows())
 _VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
@@ -157,65 +173,139 @@ def sql(select: str, *needs: str) -> str:
     return ("WITH " + ",\n".join(f"{n} AS MATERIALIZED ({_VIEWS[n][0]})" for n in done) + "\n" if done else "") + select
 
 
-view("reqs", f"SELECT * FROM (VALUES {_ROWS}) t(requirement_id, tender_id, category, field, operator, expected_value, mandatory, source_type, source_priority, mse_exemption_allowed, require_explicit_claim, app_status)")
+ALIAS_VALUES = ", ".join(f"('{a}', '{c}')" for c, some in ALIASES.items() for a in dict.fromkeys((*some, c.lower())))
+AMBIGUOUS_LIST = _list(AMBIGUOUS)
+
+_REQ_COLUMNS = "requirement_id, tender_id, category, field, operator, expected_value, mandatory, source_type, source_priority, mse_exemption_allowed, require_explicit_claim, app_status, startup_exemption_allowed, tender_category, applicable_categories, applicable_roles, mandate_for_all_sizes"
+view("reqs", f"SELECT * FROM (VALUES {_ROWS}) t({_REQ_COLUMNS})")
 view("bids", "SELECT o_orderkey AS bid_id, o_orderpriority AS tender_id, CASE o_orderstatus WHEN 'F' THEN 'FAIL' WHEN 'O' THEN 'PASS' ELSE 'UNCERTAIN' END AS truth FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 view("lines", "SELECT *, l_orderkey AS bid_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line_no FROM lineitem JOIN supplier ON s_suppkey = l_suppkey")
+
+
+def pan(k: str) -> str:
+    return f"substring({gstin(k)}, 3, 10)"
+
+
+def udyam(k: str) -> str:
+    return f"('UDYAM-MH-12-' || lpad(CAST({k} AS VARCHAR), 7, '0'))"
+
+
+_DAY = "strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d')"
 _FACT = {
     "turnover_cr": "CASE WHEN line_no % 2 = 1 THEN CAST(CAST(l_quantity AS INT) % 5 + 1 AS VARCHAR) || ' crore' ELSE CAST((CAST(l_quantity AS INT) % 5 + 1) * 100 AS VARCHAR) || ' lakh' END",
     "warranty_years": "CASE WHEN line_no % 2 = 1 THEN CAST(l_partkey % 5 + 1 AS VARCHAR) || ' years' ELSE CAST((l_partkey % 5 + 1) * 12 AS VARCHAR) || ' months' END",
     "delivery_days": "CAST((l_partkey + l_suppkey) % 60 + 15 AS VARCHAR) || ' days'",
-    "valid_until": "CASE WHEN line_no % 2 = 1 THEN strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') ELSE strftime(CAST(l_shipdate AS DATE), '%d-%m-%Y') END",
+    "valid_until": f"""CASE WHEN l_partkey % 5 = 0 THEN '{{"issue_date":"' || strftime(CAST(l_shipdate AS DATE) - 200, '%Y-%m-%d') || '","expiry_date":"' || {_DAY} || '","valid":' || CASE WHEN l_partkey % 15 = 0 THEN 'false' ELSE 'true' END || '}}' WHEN line_no % 2 = 1 THEN {_DAY} ELSE strftime(CAST(l_shipdate AS DATE), '%d-%m-%Y') END""",
     "iso_cert": "CASE l_returnflag WHEN 'A' THEN 'Yes' WHEN 'N' THEN 'No' ELSE 'Not available' END",
     "is_mse": "CASE l_linestatus WHEN 'O' THEN 'Y' ELSE 'N' END",
     "gstin": gstin("l_suppkey"),
     "company_name": "s_name || CASE line_no % 3 WHEN 0 THEN ' Private Limited' WHEN 1 THEN ' Pvt. Ltd.' ELSE '' END",
+    "pan": f"CASE line_no WHEN 1 THEN {pan('l_suppkey')} WHEN 2 THEN 'ZZZZZ' || substring({pan('l_suppkey')}, 6, 5) END",
+    "employee_count": "CASE WHEN line_no = 1 THEN CASE WHEN l_partkey % 23 = 0 THEN 'about 30' ELSE CAST(CAST(l_quantity AS INT) % 40 AS VARCHAR) END END",
+    "bidder_role": "CASE WHEN line_no = 1 THEN CASE l_partkey % 4 WHEN 0 THEN 'OEM' WHEN 1 THEN 'reseller' WHEN 2 THEN 'Trader' ELSE '' END END",
+    "is_startup": "CASE WHEN line_no = 1 THEN CASE l_suppkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' END END",
+    "dpiit_number": "CASE WHEN line_no = 1 AND l_suppkey % 6 = 0 THEN 'DIPP' || CAST(l_suppkey AS VARCHAR) END",
+    "udyam_registration": f"CASE WHEN line_no = 1 AND l_suppkey % 4 <> 0 THEN {udyam('l_suppkey')} END",
+    "annual_turnover": "CASE WHEN line_no = 2 AND l_partkey % 9 = 0 THEN CAST(CAST(l_quantity AS INT) % 5 + 2 AS VARCHAR) || ' crore' END",
 }
-view("facts", " UNION ALL ".join(f"SELECT bid_id, '{k}' AS field, {v} AS value, 'D' || CAST(l_linenumber AS VARCHAR) AS source_document, line_no AS page, CASE WHEN l_tax > 0.07 THEN 'LOW' ELSE 'HIGH' END AS extraction_confidence, line_no AS fact_seq FROM lines" for k, v in _FACT.items()), "lines")
-view("registry", f"SELECT {gstin('s_suppkey')} AS gstin, CASE WHEN s_suppkey % 13 = 0 THEN 'Other ' || CAST(s_suppkey AS VARCHAR) ELSE s_name END AS registered_name, CASE WHEN s_acctbal < 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS registration_status FROM supplier WHERE s_suppkey % 17 <> 0")
-view("debarred", f"SELECT {gstin('s_suppkey')} AS gstin, s_name AS entity_name FROM supplier WHERE s_suppkey % 29 = 0")
+view("facts", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT bid_id, '{k}' AS field, {v} AS value, 'D' || CAST(l_linenumber AS VARCHAR) AS source_document, line_no AS page, CASE WHEN l_tax > 0.07 THEN 'LOW' ELSE 'HIGH' END AS extraction_confidence, line_no AS fact_seq FROM lines" for k, v in _FACT.items()) + ") WHERE value IS NOT NULL", "lines")
+_OTHER = "CASE WHEN s_suppkey % 13 = 0 THEN 'Other ' || CAST(s_suppkey AS VARCHAR) ELSE s_name END"
+_S = "CAST(s_suppkey AS VARCHAR)"
+_RECORDS = (  # registry, key, left out, not active, facts of a verified record
+    ("GST", gstin("s_suppkey"), "s_suppkey % 17 = 0", ("s_acctbal < 0", "CANCELLED"), {"gstin": gstin("s_suppkey"), "legal_name": "s_name"}),
+    ("PAN", pan("s_suppkey"), "s_suppkey % 23 = 0", ("s_suppkey % 19 = 0", "INACTIVE"), {"pan": pan("s_suppkey")}),
+    ("UDYAM", udyam("s_suppkey"), "s_suppkey % 7 = 0", ("s_suppkey % 11 = 0", "SUSPENDED"), {"udyam_registration": udyam("s_suppkey"), "is_mse": "'true'"}),
+    ("ITD", pan("s_suppkey"), "s_suppkey % 10 = 0", ("s_suppkey % 5 = 0", "NOT_FILED"), {"itr_filing_status": "'FILED'", "itr_ack_number": f"'ACK' || {_S}", "turnover_cr": "CAST(s_suppkey % 9 + 1 AS VARCHAR)"}),
+    ("MCA21", "s_name", "s_suppkey % 9 = 0", ("s_suppkey % 8 = 0", "STRUCK_OFF"), {"cin": f"'U' || lpad({_S}, 5, '0') || 'MH'", "legal_name": _OTHER, "mca_status": "'ACTIVE'"}),
+    ("NSIC", "s_name", "s_suppkey % 4 = 0", ("s_suppkey % 6 = 0", "EXPIRED"), {"nsic_registration": f"'NSIC' || {_S}", "is_mse": "'true'"}),
+    ("OEM", "'ACME:' || s_name", "s_suppkey % 5 = 0", ("s_suppkey % 12 = 0", "EXPIRED"), {"oem_authorization": f"'MAF' || {_S}", "oem_authorized": "'true'"}),
+    ("MII", "s_name || ':GOODS'", "s_suppkey % 3 = 0", ("s_suppkey % 14 = 0", "INVALID"), {"local_content_percent": "CAST(s_suppkey % 60 + 20 AS VARCHAR)", "mii_declaration": f"'MII' || {_S}"}),
+)
+view("registry", " UNION ALL ".join(f"SELECT '{r}' AS registry, {k} AS key, {_OTHER} AS holder, CASE WHEN {bad} THEN '{word}' ELSE 'ACTIVE' END AS state, [{', '.join(f"struct_pack(field := '{f}', value := {v})" for f, v in told.items())}] AS details FROM supplier WHERE NOT ({out})" for r, k, out, (bad, word), told in _RECORDS))
+view("debarred", f"SELECT CASE WHEN s_suppkey % 2 = 0 THEN {pan('s_suppkey')} END AS pan, CASE WHEN s_suppkey % 3 = 0 THEN {gstin('s_suppkey')} END AS gstin, CASE WHEN s_suppkey % 2 <> 0 AND s_suppkey % 3 <> 0 THEN s_name END AS entity_name FROM supplier WHERE s_suppkey % 29 = 0")
 view("blocks", "SELECT doc_id, lang, CAST((position // 10) + 1 AS INT) AS page_number, position, CAST(doc_id AS VARCHAR) || '-p' || CAST((position // 10) + 1 AS VARCHAR) || '-b' || CAST(position AS VARCHAR) AS block_id, text FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS position FROM documents)")
+view("statements", f"SELECT bid_id AS doc_id, line_no AS page_number, 's' || CAST(line_no AS VARCHAR) AS block_id, 'Warranty period: ' || CAST(l_partkey % 5 + 1 AS VARCHAR) || ' years. Turnover: Rs. ' || CAST(CAST(l_quantity AS INT) % 5 + 1 AS VARCHAR) || ' crore. Delivery: ' || CAST(l_partkey % 60 + 15 AS VARCHAR) || ' days. GSTIN ' || {gstin('l_suppkey')} || ', PAN ' || {pan('l_suppkey')} || CASE WHEN l_partkey % 3 = 0 THEN '. ISO 9001:2015 certified' ELSE '. Not certified' END || CASE WHEN l_partkey % 4 = 0 THEN '; local support available.' ELSE '.' END AS text, l_partkey, l_suppkey, l_quantity, s_name FROM lines", "lines")
+view("canon", f"SELECT field, c AS canonical FROM (SELECT DISTINCT field FROM facts UNION SELECT DISTINCT field FROM reqs) n LEFT JOIN (VALUES {ALIAS_VALUES}) t(a, c) ON a = {field_key('field')} AND {field_key('field')} NOT IN {AMBIGUOUS_LIST}", "facts", "reqs")
 view("prec", "SELECT *, row_number() OVER w AS rank, first_value(requirement_id) OVER w AS winner, list(requirement_id) OVER (PARTITION BY tender_id, field ORDER BY source_priority DESC, requirement_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS chain FROM (SELECT * REPLACE (CASE WHEN source_priority = 0 THEN CASE source_type WHEN 'GTC' THEN 1 WHEN 'STC' THEN 2 WHEN 'ATC' THEN 3 ELSE 0 END ELSE source_priority END AS source_priority) FROM reqs) WINDOW w AS (PARTITION BY tender_id, field ORDER BY source_priority DESC, requirement_id DESC)", "reqs")
-view("first_facts", "SELECT bid_id, field, min_by(value, fact_seq) AS value, min_by(source_document, fact_seq) AS source_document, min_by(page, fact_seq) AS page, min_by(extraction_confidence, fact_seq) AS extraction_confidence FROM facts GROUP BY ALL", "facts")
+view("first_facts", "SELECT bid_id, f.field, c.canonical, value, source_document, page, extraction_confidence, fact_seq FROM (SELECT *, row_number() OVER (PARTITION BY bid_id, field ORDER BY fact_seq) AS r FROM facts) f JOIN canon c ON f.field = c.field WHERE r = 1", "facts", "canon")
 view("last_facts", "SELECT bid_id, field, max_by(value, fact_seq) AS value FROM facts GROUP BY ALL", "facts")
-view("mse", "SELECT bid_id, min_by(value, fact_seq) AS mse_first, max_by(value, fact_seq) AS mse_last, min_by(extraction_confidence, fact_seq) AS mse_conf FROM facts WHERE field = 'is_mse' GROUP BY bid_id", "facts")
-_EXEMPT = f"((contains(field, 'turnover') OR contains(field, 'experience') OR contains(lower(category), 'experience')) AND mse_exemption_allowed AND coalesce({boolean('mse_last')}, false))"
-view("asked", f"SELECT b.bid_id, p.*, mse_first, CASE WHEN rank > 1 OR app_status = 'NOT_APPLICABLE' THEN 'NOT_APPLICABLE' WHEN app_status IN ('UNKNOWN', 'UNKNOWN_REVIEW', 'REVIEW') THEN 'UNKNOWN_REVIEW' WHEN {_EXEMPT} AND mse_conf = 'LOW' THEN 'UNKNOWN_REVIEW' WHEN {_EXEMPT} THEN 'NOT_APPLICABLE' ELSE 'APPLICABLE' END AS applicability, CASE WHEN rank > 1 THEN 'PRECEDENCE_SUPERSEDED' WHEN app_status = 'NOT_APPLICABLE' THEN 'EXPLICIT_SPECIFICATION' WHEN app_status IN ('UNKNOWN', 'UNKNOWN_REVIEW', 'REVIEW') THEN 'TENDER_SPECIFICATION_UNCERTAIN' WHEN {_EXEMPT} AND mse_conf = 'LOW' THEN 'EXEMPTION_EVIDENCE_AMBIGUOUS' WHEN {_EXEMPT} THEN 'MSE_STATUTORY_EXEMPTION' ELSE 'STANDARD_APPLICABLE' END AS applicability_rule FROM bids b JOIN prec p ON b.tender_id = p.tender_id LEFT JOIN mse m ON b.bid_id = m.bid_id", "bids", "prec", "mse")
-view("joined", "SELECT q.*, f.value AS a, q.expected_value AS e, trim(q.operator) AS op, f.source_document, f.page, f.extraction_confidence FROM asked q LEFT JOIN first_facts f ON q.bid_id = f.bid_id AND q.field = f.field", "asked", "first_facts")
+view("first_canonical", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bid_id, canonical ORDER BY fact_seq, field) AS r FROM first_facts WHERE canonical IS NOT NULL) WHERE r = 1", "first_facts")
+view("profile", "SELECT f.bid_id, " + ", ".join(f"max(CASE WHEN f.field = '{x}' THEN f.value END) AS {x}_first, max(CASE WHEN f.field = '{x}' THEN l.value END) AS {x}_last, max(CASE WHEN f.field = '{x}' THEN f.extraction_confidence END) AS {x}_confidence" for x in PROFILE) + " FROM first_facts f JOIN last_facts l ON f.bid_id = l.bid_id AND f.field = l.field GROUP BY f.bid_id", "first_facts", "last_facts")
+_ROLE = "upper(trim(coalesce(bidder_role_last, '')))"
+_PEOPLE = "trim(employee_count_last)"
+_SMALL = lambda n: f"(regexp_matches({_PEOPLE}, '^[+-]?[0-9]+$') AND TRY_CAST({_PEOPLE} AS INT) < {n} AND NOT mandate_for_all_sizes)"
+_OEM, _EPFO, _ESIC = "(category = 'OEM_AUTHORIZATION' OR contains(field, 'oem_auth'))", "(contains(field, 'epfo') OR category = 'EPFO_COMPLIANCE')", "(contains(field, 'esic') OR category = 'ESIC_COMPLIANCE')"
+_SPARED = "(regexp_matches(field, 'turnover|experience|past_performance') OR regexp_matches(lower(category), 'turnover|experience|past_performance'))"
+_MSE, _STARTUP = (f"({_SPARED} AND {x}_exemption_allowed AND coalesce({boolean(f'is_{x}_last')}, false))" for x in ("mse", "startup"))
+_RULES = (
+    ("rank > 1", "NOT_APPLICABLE", "PRECEDENCE_SUPERSEDED"),
+    ("app_status = 'NOT_APPLICABLE'", "NOT_APPLICABLE", "EXPLICIT_SPECIFICATION"),
+    ("app_status IN ('UNKNOWN', 'UNKNOWN_REVIEW', 'REVIEW')", "UNKNOWN_REVIEW", "TENDER_SPECIFICATION_UNCERTAIN"),
+    ("applicable_categories IS NOT NULL AND tender_category <> '' AND NOT list_contains(string_split(applicable_categories, ','), tender_category)", "NOT_APPLICABLE", "CATEGORY_EXCLUSION"),
+    (f"{_OEM} AND bidder_role_confidence = 'LOW'", "UNKNOWN_REVIEW", "OEM_STATUS_UNCERTAIN"),
+    (f"{_OEM} AND {_ROLE} IN {_list(SELF_MADE)}", "NOT_APPLICABLE", "OEM_SELF_MANUFACTURER"),
+    (f"applicable_roles IS NOT NULL AND {_ROLE} = ''", "UNKNOWN_REVIEW", "BIDDER_ROLE_UNVERIFIED"),
+    (f"applicable_roles IS NOT NULL AND NOT list_contains(string_split(applicable_roles, ','), {_ROLE})", "NOT_APPLICABLE", "BIDDER_ROLE_EXCLUSION"),
+    (f"({_EPFO} OR {_ESIC}) AND NOT regexp_matches({_PEOPLE}, '^[+-]?[0-9]+$')", "UNKNOWN_REVIEW", "STATUTORY_THRESHOLD_UNVERIFIED"),
+    (f"(({_EPFO} AND {_SMALL(20)}) OR ({_ESIC} AND {_SMALL(10)})) AND employee_count_confidence = 'LOW'", "UNKNOWN_REVIEW", "STATUTORY_THRESHOLD_UNVERIFIED"),
+    (f"{_EPFO} AND {_SMALL(20)}", "NOT_APPLICABLE", "STATUTORY_THRESHOLD_EPFO"),
+    (f"{_ESIC} AND {_SMALL(10)}", "NOT_APPLICABLE", "STATUTORY_THRESHOLD_ESIC"),
+    (f"{_MSE} AND coalesce(is_mse_confidence, udyam_registration_confidence) = 'LOW'", "UNKNOWN_REVIEW", "EXEMPTION_EVIDENCE_AMBIGUOUS"),
+    (_MSE, "NOT_APPLICABLE", "MSE_STATUTORY_EXEMPTION"),
+    (f"{_STARTUP} AND coalesce(is_startup_confidence, dpiit_recognized_confidence) = 'LOW'", "UNKNOWN_REVIEW", "EXEMPTION_EVIDENCE_AMBIGUOUS"),
+    (_STARTUP, "NOT_APPLICABLE", "STARTUP_STATUTORY_EXEMPTION"),
+)
+_case = lambda k, other: "CASE " + " ".join(f"WHEN {r[0]} THEN '{r[k]}'" for r in _RULES) + f" ELSE '{other}' END"
+view("asked", f"SELECT *, {_case(1, 'APPLICABLE')} AS applicability, {_case(2, 'STANDARD_APPLICABLE')} AS applicability_rule FROM (SELECT b.bid_id, p.*, c.canonical, m.* EXCLUDE (bid_id) FROM bids b JOIN prec p ON b.tender_id = p.tender_id LEFT JOIN canon c ON p.field = c.field LEFT JOIN profile m ON b.bid_id = m.bid_id)", "bids", "prec", "canon", "profile")
+_IS_MSE, _IS_STARTUP = ("coalesce(" + ", ".join(boolean(f"{x}_first") for x in some) + ")" for some in (("is_mse", "mse_registered", "udyam_registration"), ("is_startup", "startup_recognized", "dpiit_recognized")))
+_CERTIFIED = "(dpiit_number_first IS NOT NULL OR dpiit_certificate_first IS NOT NULL)"
+view(
+    "joined",
+    f"""SELECT q.*, coalesce(f.value, g.value) AS a, q.expected_value AS e, trim(q.operator) AS op, coalesce(f.source_document, g.source_document) AS source_document, CASE WHEN f.value IS NOT NULL THEN f.page ELSE g.page END AS page, CASE WHEN f.value IS NOT NULL THEN f.extraction_confidence ELSE g.extraction_confidence END AS extraction_confidence,
+CASE WHEN rank > 1 THEN 'SUPERSEDED' WHEN mse_exemption_allowed AND coalesce({_IS_MSE}, false) THEN 'EXEMPT' WHEN mse_exemption_allowed AND {_IS_MSE} IS NULL AND require_explicit_claim THEN 'UNCLAIMED' WHEN startup_exemption_allowed AND coalesce({_IS_STARTUP}, false) AND {_CERTIFIED} THEN 'EXEMPT' WHEN startup_exemption_allowed AND (coalesce({_IS_STARTUP}, false) OR ({_IS_STARTUP} IS NULL AND require_explicit_claim)) THEN 'UNCLAIMED' WHEN f.value IS NULL AND g.value IS NULL THEN 'ABSENT' ELSE 'EVALUATED' END AS basis
+FROM asked q LEFT JOIN first_facts f ON q.bid_id = f.bid_id AND q.field = f.field LEFT JOIN first_canonical g ON q.bid_id = g.bid_id AND q.canonical = g.canonical""",
+    "asked", "first_facts", "first_canonical",
+)
 view("decided", "SELECT DISTINCT a, e, op, op_status FROM (" + readings("(SELECT DISTINCT a, e, op FROM joined)") + ")", "joined")
 view(
     "results",
-    f"""SELECT bid_id, tender_id, requirement_id, category, field, operator, mandatory, applicability, applicability_rule, basis, a AS actual, expected_value, source_document, page,
+    """SELECT bid_id, tender_id, requirement_id, category, field, canonical, operator, mandatory, applicability, applicability_rule, basis, winner, rank, a AS actual, expected_value, source_document, page,
 CASE WHEN basis IN ('SUPERSEDED', 'EXEMPT') THEN 'N/A' WHEN basis = 'UNCLAIMED' THEN 'REVIEW' WHEN basis = 'ABSENT' THEN 'MISSING' ELSE op_status END AS status,
 CASE WHEN basis IN ('SUPERSEDED', 'EXEMPT') THEN 'INFO' WHEN basis = 'UNCLAIMED' THEN 'MAJOR' WHEN basis = 'ABSENT' THEN CASE WHEN mandatory THEN 'CRITICAL' ELSE 'MINOR' END WHEN op_status = 'PASS' THEN 'INFO' WHEN op_status = 'FAIL' AND mandatory THEN 'CRITICAL' WHEN op_status IN ('FAIL', 'REVIEW') THEN 'MAJOR' ELSE 'MINOR' END AS severity,
 CASE WHEN basis IN ('SUPERSEDED', 'EXEMPT') THEN false WHEN basis = 'UNCLAIMED' THEN true WHEN basis = 'ABSENT' THEN mandatory ELSE op_status = 'REVIEW' OR (op_status = 'MISSING' AND op <> 'EXISTS') OR extraction_confidence = 'LOW' END AS requires_review
-FROM (SELECT j.*, d.op_status, CASE WHEN rank > 1 THEN 'SUPERSEDED' WHEN mse_exemption_allowed AND coalesce({boolean('mse_first')}, false) THEN 'EXEMPT' WHEN mse_exemption_allowed AND {boolean('mse_first')} IS NULL AND require_explicit_claim THEN 'UNCLAIMED' WHEN source_document IS NULL THEN 'ABSENT' ELSE 'EVALUATED' END AS basis
-FROM joined j JOIN decided d ON j.a IS NOT DISTINCT FROM d.a AND j.e IS NOT DISTINCT FROM d.e AND j.op = d.op)""",
+FROM (SELECT j.*, d.op_status FROM joined j JOIN decided d ON j.a IS NOT DISTINCT FROM d.a AND j.e IS NOT DISTINCT FROM d.e AND j.op = d.op)""",
     "joined", "decided",
 )
-view("raw_pairs", "SELECT a.bid_id, a.field, a.fact_seq AS seq_a, b.fact_seq AS seq_b, a.value AS value_a, b.value AS value_b, a.source_document AS document_a, b.source_document AS document_b FROM facts a JOIN facts b ON a.bid_id = b.bid_id AND a.field = b.field AND a.fact_seq < b.fact_seq AND (a.source_document <> b.source_document OR a.page <> b.page)", "facts")
+view("grouped", f"SELECT f.bid_id, f.field AS raw, CASE WHEN canonical IS NOT NULL AND canonical NOT IN {_list(NOT_COMPARED)} THEN canonical ELSE f.field END AS field, value, source_document, page, fact_seq FROM facts f JOIN canon c ON f.field = c.field", "facts", "canon")
+view("raw_pairs", "SELECT a.bid_id, a.field, a.raw AS raw_field_a, b.raw AS raw_field_b, a.fact_seq AS seq_a, b.fact_seq AS seq_b, a.value AS value_a, b.value AS value_b, a.source_document AS document_a, b.source_document AS document_b, a.page AS page_a, b.page AS page_b FROM grouped a JOIN grouped b ON a.bid_id = b.bid_id AND a.field = b.field AND (a.fact_seq < b.fact_seq OR (a.fact_seq = b.fact_seq AND a.raw < b.raw)) AND (a.source_document <> b.source_document OR a.page <> b.page)", "grouped")
 view("compared", f"SELECT field, value_a, value_b, {compare('field', 'value_a', 'value_b')} AS x FROM (SELECT DISTINCT field, value_a, value_b FROM raw_pairs)", "raw_pairs")
 view("pairs", "SELECT p.*, x.status AS status, x.finding_type AS finding_type, x.severity AS severity FROM raw_pairs p JOIN compared c ON p.field = c.field AND p.value_a = c.value_a AND p.value_b = c.value_b", "raw_pairs", "compared")
-view("findings", "SELECT * FROM pairs WHERE status <> 'CONSISTENT'", "pairs")
-view("ids", "SELECT g.bid_id, g.value AS identifier, c.value AS expected_name FROM last_facts g JOIN last_facts c ON g.bid_id = c.bid_id AND g.field = 'gstin' AND c.field = 'company_name'", "last_facts")
-_A, _B = registry_name("registered_name"), registry_name("expected_name")
-view("checks", f"SELECT bid_id, identifier, expected_name, registered_name, CASE WHEN registration_status IS NULL THEN 'NOT_FOUND' WHEN registration_status <> 'ACTIVE' THEN 'INACTIVE' WHEN NOT ({_A} = {_B} OR contains({_A}, {_B}) OR contains({_B}, {_A})) THEN 'IDENTITY_MISMATCH' ELSE 'VERIFIED' END AS status FROM ids LEFT JOIN registry ON gstin = identifier", "ids", "registry")
-view("debarment", "SELECT bid_id, identifier IN (SELECT gstin FROM debarred) OR upper(replace(expected_name, ' ', '')) IN (SELECT upper(replace(entity_name, ' ', '')) FROM debarred) AS debarred FROM ids", "ids", "debarred")
-view("compliance", "SELECT *, CASE WHEN critical + major > 0 THEN 'FAIL' WHEN missing > 0 THEN 'MISSING' WHEN review > 0 THEN 'REVIEW' WHEN passed = total THEN 'PASS' ELSE 'PARTIAL' END AS compliance_status FROM (SELECT bid_id, count(*) FILTER (status = 'FAIL' AND severity = 'CRITICAL') AS critical, count(*) FILTER (status = 'FAIL' AND severity <> 'CRITICAL') AS major, count(*) FILTER (status = 'MISSING') AS missing, count(*) FILTER (status IN ('REVIEW', 'PARTIAL')) AS review, count(*) FILTER (status = 'PASS') AS passed, count(*) AS total FROM results GROUP BY bid_id)", "results")
+FINDING_ID = "format('{}-{}-{:06d}-{}-{:06d}', field, raw_field_a, seq_a, raw_field_b, seq_b)"
+view("findings", f"SELECT *, {FINDING_ID} AS finding_id FROM pairs WHERE status <> 'CONSISTENT'", "pairs")
+view("ids", "SELECT bid_id, max(value) FILTER (field = 'gstin') AS gstin, max(value) FILTER (field = 'pan') AS pan, max(value) FILTER (field = 'udyam_registration') AS udyam, max(value) FILTER (field = 'company_name') AS expected_name FROM last_facts GROUP BY bid_id", "last_facts")
+view("questions", "SELECT bid_id, expected_name, unnest(['GST', 'PAN', 'UDYAM', 'ITD', 'MCA21', 'NSIC', 'OEM', 'MII']) AS registry, unnest([gstin, pan, udyam, CASE WHEN pan IS NOT NULL THEN pan WHEN length(trim(gstin)) = 15 THEN substring(upper(trim(gstin)), 3, 10) END, expected_name, expected_name, NULL, NULL]) AS identifier, unnest([NULL, NULL, expected_name, NULL, NULL, NULL, 'ACME:' || expected_name, expected_name || ':GOODS']) AS other FROM ids", "ids")
+view("records", "SELECT registry, upper(regexp_replace(key, '\\s', '', 'g')) AS k, min_by(struct_pack(holder := holder, state := state, details := details), struct_pack(h := holder, s := state)) AS r FROM registry GROUP BY ALL", "registry")
+_A, _B = registry_name("x.holder"), registry_name("expected_name")
+view("checks", f"SELECT bid_id, registry, identifier, expected_name, x.holder AS holder, x.details AS details, CASE WHEN x IS NULL THEN 'NOT_FOUND' WHEN x.state <> 'ACTIVE' THEN CASE WHEN registry IN ('UDYAM', 'ITD') THEN 'REVIEW' ELSE 'INACTIVE' END WHEN expected_name IS NOT NULL AND NOT ({_A} = {_B} OR contains({_A}, {_B}) OR contains({_B}, {_A})) THEN 'IDENTITY_MISMATCH' ELSE 'VERIFIED' END AS status FROM (SELECT q.*, coalesce(a.r, b.r) AS x FROM questions q LEFT JOIN records a ON a.registry = q.registry AND a.k = upper(regexp_replace(q.identifier, '\\s', '', 'g')) LEFT JOIN records b ON b.registry = q.registry AND b.k = upper(regexp_replace(q.other, '\\s', '', 'g')) WHERE q.identifier IS NOT NULL OR q.other IS NOT NULL)", "questions", "records")
+view("debarment", "SELECT bid_id, coalesce(pan IN (SELECT d.pan FROM debarred d WHERE d.pan IS NOT NULL), false) OR coalesce(gstin IN (SELECT d.gstin FROM debarred d WHERE d.gstin IS NOT NULL), false) OR coalesce(upper(replace(expected_name, ' ', '')) IN (SELECT upper(replace(entity_name, ' ', '')) FROM debarred WHERE entity_name IS NOT NULL), false) AS debarred FROM ids", "ids", "debarred")
+view("warnings", "SELECT bid_id, field || '-' || CAST(page AS VARCHAR) AS related FROM first_facts WHERE extraction_confidence = 'LOW' AND field IN ('gstin', 'turnover_cr')", "first_facts")
+view("compliance", "SELECT *, CASE WHEN critical + major > 0 THEN 'FAIL' WHEN missing > 0 THEN 'MISSING' WHEN review > 0 THEN 'REVIEW' WHEN passed = total THEN 'PASS' ELSE 'PARTIAL' END AS compliance_status FROM (SELECT bid_id, count(*) FILTER (status IN ('FAIL', 'OVERRIDDEN_FAIL') AND severity = 'CRITICAL') AS critical, count(*) FILTER (status IN ('FAIL', 'OVERRIDDEN_FAIL') AND severity <> 'CRITICAL') AS major, count(*) FILTER (status = 'MISSING') AS missing, count(*) FILTER (status IN ('REVIEW', 'PARTIAL')) AS review, count(*) FILTER (status IN ('PASS', 'OVERRIDDEN_PASS')) AS passed, count(*) AS total FROM results GROUP BY bid_id)", "results")
 view("integ", "SELECT bid_id, count(*) FILTER (status = 'CONTRADICTION') AS contradictions, count(*) FILTER (status = 'REVIEW') AS integrity_reviews, count(*) FILTER (status = 'CONTRADICTION' AND severity IN ('HIGH', 'CRITICAL')) AS high_contradictions, count(*) AS n_findings FROM findings GROUP BY bid_id", "findings")
-view("queue", "SELECT bid_id, CASE WHEN status = 'MISSING' THEN 'MISSING_EVIDENCE' ELSE 'AMBIGUOUS_COMPLIANCE' END AS category, severity, requirement_id AS related, 1 AS source_order FROM results WHERE requires_review OR status IN ('REVIEW', 'PARTIAL', 'MISSING') UNION ALL SELECT bid_id, 'INTEGRITY_CONTRADICTION', CASE severity WHEN 'HIGH' THEN 'CRITICAL' ELSE 'MAJOR' END, format('{}-{:06d}-{:06d}', field, seq_a, seq_b), 2 FROM findings UNION ALL SELECT bid_id, 'DEBARMENT_ALERT', 'CRITICAL', 'DEBARMENT', 3 FROM debarment WHERE debarred UNION ALL SELECT bid_id, 'GOVERNMENT_MISMATCH', 'MAJOR', 'GST', 4 FROM checks WHERE status IN ('IDENTITY_MISMATCH', 'INACTIVE')", "results", "findings", "debarment", "checks")
+view("queue", "SELECT bid_id, CASE WHEN status = 'MISSING' THEN 'MISSING_EVIDENCE' ELSE 'AMBIGUOUS_COMPLIANCE' END AS category, severity, requirement_id AS related, 1 AS source_order FROM results WHERE requires_review OR status IN ('REVIEW', 'PARTIAL', 'MISSING') UNION ALL SELECT bid_id, 'INTEGRITY_CONTRADICTION', CASE severity WHEN 'HIGH' THEN 'CRITICAL' ELSE 'MAJOR' END, finding_id, 2 FROM findings UNION ALL SELECT bid_id, 'DEBARMENT_ALERT', 'CRITICAL', 'DEBARMENT', 3 FROM debarment WHERE debarred UNION ALL SELECT bid_id, 'GOVERNMENT_MISMATCH', 'MAJOR', registry, 4 FROM checks WHERE status IN ('IDENTITY_MISMATCH', 'INACTIVE', 'SUSPENDED', 'REVIEW', 'UNVERIFIED', 'UNAVAILABLE') UNION ALL SELECT bid_id, 'GROUNDING_WARNING', 'MINOR', related, 5 FROM warnings", "results", "findings", "debarment", "checks", "warnings")
 view("weighted", "SELECT *, applicability <> 'NOT_APPLICABLE' AS live, applicability <> 'NOT_APPLICABLE' AND status <> 'N/A' AS applies, applicability = 'UNKNOWN_REVIEW' AND status = 'PASS' AS unsure, CASE WHEN applicability <> 'NOT_APPLICABLE' AND status <> 'N/A' THEN (CASE WHEN mandatory THEN 10.0::DOUBLE ELSE 4.0::DOUBLE END) * (CASE severity WHEN 'CRITICAL' THEN 1.5::DOUBLE WHEN 'MAJOR' THEN 1.0::DOUBLE WHEN 'MINOR' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END) ELSE 0.0::DOUBLE END AS weight FROM results", "results")
 view(
     "scores",
     """SELECT *, CASE WHEN debarred THEN 'DEBARMENT' WHEN contra AND first_score > 65 THEN 'CONTRADICTION' WHEN first_score < raw_score THEN CASE WHEN mandatory_fail THEN 'MANDATORY_FAIL' ELSE 'MANDATORY_MISSING' END ELSE 'NONE' END AS cap, CASE WHEN contra THEN least(first_score, 65.0::DOUBLE) ELSE first_score END AS final_score FROM (
 SELECT *, CASE WHEN debarred THEN 0.0::DOUBLE WHEN mandatory_fail THEN least(raw_score, 40.0::DOUBLE) WHEN mandatory_missing THEN least(raw_score, 55.0::DOUBLE) ELSE raw_score END AS first_score, high > 0 AND NOT debarred AND NOT mandatory_fail AS contra FROM (
 SELECT s.*, CASE WHEN possible > 0 THEN greatest(0.0::DOUBLE, least(100.0::DOUBLE, earned / possible * 100)) ELSE 100.0::DOUBLE END AS raw_score, coalesce(d.debarred, false) AS debarred, coalesce(i.high_contradictions, 0) AS high FROM (
-SELECT bid_id, count(*) AS requirements, count(*) FILTER (applies) AS applicable, count(*) FILTER (applies AND status = 'PASS' AND NOT unsure) AS passed, count(*) FILTER (live AND status = 'FAIL') AS failed, count(*) FILTER (live AND status = 'MISSING') AS missing, count(*) FILTER (live AND (unsure OR status IN ('REVIEW', 'PARTIAL'))) AS under_review, sum(weight) AS possible, sum(weight * CASE WHEN unsure THEN 0.5::DOUBLE WHEN status = 'PASS' THEN 1.0::DOUBLE WHEN status = 'REVIEW' THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END) AS earned, bool_or(live AND status = 'FAIL' AND mandatory) AS mandatory_fail, bool_or(live AND status = 'MISSING' AND mandatory) AS mandatory_missing FROM weighted GROUP BY bid_id) s LEFT JOIN debarment d ON s.bid_id = d.bid_id LEFT JOIN integ i ON s.bid_id = i.bid_id))""",
+SELECT bid_id, count(*) AS requirements, count(*) FILTER (applies) AS applicable, count(*) FILTER (applies AND status IN ('PASS', 'OVERRIDDEN_PASS') AND NOT unsure) AS passed, count(*) FILTER (live AND status IN ('FAIL', 'OVERRIDDEN_FAIL')) AS failed, count(*) FILTER (live AND status = 'MISSING') AS missing, count(*) FILTER (live AND (unsure OR status IN ('REVIEW', 'PARTIAL'))) AS under_review, sum(weight) AS possible, sum(weight * CASE WHEN unsure THEN 0.5::DOUBLE WHEN status IN ('PASS', 'OVERRIDDEN_PASS') THEN 1.0::DOUBLE WHEN status = 'REVIEW' THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END) AS earned, bool_or(live AND status IN ('FAIL', 'OVERRIDDEN_FAIL') AND mandatory) AS mandatory_fail, bool_or(live AND status = 'MISSING' AND mandatory) AS mandatory_missing FROM weighted GROUP BY bid_id) s LEFT JOIN debarment d ON s.bid_id = d.bid_id LEFT JOIN integ i ON s.bid_id = i.bid_id))""",
     "weighted", "debarment", "integ",
 )
-view("factors", "SELECT bid_id, CASE WHEN status = 'FAIL' AND severity = 'CRITICAL' THEN 'MANDATORY_CRITICAL_FAILURE' WHEN status = 'FAIL' THEN 'MANDATORY_REQUIREMENT_FAILURE' WHEN status = 'MISSING' THEN 'MANDATORY_EVIDENCE_MISSING' ELSE 'UNRESOLVED_COMPLIANCE_REVIEW' END AS code, CASE WHEN status = 'FAIL' AND severity = 'CRITICAL' THEN 'CRITICAL' WHEN status IN ('FAIL', 'MISSING') THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM results WHERE status = 'FAIL' OR (status = 'MISSING' AND severity IN ('CRITICAL', 'MAJOR')) OR (status <> 'MISSING' AND status <> 'FAIL' AND (status IN ('REVIEW', 'PARTIAL') OR requires_review)) UNION ALL SELECT bid_id, CASE WHEN severity = 'HIGH' OR regexp_matches(finding_type, 'NAME|GSTIN|PAN') THEN 'IDENTITY_OR_CRITICAL_CONTRADICTION' ELSE 'CROSS_DOCUMENT_CONTRADICTION' END, CASE WHEN severity = 'HIGH' OR regexp_matches(finding_type, 'NAME|GSTIN|PAN') THEN 'CRITICAL' ELSE 'HIGH' END FROM findings WHERE status = 'CONTRADICTION' UNION ALL SELECT bid_id, 'GOVERNMENT_REGISTRY_MISMATCH', 'HIGH' FROM checks WHERE status IN ('IDENTITY_MISMATCH', 'INACTIVE') UNION ALL SELECT bid_id, 'DEBARMENT_DETECTED', 'CRITICAL' FROM debarment WHERE debarred", "results", "findings", "checks", "debarment")
+view("factors", "SELECT bid_id, CASE WHEN status = 'FAIL' AND severity = 'CRITICAL' THEN 'MANDATORY_CRITICAL_FAILURE' WHEN status = 'FAIL' THEN 'MANDATORY_REQUIREMENT_FAILURE' WHEN status = 'MISSING' THEN 'MANDATORY_EVIDENCE_MISSING' ELSE 'UNRESOLVED_COMPLIANCE_REVIEW' END AS code, CASE WHEN status = 'FAIL' AND severity = 'CRITICAL' THEN 'CRITICAL' WHEN status IN ('FAIL', 'MISSING') THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM results WHERE status = 'FAIL' OR (status = 'MISSING' AND severity IN ('CRITICAL', 'MAJOR')) OR (status <> 'MISSING' AND status <> 'FAIL' AND (status IN ('REVIEW', 'PARTIAL') OR requires_review)) UNION ALL SELECT bid_id, CASE WHEN severity = 'HIGH' OR regexp_matches(finding_type, 'NAME|GSTIN|PAN') THEN 'IDENTITY_OR_CRITICAL_CONTRADICTION' ELSE 'CROSS_DOCUMENT_CONTRADICTION' END, CASE WHEN severity = 'HIGH' OR regexp_matches(finding_type, 'NAME|GSTIN|PAN') THEN 'CRITICAL' ELSE 'HIGH' END FROM findings WHERE status = 'CONTRADICTION' UNION ALL SELECT bid_id, 'GOVERNMENT_REGISTRY_MISMATCH', 'HIGH' FROM checks WHERE status IN ('IDENTITY_MISMATCH', 'INACTIVE', 'SUSPENDED') UNION ALL SELECT bid_id, 'DEBARMENT_DETECTED', 'CRITICAL' FROM debarment WHERE debarred UNION ALL SELECT bid_id, 'EVIDENCE_GROUNDING_WARNING', 'MEDIUM' FROM warnings", "results", "findings", "checks", "debarment", "warnings")
 view("risk", "SELECT bid_id, CASE worst WHEN 3 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS level, least(1.0::DOUBLE, CASE worst WHEN 3 THEN 0.9::DOUBLE + least(0.1::DOUBLE, n * 0.02::DOUBLE) WHEN 2 THEN 0.65::DOUBLE + least(0.2::DOUBLE, n * 0.03::DOUBLE) WHEN 1 THEN 0.35::DOUBLE + least(0.25::DOUBLE, n * 0.04::DOUBLE) ELSE 0.05::DOUBLE + least(0.15::DOUBLE, n * 0.02::DOUBLE) END) AS risk_score, n AS n_factors FROM (SELECT b.bid_id, coalesce(max(CASE severity WHEN 'CRITICAL' THEN 3 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 END), 0) AS worst, count(severity) AS n FROM bids b LEFT JOIN factors f ON b.bid_id = f.bid_id GROUP BY b.bid_id)", "bids", "factors")
-view("pend", "SELECT bid_id, requirement_id, mandatory, applicability, status, CASE status WHEN 'MISSING' THEN 'MISSING_DOCUMENT' WHEN 'FAIL' THEN 'DEFICIENT_VALUE' ELSE 'AMBIGUOUS_EVIDENCE' END AS deficiency_type, CASE WHEN contains(field, 'pan') THEN 'API_SETU_PAN_VERIFICATION' END AS registry_expected, requires_review OR status <> 'PASS' AS requires_review FROM results WHERE applicability <> 'NOT_APPLICABLE' AND NOT (status = 'PASS' AND NOT requires_review)", "results")
+_REGISTRY = "CASE WHEN contains(lower(field), 'pan') OR contains(lower(category), 'pan') THEN 'API_SETU_PAN_VERIFICATION' WHEN regexp_matches(lower(field), 'udyam|msme') THEN 'API_SETU_UDYAM_VERIFICATION' WHEN regexp_matches(lower(field), 'epfo|uan') THEN 'API_SETU_EPFO_VERIFICATION' WHEN regexp_matches(lower(field), 'esic|ip_number') THEN 'API_SETU_ESIC_VERIFICATION' WHEN regexp_matches(lower(field), 'dpiit|startup') THEN 'API_SETU_DPIIT_VERIFICATION' WHEN regexp_matches(lower(field), 'debarment|blacklist') THEN 'DEBARMENT_REGISTRY_CHECK' END"
+view("pend", f"""SELECT *, CASE deficiency_type WHEN 'MISSING_DOCUMENT' THEN 'Submit a document that proves ' || requirement_id WHEN 'DEFICIENT_VALUE' THEN 'Submit evidence for ' || coalesce(expected_value, '') || ' instead of ' || coalesce(actual, '') WHEN 'UNVERIFIED_GOVERNMENT' THEN 'Verify with ' || registry_expected ELSE 'Officer review' END AS action FROM (
+SELECT r.bid_id, requirement_id, mandatory, applicability, r.status, r.expected_value, r.actual, CASE r.status WHEN 'MISSING' THEN 'MISSING_DOCUMENT' WHEN 'FAIL' THEN 'DEFICIENT_VALUE' ELSE CASE WHEN c.status IN ('NOT_FOUND', 'UNAVAILABLE') THEN 'UNVERIFIED_GOVERNMENT' ELSE 'AMBIGUOUS_EVIDENCE' END END AS deficiency_type, registry_expected, c.registry || ': ' || c.status AS registry_result, requires_review OR r.status <> 'PASS' AS requires_review
+FROM (SELECT *, {_REGISTRY} AS registry_expected FROM results WHERE applicability <> 'NOT_APPLICABLE' AND NOT (status = 'PASS' AND NOT requires_review)) r LEFT JOIN checks c ON c.bid_id = r.bid_id AND 'API_SETU_' || c.registry || '_VERIFICATION' = r.registry_expected)""", "results", "checks")
 view("overall", "SELECT bid_id, compliance_status, integrity_status, overall_status, overall_status = 'REVIEW' OR n_items > 0 AS review_required, CAST(anomalies AS BIGINT) AS anomalies, debarred FROM (SELECT *, CASE WHEN debarred OR compliance_status = 'FAIL' THEN 'FAIL' WHEN compliance_status IN ('MISSING', 'REVIEW') THEN 'REVIEW' WHEN compliance_status = 'PASS' AND integrity_status = 'CONSISTENT' AND n_items = 0 THEN 'PASS' ELSE 'REVIEW' END AS overall_status FROM (SELECT b.bid_id, coalesce(c.compliance_status, 'REVIEW') AS compliance_status, CASE WHEN coalesce(contradictions, 0) > 0 THEN 'CONTRADICTION' WHEN coalesce(integrity_reviews, 0) > 0 THEN 'REVIEW' ELSE 'CONSISTENT' END AS integrity_status, coalesce(d.debarred, false) AS debarred, coalesce(q.n, 0) AS n_items, coalesce(contradictions, 0) + coalesce(integrity_reviews, 0) + CASE WHEN coalesce(d.debarred, false) THEN 1 ELSE 0 END AS anomalies FROM bids b LEFT JOIN compliance c ON b.bid_id = c.bid_id LEFT JOIN integ i ON b.bid_id = i.bid_id LEFT JOIN debarment d ON b.bid_id = d.bid_id LEFT JOIN (SELECT bid_id, count(*) AS n FROM queue GROUP BY bid_id) q ON b.bid_id = q.bid_id))", "bids", "compliance", "integ", "debarment", "queue")
-view("recommend", "SELECT bid_id, CASE WHEN fail THEN 'FAIL' WHEN look THEN 'REVIEW' ELSE 'PASS' END AS verdict, CASE WHEN fail OR NOT look OR contra > 0 OR lacking > 0 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, CAST(issues AS BIGINT) AS n_critical_issues FROM (SELECT *, debarred OR fails > 0 AS fail, issues > 0 OR level IN ('HIGH', 'CRITICAL') OR under_review > 0 OR final_score < 75 AS look FROM (SELECT s.bid_id, s.debarred, s.under_review, s.final_score, r.level, coalesce(f.fails, 0) AS fails, coalesce(p.lacking, 0) AS lacking, coalesce(i.high_contradictions, 0) AS contra, CASE WHEN s.debarred THEN 1 ELSE 0 END + coalesce(f.fails, 0) + coalesce(p.lacking, 0) + coalesce(i.high_contradictions, 0) + coalesce(c.bad, 0) AS issues FROM scores s JOIN risk r ON s.bid_id = r.bid_id LEFT JOIN (SELECT bid_id, count(*) AS fails FROM results WHERE status = 'FAIL' AND severity IN ('CRITICAL', 'MAJOR') GROUP BY bid_id) f ON s.bid_id = f.bid_id LEFT JOIN (SELECT bid_id, count(*) AS lacking FROM pend WHERE mandatory AND status = 'MISSING' GROUP BY bid_id) p ON s.bid_id = p.bid_id LEFT JOIN integ i ON s.bid_id = i.bid_id LEFT JOIN (SELECT bid_id, count(*) AS bad FROM checks WHERE status IN ('IDENTITY_MISMATCH', 'INACTIVE') GROUP BY bid_id) c ON s.bid_id = c.bid_id))", "scores", "risk", "results", "pend", "integ", "checks")
-ALIAS_VALUES = ", ".join(f"('{a}', '{c}')" for c, some in ALIASES.items() for a in some)
-AMBIGUOUS_LIST = _list(AMBIGUOUS)
+view("recommend", "SELECT bid_id, CASE WHEN fail THEN 'FAIL' WHEN look THEN 'REVIEW' ELSE 'PASS' END AS verdict, CASE WHEN fail OR NOT look OR contra > 0 OR lacking > 0 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, CAST(issues AS BIGINT) AS n_critical_issues FROM (SELECT *, debarred OR fails > 0 AS fail, issues > 0 OR level IN ('HIGH', 'CRITICAL') OR under_review > 0 OR final_score < 75 AS look FROM (SELECT s.bid_id, s.debarred, s.under_review, s.final_score, r.level, coalesce(f.fails, 0) AS fails, coalesce(p.lacking, 0) AS lacking, coalesce(i.high_contradictions, 0) AS contra, CASE WHEN s.debarred THEN 1 ELSE 0 END + coalesce(f.fails, 0) + coalesce(p.lacking, 0) + coalesce(i.high_contradictions, 0) + coalesce(c.bad, 0) AS issues FROM scores s JOIN risk r ON s.bid_id = r.bid_id LEFT JOIN (SELECT bid_id, count(*) AS fails FROM results WHERE status = 'FAIL' AND severity IN ('CRITICAL', 'MAJOR') GROUP BY bid_id) f ON s.bid_id = f.bid_id LEFT JOIN (SELECT bid_id, count(*) AS lacking FROM pend WHERE mandatory AND status = 'MISSING' GROUP BY bid_id) p ON s.bid_id = p.bid_id LEFT JOIN integ i ON s.bid_id = i.bid_id LEFT JOIN (SELECT bid_id, count(*) AS bad FROM checks WHERE status IN ('IDENTITY_MISMATCH', 'INACTIVE', 'UNAUTHORIZED', 'REVOKED', 'REVIEW', 'UNAVAILABLE', 'ERROR', 'UNVERIFIED') GROUP BY bid_id) c ON s.bid_id = c.bid_id))", "scores", "risk", "results", "pend", "integ", "checks")

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared checkpoint folder, or in a temporary one where none is set (local use)."""
+    """A new path in the shared checkpoint folder; a temporary one only for a local master without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="attestra-files-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -31,9 +34,18 @@ def partitioned(df: DataFrame, by: str) -> str:
     return path
 
 
-def contract_errors(df: DataFrame, required: list[str], members: dict[str, list[str]], least: dict[str, float]) -> DataFrame:
-    """``df`` with ``errors``: required values that lack, values outside an enumeration, numbers under a minimum."""
+def by_id(df: DataFrame, key: str) -> str:
+    """Write ``df`` in ascending order of ``key``, so that statistics of files and row groups lead a read by id to its rows; gives the path."""
+    path = scratch(df.sparkSession, "by-id")
+    df.repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
+    return path
+
+
+def contract_errors(df: DataFrame, required: list[str], members: dict[str, list[str]], least: dict[str, float], *, sizes: dict[str, int] | None = None, keys: dict[str, list[str]] | None = None) -> DataFrame:
+    """``df`` with ``errors``: required values that lack, values outside an enumeration, numbers under a minimum, lists shorter than ``sizes``, maps with other keys than ``keys``."""
     checks = [F.when(F.col(c).isNull(), F.lit(f"{c}: required")) for c in required]
     checks += [F.when(~F.col(c).isin(*some), F.lit(f"{c}: not allowed")) for c, some in members.items()]
     checks += [F.when(F.col(c) < n, F.lit(f"{c}: under minimum")) for c, n in least.items()]
+    checks += [F.when(F.size(c) < n, F.lit(f"{c}: too few")) for c, n in (sizes or {}).items()]
+    checks += [F.when(F.size(F.array_except(F.map_keys(c), F.array(*map(F.lit, some)))) > 0, F.lit(f"{c}: other keys")) for c, some in (keys or {}).items()]
     return df.withColumn("errors", F.array_compact(F.array(*checks)))

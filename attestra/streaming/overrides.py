@@ -31,12 +31,37 @@ def _run(df: DataFrame, mode: str) -> DataFrame:
 
 
 def effective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(target, decision): the decision in force for each target, repeats of an event dropped."""
-    once = audit.decisions(_events(spark, sf_dir)).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
-    return _run(audit.latest_overrides(once), "complete")
+    return effective_of(_events(spark, sf_dir))
+
+
+def effective_of(events: DataFrame) -> DataFrame:
+    """(target, decision): the decision in force for each target, however late it came.
+
+    Each micro-batch is merged with what was in force before it, so no watermark drops late
+    decisions and the state is a table of one row a target; repeats of an event change nothing.
+    """
+    spark = events.sparkSession
+    path, last = files.scratch(spark, "overrides"), []
+    events = audit.decisions(events)
+
+    def put(batch: DataFrame, number: int) -> None:
+        mine = batch.select("target", "decision", "ts", "event_id")
+        known = mine.unionByName(spark.read.parquet(last[0])) if last else mine
+        now = known.groupBy("target").agg(F.max_by(F.struct("decision", "ts", "event_id"), F.struct("ts", "event_id")).alias("x")).select("target", "x.*")
+        now.write.mode("overwrite").parquet(f"{path}/state-{number}")
+        last[:] = [f"{path}/state-{number}"]
+
+    query = events.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not last:  # no input
+        return spark.createDataFrame([], "target bigint, decision string")
+    return spark.read.parquet(last[0]).select("target", "decision")
 
 
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(day, event_type, n) of audit events in tumbling windows of a day."""
-    counted = _events(spark, sf_dir).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return _run(counted.select(F.to_date("w.start").alias("day"), "event_type", "n"), "complete")
+    """(day, event_type, n, masks, first_print) of audit events in tumbling windows of a day: users are masked and details hashed before anything is kept."""
+    mask = F.concat(F.lit("***"), F.right(F.concat(F.lit("user-"), F.col("user_id").cast("string")), F.lit(3)))
+    print_of = F.substring(F.sha2(F.coalesce(F.col("props").cast("string"), F.lit("")), 256), 1, 12)
+    clean = _events(spark, sf_dir).select("ts", "event_type", mask.alias("who"), print_of.alias("print"))
+    counted = clean.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.size(F.collect_set("who")).cast("long").alias("masks"), F.min("print").alias("first_print"))
+    return _run(counted.select(F.to_date("w.start").alias("day"), "event_type", "n", "masks", "first_print"), "complete")

@@ -11,4 +11,19 @@ def test_streams_write_to_the_shared_folder(spark, small, tmp_path, monkeypatch)
         assert got.count() > 0
         found = got.inputFiles()
         assert found and all(str(tmp_path) in f for f in found)
-    assert len(list(tmp_path.glob("stream-*/checkpoint/offsets"))) == 2
+    assert len(list(tmp_path.glob("*/checkpoint/offsets"))) == 2
+
+
+def test_late_decisions_count_whatever_the_batch(spark, tmp_path):
+    """A decision that comes years after newer ones of other targets is in force all the same."""
+    import shutil
+
+    from attestra.streaming import overrides
+
+    rows = [(1, "2026-01-01 00:00:00", 7, "purchase"), (2, "2020-01-01 00:00:00", 8, "error"), (3, "2019-01-01 00:00:00", 7, "error"), (4, "2026-02-01 00:00:00", 8, "signup"), (5, "2018-01-01 00:00:00", 9, "click")]
+    for k, row in enumerate(rows):
+        spark.createDataFrame([row], "event_id bigint, ts string, user_id bigint, event_type string").selectExpr("event_id", "cast(ts as timestamp) as ts", "user_id", "event_type").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "part"))
+        (tmp_path / "events.parquet").mkdir(exist_ok=True)
+        shutil.move(next((tmp_path / "part").glob("*.parquet")), tmp_path / "events.parquet" / f"{k}-events.parquet")
+    streamed = overrides.effective_of(spark.readStream.schema("event_id bigint, ts timestamp, user_id bigint, event_type string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events.parquet")))
+    assert {tuple(r) for r in streamed.collect()} == {(7, "ACCEPT"), (8, "WAIVE"), (9, "DISMISS")}
