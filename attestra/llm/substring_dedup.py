@@ -14,9 +14,11 @@ same document or another.  Equal strings have equal anchors (module ``anchors``)
     another is cut off, and a suffix array over all of them (module ``suffix_array``) with the
     common prefixes of neighbours shows the window starts that repeat.
 4.  A group of more than ``LIMIT`` contexts is halved: each half of its range of i takes the
-    contexts that have windows there, and groups them by more bytes.  A group for a single i
-    has one and the same window, which repeats.  So no task gathers an unbounded group, and
-    how many contexts an anchor has decides how often its range is halved and nothing else.
+    contexts that have windows there, cut to the bytes that those can have, and groups them by
+    more bytes.  Contexts that are equal when cut repeat all over the half; one of them stands
+    for them from there on.  A group for a single i has one and the same window, which repeats.
+    So no task gathers an unbounded group, and how many contexts an anchor has decides how
+    often its range is halved and nothing else.
 
 Rows are told apart by their id and 128 bits of their text, contexts by their anchor's hash
 and their own, 128 bits together; contexts that meet in a group are compared by their bytes.
@@ -40,7 +42,7 @@ from .anchors import GRAM, LENGTH, anchors
 from .suffix_array import common_prefixes, suffix_array
 
 #: Contexts that a task solves together: a few MB, and seconds of work.
-LIMIT = 2000
+LIMIT = 4000
 #: The bytes of a window beside its anchor.
 AROUND = LENGTH - GRAM
 ROW = ("r", "q")
@@ -149,15 +151,15 @@ _GROUP = ("gram", "low", "high", "near")
 
 
 def _solved(contexts: DataFrame) -> DataFrame:
-    """(a, c, lo, hi) over contexts (.., low, high, near) of the groups; a group is held at a time."""
+    """(a, c, lo, hi) over contexts (.., low, high, near) of the groups, cut by ``skip`` bytes in front; a group is held at a time."""
 
     def solve(key: tuple | None, group: list[tuple]) -> list[tuple]:
         if len(group) < 2:
             return []
         out = []
-        for (a, c, left, _), some in zip(group, repeated_starts([x[2:] for x in group]), strict=True):
+        for (a, c, skip, left, _), some in zip(group, repeated_starts([x[3:] for x in group]), strict=True):
             first, last = len(left) - key[2], len(left) - key[1]  # the starts of windows with high and with low bytes before the anchor
-            out += [(a, c, max(lo, first), min(hi, last)) for lo, hi in some if lo <= last and hi >= first]
+            out += [(a, c, skip + max(lo, first), skip + min(hi, last)) for lo, hi in some if lo <= last and hi >= first]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +168,7 @@ def _solved(contexts: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             columns = [batch.column(x).to_pylist() for x in _GROUP]
-            for own, *row in zip(zip(*columns, strict=True), *[batch.column(x).to_pylist() for x in ("a", "c", "left", "right")], strict=True):
+            for own, *row in zip(zip(*columns, strict=True), *[batch.column(x).to_pylist() for x in ("a", "c", "skip", "left", "right")], strict=True):
                 if own != key:
                     out += solve(key, group)
                     key, group = own, []
@@ -174,7 +176,7 @@ def _solved(contexts: DataFrame) -> DataFrame:
             yield _ranges(out)
         yield _ranges(solve(key, group))
 
-    dealt = contexts.select(*_GROUP, "a", "c", "left", "right").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    dealt = contexts.select(*_GROUP, "a", "c", "skip", "left", "right").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     return dealt.mapInArrow(run, "a bigint, c bigint, lo int, hi int")
 
 
@@ -189,9 +191,19 @@ def _grouped(contexts: DataFrame) -> DataFrame:
     return contexts.filter(f"length(left) >= low and length(right) >= {AROUND} - high").withColumn("near", near)
 
 
+def _halved(contexts: DataFrame) -> DataFrame:
+    """Contexts for each half of their range in which they have windows, cut to the bytes of those windows."""
+    middle = ((F.col("low") + F.col("high")) / 2).cast("int")
+    halves = F.array(F.struct(F.col("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high")))
+    each = contexts.withColumn("half", F.explode(halves)).select("a", "c", "gram", "left", "right", "skip", "half.*")
+    most = F.least(F.col("high"), F.length("left"))
+    cut = each.withColumns({"skip": (F.col("skip") + F.length("left") - most).cast("int"), "left": F.expr("substring(left, length(left) - least(high, length(left)) + 1, least(high, length(left)))"), "right": F.expr(f"substring(right, 1, {AROUND} - low)")})
+    return cut.filter(f"length(left) >= low and length(right) >= {AROUND} - high")
+
+
 def _partial(contexts: DataFrame, limit: int) -> DataFrame:
     """(a, c, lo, hi): window starts that repeat in another context of the same anchor."""
-    left, found = _grouped(contexts.withColumns({"low": F.lit(0), "high": F.lit(AROUND)})), []
+    left, found = _grouped(contexts.withColumns({"low": F.lit(0), "high": F.lit(AROUND), "skip": F.lit(0)})), []
     while True:  # a range is halved eight times at most
         hot, _ = storage.written(left.groupBy(*_GROUP).agg(F.count("*").alias("members")).filter(f"members > {limit}").select(*_GROUP), "hot-groups")
         if hot.isEmpty():
@@ -199,11 +211,15 @@ def _partial(contexts: DataFrame, limit: int) -> DataFrame:
             break
         found.append(_solved(left.join(hot, list(_GROUP), "left_anti")))
         large, _ = storage.written(left.join(hot, list(_GROUP), "left_semi").drop("near"), "hot-contexts")
-        start = (F.length("left") - F.col("low")).cast("int")
+        start = (F.col("skip") + F.length("left") - F.col("low")).cast("int")
         found.append(large.filter("low = high").select("a", "c", start.alias("lo"), start.alias("hi")))
-        middle = ((F.col("low") + F.col("high")) / 2).cast("int")
-        halves = F.array(F.struct(F.col("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high")))
-        left, _ = storage.written(_grouped(large.filter("low < high").withColumn("half", F.explode(halves)).select("a", "c", "gram", "left", "right", "half.*")), "halved-contexts")
+        cut, _ = storage.written(_halved(large.filter("low < high")), "halved-contexts")
+        like = ["gram", "low", "high", "left", "right"]
+        classes, _ = storage.written(cut.groupBy(*like).agg(F.min(F.struct("a", "c", "skip")).alias("one"), F.count("*").alias("n")), "like-contexts")
+        first, last = F.length("left") - F.least(F.col("high"), F.length("left")), F.length("left") - F.greatest(F.col("low"), F.lit(AROUND) - F.length("right"))
+        alike = cut.join(classes.filter("n > 1").select(*like), like, "left_semi")
+        found.append(alike.select("a", "c", (F.col("skip") + first).cast("int").alias("lo"), (F.col("skip") + last).cast("int").alias("hi")))
+        left = _grouped(classes.select("one.a", "one.c", "one.skip", *like))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
