@@ -11,12 +11,12 @@ FORMATS = {
     "PAN": "^[A-Z]{5}[0-9]{4}[A-Z]$",
     "UDYAM": "^UDYAM-[A-Z]{2}-[0-9]{2}-[0-9]{7}$",
     "DPIIT": "^(DIPP|DPIIT)?[0-9A-Z]{4,25}$",
-    "UAN": "^[0-9]{12}$",
-    "ESIC": "^[0-9]{10}$",
-    "ESIC_EMPLOYER": "^[0-9]{17}$",
-    "MOBILE": "^[6-9][0-9]{9}$",
-    "CIN": "^[LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}$",
-    "EPFO": "^[A-Z]{5}[0-9]{7,17}$",
+    "UAN": "^[0-9]{10,12}$",
+    "ESIC": "^[0-9]{10,17}$",
+    "MOBILE": "^[0-9]{10}$",
+    "SCHEME_CERTIFICATE": "^[A-Z0-9]{5,30}$",
+    "PENSION_ORDER": "^[A-Z0-9]{5,30}$",
+    "BIRTH_DATE": "^[0-9]{2}-[0-9]{2}-[0-9]{4}$",
 }
 
 
