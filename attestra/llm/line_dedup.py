@@ -63,32 +63,39 @@ def _from_each(lines: DataFrame, min_chars: int) -> DataFrame:
     return events.withColumn("end", end).filter("asks = 1 and end is not null").select(*KEY, "no", (F.col("end") - F.col("no") + 1).alias("span"))
 
 
-def _ranked(places: DataFrame, by: list[str], label: str) -> tuple[DataFrame, list[str]]:
-    """(d, h, no, rank) of the places whose ``by`` occurs more than once; ranks follow the order of ``by``."""
+def _ranked(places: DataFrame, by: list[str], label: str) -> tuple[DataFrame, str]:
+    """(d, h, no, rank), and where it is written, of the places whose ``by`` occurs more than once; ranks follow the order of ``by``."""
     shared = places.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     ordered, ranks_path = storage.written(shared.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place_rank", F.monotonically_increasing_id()), f"{label}-ranks")
     ranked, path = storage.written(places.join(ordered, by).select(*KEY, "no", F.col("place_rank").alias("rank")), label)
     storage.drop(places.sparkSession, ranks_path)
-    return ranked, [path]
+    return ranked, path
 
 
 def _later_copies(lines: DataFrame, min_chars: int) -> DataFrame:
     """(d, h, lo, hi): windows of lines that begin earlier elsewhere."""
+    spark = lines.sparkSession
     windows, _ = storage.written(_windows(lines, min_chars), "line-windows")
+    storage.tidy(spark)
     longest = windows.agg(F.max("span")).first()[0] or 0
-    level, found, ranks = 0, [], None
+    level, found, ranks, path = 0, [], None, None
     while longest >> level:
+        before = path
         if ranks is None:
-            ranks, _ = _ranked(lines.select(*KEY, "no", "a", "b"), ["a", "b"], "lines-1")
+            ranks, path = _ranked(lines.select(*KEY, "no", "a", "b"), ["a", "b"], "lines-1")
         else:
             step = 1 << (level - 1)
             on = ranks.select(*KEY, (F.col("no") - step).alias("no"), F.col("rank").alias("then"))
-            ranks, _ = _ranked(ranks.join(on, [*KEY, "no"]), ["rank", "then"], f"lines-{1 << level}")
+            ranks, path = _ranked(ranks.join(on, [*KEY, "no"]), ["rank", "then"], f"lines-{1 << level}")
         own = windows.filter((F.col("span") >= 1 << level) & (F.col("span") < 2 << level))
         first = own.join(ranks, [*KEY, "no"]).withColumnRenamed("rank", "r1").withColumn("tail", F.col("no") + F.col("span") - (1 << level))
         tails = ranks.select(*KEY, F.col("no").alias("tail"), F.col("rank").alias("r2"))
         both = first.join(tails, [*KEY, "tail"]) if level else first.withColumn("r2", F.col("r1"))
-        found.append(both.select(*KEY, "no", "span", F.lit(level).alias("level"), "r1", "r2"))
+        found.append(storage.written(both.select(*KEY, "no", "span", F.lit(level).alias("level"), "r1", "r2"), "line-runs")[0])
+        if before:
+            storage.drop(spark, before)
+        on = own = first = tails = both = None
+        storage.tidy(spark)
         level += 1
         if level > 1 and ranks.isEmpty():
             break
@@ -97,7 +104,6 @@ def _later_copies(lines: DataFrame, min_chars: int) -> DataFrame:
     runs = found[0]
     for more in found[1:]:
         runs = runs.unionByName(more)
-    runs, _ = storage.written(runs, "line-runs")
     same = ["level", "span", "r1", "r2"]
     firsts, _ = storage.written(runs.groupBy(*same).agg(F.min(F.struct(*KEY, "no")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first-runs")
     later = runs.join(firsts, same).filter(F.struct(*KEY, "no") > F.col("first"))
