@@ -122,43 +122,60 @@ def first_boolean(names: tuple[str, ...]) -> Column:
     return F.coalesce(*[normalize.boolean(F.col(f"{n}_first")) for n in names])
 
 
-def applicability() -> tuple[Column, Column]:
-    """(status, rule) over a requirement joined to its bid's profile (``PROFILE``); the first rule that holds decides."""
+def standing(summary: DataFrame) -> DataFrame:
+    """One row a bid with what decides whether clauses apply to it, worked out once from the fields of ``PROFILE``."""
     c = F.col
-    field, category = F.lower(F.coalesce("field", F.lit(""))), F.coalesce("category", F.lit(""))
-    has = lambda x, *words: F.regexp_like(x, F.lit("|".join(words)))
     true = lambda name: F.coalesce(normalize.boolean(c(f"{name}_last")), F.lit(False))
     low = lambda *names: F.coalesce(F.coalesce(*[c(f"{n}_confidence") for n in names]) == "LOW", F.lit(False))
-    listed = lambda names, one: F.array_contains(F.transform(F.split(F.upper(names), ","), F.trim), one)
-    role = F.upper(F.trim(F.coalesce("bidder_role_last", F.lit(""))))
-    oem = (category == "OEM_AUTHORIZATION") | has(field, "oem_auth")
-    epfo, esic = has(field, "epfo") | (category == "EPFO_COMPLIANCE"), has(field, "esic") | (category == "ESIC_COMPLIANCE")
     people = F.trim(c("employee_count_last"))
-    counted = F.regexp_like(people, F.lit(r"^[+-]?\d+$"))
-    number = people.try_cast("int")
-    small = lambda n: counted & (number < n) & ~c("mandate_for_all_sizes")
+    role = F.upper(F.trim(F.coalesce("bidder_role_last", F.lit(""))))
+    return profile(summary, PROFILE).select(
+        "bid_id", role.alias("role"), (true("is_oem") | role.isin(*SELF_MADE)).alias("self_made"), low("is_oem", "bidder_role").alias("role_low"), (people.isNotNull() & ~F.regexp_like(people, F.lit(r"^[+-]?\d+$"))).alias("uncounted"),
+        F.when(F.regexp_like(people, F.lit(r"^[+-]?\d+$")), people.try_cast("int")).alias("people"), low("employee_count").alias("people_low"), true("is_mse").alias("mse"), low("is_mse", "udyam_registration").alias("mse_low"), true("is_startup").alias("startup"), low("is_startup", "dpiit_recognized").alias("startup_low"),
+        first_boolean(("is_mse", "mse_registered", "udyam_registration")).alias("claims_mse"), first_boolean(("is_startup", "startup_recognized", "dpiit_recognized")).alias("claims_startup"), F.coalesce("dpiit_number_first", "dpiit_certificate_first").isNotNull().alias("certified"),
+    )
+
+
+def clauses(requirements: DataFrame) -> DataFrame:
+    """``requirements`` with what decides whom they apply to, worked out once a clause."""
+    c = F.col
+    field, category = F.lower(F.coalesce("field", F.lit(""))), F.coalesce("category", F.lit(""))
+    has = lambda x, *words: F.regexp_like(x, F.lit("|".join(words)))
+    listed = lambda names: F.transform(F.split(F.upper(names), ","), F.trim)
     spared = has(field, "turnover", "experience", "past_performance") | has(F.lower(category), "turnover", "experience", "past_performance")
-    mse, startup = spared & c("mse_exemption_allowed") & true("is_mse"), spared & c("startup_exemption_allowed") & true("is_startup")
+    return requirements.withColumns({
+        "of_oem": (category == "OEM_AUTHORIZATION") | has(field, "oem_auth"), "of_epfo": has(field, "epfo") | (category == "EPFO_COMPLIANCE"), "of_esic": has(field, "esic") | (category == "ESIC_COMPLIANCE"),
+        "mse_spared": spared & c("mse_exemption_allowed"), "startup_spared": spared & c("startup_exemption_allowed"), "roles": listed("applicable_roles"),
+        "elsewhere": F.coalesce(c("applicable_categories").isNotNull() & (F.trim("tender_category") != "") & ~F.array_contains(listed("applicable_categories"), F.upper(F.trim("tender_category"))), F.lit(False)),
+    })
+
+
+def applicability() -> tuple[Column, Column]:
+    """(place, outcomes) over ``clauses`` joined to the bid's ``standing``: the place of the first rule that holds among the outcomes (applicability, applicability_rule)."""
+    c = F.col
+    role = F.coalesce("role", F.lit(""))
+    small = lambda n: (c("people") < n) & ~c("mandate_for_all_sizes")
+    few = (c("of_epfo") & small(20)) | (c("of_esic") & small(10))
     steps = [
         (~c("is_effective"), "NOT_APPLICABLE", "PRECEDENCE_SUPERSEDED"),
         (c("app_status") == "NOT_APPLICABLE", "NOT_APPLICABLE", "EXPLICIT_SPECIFICATION"),
         (c("app_status").isin("UNKNOWN", "UNKNOWN_REVIEW", "REVIEW"), "UNKNOWN_REVIEW", "TENDER_SPECIFICATION_UNCERTAIN"),
-        (c("applicable_categories").isNotNull() & (F.trim("tender_category") != "") & ~listed("applicable_categories", F.upper(F.trim("tender_category"))), "NOT_APPLICABLE", "CATEGORY_EXCLUSION"),
-        (oem & low("is_oem", "bidder_role"), "UNKNOWN_REVIEW", "OEM_STATUS_UNCERTAIN"),
-        (oem & (true("is_oem") | role.isin(*SELF_MADE)), "NOT_APPLICABLE", "OEM_SELF_MANUFACTURER"),
-        (c("applicable_roles").isNotNull() & (role == ""), "UNKNOWN_REVIEW", "BIDDER_ROLE_UNVERIFIED"),
-        (c("applicable_roles").isNotNull() & ~listed("applicable_roles", role), "NOT_APPLICABLE", "BIDDER_ROLE_EXCLUSION"),
-        ((epfo | esic) & people.isNotNull() & ~counted, "UNKNOWN_REVIEW", "STATUTORY_THRESHOLD_UNVERIFIED"),
-        (((epfo & small(20)) | (esic & small(10))) & low("employee_count"), "UNKNOWN_REVIEW", "STATUTORY_THRESHOLD_UNVERIFIED"),
-        (epfo & small(20), "NOT_APPLICABLE", "STATUTORY_THRESHOLD_EPFO"),
-        (esic & small(10), "NOT_APPLICABLE", "STATUTORY_THRESHOLD_ESIC"),
-        (mse & low("is_mse", "udyam_registration"), "UNKNOWN_REVIEW", "EXEMPTION_EVIDENCE_AMBIGUOUS"),
-        (mse, "NOT_APPLICABLE", "MSE_STATUTORY_EXEMPTION"),
-        (startup & low("is_startup", "dpiit_recognized"), "UNKNOWN_REVIEW", "EXEMPTION_EVIDENCE_AMBIGUOUS"),
-        (startup, "NOT_APPLICABLE", "STARTUP_STATUTORY_EXEMPTION"),
+        (c("elsewhere"), "NOT_APPLICABLE", "CATEGORY_EXCLUSION"),
+        (c("of_oem") & c("role_low"), "UNKNOWN_REVIEW", "OEM_STATUS_UNCERTAIN"),
+        (c("of_oem") & c("self_made"), "NOT_APPLICABLE", "OEM_SELF_MANUFACTURER"),
+        (c("roles").isNotNull() & (role == ""), "UNKNOWN_REVIEW", "BIDDER_ROLE_UNVERIFIED"),
+        (c("roles").isNotNull() & ~F.array_contains("roles", role), "NOT_APPLICABLE", "BIDDER_ROLE_EXCLUSION"),
+        ((c("of_epfo") | c("of_esic")) & c("uncounted"), "UNKNOWN_REVIEW", "STATUTORY_THRESHOLD_UNVERIFIED"),
+        (few & c("people_low"), "UNKNOWN_REVIEW", "STATUTORY_THRESHOLD_UNVERIFIED"),
+        (c("of_epfo") & small(20), "NOT_APPLICABLE", "STATUTORY_THRESHOLD_EPFO"),
+        (c("of_esic") & small(10), "NOT_APPLICABLE", "STATUTORY_THRESHOLD_ESIC"),
+        (c("mse_spared") & c("mse") & c("mse_low"), "UNKNOWN_REVIEW", "EXEMPTION_EVIDENCE_AMBIGUOUS"),
+        (c("mse_spared") & c("mse"), "NOT_APPLICABLE", "MSE_STATUTORY_EXEMPTION"),
+        (c("startup_spared") & c("startup") & c("startup_low"), "UNKNOWN_REVIEW", "EXEMPTION_EVIDENCE_AMBIGUOUS"),
+        (c("startup_spared") & c("startup"), "NOT_APPLICABLE", "STARTUP_STATUTORY_EXEMPTION"),
     ]
-    status, rule = F.lit("APPLICABLE"), F.lit("STANDARD_APPLICABLE")
-    for when, s, r in reversed(steps):
-        when = F.coalesce(when, F.lit(False))
-        status, rule = F.when(when, s).otherwise(status), F.when(when, r).otherwise(rule)
-    return status, rule
+    step = F.lit(len(steps))
+    for k, (when, _, _) in reversed(list(enumerate(steps))):
+        step = F.when(when, k).otherwise(step)
+    status, rule = ([x[k] for x in steps] + [last] for k, last in ((1, "APPLICABLE"), (2, "STANDARD_APPLICABLE")))
+    return step, F.array(*[F.struct(F.lit(s).alias("applicability"), F.lit(r).alias("applicability_rule")) for s, r in zip(status, rule, strict=True)])

@@ -19,10 +19,10 @@ def asked(requirements: DataFrame, bids: DataFrame, summary: DataFrame) -> DataF
 
     Requirements are a list of clauses and broadcast; bids keep their partitioning.
     """
-    effective = resolve.with_canonical(resolve.precedence(requirements), "field").withColumnRenamed("canonical", "asked_canonical")
-    status, rule = resolve.applicability()
-    known = bids.join(resolve.profile(summary, resolve.PROFILE), "bid_id", "left")
-    return known.join(F.broadcast(effective), "tender_id").withColumns({"applicability": status, "applicability_rule": rule})
+    effective = resolve.clauses(resolve.with_canonical(resolve.precedence(requirements), "field").withColumnRenamed("canonical", "asked_canonical"))
+    place, outcomes = resolve.applicability()
+    rows = bids.join(resolve.standing(summary), "bid_id", "left").join(F.broadcast(effective), "tender_id").withColumn("_place", place)
+    return rows.withColumn("_outcome", F.get(outcomes, F.col("_place"))).select("*", "_outcome.*").drop("_place", "_outcome")
 
 
 def matched(requirements: DataFrame, bids: DataFrame, summary: DataFrame) -> DataFrame:
@@ -37,15 +37,13 @@ def matched(requirements: DataFrame, bids: DataFrame, summary: DataFrame) -> Dat
     order = F.struct("fact_seq", "field")
     canonical = first.filter("canonical is not null").groupBy("bid_id", F.col("canonical").alias("asked_canonical")).agg(F.min_by(F.struct("value", "source_document", "page", "extraction_confidence"), order).alias("other"))
     found = rows.join(own, ["bid_id", "_field"], "left").join(canonical, ["bid_id", "asked_canonical"], "left").withColumn("fact", F.coalesce("own", "other"))
-    mse, startup = resolve.first_boolean(("is_mse", "mse_registered", "udyam_registration")), resolve.first_boolean(("is_startup", "startup_recognized", "dpiit_recognized"))
-    certified = F.coalesce("dpiit_number_first", "dpiit_certificate_first").isNotNull()
-    yes = lambda c: F.coalesce(c, F.lit(False))
+    mse, startup, certified = F.col("claims_mse"), F.col("claims_startup"), F.col("certified")
     basis = (
         F.when(~F.col("is_effective"), "SUPERSEDED")
-        .when(F.col("mse_exemption_allowed") & yes(mse), "EXEMPT")
+        .when(F.col("mse_exemption_allowed") & mse, "EXEMPT")
         .when(F.col("mse_exemption_allowed") & mse.isNull() & F.col("require_explicit_claim"), "UNCLAIMED")
-        .when(F.col("startup_exemption_allowed") & yes(startup) & certified, "EXEMPT")
-        .when(F.col("startup_exemption_allowed") & (yes(startup) | (startup.isNull() & F.col("require_explicit_claim"))), "UNCLAIMED")
+        .when(F.col("startup_exemption_allowed") & startup & certified, "EXEMPT")
+        .when(F.col("startup_exemption_allowed") & (startup | (startup.isNull() & F.col("require_explicit_claim"))), "UNCLAIMED")
         .when(F.col("fact").isNull(), "ABSENT")
         .otherwise("EVALUATED")
     )

@@ -135,8 +135,8 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "udyam_registration": F.when(first & (F.col("l_suppkey") % 4 != 0), udyam_of("l_suppkey")),
         "annual_turnover": F.when((F.col("line_no") == 2) & (F.col("l_partkey") % 9 == 0), F.concat(n(q + 1), F.lit(" crore"))),
     }
-    each = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in values.items()]), lambda x: x["value"].isNotNull()))
-    out = lines(spark, sf_dir).withColumn("f", each)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in values.items()]))
+    out = lines(spark, sf_dir).withColumn("f", each).filter("f.value is not null")
     return out.select("bid_id", "f.field", "f.value", F.concat(F.lit("D"), F.col("l_linenumber").cast("string")).alias("source_document"), F.col("line_no").alias("page"), F.when(F.col("l_tax") > 0.07, "LOW").otherwise("HIGH").alias("extraction_confidence"), F.col("line_no").alias("fact_seq"))
 
 
