@@ -289,14 +289,23 @@ def _decided(spark, sf_dir):
 edges = base._once("edges", lambda s, d: audit.edges(base.results(s, d), bridge.facts(s, d), base.findings(s, d), base.queue(s, d), base.checks(s, d), _decided(s, d)))
 
 
-@register("i01_nodes", oracle.sql("SELECT bid_id, id, node_type FROM nodes", "nodes"))
+def _digested(df, kind: str, line):
+    """(bid_id, kind, n, digest): how many lines a bid has of each kind, and the SHA-256 of all of them in order."""
+    lines = df.select("bid_id", F.col(kind).alias("kind"), line.alias("line")).groupBy("bid_id", "kind")
+    return lines.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("line")), ";"), 256).alias("digest"))
+
+
+_DIGESTED = "SELECT bid_id, {0} AS kind, count(*) AS n, sha256(string_agg({1}, ';' ORDER BY {1})) AS digest FROM {2} GROUP BY ALL"
+
+
+@register("i01_nodes", oracle.sql(_DIGESTED.format("node_type", "id", "nodes"), "nodes"))
 def _nodes(spark, sf_dir):
-    return audit.nodes(edges(spark, sf_dir))
+    return _digested(audit.nodes(edges(spark, sf_dir)), "node_type", F.col("id"))
 
 
-@register("i02_edges", oracle.sql("SELECT bid_id, src, dst, kind FROM edges", "edges"))
+@register("i02_edges", oracle.sql(_DIGESTED.format("kind", "(src || '>' || dst)", "edges"), "edges"))
 def _edges(spark, sf_dir):
-    return edges(spark, sf_dir)
+    return _digested(edges(spark, sf_dir), "kind", F.concat_ws(">", "src", "dst"))
 
 
 _TYPES = oracle._list(audit.NODE_TYPES)
@@ -323,10 +332,14 @@ def _back(spark, sf_dir):
     return audit.trace(edges(spark, sf_dir)).groupBy("bid_id", "evidence").agg(F.count("*").alias("n_results"), F.array_join(F.sort_array(F.collect_list("result")), ",").alias("results"))
 
 
-@register("i07_fact_and_finding_trace", oracle.sql("SELECT bid_id, dst AS traced, kind, count(*) AS n, array_to_string(list_sort(list(src)), ',') AS by FROM edges WHERE kind IN ('RESULT_USES_FACT', 'INTEGRITY_FINDING_COMPARES', 'RESULT_AFFECTED_BY_INTEGRITY') GROUP BY ALL", "edges"))
+_TRACED = "SELECT bid_id, kind, dst || '<' || array_to_string(list_sort(list(src)), ',') AS line FROM edges WHERE kind IN ('RESULT_USES_FACT', 'INTEGRITY_FINDING_COMPARES', 'RESULT_AFFECTED_BY_INTEGRITY') GROUP BY bid_id, kind, dst"
+
+
+@register("i07_fact_and_finding_trace", oracle.sql(_DIGESTED.format("kind", "line", f"({_TRACED})"), "edges"))
 def _fact_trace(spark, sf_dir):
     kept = edges(spark, sf_dir).filter(F.col("kind").isin("RESULT_USES_FACT", "INTEGRITY_FINDING_COMPARES", "RESULT_AFFECTED_BY_INTEGRITY"))
-    return kept.groupBy("bid_id", F.col("dst").alias("traced"), "kind").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("src")), ",").alias("by"))
+    traced = kept.groupBy("bid_id", "kind", "dst").agg(F.concat("dst", F.lit("<"), F.array_join(F.sort_array(F.collect_list("src")), ",")).alias("line"))
+    return _digested(traced, "kind", F.col("line"))
 
 
 @register("i08_registry_evidence", oracle.sql("SELECT bid_id, src AS fact, dst AS evidence FROM edges WHERE kind = 'FACT_GROUNDED_BY' AND contains(src, '.')", "edges"))
