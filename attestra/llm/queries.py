@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, html_text, line_dedup, quality, simhash, storage, substring_dedup, token_store, toxicity
+from . import bpe, decontaminate, fingerprint, html_text, line_dedup, quality, sharding, simhash, storage, substring_dedup, token_store, toxicity
 
 VOCABULARY = os.environ.get("ATTESTRA_BPE_VOCABULARY", "")
 
@@ -101,6 +101,11 @@ FROM l LEFT JOIN runs ON l.doc_id = runs.doc_id LEFT JOIN kept ON l.doc_id = kep
 """
 
 
+def op11_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assigned(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_quartile_digest": op2_quartile_digest,
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "op11_feistel_shards": op11_feistel_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op10_line_dedup": OP10_SQL, "op11_feistel_shards": sharding.oracle_sql()}
