@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, html_text, line_dedup, quality, sharding, simhash, storage, substring_dedup, token_store, toxicity
+from . import bpe, decontaminate, fingerprint, html_text, lexical, line_dedup, quality, sharding, simhash, storage, substring_dedup, token_store, toxicity, whitening
 
 VOCABULARY = os.environ.get("ATTESTRA_BPE_VOCABULARY", "")
 
@@ -106,6 +106,15 @@ def op11_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_quartile_digest": op2_quartile_digest,
@@ -118,6 +127,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
     "op11_feistel_shards": op11_feistel_shards,
+    "op12_whitening": op12_whitening,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op10_line_dedup": OP10_SQL, "op11_feistel_shards": sharding.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op10_line_dedup": OP10_SQL, "op11_feistel_shards": sharding.oracle_sql(), "op13_ranked_search": lexical.SQL}
