@@ -30,8 +30,8 @@ STORE_SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids
 _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 #: Distinct pieces a worker remembers before it starts anew; bounds memory, never results.
 MEMO = 600_000
-#: White space, of any library's kind, after the first character.
-_LATER_SPACE = r"(?s)^.+[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: One word, a space before it at most: no other white space of any library's kind.
+_ONE_WORD = r"^ ?[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
 #: An offset table of up to so many rows, one for each file of a store, goes to every executor (16 MB); a larger one is joined by a shuffle.
 MOST_OFFSETS = 1 << 20
 #: Characters of a text that, after its id, decide which range of a store it goes to: rows that share an id are spread too.
@@ -81,23 +81,25 @@ class _Encoder:
     def _learn(self, new: list[str]) -> None:
         """Encode pieces.
 
-        Those without white space inside are encoded as lines of one text, since a line end
-        between them is a word of its own; its id tells their ids apart.
+        Single words are encoded as lines of one text, since a line end between them is a word of
+        its own; its id tells their ids apart.  All other pieces are encoded alone, and so are
+        words where a vocabulary joins line ends to them.
         """
         words = pa.array(new, pa.string())
         opened = pc.starts_with(words, "\n")
         inner = pc.if_else(opened, pc.utf8_slice_codeunits(words, 1), words)
-        alone = pc.or_(pc.or_(pc.equal(inner, ""), pc.starts_with(inner, "\n")), pc.match_substring_regex(inner, _LATER_SPACE)).to_numpy(zero_copy_only=False)
+        alone = ~pc.match_substring_regex(inner, _ONE_WORD).to_numpy(zero_copy_only=False)
         if len(self.line_end) != 1:
             alone[:] = True
         lines = inner.filter(pa.array(~alone)).to_numpy(zero_copy_only=False).tolist()
         if lines:
             ids, _ = self._encoded(["\n" + "\n".join(lines[k : k + 64]) for k in range(0, len(lines), 64)])
             ends = np.flatnonzero(ids == self.line_end[0])
-            if len(ends) != len(lines):
-                raise AssertionError("a line end was joined to a word; this vocabulary needs another separator")
-            begin = ends + ~opened.to_numpy(zero_copy_only=False)[~alone]  # a piece that opens with a line end keeps the id of it
-            self._keep([new[k] for k in np.flatnonzero(~alone).tolist()], ids, begin, np.append(ends[1:], len(ids)) - begin)
+            if len(ends) == len(lines):
+                begin = ends + ~opened.to_numpy(zero_copy_only=False)[~alone]  # a piece that opens with a line end keeps the id of it
+                self._keep([new[k] for k in np.flatnonzero(~alone).tolist()], ids, begin, np.append(ends[1:], len(ids)) - begin)
+            else:
+                alone[:] = True
         rest = [new[k] for k in np.flatnonzero(alone).tolist()]
         if rest:
             ids, sizes = self._encoded(rest)

@@ -239,3 +239,26 @@ def test_quality(labelled, none):
     assert sum(r["keep"] == (r["doc_id"] % 7 != 0) for r in got) >= 0.97 * len(got)
     empty = quality.scored(none.select("doc_id", "text", "source", "lang"), labels.limit(0), host=F.col("source"), path=F.col("lang"))
     assert empty.count() == 0
+
+
+SPACES = ["\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", " ", "\x85", "\xa0", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", " ", " ", "　", "​", "﻿"]
+
+
+def test_token_store_of_odd_texts(spark, tokenizer):
+    import random
+
+    rnd = random.Random(7)
+    texts = [form.format(s) for s in SPACES for form in ("{0}", "{0}a", "a{0}", "{0} b c", "{0}{0}", " {0}x", "a {0}\n{0} b")]
+    texts += ["".join(rnd.choice([*SPACES, "a", "B", "é", "1", "'s", "☕", ".", "\x01", "<|endoftext|>"]) for _ in range(rnd.randint(1, 12))) for _ in range(1500)]
+    path = storage.new_path(spark, "store")
+    token_store.write_store(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), vocabulary_path(), path)
+    got = {r["doc_id"]: r["ids"] for r in token_store.read_store(spark, path).collect()}
+    assert [texts[k] for k, ids in got.items() if ids != tokenizer.encode(texts[k], add_special_tokens=False).ids + [0]] == []
+
+
+def test_token_store_where_line_ends_join_words(tokenizer):
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        encoder = token_store._Encoder(f.read())
+    encoder._encoded, joined = (lambda texts, encode=encoder._encoded: encode([t.replace("\n", "") for t in texts])), ["one", " two"]
+    encoder._learn(joined)  # no line end is found: each piece is encoded alone
+    assert [encoder.ids[encoder.begin[k] : encoder.begin[k] + encoder.size[k]].tolist() for k in (0, 1)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in joined]
