@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
 from . import compliance_queries, corpus_queries, evaluation_queries
+from .registered import Registered
 
 FLAGSHIP = "c03_verify_bids"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = compliance_queries.QUERIES | evaluation_queries.QUERIES | corpus_queries.QUERIES
-ORACLE_SQL: dict[str, str] = compliance_queries.ORACLE_SQL | evaluation_queries.ORACLE_SQL | corpus_queries.ORACLE_SQL
+ALL = Registered(compliance_queries.OWN, evaluation_queries.OWN, corpus_queries.OWN)
+QUERIES, ORACLE_SQL = ALL.queries, ALL.oracle_sql

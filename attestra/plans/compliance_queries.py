@@ -12,20 +12,11 @@ from attestra.operators import integrity, registry, resolve, rollup, verify
 from attestra.sources import bridge, tables
 
 from . import oracle
+from .registered import Query, Registered
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(query: Query) -> Query:
-        QUERIES[name] = query
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return query
-
-    return keep
+OWN = Registered()
+register = OWN.register
 
 
 # --- scalar functions over all submitted values -------------------------------------------
@@ -118,7 +109,7 @@ def _severity(spark, sf_dir):
     return results(spark, sf_dir).filter("basis = 'EVALUATED'").groupBy("status", "mandatory", "severity", "requires_review").agg(F.count("*").alias("n"))
 
 
-@register("b18_matrix_filter", oracle.sql("SELECT bid_id, requirement_id, status FROM results WHERE category = 'WARRANTY' AND status <> 'PASS' AND contains(lower(requirement_id || ' ' || field || ' ' || coalesce(actual, '')), 'year')", "results"))
+@register("b18_matrix_filter", oracle.sql("SELECT bid_id, requirement_id, status FROM results WHERE category = 'WARRANTY' AND status <> 'PASS' AND (contains(lower(requirement_id), 'year') OR contains(lower(field), 'year') OR contains(lower(coalesce(actual, '')), 'year'))", "results"))
 def _matrix(spark, sf_dir):
     return results(spark, sf_dir).filter((F.col("category") == "WARRANTY") & (F.col("status") != "PASS") & F.contains(F.lower(F.concat_ws(" ", "requirement_id", "field", F.coalesce("actual", F.lit("")))), F.lit("year"))).select("bid_id", "requirement_id", "status")
 

@@ -10,19 +10,11 @@ from attestra.sources import bridge, files
 
 from . import compliance_queries as base
 from . import oracle
+from .registered import Registered
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 
-
-def register(name: str, sql: str | None = None):
-    def keep(query):
-        QUERIES[name] = query
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return query
-
-    return keep
+OWN = Registered()
+register = OWN.register
 
 
 @register("a01_json_scan", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")

@@ -12,19 +12,11 @@ from attestra.sources import bridge
 
 from . import compliance_queries as base
 from . import oracle
+from .registered import Registered
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 
-
-def register(name: str, sql: str | None = None):
-    def keep(query):
-        QUERIES[name] = query
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return query
-
-    return keep
+OWN = Registered()
+register = OWN.register
 
 
 _PREDICTED = "CASE compliance_status WHEN 'PASS' THEN 'PASS' WHEN 'FAIL' THEN 'FAIL' ELSE 'REVIEW' END"
@@ -211,10 +203,11 @@ def _page(spark, sf_dir):
 # --- set operations ------------------------------------------------------------------------
 
 
-@register("g01_two_passes", "SELECT conv_id, turn, 1 AS pass FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, 2 FROM conversations WHERE role = 'assistant'")
+@register("g01_two_passes", "SELECT conv_id, turn, 1 AS pass FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, 2 FROM conversations WHERE role IS DISTINCT FROM 'user'")
 def _passes(spark, sf_dir):
     c = bridge.table(spark, sf_dir, "conversations")
-    one, two = (c.filter(F.col("role") == role).select("conv_id", "turn", F.lit(k).alias("pass")) for k, role in ((1, "user"), (2, "assistant")))
+    asked = F.coalesce(F.col("role") == "user", F.lit(False))
+    one, two = (c.filter(kept).select("conv_id", "turn", F.lit(k).alias("pass")) for k, kept in ((1, asked), (2, ~asked)))
     return one.unionByName(two)
 
 
@@ -245,13 +238,6 @@ def _block_sets(spark, sf_dir):
     return g.select("conv_id", F.array_join(F.transform(F.sort_array(F.array_union("a", "b")), lambda x: x.cast("string")), ",").alias("joined"), F.arrays_overlap("a", "b").alias("overlap"), (F.col("a") == F.col("b")).alias("same"))
 
 
-@register("g07_block_sets", "SELECT conv_id, CAST(len(list(DISTINCT turn)) AS INT) AS n_turns, list_has_any(list(turn) FILTER (role = 'user'), list(turn) FILTER (role = 'assistant')) AS overlap FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0")
-def _block_sets(spark, sf_dir):
-    side = lambda r: F.collect_list(F.when(F.col("role") == r, F.col("turn")))
-    g = bridge.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(side("user").alias("a"), side("assistant").alias("b"), F.size(F.collect_set("turn")).alias("n_turns"))
-    return g.filter("size(a) > 0 and size(b) > 0").select("conv_id", "n_turns", F.arrays_overlap("a", "b").alias("overlap"))
-
-
 # --- provenance ----------------------------------------------------------------------------
 
 _BLOCK = "'BLOCK:' || source_document || ':' || CAST(page AS VARCHAR)"
