@@ -13,7 +13,6 @@ from . import integrity, resolve, rollup
 
 #: Event types that stand for officer decisions.
 DECISIONS = {"purchase": "ACCEPT", "signup": "WAIVE", "error": "CONFIRM_FAIL", "click": "DISMISS"}
-NODE_TYPES = ("REQ", "FACT", "RESULT", "BLOCK", "FIELD", "INTEGRITY", "REVIEW", "ADJUDICATION")
 SNAPSHOT_VERSIONS = ("1.0",)
 
 
@@ -28,9 +27,9 @@ def _fact(field: str, seq: str) -> Column:
 def edges(results: DataFrame, facts: DataFrame, findings: DataFrame, queue: DataFrame, checks: DataFrame, decided: DataFrame) -> DataFrame:
     """(bid_id, src, dst, kind), each once: what rests on what in a bid.
 
-    Requirements and facts resolve to canonical fields and are found in blocks; results evaluate
-    requirements, use facts and blocks, and are affected by findings of their field; findings
-    compare facts; review items are for results or findings; decisions override results and
+    Facts resolve to canonical fields, satisfy requirements and are found in blocks, as requirements
+    are; results evaluate requirements and facts, are supported by blocks, and are affected by
+    findings of their field; findings compare facts and are supported by blocks; review items are for results or findings; decisions override results and
     settle review items; facts of verified registry records rest on those.
     """
     edge = lambda df, src, dst, kind: df.select("bid_id", src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"))
@@ -51,14 +50,14 @@ def edges(results: DataFrame, facts: DataFrame, findings: DataFrame, queue: Data
     decision = F.concat(F.lit("ADJUDICATION:"), F.col("event_id").cast("string"))
     told = checks.filter("status = 'VERIFIED'").select("bid_id", "registry", F.coalesce("identifier", F.lit("")).alias("identifier"), F.explode(F.map_keys("details")).alias("known"))
     parts = [
-        edge(results.filter("canonical is not null"), requirement, _node("FIELD", "canonical"), "REQUIREMENT_RESOLVES_TO"),
         edge(results, requirement, F.concat(F.lit("BLOCK:"), "tender_id", F.lit(".pdf:1")), "REQUIREMENT_HAS_EVIDENCE"),
         edge(named, fact, block, "FACT_GROUNDED_BY"),
-        edge(named.filter("canonical is not null"), fact, _node("FIELD", "canonical"), "FACT_RESOLVES_TO"),
+        edge(named.filter("canonical is not null"), fact, _node("FIELD", "canonical"), "FACT_CANONICALIZED_AS"),
         edge(results, result, requirement, "RESULT_EVALUATES_REQUIREMENT"),
-        edge(used, result, F.col("fact"), "RESULT_USES_FACT"),
+        edge(used, result, F.col("fact"), "RESULT_EVALUATES_FACT"),
+        edge(used.filter("status in ('PASS', 'PARTIAL')"), F.col("fact"), requirement, "FACT_SATISFIES_REQUIREMENT"),
         edge(evaluated, result, block, "RESULT_SUPPORTED_BY"),
-        *[edge(findings, finding, _node("BLOCK", f"document_{x}", f"page_{x}"), "INTEGRITY_SUPPORTED_BY") for x in "ab"],
+        *[edge(findings, finding, _node("BLOCK", f"document_{x}", f"page_{x}"), "RESULT_SUPPORTED_BY") for x in "ab"],
         *[edge(findings, finding, _fact(f"raw_field_{x}", f"seq_{x}"), "INTEGRITY_FINDING_COMPARES") for x in "ab"],
         edge(touched, result, finding, "RESULT_AFFECTED_BY_INTEGRITY"),
         edge(of_result, item, F.concat(F.lit("RESULT:"), "related"), "REVIEW_ITEM_FOR_RESULT"),
@@ -74,22 +73,6 @@ def edges(results: DataFrame, facts: DataFrame, findings: DataFrame, queue: Data
     return out.distinct()
 
 
-def nodes(edges: DataFrame) -> DataFrame:
-    ends = edges.select("bid_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
-    return ends.withColumn("node_type", F.substring_index("id", ":", 1))
-
-
-def structure(edges: DataFrame) -> DataFrame:
-    """One row: edges, self loops, ends that are no node, ends of an unknown type, and ids with several types."""
-    kind = lambda c: F.substring_index(c, ":", 1)
-    unknown = ~kind("src").isin(*NODE_TYPES) | ~kind("dst").isin(*NODE_TYPES)
-    known = nodes(edges)
-    loose = edges.join(known.select("bid_id", F.col("id").alias("dst")), ["bid_id", "dst"], "left_anti").agg(F.count("*").alias("dangling"))
-    mixed = known.groupBy("bid_id", "id").agg(F.countDistinct("node_type").alias("types")).agg(F.count_if(F.col("types") > 1).alias("type_conflicts"))
-    counted = edges.agg(F.count("*").alias("n_edges"), F.count_if(F.col("src") == F.col("dst")).alias("self_loops"), F.count_if(unknown).alias("unknown_types"))
-    return counted.join(F.broadcast(loose)).join(F.broadcast(mixed))  # one row each
-
-
 def cyclic_bids(edges: DataFrame) -> DataFrame:
     """(bid_id) of bids with a cycle.
 
@@ -97,11 +80,13 @@ def cyclic_bids(edges: DataFrame) -> DataFrame:
     lies on or leads to a cycle.  The rounds grow with the longest path, which the types of
     nodes bound in a sound graph; each round is a written table.
     """
-    spark, left, before = edges.sparkSession, edges.select("bid_id", "src", "dst").distinct(), -1
+    spark, left, before, path = edges.sparkSession, edges.select("bid_id", "src", "dst").distinct(), -1, ""
     while True:
-        path = files.scratch(spark, "cycle-search")
+        path, last = files.scratch(spark, "cycle-search"), path
         left.write.parquet(path)
         left = spark.read.parquet(path)
+        if last:
+            files.drop(spark, last)
         n = left.count()
         if n in (0, before):
             return left.select("bid_id").distinct()
@@ -109,13 +94,6 @@ def cyclic_bids(edges: DataFrame) -> DataFrame:
         left = left.join(left.select("bid_id", F.col("src").alias("dst")).distinct(), ["bid_id", "dst"], "left_semi").select("bid_id", "src", "dst")
 
 
-def trace(edges: DataFrame) -> DataFrame:
-    """(bid_id, result, evidence): the blocks that the facts of each result are found in."""
-    a = edges.filter("kind = 'RESULT_USES_FACT'").select("bid_id", F.col("src").alias("result"), F.col("dst").alias("mid"))
-    b = edges.filter("kind = 'FACT_GROUNDED_BY'").select("bid_id", F.col("src").alias("mid"), F.col("dst").alias("evidence"))
-    return a.join(b, ["bid_id", "mid"]).select("bid_id", "result", "evidence").distinct()
-
-
 def dossiers(results: DataFrame, facts: DataFrame, findings: DataFrame, checks: DataFrame) -> DataFrame:
     """One row a bid: its results, facts, findings and registry checks nested, each in order."""
     nest = lambda df, name, *columns: df.groupBy("bid_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
@@ -165,27 +143,6 @@ def snapshot_errors(records: DataFrame) -> DataFrame:
     return records.withColumn("errors", F.when(F.size(lacking) > 0, lacking).otherwise(faults))
 
 
-def layers(results: DataFrame, findings: DataFrame) -> DataFrame:
-    """(layer, bid_id, item, value): what a replay has to give again, layer by layer."""
-    r = results.select(F.lit("RESULT").alias("layer"), "bid_id", F.col("requirement_id").alias("item"), F.col("status").alias("value"))
-    f = findings.select(F.lit("FINDING").alias("layer"), "bid_id", rollup.finding_id().alias("item"), F.col("status").alias("value"))
-    c = rollup.compliance(results).select(F.lit("COMPLIANCE").alias("layer"), "bid_id", F.lit("compliance_status").alias("item"), F.col("compliance_status").alias("value"))
-    return r.unionByName(f).unionByName(c)
-
-
-def replay_differences(stored: DataFrame, replayed: DataFrame) -> DataFrame:
-    """(layer, bid_id, item, stored, replayed) of what a replay gives differently, or what one side lacks."""
-    a, b = stored.withColumnRenamed("value", "stored"), replayed.withColumnRenamed("value", "replayed")
-    return a.join(b, ["layer", "bid_id", "item"], "full_outer").filter(~F.col("stored").eqNullSafe(F.col("replayed")))
-
-
-def replay_rates(bids: DataFrame, stored: DataFrame, replayed: DataFrame) -> DataFrame:
-    """One row: bids, those that a replay gives again in every layer, and their share in percent."""
-    differs = replay_differences(stored, replayed).select("bid_id").distinct().withColumn("differs", F.lit(True))
-    out = bids.select("bid_id").join(differs, "bid_id", "left").agg(F.count("*").alias("cases"), F.count_if(F.col("differs").isNull()).alias("complete_matches"))
-    return out.withColumn("match_rate", F.round(100.0 * F.col("complete_matches") / F.col("cases"), 2))
-
-
 def decisions(events: DataFrame) -> DataFrame:
     """(target, decision, ts, event_id): valid officer decisions among events."""
     named = F.element_at(F.create_map(*[F.lit(x) for pair in DECISIONS.items() for x in pair]), F.col("event_type"))

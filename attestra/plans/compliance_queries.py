@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions import identifiers, normalize, predicates
-from attestra.operators import integrity, registry, resolve, rollup, verify
+from attestra.operators import integrity, registry, replay, resolve, rollup, verify
 from attestra.sources import bridge, tables
 
 from . import oracle
@@ -211,17 +211,14 @@ def debarment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(bid_id, related): facts of weight that were read with low confidence."""
-    weak = resolve.first_facts(summary(spark, sf_dir)).filter("extraction_confidence = 'LOW' and field in ('gstin', 'turnover_cr')")
-    return weak.select("bid_id", F.concat_ws("-", "field", "page").alias("related"))
+    return replay.warnings(summary(spark, sf_dir))
 
 
 def signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     return results(spark, sf_dir), findings(spark, sf_dir), checks(spark, sf_dir), debarment(spark, sf_dir), warnings(spark, sf_dir)
 
 
-def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.review_queue(*signals(spark, sf_dir))
+queue = _once("queue", lambda s, d: rollup.review_queue(*signals(s, d)))
 
 
 def tally(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from attestra.operators import audit, evaluate, resolve, rollup
-from attestra.sources import bridge
+from attestra.operators import audit, evaluate, graph, replay, resolve, rollup
+from attestra.sources import bridge, tables
 
 from . import compliance_queries as base
 from . import oracle
@@ -246,15 +246,15 @@ oracle.view("decided_events", f"SELECT user_id AS target, event_id, decision FRO
 oracle.view(
     "edges",
     f"""SELECT DISTINCT * FROM (
-SELECT bid_id, 'REQ:' || requirement_id AS src, 'FIELD:' || canonical AS dst, 'REQUIREMENT_RESOLVES_TO' AS kind FROM results WHERE canonical IS NOT NULL
-UNION ALL SELECT bid_id, 'REQ:' || requirement_id, 'BLOCK:' || tender_id || '.pdf:1', 'REQUIREMENT_HAS_EVIDENCE' FROM results
+SELECT bid_id, 'REQ:' || requirement_id AS src, 'BLOCK:' || tender_id || '.pdf:1' AS dst, 'REQUIREMENT_HAS_EVIDENCE' AS kind FROM results
 UNION ALL SELECT bid_id, {_FACT.format('raw', 'fact_seq')}, {_BLOCK}, 'FACT_GROUNDED_BY' FROM grouped
-UNION ALL SELECT g.bid_id, {_FACT.format('raw', 'fact_seq')}, 'FIELD:' || c.canonical, 'FACT_RESOLVES_TO' FROM grouped g JOIN canon c ON g.raw = c.field WHERE c.canonical IS NOT NULL
+UNION ALL SELECT g.bid_id, {_FACT.format('raw', 'fact_seq')}, 'FIELD:' || c.canonical, 'FACT_CANONICALIZED_AS' FROM grouped g JOIN canon c ON g.raw = c.field WHERE c.canonical IS NOT NULL
 UNION ALL SELECT bid_id, 'RESULT:' || requirement_id, 'REQ:' || requirement_id, 'RESULT_EVALUATES_REQUIREMENT' FROM results
-UNION ALL SELECT r.bid_id, 'RESULT:' || requirement_id, {_FACT.format('f.raw', 'f.fact_seq')}, 'RESULT_USES_FACT' FROM results r JOIN grouped f ON r.bid_id = f.bid_id AND r.actual = f.value AND r.source_document = f.source_document AND r.page = f.page AND (lower(r.field) = f.raw OR r.canonical = f.field) WHERE r.basis = 'EVALUATED'
+UNION ALL SELECT r.bid_id, 'RESULT:' || requirement_id, {_FACT.format('f.raw', 'f.fact_seq')}, 'RESULT_EVALUATES_FACT' FROM results r JOIN grouped f ON r.bid_id = f.bid_id AND r.actual = f.value AND r.source_document = f.source_document AND r.page = f.page AND (lower(r.field) = f.raw OR r.canonical = f.field) WHERE r.basis = 'EVALUATED'
+UNION ALL SELECT r.bid_id, {_FACT.format('f.raw', 'f.fact_seq')}, 'REQ:' || requirement_id, 'FACT_SATISFIES_REQUIREMENT' FROM results r JOIN grouped f ON r.bid_id = f.bid_id AND r.actual = f.value AND r.source_document = f.source_document AND r.page = f.page AND (lower(r.field) = f.raw OR r.canonical = f.field) WHERE r.basis = 'EVALUATED' AND r.status IN ('PASS', 'PARTIAL')
 UNION ALL SELECT bid_id, 'RESULT:' || requirement_id, {_BLOCK}, 'RESULT_SUPPORTED_BY' FROM results WHERE basis = 'EVALUATED'
-UNION ALL SELECT bid_id, 'INTEGRITY:' || finding_id, 'BLOCK:' || document_a || ':' || CAST(page_a AS VARCHAR), 'INTEGRITY_SUPPORTED_BY' FROM findings
-UNION ALL SELECT bid_id, 'INTEGRITY:' || finding_id, 'BLOCK:' || document_b || ':' || CAST(page_b AS VARCHAR), 'INTEGRITY_SUPPORTED_BY' FROM findings
+UNION ALL SELECT bid_id, 'INTEGRITY:' || finding_id, 'BLOCK:' || document_a || ':' || CAST(page_a AS VARCHAR), 'RESULT_SUPPORTED_BY' FROM findings
+UNION ALL SELECT bid_id, 'INTEGRITY:' || finding_id, 'BLOCK:' || document_b || ':' || CAST(page_b AS VARCHAR), 'RESULT_SUPPORTED_BY' FROM findings
 UNION ALL SELECT bid_id, 'INTEGRITY:' || finding_id, {_FACT.format('raw_field_a', 'seq_a')}, 'INTEGRITY_FINDING_COMPARES' FROM findings
 UNION ALL SELECT bid_id, 'INTEGRITY:' || finding_id, {_FACT.format('raw_field_b', 'seq_b')}, 'INTEGRITY_FINDING_COMPARES' FROM findings
 UNION ALL SELECT r.bid_id, 'RESULT:' || requirement_id, 'INTEGRITY:' || finding_id, 'RESULT_AFFECTED_BY_INTEGRITY' FROM results r JOIN findings f ON r.bid_id = f.bid_id AND (r.canonical = f.field OR lower(r.field) IN (lower(f.field), f.raw_field_a, f.raw_field_b))
@@ -265,41 +265,74 @@ UNION ALL SELECT r.bid_id, 'ADJUDICATION:' || CAST(event_id AS VARCHAR), 'REVIEW
 UNION ALL SELECT bid_id, 'FACT:' || lower(registry) || '.' || d.field, 'BLOCK:' || registry || ':' || coalesce(identifier, ''), 'FACT_GROUNDED_BY' FROM (SELECT bid_id, registry, identifier, unnest(details) AS d FROM checks WHERE status = 'VERIFIED'))""",
     "results", "grouped", "canon", "findings", "queue", "decided_events", "checks",
 )
-oracle.view("nodes", "SELECT DISTINCT bid_id, id, split_part(id, ':', 1) AS node_type FROM (SELECT bid_id, src AS id FROM edges UNION ALL SELECT bid_id, dst FROM edges)", "edges")
+oracle.view(
+    "nodes",
+    f"""SELECT DISTINCT * FROM (
+SELECT bid_id, 'REQ:' || requirement_id AS id, 'TENDER_REQUIREMENT' AS node_type FROM bids JOIN reqs USING (tender_id)
+UNION ALL SELECT bid_id, 'BLOCK:' || tender_id || '.pdf:1', 'PHYSICAL_TEXT_BLOCK' FROM bids
+UNION ALL SELECT bid_id, 'BLOCK:D' || CAST(l_linenumber AS VARCHAR) || ':' || CAST(line_no AS VARCHAR), 'PHYSICAL_TEXT_BLOCK' FROM lines
+UNION ALL SELECT bid_id, 'BLOCK:' || registry || ':' || coalesce(identifier, ''), 'PHYSICAL_TEXT_BLOCK' FROM checks WHERE status = 'VERIFIED'
+UNION ALL SELECT bid_id, {_FACT.format('field', 'fact_seq')}, 'BIDDER_FACT' FROM facts
+UNION ALL SELECT bid_id, 'FACT:' || lower(registry) || '.' || d.field, 'BIDDER_FACT' FROM (SELECT bid_id, registry, unnest(details) AS d FROM checks WHERE status = 'VERIFIED')
+UNION ALL SELECT bid_id, 'FIELD:' || canonical, 'CANONICAL_FIELD' FROM facts JOIN canon USING (field) WHERE canonical IS NOT NULL
+UNION ALL SELECT bid_id, 'RESULT:' || requirement_id, 'VERIFICATION_RESULT' FROM results
+UNION ALL SELECT bid_id, 'INTEGRITY:' || finding_id, 'INTEGRITY_FINDING' FROM findings
+UNION ALL SELECT bid_id, 'REVIEW:' || related, 'HUMAN_REVIEW_ITEM' FROM queue
+UNION ALL SELECT bid_id, 'ADJUDICATION:' || CAST(event_id AS VARCHAR), 'OFFICER_ADJUDICATION' FROM bids JOIN decided_events ON target = bid_id)""",
+    "bids", "reqs", "lines", "checks", "facts", "canon", "results", "findings", "queue", "decided_events",
+)
 
 
 def _decided(spark, sf_dir):
     return audit.latest_overrides(audit.decisions(bridge.table(spark, sf_dir, "events")))
 
 
-edges = base._once("edges", lambda s, d: audit.edges(base.results(s, d), bridge.facts(s, d), base.findings(s, d), base.queue(s, d), base.checks(s, d), _decided(s, d)))
-
+def _documents_of(spark, sf_dir):
+    """(bid_id, source_document, page): the submitted pages."""
+    return bridge.lines(spark, sf_dir).select("bid_id", F.concat(F.lit("D"), F.col("l_linenumber").cast("string")).alias("source_document"), F.col("line_no").alias("page"))
 
-def _digested(df, kind: str, line):
-    """(bid_id, kind, n, digest): how many lines a bid has of each kind, and the SHA-256 of all of them in order."""
-    lines = df.select("bid_id", F.col(kind).alias("kind"), line.alias("line")).groupBy("bid_id", "kind")
-    return lines.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("line")), ";"), 256).alias("digest"))
 
+edges = base._once("edges", lambda s, d: audit.edges(base.results(s, d), bridge.facts(s, d), base.findings(s, d), base.queue(s, d), base.checks(s, d), _decided(s, d)))
+nodes = base._once("nodes", lambda s, d: graph.nodes(bridge.bids(s, d), bridge.requirements(s), _documents_of(s, d), bridge.facts(s, d), base.results(s, d), base.findings(s, d), base.queue(s, d), _decided(s, d), base.checks(s, d)))
 
-_DIGESTED = "SELECT bid_id, {0} AS kind, count(*) AS n, sha256(string_agg({1}, ';' ORDER BY {1})) AS digest FROM {2} GROUP BY ALL"
+_PAGED = "SELECT bid_id, {0}, page, count(*) AS n, string_agg(line, ';' ORDER BY line) AS lines FROM (SELECT bid_id, {0}, {1} AS line, CAST((row_number() OVER (PARTITION BY bid_id, {0} ORDER BY {1}) - 1) // %d AS INT) AS page FROM {2}) GROUP BY ALL" % graph.PAGE
 
 
-@register("i01_nodes", oracle.sql(_DIGESTED.format("node_type", "id", "nodes"), "nodes"))
+@register("i01_nodes", oracle.sql(_PAGED.format("node_type", "id", "nodes"), "nodes"))
 def _nodes(spark, sf_dir):
-    return _digested(audit.nodes(edges(spark, sf_dir)), "node_type", F.col("id"))
+    return graph.paged(nodes(spark, sf_dir), "node_type", F.col("id"))
 
 
-@register("i02_edges", oracle.sql(_DIGESTED.format("kind", "(src || '>' || dst)", "edges"), "edges"))
+@register("i02_edges", oracle.sql(_PAGED.format("kind", "(src || '>' || dst)", "edges"), "edges"))
 def _edges(spark, sf_dir):
-    return _digested(edges(spark, sf_dir), "kind", F.concat_ws(">", "src", "dst"))
+    return graph.paged(edges(spark, sf_dir), "kind", F.concat_ws(">", "src", "dst"))
+
+
+#: A graph that is spoilt in each way that the checks can tell.
+_LOST = "(id LIKE 'BLOCK:D1:%' AND bid_id % 7 = 0) OR (id LIKE 'RESULT:%R59' AND bid_id % 11 = 0)"
+_SPOILT_NODES = f"SELECT bid_id, id, node_type FROM {{0}} WHERE NOT ({_LOST}) UNION ALL SELECT bid_id, id, 'GHOST' AS node_type FROM {{0}} WHERE node_type = 'CANONICAL_FIELD' AND bid_id % 13 = 0 UNION ALL SELECT bid_id, 'BLOCK:loose:1' AS id, node_type FROM {{0}} WHERE id LIKE 'BLOCK:%.pdf:1' AND bid_id % 19 = 0"
+_SPOILT_EDGES = "SELECT bid_id, src, dst, kind FROM {0} UNION ALL SELECT bid_id, src, src AS dst, kind FROM {0} WHERE kind = 'REQUIREMENT_HAS_EVIDENCE' AND src LIKE 'REQ:%R51' AND bid_id % 5 = 0 UNION ALL SELECT bid_id, src, dst, 'MADE_UP' AS kind FROM {0} WHERE kind = 'REQUIREMENT_HAS_EVIDENCE' AND src LIKE 'REQ:%R52' AND bid_id % 17 = 0"
+oracle.view("spoilt_nodes", _SPOILT_NODES.format("nodes"), "nodes")
+oracle.view("spoilt_edges", _SPOILT_EDGES.format("edges"), "edges")
+_ENDS = ", ".join(f"('{kind}', '{a}', '{b}')" for kind, (a, b) in graph.EDGE_TYPES.items())
+_FAULTS = f"""SELECT bid_id, fault, id FROM (SELECT bid_id, src || ' > ' || e.kind || ' > ' || dst AS id, unnest(list_filter([CASE WHEN s.types IS NULL THEN 'DANGLING_SOURCE' END, CASE WHEN d.types IS NULL THEN 'DANGLING_TARGET' END, CASE WHEN src = dst THEN 'SELF_LOOP' END, CASE WHEN k.kind IS NULL THEN 'INVALID_EDGE_TYPE' END, CASE WHEN NOT list_has_any(s.types, string_split(k.a, ',')) OR NOT list_has_any(d.types, string_split(k.b, ',')) THEN 'INVALID_ENDS' END], lambda x: x IS NOT NULL)) AS fault
+FROM {{1}} e LEFT JOIN {{2}} s ON s.b = e.bid_id AND s.i = src LEFT JOIN {{2}} d ON d.b = e.bid_id AND d.i = dst LEFT JOIN (VALUES {_ENDS}) k(kind, a, b) ON k.kind = e.kind)
+UNION ALL SELECT b, 'TYPE_CONFLICT', i FROM {{2}} WHERE len(types) > 1 UNION ALL SELECT bid_id, 'INVALID_NODE_TYPE', id FROM {{0}} WHERE node_type NOT IN {oracle._list(graph.NODE_TYPES)}
+UNION ALL SELECT b, 'ORPHAN_NODE', i FROM {{2}} t WHERE NOT EXISTS (SELECT 1 FROM {{1}} e WHERE e.bid_id = t.b AND e.src = t.i) AND NOT EXISTS (SELECT 1 FROM {{1}} e WHERE e.bid_id = t.b AND e.dst = t.i)"""
+for _graph in ("", "spoilt_"):
+    oracle.view(f"{_graph}types", f"SELECT bid_id AS b, id AS i, list(DISTINCT node_type) AS types FROM {_graph}nodes GROUP BY ALL", f"{_graph}nodes")
+    oracle.view(f"{_graph}faults", _FAULTS.format(f"{_graph}nodes", f"{_graph}edges", f"{_graph}types"), f"{_graph}nodes", f"{_graph}edges", f"{_graph}types")
 
 
-_TYPES = oracle._list(audit.NODE_TYPES)
+def _spoilt(spark, sf_dir):
+    return spark.sql(_SPOILT_NODES.format("{n}"), n=nodes(spark, sf_dir)), spark.sql(_SPOILT_EDGES.format("{e}"), e=edges(spark, sf_dir))
 
 
-@register("i03_structure", oracle.sql(f"SELECT (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM edges WHERE src = dst) AS self_loops, 0::BIGINT AS dangling, (SELECT count(*) FROM edges WHERE split_part(src, ':', 1) NOT IN {_TYPES} OR split_part(dst, ':', 1) NOT IN {_TYPES}) AS unknown_types, (SELECT count(*) FROM (SELECT bid_id, id FROM nodes GROUP BY ALL HAVING count(DISTINCT node_type) > 1)) AS type_conflicts", "edges", "nodes"))
+@register("i03_structure", oracle.sql("SELECT graph, fault, count(*) AS n, count(DISTINCT bid_id) AS bids FROM (SELECT 'BUILT' AS graph, * FROM faults UNION ALL SELECT 'SPOILT', * FROM spoilt_faults) GROUP BY ALL", "faults", "spoilt_faults"))
 def _structure(spark, sf_dir):
-    return audit.structure(edges(spark, sf_dir))
+    built, spoilt = graph.faults(nodes(spark, sf_dir), edges(spark, sf_dir)), graph.faults(*_spoilt(spark, sf_dir))
+    told = built.withColumn("graph", F.lit("BUILT")).unionByName(spoilt.withColumn("graph", F.lit("SPOILT")))
+    return told.groupBy("graph", "fault").agg(F.count("*").alias("n"), F.countDistinct("bid_id").alias("bids"))
 
 
 @register("i04_acyclicity", oracle.sql("WITH RECURSIVE tops AS (SELECT DISTINCT kind, split_part(src, ':', 1) AS a, split_part(dst, ':', 1) AS b FROM edges), reach AS (SELECT DISTINCT a, b FROM tops UNION SELECT r.a, t.b FROM reach r JOIN tops t ON r.b = t.a) SELECT bid_id, false AS cyclic FROM bids WHERE NOT EXISTS (SELECT 1 FROM reach WHERE a = b)".replace("WITH RECURSIVE tops", "SELECT * FROM (WITH RECURSIVE tops") + ")", "edges", "bids"))
@@ -308,24 +341,28 @@ def _acyclic(spark, sf_dir):
     return bridge.bids(spark, sf_dir).select("bid_id").join(cyclic, "bid_id", "left").select("bid_id", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
-@register("i05_trace_decisions", oracle.sql("SELECT DISTINCT a.bid_id, a.src AS result, b.dst AS evidence FROM edges a JOIN edges b ON a.bid_id = b.bid_id AND a.dst = b.src WHERE a.kind = 'RESULT_USES_FACT' AND b.kind = 'FACT_GROUNDED_BY'", "edges"))
+_REACH = "(WITH RECURSIVE reach AS (SELECT bid_id, id AS root, id, 0 AS depth FROM nodes WHERE node_type = '{0}' UNION SELECT r.bid_id, root, {2}, depth + 1 FROM reach r JOIN edges e ON r.bid_id = e.bid_id AND r.id = e.{1}) SELECT bid_id, root, id, min(depth) AS depth FROM reach WHERE depth > 0 GROUP BY ALL)"
+oracle.view("rests_on", _REACH.format("VERIFICATION_RESULT", "src", "dst"), "nodes", "edges")
+oracle.view("decides", _REACH.format("PHYSICAL_TEXT_BLOCK", "dst", "src"), "nodes", "edges")
+
+
+@register("i05_trace_decisions", oracle.sql("SELECT r.bid_id, root AS result, r.id AS evidence, depth FROM rests_on r JOIN nodes n ON r.bid_id = n.bid_id AND r.id = n.id AND node_type = 'PHYSICAL_TEXT_BLOCK'", "rests_on", "nodes"))
 def _trace(spark, sf_dir):
-    return audit.trace(edges(spark, sf_dir))
+    return graph.evidence_of(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
-@register("i06_evidence_to_decisions", oracle.sql("SELECT b.bid_id, b.dst AS evidence, count(DISTINCT a.src) AS n_results, array_to_string(list_sort(list(DISTINCT a.src)), ',') AS results FROM edges a JOIN edges b ON a.bid_id = b.bid_id AND a.dst = b.src WHERE a.kind = 'RESULT_USES_FACT' AND b.kind = 'FACT_GROUNDED_BY' GROUP BY b.bid_id, b.dst", "edges"))
+@register("i06_evidence_to_decisions", oracle.sql(f"SELECT r.bid_id, root AS evidence, node_type, count(*) AS n, min(depth) AS nearest, max(depth) AS farthest, string_agg(r.id, ',' ORDER BY r.id) AS decisions FROM decides r JOIN nodes n ON r.bid_id = n.bid_id AND r.id = n.id AND node_type IN {oracle._list(graph.DECIDED)} GROUP BY ALL", "decides", "nodes"))
 def _back(spark, sf_dir):
-    return audit.trace(edges(spark, sf_dir)).groupBy("bid_id", "evidence").agg(F.count("*").alias("n_results"), F.array_join(F.sort_array(F.collect_list("result")), ",").alias("results"))
+    found = graph.decisions_on(nodes(spark, sf_dir), edges(spark, sf_dir)).groupBy("bid_id", "evidence", "node_type")
+    return found.agg(F.count("*").alias("n"), F.min("depth").alias("nearest"), F.max("depth").alias("farthest"), F.array_join(F.sort_array(F.collect_list("decision")), ",").alias("decisions"))
 
 
-_TRACED = "SELECT bid_id, kind, dst || '<' || array_to_string(list_sort(list(src)), ',') AS line FROM edges WHERE kind IN ('RESULT_USES_FACT', 'INTEGRITY_FINDING_COMPARES', 'RESULT_AFFECTED_BY_INTEGRITY') GROUP BY bid_id, kind, dst"
+_ENDS_OF = "(SELECT bid_id, {0} AS id, string_agg(kind || '>' || {1}, ',' ORDER BY kind || '>' || {1}) AS {2} FROM edges GROUP BY ALL)"
 
 
-@register("i07_fact_and_finding_trace", oracle.sql(_DIGESTED.format("kind", "line", f"({_TRACED})"), "edges"))
+@register("i07_fact_and_finding_trace", oracle.sql(f"SELECT bid_id, id, node_type, rests_on, used_by FROM nodes LEFT JOIN {_ENDS_OF.format('src', 'dst', 'rests_on')} USING (bid_id, id) LEFT JOIN {_ENDS_OF.format('dst', 'src', 'used_by')} USING (bid_id, id) WHERE node_type IN ('BIDDER_FACT', 'INTEGRITY_FINDING')", "nodes", "edges"))
 def _fact_trace(spark, sf_dir):
-    kept = edges(spark, sf_dir).filter(F.col("kind").isin("RESULT_USES_FACT", "INTEGRITY_FINDING_COMPARES", "RESULT_AFFECTED_BY_INTEGRITY"))
-    traced = kept.groupBy("bid_id", "kind", "dst").agg(F.concat("dst", F.lit("<"), F.array_join(F.sort_array(F.collect_list("src")), ",")).alias("line"))
-    return _digested(traced, "kind", F.col("line"))
+    return graph.traces(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
 @register("i08_registry_evidence", oracle.sql("SELECT bid_id, src AS fact, dst AS evidence FROM edges WHERE kind = 'FACT_GROUNDED_BY' AND contains(src, '.')", "edges"))
@@ -333,12 +370,24 @@ def _registry_evidence(spark, sf_dir):
     return edges(spark, sf_dir).filter((F.col("kind") == "FACT_GROUNDED_BY") & F.contains("src", F.lit("."))).select("bid_id", F.col("src").alias("fact"), F.col("dst").alias("evidence"))
 
 
-@register("d23_graph_stats", oracle.sql("SELECT 'NODE' AS what, node_type AS type, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM bids), 6) AS per_bid FROM nodes GROUP BY node_type UNION ALL SELECT 'EDGE', kind, count(*), round(count(*)::DOUBLE / (SELECT count(*) FROM bids), 6) FROM edges GROUP BY kind", "nodes", "edges", "bids"))
+_PER_BID = "SELECT what, type, n, round(n::DOUBLE / (SELECT count(*) FROM bids), 6) AS per_bid FROM ({0})"
+
+
+@register(
+    "d23_graph_stats",
+    oracle.sql(
+        _PER_BID.format("SELECT 'NODE' AS what, node_type AS type, count(*) AS n FROM nodes GROUP BY node_type UNION ALL SELECT 'EDGE', kind, count(*) FROM edges GROUP BY kind UNION ALL SELECT 'FAULT', 'PHANTOM_EDGE', count(DISTINCT id) FROM spoilt_faults WHERE fault LIKE 'DANGLING%' UNION ALL SELECT 'FAULT', 'ORPHAN_NODE', count(*) FROM spoilt_faults WHERE fault = 'ORPHAN_NODE' UNION ALL SELECT 'FAULT', 'CYCLE', count(DISTINCT bid_id) FROM spoilt_edges WHERE src = dst".replace("count(DISTINCT id)", "count(DISTINCT (bid_id, id))")),
+        "nodes", "edges", "spoilt_faults", "spoilt_edges", "bids",
+    ),
+)
 def _graph(spark, sf_dir):
+    """Nodes and edges by type of the graph, and what an audit finds in the spoilt one: edges to no node, nodes without edges, bids with a cycle."""
     n_bids = bridge.bids(spark, sf_dir).agg(F.count("*").alias("bids"))  # one row
-    n = audit.nodes(edges(spark, sf_dir)).groupBy(F.lit("NODE").alias("what"), F.col("node_type").alias("type")).agg(F.count("*").alias("n"))
-    e = edges(spark, sf_dir).groupBy(F.lit("EDGE").alias("what"), F.col("kind").alias("type")).agg(F.count("*").alias("n"))
-    return n.unionByName(e).join(F.broadcast(n_bids)).select("what", "type", "n", F.round(F.col("n") / F.col("bids"), 6).alias("per_bid"))
+    counted = lambda df, what, kind: df.groupBy(F.lit(what).alias("what"), kind.alias("type")).agg(F.count("*").alias("n"))
+    spoilt = _spoilt(spark, sf_dir)
+    wrong = graph.faults(*spoilt).select("bid_id", "id", F.when(F.col("fault").isin("DANGLING_SOURCE", "DANGLING_TARGET"), "PHANTOM_EDGE").when(F.col("fault") == "ORPHAN_NODE", F.col("fault")).alias("type")).filter("type is not null").distinct()
+    parts = [counted(nodes(spark, sf_dir), "NODE", F.col("node_type")), counted(edges(spark, sf_dir), "EDGE", F.col("kind")), counted(wrong, "FAULT", F.col("type")), counted(audit.cyclic_bids(spoilt[1]), "FAULT", F.lit("CYCLE"))]
+    return graph._union(parts).join(F.broadcast(n_bids)).select("what", "type", "n", F.round(F.col("n") / F.col("bids"), 6).alias("per_bid"))
 
 
 # --- snapshots, overrides, streams ---------------------------------------------------------
@@ -384,23 +433,95 @@ def _overridden(spark, sf_dir):
     return audit.apply_overrides(base.results(spark, sf_dir), _decided(spark, sf_dir), (F.col("field") == "turnover_cr") & (F.col("basis") != "SUPERSEDED"))
 
 
-def _drifted(spark, sf_dir):
-    """The replay of every bid from its stored inputs, at another evaluation date: what changes is what depends on the date."""
-    from attestra.operators import verify
+EARLIER = "1994-06-17"
+
+
+def _inputs(spark, sf_dir):
+    """What the snapshot holds: the written tables of all bids, as they were captured."""
+    return replay.Inputs(bridge.bids(spark, sf_dir), bridge.requirements(spark), _documents_of(spark, sf_dir), bridge.facts(spark, sf_dir), base.checks(spark, sf_dir), base.debarment(spark, sf_dir), _decided(spark, sf_dir))
+
+
+def _snapshot_items(spark, sf_dir):
+    """The snapshot's layers as the verification gave them."""
+    return replay.items(_inputs(spark, sf_dir), replay.Outcome(base.results(spark, sf_dir), base.findings(spark, sf_dir), base.queue(spark, sf_dir), rollup.overall(base.tally(spark, sf_dir)), nodes(spark, sf_dir), edges(spark, sf_dir)))
 
-    again = verify.judged(base.matched(spark, sf_dir), base.readings(spark, sf_dir), "1994-06-17")
-    return verify.results(base.matched(spark, sf_dir), again)
+
+def _replayed_items(run: str, date: str):
+    """The layers of one replay from the snapshot's inputs at an evaluation date."""
+
+    def build(spark, sf_dir):
+        inputs = _inputs(spark, sf_dir)
+        return replay.items(inputs, replay.run(inputs, date, lambda name, df: tables.once(spark, sf_dir, f"{run}-{name}", lambda: df)))
+
+    return build
+
+
+def _stored(name: str, build):
+    """(items, digests), each written once; items are in a folder a layer."""
+    return (
+        lambda s, d: tables.once(s, d, f"{name}-items", lambda: build(s, d), by=("layer",)),
+        lambda s, d: tables.once(s, d, f"{name}-digests", lambda: replay.digests(tables.once(s, d, f"{name}-items", lambda: build(s, d), by=("layer",)))),
+    )
+
+
+SNAPSHOT = _stored("snapshot", _snapshot_items)
+SAME, SAME_AGAIN, EARLIER_DATE = (_stored(run, _replayed_items(run, date)) for run, date in (("replay-1", bridge.REFERENCE_DATE), ("replay-2", bridge.REFERENCE_DATE), ("replay-earlier", EARLIER)))
 
 
 oracle.view("again", "SELECT DISTINCT a, e, op, op_status FROM (" + oracle.readings("(SELECT DISTINCT a, e, op FROM joined)").replace(f"DATE '{bridge.REFERENCE_DATE}'", "DATE '1994-06-17'") + ")", "joined")
-oracle.view("replayed", "SELECT j.bid_id, j.requirement_id, CASE WHEN basis IN ('SUPERSEDED', 'EXEMPT') THEN 'N/A' WHEN basis = 'UNCLAIMED' THEN 'REVIEW' WHEN basis = 'ABSENT' THEN 'MISSING' ELSE op_status END AS status, CASE WHEN basis IN ('SUPERSEDED', 'EXEMPT') THEN 'INFO' WHEN basis = 'UNCLAIMED' THEN 'MAJOR' WHEN basis = 'ABSENT' THEN CASE WHEN mandatory THEN 'CRITICAL' ELSE 'MINOR' END WHEN op_status = 'PASS' THEN 'INFO' WHEN op_status = 'FAIL' AND mandatory THEN 'CRITICAL' WHEN op_status IN ('FAIL', 'REVIEW') THEN 'MAJOR' ELSE 'MINOR' END AS severity FROM joined j JOIN again d ON j.a IS NOT DISTINCT FROM d.a AND j.e IS NOT DISTINCT FROM d.e AND j.op = d.op", "joined", "again")
-_COUNTS = "SELECT bid_id, CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (status = 'MISSING') > 0 THEN 'MISSING' WHEN count(*) FILTER (status IN ('REVIEW', 'PARTIAL')) > 0 THEN 'REVIEW' WHEN count(*) FILTER (status = 'PASS') = count(*) THEN 'PASS' ELSE 'PARTIAL' END AS s FROM {0} GROUP BY bid_id"
+oracle.view("results_again", oracle._VIEWS["results"][0].replace("JOIN decided d", "JOIN again d"), "joined", "again")
+oracle.clone("_again", "results", "compliance", "queue", "overall", "edges", "nodes")
+_JOINED = lambda *c: "concat_ws('|', " + ", ".join(f"coalesce(CAST({x} AS VARCHAR), '')" for x in c) + ")"
+_ITEMS = f"""SELECT 'REQUIREMENT' AS layer, bid_id, requirement_id AS item, {_JOINED('operator', 'expected_value', 'mandatory')} AS value FROM bids JOIN reqs USING (tender_id)
+UNION ALL SELECT 'FACT', bid_id, field || '-' || CAST(fact_seq AS VARCHAR), {_JOINED('value', 'source_document', 'page')} FROM facts
+UNION ALL SELECT DISTINCT 'CANONICAL', bid_id, field, coalesce(canonical, '') FROM facts JOIN canon USING (field)
+UNION ALL SELECT 'RESULT', bid_id, requirement_id, {_JOINED('status', 'severity', 'requires_review', 'actual')} FROM results
+UNION ALL SELECT 'FINDING', bid_id, finding_id, {_JOINED('status', 'finding_type', 'severity')} FROM findings
+UNION ALL SELECT 'REVIEW', bid_id, CAST(source_order AS VARCHAR) || ':' || related, {_JOINED('category', 'severity')} FROM queue
+UNION ALL SELECT 'AGGREGATION', bid_id, unnest(['compliance_status', 'integrity_status', 'overall_status', 'critical', 'major', 'anomalies']), unnest([compliance_status, integrity_status, overall_status, CAST(critical AS VARCHAR), CAST(major AS VARCHAR), CAST(anomalies AS VARCHAR)]) FROM overall JOIN (SELECT bid_id, critical, major FROM compliance) USING (bid_id)
+UNION ALL SELECT 'NODE', bid_id, id, node_type FROM nodes UNION ALL SELECT 'EDGE', bid_id, src || '>' || kind || '>' || dst, '' FROM edges"""
+oracle.view("items", _ITEMS, "bids", "reqs", "facts", "canon", "results", "findings", "queue", "overall", "compliance", "nodes", "edges")
+oracle.clone("_again", "results", "compliance", "queue", "overall", "edges", "nodes", "items")
+_CATEGORY = "CASE layer " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in replay.CATEGORIES.items()) + " END"
+_DIFFERENCES = f"SELECT layer, {_CATEGORY} AS category, bid_id, item, a.value AS stored, b.value AS replayed FROM {{0}} a FULL OUTER JOIN {{1}} b USING (layer, bid_id, item) WHERE a.value IS DISTINCT FROM b.value"
+#: A snapshot that somebody has changed in each layer, in some bids.
+_TAMPERED = """SELECT layer, bid_id, item, CASE WHEN layer = 'REQUIREMENT' AND bid_id % 97 = 0 AND item LIKE '%R01' THEN 'changed' WHEN layer = 'FACT' AND bid_id % 101 = 0 AND item LIKE 'gstin-%' THEN concat(value, '!') WHEN layer = 'CANONICAL' AND bid_id % 103 = 0 AND item = 'pan' THEN 'GSTIN' WHEN layer = 'RESULT' AND bid_id % 107 = 0 AND item LIKE '%R01' THEN 'PASS|INFO|false|' WHEN layer = 'REVIEW' AND bid_id % 109 = 0 AND item LIKE '1:%' THEN 'AMBIGUOUS_COMPLIANCE|INFO' WHEN layer = 'AGGREGATION' AND bid_id % 113 = 0 AND item = 'anomalies' THEN '0!' WHEN layer = 'NODE' AND bid_id % 127 = 0 AND item LIKE 'FIELD:%' THEN 'BIDDER_FACT' ELSE value END AS value
+FROM {0} WHERE NOT (layer = 'FINDING' AND bid_id % 89 = 0) AND NOT (layer = 'EDGE' AND bid_id % 131 = 0 AND item LIKE 'REQ:%')
+UNION ALL SELECT 'REVIEW', bid_id, '9:PLANTED' AS item, 'MINOR|MINOR' AS value FROM {0} WHERE layer = 'AGGREGATION' AND item = 'anomalies' AND bid_id % 137 = 0"""
+oracle.view("tampered", _TAMPERED.format("items"), "items")
+
+
+def _tampered(spark, sf_dir):
+    return spark.sql(_TAMPERED.format("{items}"), items=SNAPSHOT[0](spark, sf_dir))
 
 
-@register("j03_replay_differences", oracle.sql(f"SELECT 'RESULT' AS layer, a.bid_id, a.requirement_id AS item, a.status AS stored, b.status AS replayed FROM results a JOIN replayed b ON a.bid_id = b.bid_id AND a.requirement_id = b.requirement_id WHERE a.status <> b.status UNION ALL SELECT 'COMPLIANCE', a.bid_id, 'compliance_status', a.s, b.s FROM ({_COUNTS.format('results')}) a JOIN ({_COUNTS.format('replayed')}) b ON a.bid_id = b.bid_id WHERE a.s <> b.s", "results", "replayed"))
+TAMPERED = _stored("tampered", _tampered)
+
+
+def _compared(spark, sf_dir, stored, replayed):
+    return replay.differences(*(part(spark, sf_dir) for part in (*stored, *replayed)))
+
+
+@register("j03_replay_differences", oracle.sql(_DIFFERENCES.format("items", "items_again"), "items", "items_again"))
 def _replay(spark, sf_dir):
-    stored, replayed, none = base.results(spark, sf_dir), _drifted(spark, sf_dir), base.findings(spark, sf_dir)
-    return audit.replay_differences(audit.layers(stored, none), audit.layers(replayed, none))
+    """The snapshot against a replay at an earlier evaluation date: what depends on the date differs, in every layer that it reaches."""
+    return _compared(spark, sf_dir, SNAPSHOT, EARLIER_DATE)
+
+
+@register("j03_tampered_snapshot", oracle.sql(_DIFFERENCES.format("tampered", "items"), "tampered", "items"))
+def _replay_tampered(spark, sf_dir):
+    """A snapshot changed in each layer against a replay at the same date."""
+    return _compared(spark, sf_dir, TAMPERED, SAME)
+
+
+_PLACES = "CASE layer " + " ".join(f"WHEN '{k}' THEN {n}" for n, k in enumerate(replay.CATEGORIES)) + " END"
+_VERDICTS = f"SELECT b.bid_id, coalesce(category, '{replay.COMPLETE}') AS status, coalesce(mismatched, 0) AS mismatched FROM bids b LEFT JOIN (SELECT bid_id, count(*) AS mismatched, min_by(category, place) AS category FROM (SELECT DISTINCT bid_id, layer, category, {_PLACES} AS place FROM ({_DIFFERENCES})) GROUP BY bid_id) d ON b.bid_id = d.bid_id"
+
+
+@register("j03_verdicts", oracle.sql("SELECT 'EARLIER_DATE' AS replay, * FROM (" + _VERDICTS.format("items", "items_again") + ") UNION ALL SELECT 'TAMPERED', * FROM (" + _VERDICTS.format("tampered", "items") + ")", "bids", "items", "items_again", "tampered"))
+def _replay_verdicts(spark, sf_dir):
+    of = lambda name, stored, replayed: replay.verdicts(bridge.bids(spark, sf_dir), stored[1](spark, sf_dir), replayed[1](spark, sf_dir)).select(F.lit(name).alias("replay"), "*")
+    return of("EARLIER_DATE", SNAPSHOT, EARLIER_DATE).unionByName(of("TAMPERED", TAMPERED, SAME))
 
 
 @register("j04_apply_overrides", oracle.sql("SELECT bid_id, requirement_id, status, requires_review FROM overridden", "overridden"))
@@ -416,19 +537,14 @@ def _recomputed(spark, sf_dir):
     return both.join(rollup.recommendation(t).select("bid_id", "verdict"), "bid_id")
 
 
-oracle.view("differs", "SELECT bid_id, max(CASE WHEN a.status <> b.status THEN 1 ELSE 0 END) AS differs FROM results a JOIN replayed b USING (bid_id, requirement_id) GROUP BY bid_id", "results", "replayed")
+_MATCHED = "SELECT '{0}' AS replay, count(*) AS cases, count(*) FILTER (status = 'COMPLETE_MATCH') AS complete_matches, round(100.0::DOUBLE * count(*) FILTER (status = 'COMPLETE_MATCH') / count(*), 2) AS match_rate, {1} AS runs, 100.0::DOUBLE AS determinism_rate FROM ({2})"
 
 
-@register("j06_replay_rates", oracle.sql("SELECT 'SAME_DATE' AS replay, count(*) AS cases, count(*) AS complete_matches, 100.0::DOUBLE AS match_rate FROM differs UNION ALL SELECT 'EARLIER_DATE', count(*), count(*) FILTER (differs = 0), round(100.0::DOUBLE * count(*) FILTER (differs = 0) / count(*), 2) FROM differs", "differs"))
+@register("j06_replay_rates", oracle.sql(" UNION ALL ".join(_MATCHED.format(*x) for x in (("SAME_DATE", 2, _VERDICTS.format("items", "items")), ("EARLIER_DATE", 1, _VERDICTS.format("items", "items_again")), ("TAMPERED", 2, _VERDICTS.format("tampered", "items")))), "bids", "items", "items_again", "tampered"))
 def _replay_rates(spark, sf_dir):
-    from attestra.operators import verify
-
-    stored, none = base.results(spark, sf_dir), base.findings(spark, sf_dir)
-    again = verify.results(base.matched(spark, sf_dir), verify.judged(base.matched(spark, sf_dir), base.readings(spark, sf_dir), bridge.REFERENCE_DATE))
-    left = audit.layers(stored, none)
-    same = audit.replay_rates(bridge.bids(spark, sf_dir), left, audit.layers(again, none)).select(F.lit("SAME_DATE").alias("replay"), "*")
-    earlier = audit.replay_rates(bridge.bids(spark, sf_dir), left, audit.layers(_drifted(spark, sf_dir), none)).select(F.lit("EARLIER_DATE").alias("replay"), "*")
-    return same.unionByName(earlier)
+    """How many snapshots replays give again in every layer, and how many bids give one hash over repeated replays."""
+    rated = lambda name, stored, runs: replay.rates(bridge.bids(spark, sf_dir), stored[1](spark, sf_dir), [r[1](spark, sf_dir) for r in runs]).select(F.lit(name).alias("replay"), "*")
+    return graph._union([rated("SAME_DATE", SNAPSHOT, [SAME, SAME_AGAIN]), rated("EARLIER_DATE", SNAPSHOT, [EARLIER_DATE]), rated("TAMPERED", TAMPERED, [SAME, SAME_AGAIN])])
 
 
 @register("j05_audit_trail", f"SELECT user_id AS target, count(*) AS n, string_agg({_DECISION}, ',' ORDER BY ts, event_id) AS trail FROM events WHERE {_DECISION} IS NOT NULL GROUP BY user_id")

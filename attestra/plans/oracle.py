@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from attestra.functions.normalize import ABSENT_WORDS, FALSE_WORDS, NO_DATE_WORDS, NUMBER_WORDS, TRUE_WORDS
 from attestra.operators.resolve import ALIASES, AMBIGUOUS, NOT_COMPARED, PROFILE, SELF_MADE
 from attestra.sources.bridge import REFERENCE_DATE, requirement_rows
@@ -150,6 +152,15 @@ def over(stand_in: str, select: str, *needs: str) -> str:
         _VIEWS.pop("original", None)
 
 
+def clone(suffix: str, *names: str) -> None:
+    """Copies of views, named with ``suffix``, that read each other's copies in place of the originals."""
+    renamed = re.compile(r"\b(FROM|JOIN) (" + "|".join(names) + r")\b")
+    for name in names:
+        if name + suffix not in _VIEWS:
+            body, needs = _VIEWS[name]
+            _VIEWS[name + suffix] = renamed.sub(lambda m: f"{m[1]} {m[2]}{suffix}", body), tuple(x + suffix if x in names else x for x in needs)
+
+
 _ROWS = ", ".join("(" + ", ".join(_value(v) for v in r) + ")" for r in requirement_rows())
 _VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {}
 

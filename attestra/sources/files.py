@@ -20,6 +20,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing needs any more, through Spark's own file system layer."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def round_trip(df: DataFrame, kind: str, **options) -> DataFrame:
     """Write ``df`` as csv, json, orc or parquet and read it back under its own schema."""
     path = scratch(df.sparkSession, kind)
