@@ -13,6 +13,7 @@ store; other columns of the input are ignored whatever their names.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -46,6 +47,7 @@ class _Encoder:
     """
 
     def __init__(self, vocabulary: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start a thread for each of the machine's
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
