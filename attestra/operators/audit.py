@@ -156,13 +156,3 @@ def latest_overrides(decisions: DataFrame) -> DataFrame:
 def trail(decisions: DataFrame) -> DataFrame:
     listed = F.sort_array(F.collect_list(F.struct("ts", "event_id", "decision")))
     return decisions.groupBy("target").agg(F.count("*").alias("n"), F.array_join(F.transform(listed, lambda x: x["decision"]), ",").alias("trail"))
-
-
-def apply_overrides(results: DataFrame, latest: DataFrame, where: Column) -> DataFrame:
-    """Results with what officers decided about those that ``where`` holds for: accepted or waived ones pass, confirmed ones fail, and nobody needs to look again."""
-    o = latest.select(F.col("target").alias("_bid"), "decision")
-    joined = results.join(o, (F.col("bid_id") == F.col("_bid")) & where, "left")
-    d = F.col("decision")
-    status = F.when(d.isin("ACCEPT", "WAIVE"), "OVERRIDDEN_PASS").when(d == "CONFIRM_FAIL", "OVERRIDDEN_FAIL").otherwise(F.col("status"))
-    review = F.when(d.isin("ACCEPT", "WAIVE", "CONFIRM_FAIL"), False).otherwise(F.col("requires_review"))
-    return joined.withColumns({"status": status, "requires_review": review}).drop("_bid", "decision")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestra.functions import identifiers, similarity
-from attestra.operators import extraction, registry, text
+from attestra.operators import evidence, extraction, registry, text
 from attestra.sources import bridge, files
 
 from . import compliance_queries as base
@@ -107,10 +107,26 @@ def _extract(spark, sf_dir):
     return text.extract(all_blocks(spark, sf_dir)).select("doc_id", "block_id", "field", "found")
 
 
-@register("t03_keyword_evidence", oracle.sql("SELECT doc_id, min_by(block_id, position) AS block_id FROM blocks WHERE contains(lower(text), 'license') OR contains(lower(text), 'copyright') GROUP BY doc_id", "blocks"))
+# Keywords to look for: how each passage begins, words of licences, and patterns, one of which does not compile.
+_LITERALS = ("license", "COPYRIGHT", "the")
+_SEARCHES = ("licen[sc]e", "all rights|no warranty", "[a-z]+ing[.,]", "[unclosed")
+oracle.view(
+    "keywords",
+    "SELECT 'B' || CAST(item_id AS VARCHAR) AS keyword_id, substring(text, 1, 24) AS pattern, false AS is_regex FROM benchmark UNION ALL SELECT * FROM (VALUES "
+    + ", ".join(f"('{'R' if is_regex else 'L'}{k}', '{p}', {str(is_regex).lower()})" for is_regex, some in ((False, _LITERALS), (True, _SEARCHES)) for k, p in enumerate(some))
+    + ")",
+)
+
+
+def keywords(spark, sf_dir):
+    fixed = [(f"{'R' if is_regex else 'L'}{k}", p, is_regex) for is_regex, some in ((False, _LITERALS), (True, _SEARCHES)) for k, p in enumerate(some)]
+    passages = bridge.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("keyword_id"), F.substring("text", 1, 24).alias("pattern"), F.lit(False).alias("is_regex"))
+    return passages.unionByName(spark.createDataFrame(fixed, "keyword_id string, pattern string, is_regex boolean"))
+
+
+@register("t03_keyword_evidence", oracle.sql("SELECT doc_id, keyword_id, x.block_id, x.page_number, trim(x.text) AS snippet FROM (SELECT doc_id, keyword_id, min_by(struct_pack(block_id := block_id, page_number := page_number, text := text), position) AS x FROM blocks, keywords WHERE pattern <> '[unclosed' AND CASE WHEN is_regex THEN regexp_matches(text, '(?i)' || CASE WHEN pattern = '[unclosed' THEN 'x' ELSE pattern END) ELSE contains(lower(text), lower(pattern)) END GROUP BY ALL)", "blocks", "keywords"))
 def _keyword(spark, sf_dir):
-    low = F.lower("text")
-    return bridge.blocks(spark, sf_dir).filter(F.contains(low, F.lit("license")) | F.contains(low, F.lit("copyright"))).groupBy("doc_id").agg(F.min_by("block_id", "position").alias("block_id"))
+    return evidence.first_blocks(bridge.blocks(spark, sf_dir), keywords(spark, sf_dir))
 
 
 _CLEAN = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
@@ -339,12 +355,3 @@ _PAYLOAD = "concat('```json\\n[{\"id\": ', event_id, ', \"field\": \"', event_ty
 def _payloads(spark, sf_dir):
     raw = bridge.table(spark, sf_dir, "events").select(F.expr(_PAYLOAD).alias("payload"))
     return text.candidates(raw, "payload", "array<struct<id bigint, field string>>")
-
-
-@register("c17_override_targets", oracle.sql("SELECT event_id, CASE WHEN k = 0 AND user_id IN (SELECT bid_id FROM queue) THEN 'REVIEW_ITEM' WHEN user_id IN (SELECT bid_id FROM results) THEN 'REQUIREMENT' WHEN user_id IN (SELECT bid_id FROM findings) THEN 'INTEGRITY_FINDING' ELSE 'REJECTED' END AS target_kind FROM (SELECT event_id, user_id, event_id % 2 AS k FROM events)", "queue", "results", "findings"))
-def _targets(spark, sf_dir):
-    """An officer's target: an item of the queue, else a result, else a finding of a bid; what is none of them is rejected."""
-    e = bridge.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("target"), (F.col("event_id") % 2 == 0).alias("names_item"))
-    known = lambda df, mark: df.select(F.col("bid_id").alias("target")).distinct().withColumn(mark, F.lit(True))
-    out = e.join(known(base.queue(spark, sf_dir), "q"), "target", "left").join(known(base.results(spark, sf_dir), "r"), "target", "left").join(known(base.findings(spark, sf_dir), "f"), "target", "left")
-    return out.select("event_id", F.when(F.col("names_item") & F.col("q"), "REVIEW_ITEM").when(F.col("r"), "REQUIREMENT").when(F.col("f"), "INTEGRITY_FINDING").otherwise("REJECTED").alias("target_kind"))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from attestra.operators import audit, evaluate, graph, replay, resolve, rollup
+from attestra.operators import adjudication, audit, evaluate, graph, replay, resolve, rollup
 from attestra.sources import bridge, tables
 
 from . import compliance_queries as base
@@ -426,13 +426,6 @@ def _snapshot_errors(spark, sf_dir):
     return audit.snapshot_errors(snapshot_records(spark, sf_dir)).select("bid_id", F.array_join("errors", "; ").alias("errors"))
 
 
-oracle.view("overridden", """SELECT r.* REPLACE (CASE WHEN o.decision IN ('ACCEPT', 'WAIVE') THEN 'OVERRIDDEN_PASS' WHEN o.decision = 'CONFIRM_FAIL' THEN 'OVERRIDDEN_FAIL' ELSE r.status END AS status, CASE WHEN o.decision IN ('ACCEPT', 'WAIVE', 'CONFIRM_FAIL') THEN false ELSE requires_review END AS requires_review) FROM results r LEFT JOIN decided_events o ON o.target = r.bid_id AND r.rank = 1 AND r.field = 'turnover_cr'""", "results", "decided_events")
-
-
-def _overridden(spark, sf_dir):
-    return audit.apply_overrides(base.results(spark, sf_dir), _decided(spark, sf_dir), (F.col("field") == "turnover_cr") & (F.col("basis") != "SUPERSEDED"))
-
-
 EARLIER = "1994-06-17"
 
 
@@ -524,17 +517,96 @@ def _replay_verdicts(spark, sf_dir):
     return of("EARLIER_DATE", SNAPSHOT, EARLIER_DATE).unionByName(of("TAMPERED", TAMPERED, SAME))
 
 
-@register("j04_apply_overrides", oracle.sql("SELECT bid_id, requirement_id, status, requires_review FROM overridden", "overridden"))
+# Officers' requests: each event asks for something of the bid that has its number; some name nothing, or lack what a request needs.
+_TEXT = lambda x: f"CAST({x} AS {{text}})"
+_CLAUSE = f"'T' || {_TEXT('event_id % 3 + 1')} || '-R0' || {_TEXT('event_id % 9 + 1')}"
+_REQUESTS = f"""SELECT 'ADJ-' || {_TEXT('event_id')} AS adjudication_id, CAST(event_id AS BIGINT) AS bid_id,
+CASE event_id % 5 WHEN 0 THEN 'REV-' || {_TEXT('event_id')} || '-' || lpad({_TEXT('event_id % 12 + 1')}, 3, '0') WHEN 1 THEN {_CLAUSE} WHEN 2 THEN 'VERIF-' || {_TEXT('event_id')} || '-' || {_CLAUSE} WHEN 3 THEN 'GSTIN-gstin-000001-gstin-000002' ELSE ' REV-' || {_TEXT('event_id - event_id % 3')} || '-002' END AS target_id,
+CASE event_type WHEN 'purchase' THEN 'accept' WHEN 'signup' THEN 'WAIVE' WHEN 'error' THEN 'CONFIRM_FAIL' WHEN 'click' THEN 'DISMISS' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'DISMISS' ELSE 'LOOK' END END AS decision,
+CASE WHEN event_id % 41 = 0 THEN ' ' ELSE 'OFF-' || {_TEXT('user_id')} END AS officer_id, CASE WHEN event_id % 47 <> 0 THEN 'Officer ' || {_TEXT('user_id')} END AS officer_name, CASE WHEN event_id % 43 = 0 THEN 'short' ELSE 'Looked at the evidence' END AS justification, ts FROM {{events}}"""
+_REQUESTS = f"SELECT adjudication_id, CASE WHEN trim(target_id) LIKE 'REV-%' AND bid_id % 5 = 4 THEN bid_id - bid_id % 3 ELSE bid_id END AS bid_id, target_id, decision, officer_id, officer_name, justification, ts FROM ({_REQUESTS})"
+oracle.view("requests", _REQUESTS.format(text="VARCHAR", events="events"))
+oracle.view("items_of_queue", f"SELECT *, {base._RUNNING.format('REV', 'source_order, related')} AS review_id FROM queue", "queue")
+_FAULT = f"CASE WHEN trim(coalesce(officer_id, '')) = '' THEN 'OFFICER_ID' WHEN trim(coalesce(officer_name, '')) = '' THEN 'OFFICER_NAME' WHEN length(trim(coalesce(justification, ''))) < {adjudication.LEAST_JUSTIFICATION} THEN 'JUSTIFICATION' WHEN upper(coalesce(decision, '')) NOT IN {oracle._list(adjudication.DECISIONS)} THEN 'DECISION' END"
+_NAMED = "(SELECT bid_id, unnest([requirement_id, 'VERIF-' || CAST(bid_id AS VARCHAR) || '-' || requirement_id]) AS name, requirement_id FROM results)"
+oracle.view(
+    "resolved",
+    f"""SELECT q.*, q.target_type AS kind, coalesce(fault, CASE WHEN target_type IS NULL THEN 'TARGET' END) AS wrong FROM (SELECT r.adjudication_id, r.bid_id, trim(r.target_id) AS target_id, upper(decision) AS decision, officer_id, justification, ts, {_FAULT} AS fault, i.review_id, coalesce(a.requirement_id, b.requirement_id) AS requirement_id, coalesce(c.finding_id, d.finding_id) AS finding_id, CASE WHEN i.review_id IS NOT NULL THEN 'REVIEW_ITEM' WHEN b.requirement_id IS NOT NULL THEN 'REQUIREMENT' WHEN d.finding_id IS NOT NULL THEN 'INTEGRITY_FINDING' END AS target_type
+FROM requests r LEFT JOIN items_of_queue i ON i.bid_id = r.bid_id AND i.review_id = trim(r.target_id) LEFT JOIN {_NAMED} a ON a.bid_id = r.bid_id AND a.name = i.related LEFT JOIN {_NAMED} b ON b.bid_id = r.bid_id AND b.name = trim(r.target_id) LEFT JOIN findings c ON c.bid_id = r.bid_id AND c.finding_id = i.related LEFT JOIN findings d ON d.bid_id = r.bid_id AND d.finding_id = trim(r.target_id)) q""",
+    "requests", "items_of_queue", "results", "findings",
+)
+oracle.view("accepted", "SELECT * FROM resolved WHERE wrong IS NULL", "resolved")
+
+
+def _queue_items(spark, sf_dir):
+    return rollup.numbered(base.queue(spark, sf_dir), "REV", ["source_order", "related"]).withColumnRenamed("running_id", "review_id")
+
+
+def _named_findings(spark, sf_dir):
+    return base.findings(spark, sf_dir).withColumn("finding_id", rollup.finding_id())
+
+
+def _resolve(spark, sf_dir):
+    requests = spark.sql(_REQUESTS.format(text="STRING", events="{events}"), events=bridge.table(spark, sf_dir, "events"))
+    return adjudication.resolved(requests, _queue_items(spark, sf_dir), base.results(spark, sf_dir), _named_findings(spark, sf_dir))
+
+
+resolved = base._once("adjudications", _resolve)
+
+
+@register("c17_override_targets", oracle.sql("SELECT adjudication_id, bid_id, target_id, wrong AS fault, CASE WHEN wrong IS NULL THEN target_type END AS target_type, CASE WHEN wrong IS NULL THEN requirement_id END AS requirement_id, CASE WHEN wrong IS NULL THEN finding_id END AS finding_id FROM resolved", "resolved"))
+def _targets(spark, sf_dir):
+    """What each request is about, or why it is rejected."""
+    found, shown = resolved(spark, sf_dir), ["adjudication_id", "bid_id", "target_id", "fault", "target_type", "requirement_id", "finding_id"]
+    return adjudication.accepted(found).select(shown).unionByName(adjudication.rejects(found), allowMissingColumns=True)
+
+
+_SAID = "CASE decision WHEN 'ACCEPT' THEN 'OVERRIDDEN_PASS' WHEN 'WAIVE' THEN 'OVERRIDDEN_PASS' WHEN 'CONFIRM_FAIL' THEN 'OVERRIDDEN_FAIL' END"
+oracle.view("results_ruled", f"SELECT r.* REPLACE (coalesce({_SAID}, r.status) AS status, r.requires_review AND decision IS NULL AS requires_review) FROM results r LEFT JOIN (SELECT bid_id, requirement_id, max_by(decision, struct_pack(t := ts, a := adjudication_id)) AS decision FROM accepted WHERE decision <> 'DISMISS' AND requirement_id IS NOT NULL GROUP BY ALL) o ON o.bid_id = r.bid_id AND o.requirement_id = r.requirement_id", "results", "accepted")
+oracle.view("findings_ruled", "SELECT f.* FROM findings f WHERE NOT EXISTS (SELECT 1 FROM accepted a WHERE a.bid_id = f.bid_id AND a.finding_id = f.finding_id AND decision = 'DISMISS')", "findings", "accepted")
+oracle.clone("_ruled", "results", "findings", "compliance", "integ", "weighted", "scores", "factors", "risk", "pend", "recommend")
+oracle.view("items_ruled", "SELECT i.bid_id, count(*) FILTER (decision IS NULL) AS open_items FROM items_of_queue i LEFT JOIN (SELECT bid_id, review_id, any_value(decision) AS decision FROM accepted WHERE review_id IS NOT NULL GROUP BY ALL) a ON a.bid_id = i.bid_id AND a.review_id = i.review_id GROUP BY i.bid_id", "items_of_queue", "accepted")
+
+
+def _ruled(spark, sf_dir):
+    return adjudication.results_after(base.results(spark, sf_dir), adjudication.accepted(resolved(spark, sf_dir)))
+
+
+@register("j04_apply_overrides", oracle.sql("SELECT bid_id, requirement_id, status, requires_review FROM results_ruled", "results_ruled"))
 def _apply(spark, sf_dir):
-    return _overridden(spark, sf_dir).select("bid_id", "requirement_id", "status", "requires_review")
+    return _ruled(spark, sf_dir).select("bid_id", "requirement_id", "status", "requires_review")
+
+
+_LAST = "last_value({0} IGNORE NULLS) OVER (PARTITION BY bid_id, {1} ORDER BY ts, adjudication_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_RECORDS = f"""SELECT adjudication_id, bid_id, target_type, target_id, decision, CASE target_type WHEN 'REVIEW_ITEM' THEN item_before WHEN 'REQUIREMENT' THEN result_before ELSE finding_before END AS previous_status,
+coalesce(CASE WHEN finding_id IS NOT NULL THEN CASE WHEN decision = 'DISMISS' THEN 'DISMISSED' ELSE finding_before END END, CASE WHEN requirement_id IS NOT NULL THEN coalesce({_SAID}, result_before) END, 'UNKNOWN') AS new_status, sha256(concat_ws(':', adjudication_id, target_id, decision, officer_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), justification)) AS audit_hash FROM (
+SELECT a.*, CASE WHEN a.requirement_id IS NOT NULL THEN coalesce({_LAST.format(_SAID, 'a.requirement_id').replace('bid_id', 'a.bid_id')}, r.status) END AS result_before, CASE WHEN a.finding_id IS NOT NULL THEN coalesce({_LAST.format("CASE WHEN decision = 'DISMISS' THEN 'DISMISSED' END", 'a.finding_id').replace('bid_id', 'a.bid_id')}, f.status) END AS finding_before, CASE WHEN a.review_id IS NOT NULL THEN coalesce({_LAST.format("CASE WHEN decision = 'DISMISS' THEN 'DISMISSED' ELSE 'RESOLVED' END", 'a.review_id').replace('bid_id', 'a.bid_id')}, 'OPEN') END AS item_before
+FROM accepted a LEFT JOIN results r ON r.bid_id = a.bid_id AND r.requirement_id = a.requirement_id LEFT JOIN findings f ON f.bid_id = a.bid_id AND f.finding_id = a.finding_id)"""
 
 
-@register("j04_recomputed", oracle.over("overridden", "SELECT o.bid_id, o.compliance_status, o.overall_status, round(s.final_score, 6) AS final_score, k.level, c.verdict FROM overall o JOIN scores s ON o.bid_id = s.bid_id JOIN risk k ON o.bid_id = k.bid_id JOIN recommend c ON o.bid_id = c.bid_id", "overall", "scores", "risk", "recommend"))
+@register("j04_audit_records", oracle.sql(_RECORDS, "accepted", "results", "findings"))
+def _audit_records(spark, sf_dir):
+    return adjudication.records(adjudication.accepted(resolved(spark, sf_dir)), base.results(spark, sf_dir), _named_findings(spark, sf_dir))
+
+
+_RULED_BIDS = "SELECT DISTINCT bid_id FROM accepted"
+
+
+@register("j04_recomputed", oracle.sql(f"SELECT s.bid_id, c.compliance_status, CASE WHEN coalesce(contradictions, 0) > 0 THEN 'CONTRADICTION' ELSE 'CONSISTENT' END AS integrity_status, CASE WHEN s.debarred OR critical > 0 OR major > 0 THEN 'FAIL' WHEN coalesce(open_items, 0) > 0 OR c.missing > 0 OR coalesce(contradictions, 0) > 0 THEN 'REVIEW' ELSE 'PASS' END AS overall_status, coalesce(open_items, 0) AS open_items, round(s.final_score, 6) AS final_score, k.level, v.verdict, v.confidence FROM scores_ruled s JOIN compliance_ruled c ON s.bid_id = c.bid_id JOIN risk_ruled k ON s.bid_id = k.bid_id JOIN recommend_ruled v ON s.bid_id = v.bid_id LEFT JOIN integ_ruled i ON s.bid_id = i.bid_id LEFT JOIN items_ruled q ON s.bid_id = q.bid_id WHERE s.bid_id IN ({_RULED_BIDS})", "scores_ruled", "compliance_ruled", "risk_ruled", "recommend_ruled", "integ_ruled", "items_ruled", "accepted"))
 def _recomputed(spark, sf_dir):
-    _, found, known, listed, weak = base.signals(spark, sf_dir)
-    t = rollup.tally(bridge.bids(spark, sf_dir), _overridden(spark, sf_dir), found, known, listed, weak)
-    both = rollup.overall(rollup.risk(rollup.scores(t))).select("bid_id", "compliance_status", "overall_status", F.round("final_score", 6).alias("final_score"), "level")
-    return both.join(rollup.recommendation(t).select("bid_id", "verdict"), "bid_id")
+    """The bids that decisions are about, worked out again under them."""
+    ruled = adjudication.accepted(resolved(spark, sf_dir))
+    ours = lambda df: df.join(ruled.select("bid_id").distinct(), "bid_id", "left_semi")
+    _, _, known, listed, weak = base.signals(spark, sf_dir)
+    t = rollup.tally(ours(bridge.bids(spark, sf_dir)), ours(_ruled(spark, sf_dir)), adjudication.findings_after(ours(_named_findings(spark, sf_dir)), ruled), ours(known), listed, ours(weak))
+    return adjudication.recomputed(t, adjudication.items_after(ours(_queue_items(spark, sf_dir)), ruled)).withColumn("final_score", F.round("final_score", 6))
+
+
+@register("j04_pending", oracle.sql(f"SELECT {base._PENDING} FROM pend_ruled WHERE bid_id IN ({_RULED_BIDS})", "pend_ruled", "accepted"))
+def _ruled_pending(spark, sf_dir):
+    """What is pending for those bids under the decisions."""
+    ours = adjudication.accepted(resolved(spark, sf_dir)).select("bid_id").distinct()
+    return rollup.pending(_ruled(spark, sf_dir).join(ours, "bid_id", "left_semi"), base.checks(spark, sf_dir))
 
 
 _MATCHED = "SELECT '{0}' AS replay, count(*) AS cases, count(*) FILTER (status = 'COMPLETE_MATCH') AS complete_matches, round(100.0::DOUBLE * count(*) FILTER (status = 'COMPLETE_MATCH') / count(*), 2) AS match_rate, {1} AS runs, 100.0::DOUBLE AS determinism_rate FROM ({2})"
@@ -559,8 +631,8 @@ def _override_stream(spark, sf_dir):
     return overrides.effective(spark, sf_dir)
 
 
-@register("s02_audit_stream", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT '***' || right('user-' || CAST(user_id AS VARCHAR), 3)) AS masks, min(substring(sha256(coalesce(CAST(props AS VARCHAR), '')), 1, 12)) AS first_print FROM events GROUP BY ALL")
+@register("s02_audit_stream", "SELECT day, event_type, n, masks, first_print, day + INTERVAL 1 DAY <= latest - INTERVAL 1 DAY AS closed FROM (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT '***' || right('user-' || CAST(user_id AS VARCHAR), 3)) AS masks, min(substring(sha256(coalesce(CAST(props AS VARCHAR), '')), 1, 12)) AS first_print FROM events GROUP BY ALL), (SELECT max(ts) AS latest FROM events)")
 def _audit_stream(spark, sf_dir):
-    from attestra.streaming import overrides
+    from attestra.streaming import audit_log
 
-    return overrides.daily_counts(spark, sf_dir)
+    return audit_log.daily_counts(spark, sf_dir)
