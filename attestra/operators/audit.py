@@ -94,14 +94,17 @@ def cyclic_bids(edges: DataFrame) -> DataFrame:
         left = left.join(left.select("bid_id", F.col("src").alias("dst")).distinct(), ["bid_id", "dst"], "left_semi").select("bid_id", "src", "dst")
 
 
-def dossiers(results: DataFrame, facts: DataFrame, findings: DataFrame, checks: DataFrame) -> DataFrame:
-    """One row a bid: its results, facts, findings and registry checks nested, each in order."""
-    nest = lambda df, name, *columns: df.groupBy("bid_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
-    r = nest(results, "results", "requirement_id", "status", "severity", "actual", "expected_value", "applicability")
-    f = nest(facts, "facts", "field", "fact_seq", "value", "source_document", "page")
-    i = nest(findings.withColumn("finding_id", rollup.finding_id()), "findings", "finding_id", "status", "finding_type", "value_a", "value_b")
-    c = nest(checks, "checks", "registry", "status", "identifier", "holder")
-    return r.join(f, "bid_id", "left").join(i, "bid_id", "left").join(c, "bid_id", "left")
+def dossiers(bids: DataFrame, results: DataFrame, facts: DataFrame, findings: DataFrame, checks: DataFrame, queue: DataFrame) -> DataFrame:
+    """One row a bid: its results, facts, findings, registry checks and review items nested, each in order; what a bid has none of is empty."""
+    out = bids.select("bid_id", "tender_id")
+    parts = {
+        "results": (results, ("requirement_id", "status", "severity", "actual", "expected_value", "applicability")), "facts": (facts, ("field", "fact_seq", "value", "source_document", "page")),
+        "findings": (findings.withColumn("finding_id", rollup.finding_id()), ("finding_id", "status", "finding_type", "value_a", "value_b")), "checks": (checks, ("registry", "status", "identifier", "holder")), "reviews": (queue, ("source_order", "related", "category", "severity")),
+    }
+    for name, (df, columns) in parts.items():
+        nested = df.groupBy("bid_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+        out = out.join(nested, "bid_id", "left").withColumn(name, F.coalesce(name, F.array().cast(nested.schema[name].dataType)))
+    return out
 
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ TOKEN_PATTERNS = (
 DURATION_PHRASE = r"\b(?:\d+(?:\.\d+)?|zero|one|two|three|four|five|six|seven|eight|nine|ten)\s*(?:years?|yrs?|yr|months?|mths?|mth|mo|days?|d)\b"
 AMOUNT_PHRASE = r"\d+(?:[.,]\d+)?\s*(?:crores?|crs?|lakhs?|lacs?|millions?|thousands?|k|m|cr|%)?"
 UNPRINTABLE = r"[\x00-\x08\x0E-\x1F\x7F]"
+SHORT_PAGE = 20
 
 
 def extract(blocks: DataFrame, text: str = "text", patterns: dict[str, str] = FACT_PATTERNS) -> DataFrame:
@@ -192,3 +193,30 @@ def candidates(df: DataFrame, payload: str, schema: str) -> DataFrame:
     bare = F.regexp_replace(payload, r"^\s*```(?:json)?\s*|\s*```\s*$", "")
     whole = F.when(bare.startswith("[") & bare.endswith("]"), F.from_json(bare, schema))
     return df.select(F.explode(whole).alias("x")).select("x.*")
+
+
+def best_version(versions: DataFrame) -> DataFrame:
+    """(doc_id, page_number, pass, method, text, n_chars, score) of ``versions`` (doc_id, page_number, pass, text, sure, success): the text to take for each page.
+
+    Pass 0 is what the file itself holds.  Of the recogniser's passes that succeeded and are valid
+    text, the one with the highest composite score is the best, of equal ones the earlier; it is
+    taken if it is longer than the file's own text, or if that is too short to be a page's.
+    """
+    composite, status = validity(F.col("text"), F.coalesce("sure", F.lit(0.0)))
+    n = F.length(_stripped(F.coalesce("text", F.lit("")))).cast("long")
+    scored = versions.withColumns({"n_chars": n, "score": composite, "valid": status != "FAILED"})
+    read = (F.col("pass") > 0) & F.col("success") & F.col("valid")
+    shown = F.struct("pass", "text", "n_chars", "score")
+    met = scored.groupBy("doc_id", "page_number").agg(F.max_by(F.when(F.col("pass") == 0, shown), F.when(F.col("pass") == 0, 1)).alias("own"), F.max_by(F.when(read, shown), F.when(read, F.struct("score", -F.col("pass")))).alias("best"))
+    taken = F.col("best").isNotNull() & (F.col("own").isNull() | (F.col("best.n_chars") > F.col("own.n_chars")) | (F.col("own.n_chars") < SHORT_PAGE))
+    out = F.when(taken, F.col("best")).otherwise(F.struct(F.lit(0).alias("pass"), F.col("own.text").alias("text"), F.coalesce("own.n_chars", F.lit(0)).alias("n_chars"), F.lit(None).cast("double").alias("score")))
+    return met.select("doc_id", "page_number", out.alias("x"), F.when(taken, "OCR").otherwise("NATIVE_PDF").alias("method")).select("doc_id", "page_number", "method", "x.*")
+
+
+def document_rollup(pages: DataFrame) -> DataFrame:
+    """(doc_id, n_pages, n_chars, method, confidence) of the pages taken: how their text came about, and the worst confidence among them."""
+    n, ocr = F.col("n_chars"), F.col("method") == "OCR"
+    sure = F.when(n < SHORT_PAGE, "LOW").when(n < 80, "MEDIUM").when(~ocr | (F.col("score") >= 0.8), "HIGH").when(F.col("score") >= 0.5, "MEDIUM").otherwise("LOW")
+    method = F.when(F.bool_and(ocr), "OCR").when(F.bool_or(ocr), "HYBRID").otherwise("NATIVE_PDF")
+    worst = F.when(F.bool_or(F.col("sure") == "LOW"), "LOW").when(F.bool_or(F.col("sure") == "MEDIUM"), "MEDIUM").otherwise("HIGH")
+    return pages.withColumn("sure", sure).groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum("n_chars").alias("n_chars"), method.alias("method"), worst.alias("confidence"))

@@ -67,13 +67,6 @@ def _file_manifest(spark, sf_dir):
     return found.select(F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-@register("a06_store_by_id", oracle.sql("SELECT r.bid_id, requirement_id, status FROM results r WHERE r.bid_id IN (SELECT bid_id FROM bids ORDER BY bid_id LIMIT 5)", "results", "bids"))
-def _store(spark, sf_dir):
-    path = files.by_id(base.results(spark, sf_dir).select("bid_id", "requirement_id", "status"), "bid_id")
-    wanted = [r["bid_id"] for r in bridge.bids(spark, sf_dir).orderBy("bid_id").limit(5).collect()]  # five ids, as a user would ask for
-    return spark.read.parquet(path).filter(F.col("bid_id").isin(wanted))
-
-
 @register("a07_metric_documents", "SELECT event_type, '{\"event_type\":\"' || event_type || '\",\"n\":' || CAST(count(*) AS VARCHAR) || '}' AS document FROM events GROUP BY event_type")
 def _metrics(spark, sf_dir):
     n = bridge.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
@@ -129,8 +122,7 @@ def _keyword(spark, sf_dir):
     return evidence.first_blocks(bridge.blocks(spark, sf_dir), keywords(spark, sf_dir))
 
 
-_CLEAN = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
-_UNPRINTABLE = "len(regexp_extract_all(c, '[\\x00-\\x08\\x0E-\\x1F\\x7F]'))"
+_CLEAN, _UNPRINTABLE = oracle.CLEAN, oracle.UNPRINTABLE
 
 
 @register("t04_page_quality", oracle.sql(f"SELECT block_id, round(score, 4) AS score, CASE WHEN score >= 0.80 THEN 'HIGH' WHEN score >= 0.50 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM (SELECT block_id, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE (CASE WHEN ocr IS NOT NULL THEN CASE WHEN n < 20 THEN greatest(0.2::DOUBLE, least(1.0::DOUBLE, ocr)) * 0.5::DOUBLE ELSE greatest(0.2::DOUBLE, least(1.0::DOUBLE, ocr)) END WHEN n >= 80 AND printable >= 0.85 THEN 0.95::DOUBLE WHEN n >= 20 THEN 0.70::DOUBLE ELSE 0.35::DOUBLE END) * printable END AS score FROM (SELECT block_id, ocr, length(c) AS n, 1 - {_UNPRINTABLE}::DOUBLE / nullif(length(c), 0) AS printable FROM (SELECT block_id, CASE WHEN position % 3 = 0 THEN (position % 10) / 10.0::DOUBLE END AS ocr, {_CLEAN} AS c FROM blocks)))", "blocks"))
@@ -139,19 +131,8 @@ def _quality(spark, sf_dir):
     return bridge.blocks(spark, sf_dir).select("block_id", score.alias("score"), confidence.alias("confidence"))
 
 
-_RUN_SIZES = "SELECT block_id, max(c) AS c FROM (SELECT block_id, ch, g, count(*) AS c FROM (SELECT block_id, ch, i - row_number() OVER (PARTITION BY block_id, ch ORDER BY i) AS g FROM (SELECT block_id, unnest(string_split(text, '')) AS ch, unnest(range(1, len(string_split(text, '')) + 1)) AS i FROM {0} WHERE text <> '')) GROUP BY block_id, ch, g) GROUP BY block_id"
-oracle.view("run_sizes", _RUN_SIZES.format("blocks"), "blocks")
-oracle.view("clean_run_sizes", _RUN_SIZES.format(f"(SELECT block_id, {_CLEAN} AS text FROM blocks)"), "blocks")
-_HITS = " + ".join(f"CAST(regexp_matches(c, '(?i){p}') AS INT)" for p in text.TOKEN_PATTERNS)
-oracle.view(
-    "validated",
-    f"""SELECT block_id, doc_id, text, round(composite, 6) AS composite, CASE WHEN n = 0 OR n < 10 OR printable < 0.70 OR letters < 0.20 OR run > 0.50 OR composite < 0.25 THEN 'FAILED' WHEN n < 30 OR letters < 0.40 OR sure < 0.50 OR composite < 0.50 THEN 'LOW_CONFIDENCE' ELSE 'ACCEPTED' END AS validity FROM (
-SELECT *, CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN run > 0.35 THEN whole * 0.5::DOUBLE ELSE whole END AS composite FROM (
-SELECT *, (0.35::DOUBLE * sure + 0.25::DOUBLE * letters + 0.25::DOUBLE * tokens + 0.15::DOUBLE * least(1.0::DOUBLE, n / 150.0::DOUBLE)) * printable AS whole FROM (
-SELECT b.block_id, doc_id, text, length(c) AS n, 1 - {_UNPRINTABLE}::DOUBLE / nullif(length(c), 0) AS printable, len(regexp_extract_all(c, '[\\p{{L}}\\p{{N}}]'))::DOUBLE / nullif(length(c), 0) AS letters, round(coalesce(r.c2, 0)::DOUBLE / greatest(1, length(c)), 6) AS run, CASE WHEN length(c) < 10 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, ({_HITS}) / 3.0::DOUBLE) END AS tokens, greatest(0.1::DOUBLE, least(1.0::DOUBLE, (doc_id % 10) / 10.0::DOUBLE)) AS sure
-FROM (SELECT *, {_CLEAN} AS c FROM blocks) b LEFT JOIN (SELECT block_id, c AS c2 FROM clean_run_sizes) r ON b.block_id = r.block_id)))""",
-    "blocks", "clean_run_sizes",
-)
+oracle.view("run_sizes", oracle.RUN_SIZES.format("blocks"), "blocks")
+oracle.view("validated", oracle.validated("(SELECT *, greatest(0.1::DOUBLE, least(1.0::DOUBLE, (doc_id % 10) / 10.0::DOUBLE)) AS sure_of FROM blocks)"), "blocks")
 
 
 def validated(spark, sf_dir):

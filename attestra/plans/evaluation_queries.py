@@ -7,8 +7,8 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from attestra.operators import adjudication, audit, evaluate, graph, replay, resolve, rollup
-from attestra.sources import bridge, tables
+from attestra.operators import adjudication, audit, evaluate, graph, replay, resolve, rollup, text
+from attestra.sources import bridge, files, tables
 
 from . import compliance_queries as base
 from . import oracle
@@ -82,11 +82,6 @@ def _taxonomy(spark, sf_dir):
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))  # a row for each category
 
 
-@register("d15_document_rollup", oracle.sql("SELECT doc_id, count(*) AS n_blocks, max(page_number) AS n_pages, CAST(sum(length(text)) AS BIGINT) AS n_chars, bool_or(length(text) < 20) AS has_short FROM blocks GROUP BY doc_id", "blocks"))
-def _documents(spark, sf_dir):
-    return bridge.blocks(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.max("page_number").alias("n_pages"), F.sum(F.length("text")).alias("n_chars"), F.bool_or(F.length("text") < 20).alias("has_short"))
-
-
 @register("d16_corpus_summary", "SELECT lang, count(*) AS n, count(*) FILTER (n_chars > 1000) AS n_long, round(avg(CASE WHEN n_chars > 1000 THEN n_chars END), 4) AS mean_long FROM documents GROUP BY lang")
 def _summary(spark, sf_dir):
     long = F.col("n_chars") > 1000
@@ -122,16 +117,22 @@ def _evidence(spark, sf_dir):
     return base.results(spark, sf_dir).groupBy("bid_id").agg(F.count("source_document").alias("n"), F.countDistinct(page).alias("pages"), F.array_join(F.sort_array(F.collect_set("source_document")), ",").alias("documents"))
 
 
-@register("d22_dossiers", oracle.sql("SELECT r.bid_id, requirements, facts, findings, checks, contradictions, checked FROM (SELECT bid_id, count(*) AS requirements, sha256(string_agg(requirement_id || ':' || status || ':' || severity, ';' ORDER BY requirement_id)) AS checked FROM results GROUP BY bid_id) r JOIN (SELECT bid_id, sha256(string_agg(field || '=' || value || '@' || source_document || ':' || CAST(page AS VARCHAR), ';' ORDER BY field, fact_seq)) AS facts FROM facts GROUP BY bid_id) f ON r.bid_id = f.bid_id LEFT JOIN (SELECT bid_id, count(*) AS contradictions, sha256(string_agg(finding_id || ':' || status, ';' ORDER BY finding_id)) AS findings FROM findings GROUP BY bid_id) i ON r.bid_id = i.bid_id LEFT JOIN (SELECT bid_id, string_agg(registry || '=' || status, ',' ORDER BY registry) AS checks FROM checks GROUP BY bid_id) c ON r.bid_id = c.bid_id", "results", "facts", "findings", "checks"))
+def dossiers(spark, sf_dir, results=None):
+    return audit.dossiers(bridge.bids(spark, sf_dir), results or base.results(spark, sf_dir), bridge.facts(spark, sf_dir), base.findings(spark, sf_dir), base.checks(spark, sf_dir), base.queue(spark, sf_dir))
+
+
+# Each nested part of a dossier as lines: table, what a line says, in which order.
+_NESTED = {
+    "results": ("results", ("requirement_id", "status", "severity"), "requirement_id"), "facts": ("facts", ("field", "value", "source_document", "page"), "field, fact_seq"), "findings": ("findings", ("finding_id", "status"), "finding_id"),
+    "checks": ("checks", ("registry", "status"), "registry"), "reviews": ("queue", ("source_order", "related", "severity"), "source_order, related"),
+}
+_LINES = lambda columns: " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+
+
+@register("d22_dossiers", oracle.sql("SELECT b.bid_id, b.tender_id, " + ", ".join(f"coalesce({n}, '') AS {n}" for n in _NESTED) + " FROM bids b " + " ".join(f"LEFT JOIN (SELECT bid_id, string_agg({_LINES(columns)}, ';' ORDER BY {order}) AS {n} FROM {t} GROUP BY bid_id) {n}_of USING (bid_id)" for n, (t, columns, order) in _NESTED.items()), "bids", "results", "facts", "findings", "checks", "queue"))
 def _dossiers(spark, sf_dir):
-    nested = audit.dossiers(base.results(spark, sf_dir), bridge.facts(spark, sf_dir), base.findings(spark, sf_dir), base.checks(spark, sf_dir))
-    told = lambda c, f, sep=";": F.array_join(F.transform(c, f), sep)
-    facts = told("facts", lambda x: F.concat(x["field"], F.lit("="), x["value"], F.lit("@"), x["source_document"], F.lit(":"), x["page"].cast("string")))
-    found = told("findings", lambda x: F.concat_ws(":", x["finding_id"], x["status"]))
-    return nested.select(
-        "bid_id", F.size("results").cast("long").alias("requirements"), F.sha2(facts, 256).alias("facts"), F.sha2(found, 256).alias("findings"), told("checks", lambda x: F.concat_ws("=", x["registry"], x["status"]), ",").alias("checks"),
-        F.when(F.col("findings").isNotNull(), F.size("findings").cast("long")).alias("contradictions"), F.sha2(told("results", lambda x: F.concat_ws(":", x["requirement_id"], x["status"], x["severity"])), 256).alias("checked"),
-    )
+    told = lambda name, columns: F.array_join(F.transform(name, lambda x: F.concat_ws(":", *[x[c].cast("string") for c in columns])), ";").alias(name)
+    return dossiers(spark, sf_dir).select("bid_id", "tender_id", *[told(n, columns) for n, (_, columns, _) in _NESTED.items()])
 
 
 @register("d24_completeness", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (trim(coalesce(CAST({c} AS VARCHAR), '')) <> '') AS filled FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))
@@ -154,10 +155,40 @@ def _first_of_key(spark, sf_dir):
     return bridge.table(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("bid_key"), "event_type").agg(F.min("event_id").alias("event_id"))
 
 
-@register("e07_best_version", "SELECT source, lang, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1")
+# Versions of each page's text: what the file holds (pass 0), and what two passes of a recogniser made of it.
+_PAGES = "SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY position) AS text FROM blocks GROUP BY ALL"
+_VERSIONS = """SELECT doc_id, page_number, 0 AS pass, CASE (doc_id + page_number) % 4 WHEN 0 THEN '' WHEN 1 THEN substring(text, 1, 15) ELSE text END AS text, CAST(NULL AS DOUBLE) AS sure, true AS success FROM {0}
+UNION ALL SELECT doc_id, page_number, 1, CASE WHEN doc_id % 3 = 0 THEN concat(text, ' tender') ELSE substring(text, 1, CAST(length(text) / 2 AS INT)) END, (doc_id % 10) / 10.0, doc_id % 11 <> 0 FROM {0}
+UNION ALL SELECT doc_id, page_number, 2, CASE WHEN doc_id % 3 = 0 THEN concat(text, ' tender') ELSE text END, CASE WHEN doc_id % 3 = 0 THEN doc_id % 10 ELSE page_number % 10 END / 10.0, doc_id % 13 <> 0 FROM {0}"""
+oracle.view("doc_pages", _PAGES, "blocks")
+oracle.view("versions", _VERSIONS.format("doc_pages").replace("length(text) / 2", "length(text) // 2").replace("/ 10.0", "/ 10.0::DOUBLE"), "doc_pages")
+
+
+def page_versions(spark, sf_dir):
+    lines = F.sort_array(F.collect_list(F.struct("position", "text")))
+    pages = bridge.blocks(spark, sf_dir).groupBy("doc_id", "page_number").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"))  # ten blocks a page
+    return spark.sql(_VERSIONS.format("{pages}").replace("length(text) / 2", "length(text) div 2"), pages=pages).withColumn("sure", F.col("sure").cast("double"))
+
+
+_SCORED = oracle.validated("(SELECT CAST(doc_id AS VARCHAR) || '/' || CAST(page_number AS VARCHAR) || '/' || CAST(pass AS VARCHAR) AS block_id, doc_id, text, greatest(0.1::DOUBLE, least(1.0::DOUBLE, coalesce(sure, 0))) AS sure_of, page_number, pass, success FROM versions)")
+oracle.view("scored_versions", f"SELECT s.*, length(trim(text, chr(9) || chr(10) || chr(13) || ' ')) AS n FROM ({_SCORED}) s", "versions")
+_WEAK = "(v0.n < 20)"
+oracle.view(
+    "best_versions",
+    f"""SELECT doc_id, page_number, CASE WHEN taken THEN pass ELSE 0 END AS pass, CASE WHEN taken THEN 'OCR' ELSE 'NATIVE_PDF' END AS method, CASE WHEN taken THEN n ELSE n0 END AS n_chars, CASE WHEN taken THEN score END AS score FROM (
+SELECT v0.doc_id, v0.page_number, v0.n AS n0, b.pass, b.n, b.score, b.pass IS NOT NULL AND (b.n > v0.n OR {_WEAK}) AS taken FROM scored_versions v0 LEFT JOIN (SELECT doc_id, page_number, x.pass AS pass, x.n AS n, x.score AS score FROM (SELECT doc_id, page_number, max_by(struct_pack(pass := pass, n := n, score := composite), struct_pack(s := composite, p := -pass)) AS x FROM scored_versions WHERE pass > 0 AND success AND validity <> 'FAILED' GROUP BY ALL)) b ON b.doc_id = v0.doc_id AND b.page_number = v0.page_number WHERE v0.pass = 0)""",
+    "scored_versions",
+)
+
+
+@register("e07_best_version", oracle.sql("SELECT doc_id, page_number, pass, method, n_chars, score FROM best_versions", "best_versions"))
 def _best(spark, sf_dir):
-    best = F.max_by(F.struct("doc_id", "n_chars"), F.struct("n_chars", -F.col("doc_id")))
-    return bridge.table(spark, sf_dir, "documents").groupBy("source", "lang").agg(best.alias("x")).select("source", "lang", "x.*")
+    return text.best_version(page_versions(spark, sf_dir)).select("doc_id", "page_number", "pass", "method", "n_chars", "score")
+
+
+@register("d15_document_rollup", oracle.sql("SELECT doc_id, count(*) AS n_pages, CAST(sum(n_chars) AS BIGINT) AS n_chars, CASE WHEN bool_and(method = 'OCR') THEN 'OCR' WHEN bool_or(method = 'OCR') THEN 'HYBRID' ELSE 'NATIVE_PDF' END AS method, CASE WHEN bool_or(confidence = 'LOW') THEN 'LOW' WHEN bool_or(confidence = 'MEDIUM') THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM (SELECT *, CASE WHEN n_chars < 20 THEN 'LOW' WHEN n_chars < 80 THEN 'MEDIUM' WHEN method = 'NATIVE_PDF' THEN 'HIGH' WHEN score >= 0.8 THEN 'HIGH' WHEN score >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM best_versions) GROUP BY doc_id", "best_versions"))
+def _documents(spark, sf_dir):
+    return text.document_rollup(text.best_version(page_versions(spark, sf_dir)))
 
 
 _DECISION = "CASE event_type WHEN 'purchase' THEN 'ACCEPT' WHEN 'signup' THEN 'WAIVE' WHEN 'error' THEN 'CONFIRM_FAIL' WHEN 'click' THEN 'DISMISS' END"
@@ -636,3 +667,17 @@ def _audit_stream(spark, sf_dir):
     from attestra.streaming import audit_log
 
     return audit_log.daily_counts(spark, sf_dir)
+
+
+@register("a06_store_by_id", oracle.sql("SELECT bid_id, n_facts, n_findings, requirement_id, status FROM (SELECT bid_id, requirement_id, status FROM results_ruled WHERE bid_id IN (SELECT bid_id FROM bids ORDER BY bid_id LIMIT 20)) LEFT JOIN (SELECT bid_id, count(*) AS n_facts FROM facts GROUP BY bid_id) USING (bid_id) LEFT JOIN (SELECT bid_id, count(*) AS n_findings FROM findings GROUP BY bid_id) USING (bid_id)".replace("n_findings, requirement_id", "coalesce(n_findings, 0) AS n_findings, requirement_id", 1), "results_ruled", "bids", "facts", "findings"))
+def _store(spark, sf_dir):
+    """All dossiers are stored; those that officers have decided about are stored again as they are now; twenty are read back by id."""
+    from attestra.sources import dossiers as store
+
+    path = files.scratch(spark, "dossier-store")
+    store.upsert(dossiers(spark, sf_dir), path, "bid_id")
+    ruled = adjudication.accepted(resolved(spark, sf_dir)).select("bid_id").distinct()
+    store.upsert(dossiers(spark, sf_dir, _ruled(spark, sf_dir)).join(ruled, "bid_id", "left_semi"), path, "bid_id")
+    wanted = [r["bid_id"] for r in bridge.bids(spark, sf_dir).orderBy("bid_id").limit(20).collect()]  # twenty ids, as a user would ask for
+    found = store.by_ids(spark, path, "bid_id", wanted)
+    return found.select("bid_id", F.size("facts").cast("long").alias("n_facts"), F.size("findings").cast("long").alias("n_findings"), F.explode("results").alias("r")).select("bid_id", "n_facts", "n_findings", "r.requirement_id", "r.status")

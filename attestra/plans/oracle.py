@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from attestra.functions.normalize import ABSENT_WORDS, FALSE_WORDS, NO_DATE_WORDS, NUMBER_WORDS, TRUE_WORDS
+from attestra.operators.text import TOKEN_PATTERNS
 from attestra.operators.resolve import ALIASES, AMBIGUOUS, NOT_COMPARED, PROFILE, SELF_MADE
 from attestra.sources.bridge import REFERENCE_DATE, requirement_rows
 
@@ -137,6 +138,22 @@ WHEN {has('company', 'bidder', 'legal_name', 'entity_name')} THEN CASE WHEN {la}
 ELSE {pair(same, 'CONSISTENT_MATCH', 'GENERAL_CONTRADICTION', 'MEDIUM')} END"""
 
 
+CLEAN = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+UNPRINTABLE = "len(regexp_extract_all(c, '[\\x00-\\x08\\x0E-\\x1F\\x7F]'))"
+#: The longest run of one character of each ``text`` of a relation with a ``block_id`` of its own.
+RUN_SIZES = "SELECT block_id, max(c) AS c FROM (SELECT block_id, ch, g, count(*) AS c FROM (SELECT block_id, ch, i - row_number() OVER (PARTITION BY block_id, ch ORDER BY i) AS g FROM (SELECT block_id, unnest(string_split(text, '')) AS ch, unnest(range(1, len(string_split(text, '')) + 1)) AS i FROM {0} WHERE text <> '')) GROUP BY block_id, ch, g) GROUP BY block_id"
+
+
+def validated(source: str) -> str:
+    """A relation with columns block_id, text and sure_of, with the composite score and validity of its texts."""
+    hits = " + ".join(f"CAST(regexp_matches(c, '(?i){p}') AS INT)" for p in TOKEN_PATTERNS)
+    return f"""SELECT * EXCLUDE (composite, letters, printable, run, tokens, whole, n_clean, c, r), round(composite, 6) AS composite, CASE WHEN n_clean = 0 OR n_clean < 10 OR printable < 0.70 OR letters < 0.20 OR run > 0.50 OR composite < 0.25 THEN 'FAILED' WHEN n_clean < 30 OR letters < 0.40 OR sure_of < 0.50 OR composite < 0.50 THEN 'LOW_CONFIDENCE' ELSE 'ACCEPTED' END AS validity FROM (
+SELECT *, CASE WHEN n_clean = 0 THEN 0.0::DOUBLE WHEN run > 0.35 THEN whole * 0.5::DOUBLE ELSE whole END AS composite FROM (
+SELECT *, (0.35::DOUBLE * sure_of + 0.25::DOUBLE * letters + 0.25::DOUBLE * tokens + 0.15::DOUBLE * least(1.0::DOUBLE, n_clean / 150.0::DOUBLE)) * printable AS whole FROM (
+SELECT *, length(c) AS n_clean, 1 - {UNPRINTABLE}::DOUBLE / nullif(length(c), 0) AS printable, len(regexp_extract_all(c, '[\\p{{L}}\\p{{N}}]'))::DOUBLE / nullif(length(c), 0) AS letters, round(coalesce(r, 0)::DOUBLE / greatest(1, length(c)), 6) AS run, CASE WHEN length(c) < 10 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, ({hits}) / 3.0::DOUBLE) END AS tokens
+FROM (SELECT b.*, {CLEAN} AS c, r FROM {source} b LEFT JOIN (SELECT block_id, c AS r FROM ({RUN_SIZES.format(f"(SELECT block_id, {CLEAN} AS text FROM {source})")})) z ON z.block_id = b.block_id))))"""
+
+
 def over(stand_in: str, select: str, *needs: str) -> str:
     """``sql`` with the view ``stand_in`` in the place of the results."""
     known = _VIEWS["results"]
