@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from attestra.sources import files
+
 from .normalize import Readings, with_readings
 
 
@@ -126,7 +128,9 @@ def judge(asked: DataFrame, known: DataFrame, reference_date: str) -> DataFrame:
     operator that is none of the fifteen is for review; ``asks`` is whether a person must look.
     """
     a, e, reference = Readings("a"), Readings("e"), F.to_date(F.lit(reference_date))
-    distinct = asked.select(F.trim("operator").alias("operator"), "actual", "expected").distinct()
+    path = files.scratch(asked.sparkSession, "asked")
+    asked.select(F.trim("operator").alias("operator"), "actual", "expected").distinct().write.parquet(path)  # small, and read by each family
+    distinct = asked.sparkSession.read.schema("operator string, actual string, expected string").parquet(path)
     wanted = with_readings(distinct.select("expected").distinct(), F.col("expected"), "e", expected=True)
     typed = distinct.join(known, F.col("actual") == F.col("value")).drop("value").join(wanted.withColumnRenamed("expected", "_expected"), F.col("expected").eqNullSafe(F.col("_expected")))
     families = _families(a, e, reference)

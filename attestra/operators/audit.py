@@ -48,7 +48,7 @@ def edges(results: DataFrame, facts: DataFrame, findings: DataFrame, queue: Data
     shown = of_result.join(results.filter("source_document is not null").select("bid_id", F.col("requirement_id").alias("related"), "source_document", "page"), ["bid_id", "related"])
     settled = results.filter("field = 'turnover_cr' and basis <> 'SUPERSEDED'").join(decided.select(F.col("target").alias("bid_id"), "event_id"), "bid_id")
     decision = F.concat(F.lit("ADJUDICATION:"), F.col("event_id").cast("string"))
-    told = checks.filter("status = 'VERIFIED'").select("bid_id", "registry", F.coalesce("identifier", F.lit("")).alias("identifier"), F.explode(F.map_keys("details")).alias("known"))
+    told = checks.filter("status = 'VERIFIED'").select("bid_id", "registry", F.coalesce("identifier", F.lit("")).alias("identifier"), F.explode(F.map_keys(F.map_filter("details", lambda _, v: v.isNotNull()))).alias("known"))
     parts = [
         edge(results, requirement, F.concat(F.lit("BLOCK:"), "tender_id", F.lit(".pdf:1")), "REQUIREMENT_HAS_EVIDENCE"),
         edge(named, fact, block, "FACT_GROUNDED_BY"),

@@ -54,7 +54,7 @@ def nodes(bids: DataFrame, requirements: DataFrame, documents: DataFrame, facts:
         node(documents, "PHYSICAL_TEXT_BLOCK", named("BLOCK", "source_document", "page")),
         node(verified, "PHYSICAL_TEXT_BLOCK", named("BLOCK", "registry", F.coalesce("identifier", F.lit("")))),
         node(facts, "BIDDER_FACT", F.concat(F.lit("FACT:"), F.concat_ws("-", "field", "fact_seq"))),
-        node(verified.select("bid_id", "registry", F.explode(F.map_keys("details")).alias("known")), "BIDDER_FACT", F.concat(F.lit("FACT:"), F.lower("registry"), F.lit("."), "known")),
+        node(verified.select("bid_id", "registry", F.explode(F.map_keys(F.map_filter("details", lambda _, v: v.isNotNull()))).alias("known")), "BIDDER_FACT", F.concat(F.lit("FACT:"), F.lower("registry"), F.lit("."), "known")),
         node(resolve.with_canonical(facts, "field").filter("canonical is not null").select("bid_id", "canonical").distinct(), "CANONICAL_FIELD", named("FIELD", "canonical")),
         node(results, "VERIFICATION_RESULT", named("RESULT", "requirement_id")),
         node(findings, "INTEGRITY_FINDING", F.concat(F.lit("INTEGRITY:"), rollup.finding_id())),

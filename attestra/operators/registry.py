@@ -15,7 +15,7 @@ PROVIDER_STATUS = {
 
 
 #: Of each registry: the status that a record which is not active stands for.
-INACTIVE_AS = {"GST": "INACTIVE", "PAN": "INACTIVE", "UDYAM": "REVIEW", "ITD": "REVIEW", "MCA21": "INACTIVE", "NSIC": "INACTIVE", "OEM": "INACTIVE", "MII": "INACTIVE"}
+INACTIVE_AS = {"GST": "INACTIVE", "PAN": "INACTIVE", "UDYAM": "REVIEW", "ITD": "REVIEW", "MCA21": "INACTIVE", "NSIC": "INACTIVE", "OEM": "INACTIVE", "MII": "INACTIVE", "EPFO": "INACTIVE", "ESIC": "INACTIVE", "DPIIT": "INACTIVE"}
 
 
 def keys(identities: DataFrame) -> DataFrame:
@@ -30,6 +30,7 @@ def keys(identities: DataFrame) -> DataFrame:
     asked = [
         ask("GST", c("gstin")), ask("PAN", c("pan")), ask("UDYAM", c("udyam"), name), ask("ITD", c("itr_pan")), ask("MCA21", name), ask("NSIC", name),
         ask("OEM", c("authorization"), F.concat(F.lit("ACME:"), name)), ask("MII", c("declaration"), F.concat(name, F.lit(":GOODS"))),
+        ask("EPFO", c("epfo")), ask("ESIC", c("esic")), ask("DPIIT", c("dpiit")),
     ]
     return identities.select("bid_id", "expected_name", F.explode(F.array(*asked)).alias("x")).select("bid_id", "x.*", "expected_name").filter("identifier is not null or other is not null")
 
@@ -66,9 +67,18 @@ def facts_of(checks: DataFrame) -> DataFrame:
     return checks.filter("status = 'VERIFIED'").select("bid_id", "registry", F.explode("details").alias("field", "value")).filter("value is not null")
 
 
+# Of each provider of certificates, the fact that its answer gives and that fact's canonical field.
+CERTIFIED = {
+    "PAN": ("pan", "PAN"), "UDYAM": ("udyam_registration_number", "UDYAM_REGISTRATION_NUMBER"), "DPIIT": ("dpiit_recognition_number", "DPIIT_RECOGNITION_NUMBER"),
+    "EPFO": ("epfo_establishment", "EPFO_ESTABLISHMENT"), "ESIC": ("esic_employer", "ESIC_EMPLOYER"),
+}
+
+
 def certificates(checks: DataFrame) -> DataFrame:
-    """(bid_id, field, value, confidence): one fact for each registry's answer, whatever it is."""
-    return checks.select("bid_id", F.concat(F.lower("registry"), F.lit("_status")).alias("field"), F.col("status").alias("value"), F.when(F.col("status") == "VERIFIED", "HIGH").otherwise("LOW").alias("confidence"))
+    """(bid_id, registry, field, canonical, value, status, confidence): one fact for each answer of a provider of certificates, whatever it is: the number that was asked for."""
+    known = F.create_map(*[x for k, (field, canonical) in CERTIFIED.items() for x in (F.lit(k), F.struct(F.lit(field).alias("field"), F.lit(canonical).alias("canonical")))])
+    told = checks.filter(F.col("registry").isin(*CERTIFIED)).withColumn("x", known[F.col("registry")])
+    return told.select("bid_id", "registry", "x.field", "x.canonical", F.col("identifier").alias("value"), "status", F.when(F.col("status") == "VERIFIED", "HIGH").otherwise("LOW").alias("confidence"))
 
 
 def common_status(outcomes: DataFrame) -> DataFrame:

@@ -153,10 +153,11 @@ def expected_registry() -> Column:
     )
 
 
-def pending(results: DataFrame, checks: DataFrame) -> DataFrame:
+def pending(results: DataFrame, checks: DataFrame, debarment: DataFrame) -> DataFrame:
     """Applicable requirements that have not cleanly passed, with the kind of deficiency, what the registry says, and what the bidder should do."""
     open_items = results.filter("applicability <> 'NOT_APPLICABLE' and not (status = 'PASS' and not requires_review)").withColumn("registry_expected", expected_registry())
     told = checks.select("bid_id", F.concat(F.lit("API_SETU_"), "registry", F.lit("_VERIFICATION")).alias("registry_expected"), F.concat_ws(": ", "registry", "status").alias("registry_result"))
+    told = told.unionByName(debarment.select("bid_id", F.lit("DEBARMENT_REGISTRY_CHECK").alias("registry_expected"), F.when(F.col("debarred"), "DEBARMENT: DEBARRED").otherwise("DEBARMENT: CLEAR").alias("registry_result")))
     known = open_items.join(told, ["bid_id", "registry_expected"], "left")
     unverified = F.coalesce(F.regexp_like("registry_result", F.lit("NOT_FOUND|NOT_VERIFIED|UNAVAILABLE")), F.lit(False))
     kind = F.when(F.col("status") == "MISSING", "MISSING_DOCUMENT").when(F.col("status") == "FAIL", "DEFICIENT_VALUE").when(unverified, "UNVERIFIED_GOVERNMENT").otherwise("AMBIGUOUS_EVIDENCE")

@@ -197,9 +197,9 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bid_id, gstin, pan, udyam, authorization, declaration, itr_pan, expected_name): what a bid calls itself last."""
-    p = resolve.profile(summary(spark, sf_dir), ("gstin", "pan", "udyam_registration", "oem_authorization", "mii_declaration", "company_name"))
+    p = resolve.profile(summary(spark, sf_dir), ("gstin", "pan", "udyam_registration", "oem_authorization", "mii_declaration", "company_name", "epfo_code", "esic_code", "dpiit_number"))
     last = lambda f, name: F.col(f"{f}_last").alias(name)
-    return p.select("bid_id", last("gstin", "gstin"), last("pan", "pan"), last("udyam_registration", "udyam"), last("oem_authorization", "authorization"), last("mii_declaration", "declaration"), F.coalesce("pan_last", identifiers.pan_of(F.col("gstin_last"))).alias("itr_pan"), last("company_name", "expected_name"))
+    return p.select("bid_id", last("gstin", "gstin"), last("pan", "pan"), last("udyam_registration", "udyam"), last("oem_authorization", "authorization"), last("mii_declaration", "declaration"), F.coalesce("pan_last", identifiers.pan_of(F.col("gstin_last"))).alias("itr_pan"), last("company_name", "expected_name"), last("epfo_code", "epfo"), last("esic_code", "esic"), last("dpiit_number", "dpiit"))
 
 
 def gst_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,12 +363,12 @@ _PENDING = "bid_id, requirement_id, mandatory, applicability, status, deficiency
 
 @register("d07_pending", oracle.sql(f"SELECT {_PENDING} FROM pend", "pend"))
 def _pending(spark, sf_dir):
-    return rollup.pending(results(spark, sf_dir), checks(spark, sf_dir))
+    return rollup.pending(results(spark, sf_dir), checks(spark, sf_dir), debarment(spark, sf_dir))
 
 
 @register("c15_pending_registry", oracle.sql("SELECT bid_id, requirement_id, registry_expected, registry_result FROM pend WHERE registry_expected IS NOT NULL", "pend"))
 def _pending_registry(spark, sf_dir):
-    return rollup.pending(results(spark, sf_dir), checks(spark, sf_dir)).filter("registry_expected is not null").select("bid_id", "requirement_id", "registry_expected", "registry_result")
+    return rollup.pending(results(spark, sf_dir), checks(spark, sf_dir), debarment(spark, sf_dir)).filter("registry_expected is not null").select("bid_id", "requirement_id", "registry_expected", "registry_result")
 
 
 @register("g03_review_queue", oracle.sql("SELECT bid_id, category, severity, related FROM queue", "queue"))

@@ -293,7 +293,7 @@ UNION ALL SELECT bid_id, 'REVIEW:' || related, CASE source_order WHEN 1 THEN 'RE
 UNION ALL SELECT q.bid_id, 'REVIEW:' || related, 'BLOCK:' || source_document || ':' || CAST(page AS VARCHAR), 'REVIEW_ITEM_SUPPORTED_BY' FROM queue q JOIN results r ON q.bid_id = r.bid_id AND q.related = r.requirement_id WHERE source_order = 1 AND source_document IS NOT NULL
 UNION ALL SELECT bid_id, 'ADJUDICATION:' || CAST(event_id AS VARCHAR), 'RESULT:' || requirement_id, 'ADJUDICATION_OVERRIDES_RESULT' FROM results JOIN decided_events ON target = bid_id WHERE rank = 1 AND field = 'turnover_cr'
 UNION ALL SELECT r.bid_id, 'ADJUDICATION:' || CAST(event_id AS VARCHAR), 'REVIEW:' || related, 'ADJUDICATION_FOR_REVIEW_ITEM' FROM queue r JOIN decided_events ON target = r.bid_id JOIN results x ON x.bid_id = r.bid_id AND x.requirement_id = r.related AND x.rank = 1 AND x.field = 'turnover_cr' WHERE source_order = 1
-UNION ALL SELECT bid_id, 'FACT:' || lower(registry) || '.' || d.field, 'BLOCK:' || registry || ':' || coalesce(identifier, ''), 'FACT_GROUNDED_BY' FROM (SELECT bid_id, registry, identifier, unnest(details) AS d FROM checks WHERE status = 'VERIFIED'))""",
+UNION ALL SELECT bid_id, 'FACT:' || lower(registry) || '.' || d.field, 'BLOCK:' || registry || ':' || coalesce(identifier, ''), 'FACT_GROUNDED_BY' FROM (SELECT bid_id, registry, identifier, unnest(details) AS d FROM checks WHERE status = 'VERIFIED') WHERE d.value IS NOT NULL)""",
     "results", "grouped", "canon", "findings", "queue", "decided_events", "checks",
 )
 oracle.view(
@@ -304,7 +304,7 @@ UNION ALL SELECT bid_id, 'BLOCK:' || tender_id || '.pdf:1', 'PHYSICAL_TEXT_BLOCK
 UNION ALL SELECT bid_id, 'BLOCK:D' || CAST(l_linenumber AS VARCHAR) || ':' || CAST(line_no AS VARCHAR), 'PHYSICAL_TEXT_BLOCK' FROM lines
 UNION ALL SELECT bid_id, 'BLOCK:' || registry || ':' || coalesce(identifier, ''), 'PHYSICAL_TEXT_BLOCK' FROM checks WHERE status = 'VERIFIED'
 UNION ALL SELECT bid_id, {_FACT.format('field', 'fact_seq')}, 'BIDDER_FACT' FROM facts
-UNION ALL SELECT bid_id, 'FACT:' || lower(registry) || '.' || d.field, 'BIDDER_FACT' FROM (SELECT bid_id, registry, unnest(details) AS d FROM checks WHERE status = 'VERIFIED')
+UNION ALL SELECT bid_id, 'FACT:' || lower(registry) || '.' || d.field, 'BIDDER_FACT' FROM (SELECT bid_id, registry, unnest(details) AS d FROM checks WHERE status = 'VERIFIED') WHERE d.value IS NOT NULL
 UNION ALL SELECT bid_id, 'FIELD:' || canonical, 'CANONICAL_FIELD' FROM facts JOIN canon USING (field) WHERE canonical IS NOT NULL
 UNION ALL SELECT bid_id, 'RESULT:' || requirement_id, 'VERIFICATION_RESULT' FROM results
 UNION ALL SELECT bid_id, 'INTEGRITY:' || finding_id, 'INTEGRITY_FINDING' FROM findings
@@ -637,7 +637,7 @@ def _recomputed(spark, sf_dir):
 def _ruled_pending(spark, sf_dir):
     """What is pending for those bids under the decisions."""
     ours = adjudication.accepted(resolved(spark, sf_dir)).select("bid_id").distinct()
-    return rollup.pending(_ruled(spark, sf_dir).join(ours, "bid_id", "left_semi"), base.checks(spark, sf_dir))
+    return rollup.pending(_ruled(spark, sf_dir).join(ours, "bid_id", "left_semi"), base.checks(spark, sf_dir), base.debarment(spark, sf_dir))
 
 
 _MATCHED = "SELECT '{0}' AS replay, count(*) AS cases, count(*) FILTER (status = 'COMPLETE_MATCH') AS complete_matches, round(100.0::DOUBLE * count(*) FILTER (status = 'COMPLETE_MATCH') / count(*), 2) AS match_rate, {1} AS runs, 100.0::DOUBLE AS determinism_rate FROM ({2})"

@@ -154,21 +154,6 @@ SELECT *, length(c) AS n_clean, 1 - {UNPRINTABLE}::DOUBLE / nullif(length(c), 0)
 FROM (SELECT b.*, {CLEAN} AS c, r FROM {source} b LEFT JOIN (SELECT block_id, c AS r FROM ({RUN_SIZES.format(f"(SELECT block_id, {CLEAN} AS text FROM {source})")})) z ON z.block_id = b.block_id))))"""
 
 
-def over(stand_in: str, select: str, *needs: str) -> str:
-    """``sql`` with the view ``stand_in`` in the place of the results."""
-    known = _VIEWS["results"]
-    _VIEWS["original"], before = known, dict(_VIEWS)
-    try:
-        body, parts = _VIEWS[stand_in]
-        _VIEWS["results"] = body.replace("FROM results", "FROM original"), tuple("original" if x == "results" else x for x in parts)
-        return sql(select, *needs)
-    finally:
-        _VIEWS.clear()
-        _VIEWS.update(before)
-        _VIEWS["results"] = known
-        _VIEWS.pop("original", None)
-
-
 def clone(suffix: str, *names: str) -> None:
     """Copies of views, named with ``suffix``, that read each other's copies in place of the originals."""
     renamed = re.compile(r"\b(FROM|JOIN) (" + "|".join(names) + r")\b")
@@ -218,6 +203,14 @@ def udyam(k: str) -> str:
     return f"('UDYAM-MH-12-' || lpad(CAST({k} AS VARCHAR), 7, '0'))"
 
 
+def epfo(k: str) -> str:
+    return f"('MHBAN' || lpad(CAST({k} AS VARCHAR), 7, '0'))"
+
+
+def esic(k: str) -> str:
+    return f"('31' || lpad(CAST({k} AS VARCHAR), 15, '0'))"
+
+
 _DAY = "strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d')"
 _FACT = {
     "turnover_cr": "CASE WHEN line_no % 2 = 1 THEN CAST(CAST(l_quantity AS INT) % 5 + 1 AS VARCHAR) || ' crore' ELSE CAST((CAST(l_quantity AS INT) % 5 + 1) * 100 AS VARCHAR) || ' lakh' END",
@@ -234,19 +227,24 @@ _FACT = {
     "is_startup": "CASE WHEN line_no = 1 THEN CASE l_suppkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' END END",
     "dpiit_number": "CASE WHEN line_no = 1 AND l_suppkey % 6 = 0 THEN 'DIPP' || CAST(l_suppkey AS VARCHAR) END",
     "udyam_registration": f"CASE WHEN line_no = 1 AND l_suppkey % 4 <> 0 THEN {udyam('l_suppkey')} END",
+    "epfo_code": f"CASE WHEN line_no = 1 AND l_suppkey % 5 <> 0 THEN {epfo('l_suppkey')} END",
+    "esic_code": f"CASE WHEN line_no = 1 AND l_suppkey % 7 <> 0 THEN {esic('l_suppkey')} END",
     "annual_turnover": "CASE WHEN line_no = 2 AND l_partkey % 9 = 0 THEN CAST(CAST(l_quantity AS INT) % 5 + 2 AS VARCHAR) || ' crore' END",
 }
 view("facts", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT bid_id, '{k}' AS field, {v} AS value, 'D' || CAST(l_linenumber AS VARCHAR) AS source_document, line_no AS page, CASE WHEN l_tax > 0.07 THEN 'LOW' ELSE 'HIGH' END AS extraction_confidence, line_no AS fact_seq FROM lines" for k, v in _FACT.items()) + ") WHERE value IS NOT NULL", "lines")
 _OTHER = "CASE WHEN s_suppkey % 13 = 0 THEN 'Other ' || CAST(s_suppkey AS VARCHAR) ELSE s_name END"
 _S = "CAST(s_suppkey AS VARCHAR)"
 _RECORDS = (  # registry, key, left out, not active, facts of a verified record
-    ("GST", gstin("s_suppkey"), "s_suppkey % 17 = 0", ("s_acctbal < 0", "CANCELLED"), {"gstin": gstin("s_suppkey"), "legal_name": "s_name"}),
+    ("GST", gstin("s_suppkey"), "s_suppkey % 17 = 0", ("s_acctbal < 0", "CANCELLED"), {"gstin": gstin("s_suppkey"), "legal_name": "s_name", "gst_status": "'ACTIVE'", "taxpayer_type": "CASE WHEN s_suppkey % 2 = 0 THEN 'Regular' ELSE 'Composition' END", "registration_date": "CASE WHEN s_suppkey % 3 <> 0 THEN '2017-07-01' END", "pan": pan("s_suppkey"), "gst_filing_compliance": "'TOTAL_FILED_' || CAST(s_suppkey % 12 AS VARCHAR)"}),
     ("PAN", pan("s_suppkey"), "s_suppkey % 23 = 0", ("s_suppkey % 19 = 0", "INACTIVE"), {"pan": pan("s_suppkey")}),
     ("UDYAM", udyam("s_suppkey"), "s_suppkey % 7 = 0", ("s_suppkey % 11 = 0", "SUSPENDED"), {"udyam_registration": udyam("s_suppkey"), "is_mse": "'true'"}),
     ("ITD", pan("s_suppkey"), "s_suppkey % 10 = 0", ("s_suppkey % 5 = 0", "NOT_FILED"), {"itr_filing_status": "'FILED'", "itr_ack_number": f"'ACK' || {_S}", "turnover_cr": "CAST(s_suppkey % 9 + 1 AS VARCHAR)"}),
     ("MCA21", "s_name", "s_suppkey % 9 = 0", ("s_suppkey % 8 = 0", "STRUCK_OFF"), {"cin": f"'U' || lpad({_S}, 5, '0') || 'MH'", "legal_name": _OTHER, "mca_status": "'ACTIVE'"}),
     ("NSIC", "s_name", "s_suppkey % 4 = 0", ("s_suppkey % 6 = 0", "EXPIRED"), {"nsic_registration": f"'NSIC' || {_S}", "is_mse": "'true'"}),
     ("OEM", "'ACME:' || s_name", "s_suppkey % 5 = 0", ("s_suppkey % 12 = 0", "EXPIRED"), {"oem_authorization": f"'MAF' || {_S}", "oem_authorized": "'true'"}),
+    ("EPFO", epfo("s_suppkey"), "s_suppkey % 21 = 0", ("s_suppkey % 16 = 0", "INACTIVE"), {"epfo_establishment": epfo("s_suppkey")}),
+    ("ESIC", esic("s_suppkey"), "s_suppkey % 18 = 0", ("s_suppkey % 22 = 0", "INACTIVE"), {"esic_employer": esic("s_suppkey")}),
+    ("DPIIT", f"'DIPP' || {_S}", "s_suppkey % 12 = 0", ("s_suppkey % 18 = 0", "EXPIRED"), {"dpiit_recognition_number": f"'DIPP' || {_S}", "is_startup": "'true'"}),
     ("MII", "s_name || ':GOODS'", "s_suppkey % 3 = 0", ("s_suppkey % 14 = 0", "INVALID"), {"local_content_percent": "CAST(s_suppkey % 60 + 20 AS VARCHAR)", "mii_declaration": f"'MII' || {_S}"}),
 )
 view("registry", " UNION ALL ".join(f"SELECT '{r}' AS registry, {k} AS key, {_OTHER} AS holder, CASE WHEN {bad} THEN '{word}' ELSE 'ACTIVE' END AS state, [{', '.join(f"struct_pack(field := '{f}', value := {v})" for f, v in told.items())}] AS details FROM supplier WHERE NOT ({out})" for r, k, out, (bad, word), told in _RECORDS))
@@ -310,8 +308,8 @@ view("compared", f"SELECT field, value_a, value_b, {compare('field', 'value_a',
 view("pairs", "SELECT p.*, x.status AS status, x.finding_type AS finding_type, x.severity AS severity FROM raw_pairs p JOIN compared c ON p.field = c.field AND p.value_a = c.value_a AND p.value_b = c.value_b", "raw_pairs", "compared")
 FINDING_ID = "format('{}-{}-{:06d}-{}-{:06d}', field, raw_field_a, seq_a, raw_field_b, seq_b)"
 view("findings", f"SELECT *, {FINDING_ID} AS finding_id FROM pairs WHERE status <> 'CONSISTENT'", "pairs")
-view("ids", "SELECT bid_id, max(value) FILTER (field = 'gstin') AS gstin, max(value) FILTER (field = 'pan') AS pan, max(value) FILTER (field = 'udyam_registration') AS udyam, max(value) FILTER (field = 'company_name') AS expected_name FROM last_facts GROUP BY bid_id", "last_facts")
-view("questions", "SELECT bid_id, expected_name, unnest(['GST', 'PAN', 'UDYAM', 'ITD', 'MCA21', 'NSIC', 'OEM', 'MII']) AS registry, unnest([gstin, pan, udyam, CASE WHEN pan IS NOT NULL THEN pan WHEN length(trim(gstin)) = 15 THEN substring(upper(trim(gstin)), 3, 10) END, expected_name, expected_name, NULL, NULL]) AS identifier, unnest([NULL, NULL, expected_name, NULL, NULL, NULL, 'ACME:' || expected_name, expected_name || ':GOODS']) AS other FROM ids", "ids")
+view("ids", "SELECT bid_id, max(value) FILTER (field = 'gstin') AS gstin, max(value) FILTER (field = 'pan') AS pan, max(value) FILTER (field = 'udyam_registration') AS udyam, max(value) FILTER (field = 'company_name') AS expected_name, max(value) FILTER (field = 'epfo_code') AS epfo, max(value) FILTER (field = 'esic_code') AS esic, max(value) FILTER (field = 'dpiit_number') AS dpiit FROM last_facts GROUP BY bid_id", "last_facts")
+view("questions", "SELECT bid_id, expected_name, unnest(['GST', 'PAN', 'UDYAM', 'ITD', 'MCA21', 'NSIC', 'OEM', 'MII', 'EPFO', 'ESIC', 'DPIIT']) AS registry, unnest([gstin, pan, udyam, CASE WHEN pan IS NOT NULL THEN pan WHEN length(trim(gstin)) = 15 THEN substring(upper(trim(gstin)), 3, 10) END, expected_name, expected_name, NULL, NULL, epfo, esic, dpiit]) AS identifier, unnest([NULL, NULL, expected_name, NULL, NULL, NULL, 'ACME:' || expected_name, expected_name || ':GOODS', NULL, NULL, NULL]) AS other FROM ids", "ids")
 view("records", "SELECT registry, upper(regexp_replace(key, '\\s', '', 'g')) AS k, min_by(struct_pack(holder := holder, state := state, details := details), struct_pack(h := holder, s := state)) AS r FROM registry GROUP BY ALL", "registry")
 _A, _B = registry_name("x.holder"), registry_name("expected_name")
 view("checks", f"SELECT bid_id, registry, identifier, expected_name, x.holder AS holder, x.details AS details, CASE WHEN x IS NULL THEN 'NOT_FOUND' WHEN x.state <> 'ACTIVE' THEN CASE WHEN registry IN ('UDYAM', 'ITD') THEN 'REVIEW' ELSE 'INACTIVE' END WHEN expected_name IS NOT NULL AND NOT ({_A} = {_B} OR contains({_A}, {_B}) OR contains({_B}, {_A})) THEN 'IDENTITY_MISMATCH' ELSE 'VERIFIED' END AS status FROM (SELECT q.*, coalesce(a.r, b.r) AS x FROM questions q LEFT JOIN records a ON a.registry = q.registry AND a.k = upper(regexp_replace(q.identifier, '\\s', '', 'g')) LEFT JOIN records b ON b.registry = q.registry AND b.k = upper(regexp_replace(q.other, '\\s', '', 'g')) WHERE q.identifier IS NOT NULL OR q.other IS NOT NULL)", "questions", "records")
@@ -334,6 +332,6 @@ view("risk", "SELECT bid_id, CASE worst WHEN 3 THEN 'CRITICAL' WHEN 2 THEN 'HIGH
 _REGISTRY = "CASE WHEN contains(lower(field), 'pan') OR contains(lower(category), 'pan') THEN 'API_SETU_PAN_VERIFICATION' WHEN regexp_matches(lower(field), 'udyam|msme') THEN 'API_SETU_UDYAM_VERIFICATION' WHEN regexp_matches(lower(field), 'epfo|uan') THEN 'API_SETU_EPFO_VERIFICATION' WHEN regexp_matches(lower(field), 'esic|ip_number') THEN 'API_SETU_ESIC_VERIFICATION' WHEN regexp_matches(lower(field), 'dpiit|startup') THEN 'API_SETU_DPIIT_VERIFICATION' WHEN regexp_matches(lower(field), 'debarment|blacklist') THEN 'DEBARMENT_REGISTRY_CHECK' END"
 view("pend", f"""SELECT *, CASE deficiency_type WHEN 'MISSING_DOCUMENT' THEN 'Submit a document that proves ' || requirement_id WHEN 'DEFICIENT_VALUE' THEN 'Submit evidence for ' || coalesce(expected_value, '') || ' instead of ' || coalesce(actual, '') WHEN 'UNVERIFIED_GOVERNMENT' THEN 'Verify with ' || registry_expected ELSE 'Officer review' END AS action FROM (
 SELECT r.bid_id, requirement_id, mandatory, applicability, r.status, r.expected_value, r.actual, CASE r.status WHEN 'MISSING' THEN 'MISSING_DOCUMENT' WHEN 'FAIL' THEN 'DEFICIENT_VALUE' ELSE CASE WHEN c.status IN ('NOT_FOUND', 'UNAVAILABLE') THEN 'UNVERIFIED_GOVERNMENT' ELSE 'AMBIGUOUS_EVIDENCE' END END AS deficiency_type, registry_expected, c.registry || ': ' || c.status AS registry_result, requires_review OR r.status <> 'PASS' AS requires_review
-FROM (SELECT *, {_REGISTRY} AS registry_expected FROM results WHERE applicability <> 'NOT_APPLICABLE' AND NOT (status = 'PASS' AND NOT requires_review)) r LEFT JOIN checks c ON c.bid_id = r.bid_id AND 'API_SETU_' || c.registry || '_VERIFICATION' = r.registry_expected)""", "results", "checks")
+FROM (SELECT *, {_REGISTRY} AS registry_expected FROM results WHERE applicability <> 'NOT_APPLICABLE' AND NOT (status = 'PASS' AND NOT requires_review)) r LEFT JOIN (SELECT bid_id, registry, status, 'API_SETU_' || registry || '_VERIFICATION' AS expected FROM checks UNION ALL SELECT bid_id, 'DEBARMENT', CASE WHEN debarred THEN 'DEBARRED' ELSE 'CLEAR' END, 'DEBARMENT_REGISTRY_CHECK' FROM debarment) c ON c.bid_id = r.bid_id AND c.expected = r.registry_expected)""", "results", "checks", "debarment")
 view("overall", "SELECT bid_id, compliance_status, integrity_status, overall_status, overall_status = 'REVIEW' OR n_items > 0 AS review_required, CAST(anomalies AS BIGINT) AS anomalies, debarred FROM (SELECT *, CASE WHEN debarred OR compliance_status = 'FAIL' THEN 'FAIL' WHEN compliance_status IN ('MISSING', 'REVIEW') THEN 'REVIEW' WHEN compliance_status = 'PASS' AND integrity_status = 'CONSISTENT' AND n_items = 0 THEN 'PASS' ELSE 'REVIEW' END AS overall_status FROM (SELECT b.bid_id, coalesce(c.compliance_status, 'REVIEW') AS compliance_status, CASE WHEN coalesce(contradictions, 0) > 0 THEN 'CONTRADICTION' WHEN coalesce(integrity_reviews, 0) > 0 THEN 'REVIEW' ELSE 'CONSISTENT' END AS integrity_status, coalesce(d.debarred, false) AS debarred, coalesce(q.n, 0) AS n_items, coalesce(contradictions, 0) + coalesce(integrity_reviews, 0) + CASE WHEN coalesce(d.debarred, false) THEN 1 ELSE 0 END AS anomalies FROM bids b LEFT JOIN compliance c ON b.bid_id = c.bid_id LEFT JOIN integ i ON b.bid_id = i.bid_id LEFT JOIN debarment d ON b.bid_id = d.bid_id LEFT JOIN (SELECT bid_id, count(*) AS n FROM queue GROUP BY bid_id) q ON b.bid_id = q.bid_id))", "bids", "compliance", "integ", "debarment", "queue")
 view("recommend", "SELECT bid_id, CASE WHEN fail THEN 'FAIL' WHEN look THEN 'REVIEW' ELSE 'PASS' END AS verdict, CASE WHEN fail OR NOT look OR contra > 0 OR lacking > 0 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, CAST(issues AS BIGINT) AS n_critical_issues FROM (SELECT *, debarred OR fails > 0 AS fail, issues > 0 OR level IN ('HIGH', 'CRITICAL') OR under_review > 0 OR final_score < 75 AS look FROM (SELECT s.bid_id, s.debarred, s.under_review, s.final_score, r.level, coalesce(f.fails, 0) AS fails, coalesce(p.lacking, 0) AS lacking, coalesce(i.high_contradictions, 0) AS contra, CASE WHEN s.debarred THEN 1 ELSE 0 END + coalesce(f.fails, 0) + coalesce(p.lacking, 0) + coalesce(i.high_contradictions, 0) + coalesce(c.bad, 0) AS issues FROM scores s JOIN risk r ON s.bid_id = r.bid_id LEFT JOIN (SELECT bid_id, count(*) AS fails FROM results WHERE status = 'FAIL' AND severity IN ('CRITICAL', 'MAJOR') GROUP BY bid_id) f ON s.bid_id = f.bid_id LEFT JOIN (SELECT bid_id, count(*) AS lacking FROM pend WHERE mandatory AND status = 'MISSING' GROUP BY bid_id) p ON s.bid_id = p.bid_id LEFT JOIN integ i ON s.bid_id = i.bid_id LEFT JOIN (SELECT bid_id, count(*) AS bad FROM checks WHERE status IN ('IDENTITY_MISMATCH', 'INACTIVE', 'UNAUTHORIZED', 'REVOKED', 'REVIEW', 'UNAVAILABLE', 'ERROR', 'UNVERIFIED') GROUP BY bid_id) c ON s.bid_id = c.bid_id))", "scores", "risk", "results", "pend", "integ", "checks")

@@ -59,6 +59,8 @@ def requirement_rows() -> list[tuple]:
         add(t, "R57", "OTHER", "local_content_percent", ">=", "50", False, categories="GOODS,WORKS")
         add(t, "R58", "OTHER", "local_support", "EXISTS", None, False, roles="RESELLER,DISTRIBUTOR")
         add(t, "R59", "STATUTORY", "pan", "MATCHES", "^[A-Z]{5}", False)
+        add(t, "R60", "STATUTORY", "debarment_declaration", "EXISTS", None, False)
+        add(t, "R61", "STATUTORY", "dpiit_number", "MATCHES", "^DIPP", False)
     return rows
 
 
@@ -98,6 +100,14 @@ def udyam_of(supplier: str) -> Column:
     return F.concat(F.lit("UDYAM-MH-12-"), F.lpad(F.col(supplier).cast("string"), 7, "0"))
 
 
+def epfo_of(supplier: str) -> Column:
+    return F.concat(F.lit("MHBAN"), F.lpad(F.col(supplier).cast("string"), 7, "0"))
+
+
+def esic_of(supplier: str) -> Column:
+    return F.concat(F.lit("31"), F.lpad(F.col(supplier).cast("string"), 15, "0"))
+
+
 def pan_of(supplier: str) -> Column:
     return F.substring(gstin_of(supplier), 3, 10)
 
@@ -133,6 +143,8 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "is_startup": F.when(first, F.when(F.col("l_suppkey") % 3 == 0, "Yes").when(F.col("l_suppkey") % 3 == 1, "No")),
         "dpiit_number": F.when(first & (F.col("l_suppkey") % 6 == 0), F.concat(F.lit("DIPP"), n(F.col("l_suppkey")))),
         "udyam_registration": F.when(first & (F.col("l_suppkey") % 4 != 0), udyam_of("l_suppkey")),
+        "epfo_code": F.when(first & (F.col("l_suppkey") % 5 != 0), epfo_of("l_suppkey")),
+        "esic_code": F.when(first & (F.col("l_suppkey") % 7 != 0), esic_of("l_suppkey")),
         "annual_turnover": F.when((F.col("line_no") == 2) & (F.col("l_partkey") % 9 == 0), F.concat(n(q + 1), F.lit(" crore"))),
     }
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in values.items()]))
@@ -141,7 +153,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The registries, each a part of the suppliers: its key, who is left out, and which statuses records have.
-REGISTRIES = ("GST", "PAN", "UDYAM", "ITD", "MCA21", "NSIC", "OEM", "MII")
+REGISTRIES = ("GST", "PAN", "UDYAM", "ITD", "MCA21", "NSIC", "OEM", "MII", "EPFO", "ESIC", "DPIIT")
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,13 +168,16 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = lambda name, key, status, facts, left_out: F.when(~left_out, F.struct(F.lit(name).alias("registry"), key.alias("key"), other.alias("holder"), status.alias("status"), facts.alias("details")))
     active = lambda bad, word: F.when(bad, word).otherwise("ACTIVE")
     records = [
-        record("GST", gstin_of("s_suppkey"), active(low, "CANCELLED"), details(gstin=gstin_of("s_suppkey"), legal_name=F.col("s_name")), k % 17 == 0),
+        record("GST", gstin_of("s_suppkey"), active(low, "CANCELLED"), details(gstin=gstin_of("s_suppkey"), legal_name=F.col("s_name"), gst_status=F.lit("ACTIVE"), taxpayer_type=F.when(k % 2 == 0, "Regular").otherwise("Composition"), registration_date=F.when(k % 3 != 0, "2017-07-01"), pan=pan_of("s_suppkey"), gst_filing_compliance=F.concat(F.lit("TOTAL_FILED_"), text(k % 12))), k % 17 == 0),
         record("PAN", pan_of("s_suppkey"), active(k % 19 == 0, "INACTIVE"), details(pan=pan_of("s_suppkey")), k % 23 == 0),
         record("UDYAM", udyam_of("s_suppkey"), active(k % 11 == 0, "SUSPENDED"), details(udyam_registration=udyam_of("s_suppkey"), is_mse=F.lit(True)), k % 7 == 0),
         record("ITD", pan_of("s_suppkey"), active(k % 5 == 0, "NOT_FILED"), details(itr_filing_status=F.lit("FILED"), itr_ack_number=F.concat(F.lit("ACK"), text(k)), turnover_cr=k % 9 + 1), k % 10 == 0),
         record("MCA21", F.col("s_name"), active(k % 8 == 0, "STRUCK_OFF"), details(cin=F.concat(F.lit("U"), F.lpad(text(k), 5, "0"), F.lit("MH")), legal_name=other, mca_status=F.lit("ACTIVE")), k % 9 == 0),
         record("NSIC", F.col("s_name"), active(k % 6 == 0, "EXPIRED"), details(nsic_registration=F.concat(F.lit("NSIC"), text(k)), is_mse=F.lit(True)), k % 4 == 0),
         record("OEM", F.concat(F.lit("ACME:"), F.col("s_name")), active(k % 12 == 0, "EXPIRED"), details(oem_authorization=F.concat(F.lit("MAF"), text(k)), oem_authorized=F.lit(True)), k % 5 == 0),
+        record("EPFO", epfo_of("s_suppkey"), active(k % 16 == 0, "INACTIVE"), details(epfo_establishment=epfo_of("s_suppkey")), k % 21 == 0),
+        record("ESIC", esic_of("s_suppkey"), active(k % 22 == 0, "INACTIVE"), details(esic_employer=esic_of("s_suppkey")), k % 18 == 0),
+        record("DPIIT", F.concat(F.lit("DIPP"), text(k)), active(k % 18 == 0, "EXPIRED"), details(dpiit_recognition_number=F.concat(F.lit("DIPP"), text(k)), is_startup=F.lit(True)), k % 12 == 0),
         record("MII", F.concat(F.col("s_name"), F.lit(":GOODS")), active(k % 14 == 0, "INVALID"), details(local_content_percent=k % 60 + 20, mii_declaration=F.concat(F.lit("MII"), text(k))), k % 3 == 0),
     ]
     return table(spark, sf_dir, "supplier").select(F.explode(F.array_compact(F.array(*records))).alias("r")).select("r.*")

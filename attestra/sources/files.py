@@ -57,3 +57,16 @@ def contract_errors(df: DataFrame, required: list[str], members: dict[str, list[
     checks += [F.when(F.size(c) < n, F.lit(f"{c}: too few")) for c, n in (sizes or {}).items()]
     checks += [F.when(F.size(F.array_except(F.map_keys(c), F.array(*map(F.lit, some)))) > 0, F.lit(f"{c}: other keys")) for c, some in (keys or {}).items()]
     return df.withColumn("errors", F.array_compact(F.array(*checks)))
+
+
+def manifest(found: DataFrame) -> DataFrame:
+    """(file, bytes, sha256, manifest) of a binary file source: ``manifest`` is the SHA-256 of all files' hashes in order, one for all.
+
+    A file is a row, which bounds it to 2 GB; its bytes are hashed where they are read and go no further.
+    """
+    each = found.select(F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    path = scratch(found.sparkSession, "manifest")
+    each.write.parquet(path)
+    each = found.sparkSession.read.schema(each.schema).parquet(path)
+    whole = each.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file", "sha256"))), lambda x: F.concat_ws(":", x["file"], x["sha256"])), ";"), 256).alias("manifest"))  # a line a file
+    return each.join(F.broadcast(whole))
