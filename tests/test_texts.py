@@ -34,7 +34,7 @@ def test_requirement_chain(spark):
     got = sorted((r["field"], r["category"], r["operator"], r["normalised"], r["n"], r["grounding"]) for r in extraction.requirements(payloads, blocks).collect())
     assert got == [
         ("land_border_compliance_undertaking", "LEGAL_UNDERTAKING", "EXISTS", None, 1, "ACCEPTED"), ("land_border_registration", "STATUTORY_ELIGIBILITY", "==", None, 1, "ACCEPTED"),
-        ("warranty_years", "CERTIFICATION", ">=", "24", 1, "ACCEPTED"), ("x", "OTHER", ">=", "9", 1, "REVIEW_REQUIRED"),
+        ("warranty_years", "CERTIFICATION", ">=", "24", 2, "ACCEPTED"), ("x", "OTHER", ">=", "9", 1, "REVIEW_REQUIRED"),
     ]
 
 
