@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from attestra.functions import normalize
 
+from . import resolve
+
 #: Provider outcomes and the common status that they stand for.
 PROVIDER_STATUS = {
     "ACTIVE": "VERIFIED", "CANCELLED": "INACTIVE", "SUSPENDED": "INACTIVE", "NOT_FOUND": "NOT_FOUND", "INVALID_FORMAT": "UNVERIFIED", "QUOTA_EXCEEDED": "REVIEW",
@@ -85,3 +87,29 @@ def common_status(outcomes: DataFrame) -> DataFrame:
     """``outcomes`` (.., outcome) with the status it stands for; unknown outcomes are for review."""
     names = outcomes.sparkSession.createDataFrame(list(PROVIDER_STATUS.items()), "outcome string, status string")
     return outcomes.join(F.broadcast(names), "outcome", "left").withColumn("status", F.coalesce("status", F.lit("REVIEW")))
+
+
+# Classes of declared identifiers: canonical fields and names of fields.
+DECLARED = {
+    "REGULATORY": (("GSTIN", "PAN", "UDYAM_REGISTRATION", "CIN"), ("gstin", "pan", "udyam_registration", "cin")),
+    "AUTHORIZATION": (("OEM_AUTHORIZATION_CODE", "AUTHORIZATION_CODE"), ("oem_authorization_code", "authorization_code", "oem_auth_code", "maf_code", "oem_authorization")),
+    "DECLARATION": (("MII_DECLARATION",), ("mii", "mii_declaration", "mii_declaration_number", "mii_certificate")),
+    "RETURN": (("ITR_ACK",), ("itr", "itr_ack", "itr_acknowledgement_number", "itr_ack_number")),
+}
+ASKED_CLASS = {"OEM": "AUTHORIZATION", "MII": "DECLARATION", "ITD": "RETURN"}
+
+
+def undeclared(facts: DataFrame, checks: DataFrame) -> DataFrame:
+    """(side, bid_id, class, id): NOT_CHECKED, declared regulatory identifiers that no registry was asked for; NOT_DECLARED, what one was asked for that the bid, which declares others of its class, does not declare."""
+    kind = F.lit(None).cast("string")
+    for name, (canonical, fields) in reversed(DECLARED.items()):
+        kind = F.when(F.coalesce("canonical", F.lit("")).isin(*canonical) | F.lower("field").isin(*fields), name).otherwise(kind)
+    clean = lambda c: F.upper(F.trim(F.coalesce(c, F.lit(""))))
+    declared = resolve.with_canonical(facts, "field").select("bid_id", kind.alias("class"), clean("value").alias("id")).filter("class is not null and id <> ''").distinct()
+    of = F.lit("REGULATORY")
+    for name, asked in ASKED_CLASS.items():
+        of = F.when(F.col("registry") == name, asked).otherwise(of)
+    captured = checks.select("bid_id", of.alias("class"), clean("identifier").alias("id")).filter("id <> ''").distinct()
+    missing = declared.filter("class = 'REGULATORY'").join(captured.select("bid_id", "id").distinct(), ["bid_id", "id"], "left_anti")
+    extra = captured.join(declared.select("bid_id", "class").distinct(), ["bid_id", "class"], "left_semi").join(declared, ["bid_id", "class", "id"], "left_anti")
+    return missing.select(F.lit("NOT_CHECKED").alias("side"), "bid_id", "class", "id").unionByName(extra.select(F.lit("NOT_DECLARED").alias("side"), "bid_id", "class", "id"))

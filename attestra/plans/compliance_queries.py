@@ -196,10 +196,15 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(bid_id, gstin, pan, udyam, authorization, declaration, itr_pan, expected_name): what a bid calls itself last."""
-    p = resolve.profile(summary(spark, sf_dir), ("gstin", "pan", "udyam_registration", "oem_authorization", "mii_declaration", "company_name", "epfo_code", "esic_code", "dpiit_number"))
-    last = lambda f, name: F.col(f"{f}_last").alias(name)
-    return p.select("bid_id", last("gstin", "gstin"), last("pan", "pan"), last("udyam_registration", "udyam"), last("oem_authorization", "authorization"), last("mii_declaration", "declaration"), F.coalesce("pan_last", identifiers.pan_of(F.col("gstin_last"))).alias("itr_pan"), last("company_name", "expected_name"), last("epfo_code", "epfo"), last("esic_code", "esic"), last("dpiit_number", "dpiit"))
+    """(bid_id, gstin, pan, udyam, authorization, declaration, epfo, esic, dpiit, itr_pan, expected_name): what a bid calls itself last, by the field's own name, else by any that stands for the same."""
+    known = summary(spark, sf_dir)
+    own = {"gstin": "gstin", "pan": "pan", "udyam_registration": "udyam", "oem_authorization": "authorization", "mii_declaration": "declaration", "company_name": "expected_name", "epfo_code": "epfo", "esic_code": "esic", "dpiit_number": "dpiit"}
+    p = resolve.profile(known, tuple(own)).select("bid_id", *[F.col(f"{f}_last").alias(name) for f, name in own.items()])
+    stands = {"gstin": "GSTIN", "pan": "PAN", "udyam": "UDYAM_REGISTRATION", "expected_name": "LEGAL_ENTITY_NAME"}
+    last = lambda c: F.max_by(F.when(F.col("canonical") == c, F.col("last.value")), F.when(F.col("canonical") == c, F.struct("last.fact_seq", "field")))
+    other = known.filter(F.col("canonical").isin(*stands.values())).groupBy("bid_id").agg(*[last(c).alias(f"other_{name}") for name, c in stands.items()])
+    out = p.join(other, "bid_id", "full_outer").withColumns({name: F.coalesce(name, f"other_{name}") for name in stands}).select("bid_id", *own.values())
+    return out.withColumn("itr_pan", F.coalesce("pan", identifiers.pan_of(F.col("gstin"))))
 
 
 def gst_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,11 +81,23 @@ def _blocks(spark, sf_dir):
     return bridge.blocks(spark, sf_dir).select("doc_id", "page_number", "position", "block_id", F.length("text").cast("long").alias("size"))
 
 
-@register("a09_contract_check", "SELECT event_id, CAST(CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 1 ELSE 0 END + CASE WHEN user_id < 5 THEN 1 ELSE 0 END + CASE WHEN event_id % 4 < 2 THEN 1 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS n_errors FROM events")
-def _contract(spark, sf_dir):
+_FAULTS = "CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 1 ELSE 0 END + CASE WHEN user_id < 5 THEN 1 ELSE 0 END + CASE WHEN event_id % 4 < 2 THEN 1 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END"
+
+
+def _records(spark, sf_dir):
     records = bridge.table(spark, sf_dir, "events").withColumns({"blocks": F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 1, (F.col("event_id") % 4).cast("int")), "extra": F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("colour"), F.lit("red"))).otherwise(F.create_map(F.lit("note"), F.lit("x")))})
-    checked = files.contract_errors(records, ["event_id"], {"event_type": ["view", "click", "purchase"]}, {"user_id": 5}, sizes={"blocks": 2}, keys={"extra": ["note"]})
-    return checked.select("event_id", F.size("errors").alias("n_errors"))
+    return files.contract_errors(records, ["event_id"], {"event_type": ["view", "click", "purchase"]}, {"user_id": 5}, sizes={"blocks": 2}, keys={"extra": ["note"]})
+
+
+@register("a09_contract_check", f"SELECT event_id, CAST({_FAULTS} AS INT) AS n_errors FROM events")
+def _contract(spark, sf_dir):
+    return _records(spark, sf_dir).select("event_id", F.size("errors").alias("n_errors"))
+
+
+@register("a09_valid_records", f"SELECT event_id, event_type, user_id FROM events WHERE ({_FAULTS}) = 0")
+def _valid_records(spark, sf_dir):
+    """The records that keep the contract; the others go no further."""
+    return files.valid(_records(spark, sf_dir))[0].select("event_id", "event_type", "user_id")
 
 
 _PATTERNS = ", ".join(f"('{k}', '(?i){p}')" for k, p in text.FACT_PATTERNS.items())
@@ -267,11 +279,15 @@ def _support(spark, sf_dir):
 _SUPPORTED = oracle._list(text.SUPPORTED)
 
 
-@register("t09_extract_facts", oracle.sql(f"SELECT format('FACT-{{}}-{{}}-{{:03d}}', CAST(doc_id AS VARCHAR), upper(field), page_number * 10 + place) AS fact_id, field, value, page_number AS page, CASE WHEN place % 2 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, outcome FROM claims WHERE outcome IN {_SUPPORTED}", "claims"))
+@register("t09_extract_facts", oracle.sql(f"SELECT format('FACT-{{}}/s{{}}-{{}}-{{:03d}}', CAST(doc_id AS VARCHAR), CAST(page_number AS VARCHAR), upper(field), place + 1) AS fact_id, field, value, page_number AS page, CASE WHEN place % 2 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, outcome FROM claims WHERE outcome IN {_SUPPORTED} AND value <> ''", "claims"))
 def _facts(spark, sf_dir):
-    block = F.col("block_id")
-    c = claims(spark, sf_dir).select("doc_id", (F.col("page_number") * 10 + F.col("place")).cast("int").alias("place"), "field", "value", F.when(F.col("place") % 2 == 0, F.array(block)).otherwise(F.array(block, block)).alias("block_ids"))
-    return extraction.facts(c, bridge.statements(spark, sf_dir)).select("fact_id", "field", "value", "page", "confidence", "outcome")
+    """What a model would answer about each statement, as a payload; every second claim names its block twice."""
+    key, block = F.concat_ws("/", F.col("doc_id").cast("string"), "block_id"), F.col("block_id")
+    one = F.struct("field", F.col("value").alias("raw_value"), F.when(F.col("place") % 2 == 0, F.array(block)).otherwise(F.array(block, block)).alias("evidence_block_ids"))
+    said = claims(spark, sf_dir).groupBy(key.alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("place", one.alias("x")))).alias("all"))  # the claims of one statement
+    payloads = said.select("doc_id", F.concat(F.lit("```json\n"), F.to_json(F.struct(F.transform("all", lambda c: c["x"]).alias("facts"))), F.lit("\n```")).alias("payload"))
+    blocks = bridge.statements(spark, sf_dir).select(key.alias("doc_id"), "block_id", "page_number", "text")
+    return extraction.facts(extraction.parsed_facts(payloads, "payload"), blocks).select("fact_id", "field", "value", "page", "confidence", "outcome")
 
 
 # Gold items: the warranty (under another name, or with another value, for some) and the turnover of each statement; some lie in a block that no answer names.

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from attestra.operators import adjudication, audit, evaluate, graph, replay, resolve, rollup, text
+from attestra.operators import adjudication, audit, evaluate, graph, registry, replay, resolve, rollup, text
 from attestra.sources import bridge, files, tables
 
 from . import compliance_queries as base
@@ -69,6 +69,19 @@ def _by_type(spark, sf_dir):
     return p.withColumn("share", F.round(F.col("detected") / F.col("pairs"), 6))
 
 
+# Labelled contradictions: what each pair of lines of a bid should be found to be, from the lines themselves.
+_LABELLED = """SELECT a.bid_id, f AS raw_field, a.line_no AS seq_a, b.line_no AS seq_b, CASE f WHEN 'gstin' THEN CASE WHEN a.l_suppkey = b.l_suppkey THEN 'CONSISTENT_GSTIN' ELSE 'GSTIN_CONTRADICTION' END WHEN 'warranty_years' THEN CASE WHEN a.l_partkey % 5 = b.l_partkey % 5 THEN 'CONSISTENT_DURATION' ELSE 'WARRANTY_CONTRADICTION' END ELSE CASE WHEN CAST(a.l_quantity AS INT) % 5 = CAST(b.l_quantity AS INT) % 5 THEN 'CONSISTENT_TURNOVER' ELSE 'TURNOVER_CONTRADICTION' END END AS label
+FROM {0} a JOIN {0} b ON a.bid_id = b.bid_id AND a.line_no < b.line_no, (VALUES ('gstin'), ('warranty_years'), ('turnover_cr')) v(f)"""
+oracle.view("labelled_pairs", _LABELLED.format("lines"), "lines")
+
+
+@register("d12_exact_matches", oracle.sql("SELECT label, count(*) AS pairs, count(*) FILTER (status = 'CONTRADICTION') AS detected, count(*) FILTER (finding_type = label) AS exact, round(count(*) FILTER (finding_type = label)::DOUBLE / count(*), 6) AS exact_rate FROM labelled_pairs l LEFT JOIN pairs p ON p.bid_id = l.bid_id AND p.raw_field_a = l.raw_field AND p.raw_field_b = l.raw_field AND p.seq_a = l.seq_a AND p.seq_b = l.seq_b GROUP BY label", "labelled_pairs", "pairs"))
+def _exact_contradictions(spark, sf_dir):
+    labels = spark.sql(_LABELLED.format("{lines}"), lines=bridge.lines(spark, sf_dir))
+    found = base.pairs(spark, sf_dir).filter("raw_field_a = raw_field_b").select("bid_id", F.col("raw_field_a").alias("raw_field"), "seq_a", "seq_b", "status", "finding_type")
+    return evaluate.exact_matches(labels, found, ["bid_id", "raw_field", "seq_a", "seq_b"])
+
+
 @register("d13_grouping_sets", "SELECT event_type, user_id % 7 AS team, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 7), ())")
 def _sets(spark, sf_dir):
     e = bridge.table(spark, sf_dir, "events").withColumn("team", F.col("user_id") % 7)
@@ -262,6 +275,18 @@ def _undeclared(spark, sf_dir):
     return audit.differences(declared, registered).select(side.alias("side"), F.col("id").alias("identifier"))
 
 
+_CLASSES = "CASE registry WHEN 'OEM' THEN 'AUTHORIZATION' WHEN 'MII' THEN 'DECLARATION' WHEN 'ITD' THEN 'RETURN' ELSE 'REGULATORY' END"
+_DECLARED_CLASS = "CASE " + " ".join(f"WHEN coalesce(canonical, '') IN {oracle._list((*canonical, '?'))} OR lower(field) IN {oracle._list(fields)} THEN '{kind}'" for kind, (canonical, fields) in registry.DECLARED.items()) + " END"
+oracle.view("declared_ids", f"SELECT DISTINCT bid_id, class, upper(trim(value)) AS id FROM (SELECT bid_id, value, {_DECLARED_CLASS} AS class FROM facts JOIN canon USING (field)) WHERE class IS NOT NULL AND trim(value) <> ''", "facts", "canon")
+oracle.view("captured_ids", f"SELECT DISTINCT bid_id, registry, {_CLASSES} AS class, upper(trim(identifier)) AS id FROM checks WHERE trim(coalesce(identifier, '')) <> ''", "checks")
+
+
+@register("g06_identifier_classes", oracle.sql("SELECT 'NOT_CHECKED' AS side, bid_id, class, id FROM declared_ids d WHERE class = 'REGULATORY' AND NOT EXISTS (SELECT 1 FROM captured_ids c WHERE c.bid_id = d.bid_id AND c.id = d.id) UNION ALL SELECT DISTINCT 'NOT_DECLARED', bid_id, class, id FROM captured_ids c WHERE EXISTS (SELECT 1 FROM declared_ids d WHERE d.bid_id = c.bid_id AND d.class = c.class) AND NOT EXISTS (SELECT 1 FROM declared_ids d WHERE d.bid_id = c.bid_id AND d.class = c.class AND d.id = c.id)", "declared_ids", "captured_ids"))
+def _identifier_classes(spark, sf_dir):
+    """By bid and class: identifiers that a bid declares and no registry was asked for, and those that one was asked for and the bid does not declare."""
+    return registry.undeclared(bridge.facts(spark, sf_dir), base.checks(spark, sf_dir))
+
+
 @register("g07_block_sets", "SELECT conv_id, array_to_string(list_transform(list_sort(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))), lambda x: CAST(x AS VARCHAR)), ',') AS joined, list_has_any(coalesce(a, []), coalesce(b, [])) AS overlap, list_sort(list_distinct(coalesce(a, []))) = list_sort(list_distinct(coalesce(b, []))) AS same FROM (SELECT conv_id, list(turn) FILTER (role = 'user') AS a, list(turn) FILTER (role = 'assistant') AS b FROM conversations GROUP BY conv_id)")
 def _block_sets(spark, sf_dir):
     side = lambda r: F.sort_array(F.collect_set(F.when(F.col("role") == r, F.col("turn"))))

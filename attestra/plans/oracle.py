@@ -227,6 +227,7 @@ _FACT = {
     "is_startup": "CASE WHEN line_no = 1 THEN CASE l_suppkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' END END",
     "dpiit_number": "CASE WHEN line_no = 1 AND l_suppkey % 6 = 0 THEN 'DIPP' || CAST(l_suppkey AS VARCHAR) END",
     "udyam_registration": f"CASE WHEN line_no = 1 AND l_suppkey % 4 <> 0 THEN {udyam('l_suppkey')} END",
+    "msme_number": f"CASE WHEN line_no = 1 AND l_suppkey % 12 = 0 THEN {udyam('l_suppkey')} END",
     "epfo_code": f"CASE WHEN line_no = 1 AND l_suppkey % 5 <> 0 THEN {epfo('l_suppkey')} END",
     "esic_code": f"CASE WHEN line_no = 1 AND l_suppkey % 7 <> 0 THEN {esic('l_suppkey')} END",
     "annual_turnover": "CASE WHEN line_no = 2 AND l_partkey % 9 = 0 THEN CAST(CAST(l_quantity AS INT) % 5 + 2 AS VARCHAR) || ' crore' END",
@@ -308,7 +309,13 @@ view("compared", f"SELECT field, value_a, value_b, {compare('field', 'value_a',
 view("pairs", "SELECT p.*, x.status AS status, x.finding_type AS finding_type, x.severity AS severity FROM raw_pairs p JOIN compared c ON p.field = c.field AND p.value_a = c.value_a AND p.value_b = c.value_b", "raw_pairs", "compared")
 FINDING_ID = "format('{}-{}-{:06d}-{}-{:06d}', field, raw_field_a, seq_a, raw_field_b, seq_b)"
 view("findings", f"SELECT *, {FINDING_ID} AS finding_id FROM pairs WHERE status <> 'CONSISTENT'", "pairs")
-view("ids", "SELECT bid_id, max(value) FILTER (field = 'gstin') AS gstin, max(value) FILTER (field = 'pan') AS pan, max(value) FILTER (field = 'udyam_registration') AS udyam, max(value) FILTER (field = 'company_name') AS expected_name, max(value) FILTER (field = 'epfo_code') AS epfo, max(value) FILTER (field = 'esic_code') AS esic, max(value) FILTER (field = 'dpiit_number') AS dpiit FROM last_facts GROUP BY bid_id", "last_facts")
+_BY_CANONICAL = {"gstin": ("gstin", "GSTIN"), "pan": ("pan", "PAN"), "udyam": ("udyam_registration", "UDYAM_REGISTRATION"), "expected_name": ("company_name", "LEGAL_ENTITY_NAME")}
+view(
+    "ids",
+    "SELECT bid_id, " + ", ".join(f"coalesce(max(value) FILTER (field = '{f}'), max(other) FILTER (canonical = '{c}')) AS {n}" for n, (f, c) in _BY_CANONICAL.items())
+    + ", max(value) FILTER (field = 'epfo_code') AS epfo, max(value) FILTER (field = 'esic_code') AS esic, max(value) FILTER (field = 'dpiit_number') AS dpiit FROM (SELECT bid_id, field, value, NULL AS canonical, NULL AS other FROM last_facts UNION ALL SELECT bid_id, NULL, NULL, canonical, max_by(value, struct_pack(s := fact_seq, f := field)) FROM facts JOIN canon USING (field) WHERE canonical IS NOT NULL GROUP BY bid_id, canonical) GROUP BY bid_id",
+    "last_facts", "facts", "canon",
+)
 view("questions", "SELECT bid_id, expected_name, unnest(['GST', 'PAN', 'UDYAM', 'ITD', 'MCA21', 'NSIC', 'OEM', 'MII', 'EPFO', 'ESIC', 'DPIIT']) AS registry, unnest([gstin, pan, udyam, CASE WHEN pan IS NOT NULL THEN pan WHEN length(trim(gstin)) = 15 THEN substring(upper(trim(gstin)), 3, 10) END, expected_name, expected_name, NULL, NULL, epfo, esic, dpiit]) AS identifier, unnest([NULL, NULL, expected_name, NULL, NULL, NULL, 'ACME:' || expected_name, expected_name || ':GOODS', NULL, NULL, NULL]) AS other FROM ids", "ids")
 view("records", "SELECT registry, upper(regexp_replace(key, '\\s', '', 'g')) AS k, min_by(struct_pack(holder := holder, state := state, details := details), struct_pack(h := holder, s := state)) AS r FROM registry GROUP BY ALL", "registry")
 _A, _B = registry_name("x.holder"), registry_name("expected_name")

@@ -143,6 +143,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "is_startup": F.when(first, F.when(F.col("l_suppkey") % 3 == 0, "Yes").when(F.col("l_suppkey") % 3 == 1, "No")),
         "dpiit_number": F.when(first & (F.col("l_suppkey") % 6 == 0), F.concat(F.lit("DIPP"), n(F.col("l_suppkey")))),
         "udyam_registration": F.when(first & (F.col("l_suppkey") % 4 != 0), udyam_of("l_suppkey")),
+        "msme_number": F.when(first & (F.col("l_suppkey") % 12 == 0), udyam_of("l_suppkey")),
         "epfo_code": F.when(first & (F.col("l_suppkey") % 5 != 0), epfo_of("l_suppkey")),
         "esic_code": F.when(first & (F.col("l_suppkey") % 7 != 0), esic_of("l_suppkey")),
         "annual_turnover": F.when((F.col("line_no") == 2) & (F.col("l_partkey") % 9 == 0), F.concat(n(q + 1), F.lit(" crore"))),

@@ -70,3 +70,9 @@ def manifest(found: DataFrame) -> DataFrame:
     each = found.sparkSession.read.schema(each.schema).parquet(path)
     whole = each.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file", "sha256"))), lambda x: F.concat_ws(":", x["file"], x["sha256"])), ";"), 256).alias("manifest"))  # a line a file
     return each.join(F.broadcast(whole))
+
+
+def valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records that keep the contract, without ``errors``, and those that do not, with them."""
+    faulty = F.size("errors") > 0
+    return checked.filter(~faulty).drop("errors"), checked.filter(faulty)
