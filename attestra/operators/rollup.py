@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 BASE_WEIGHT = {True: 10.0, False: 4.0}
 SEVERITY_WEIGHT = {"CRITICAL": 1.5, "MAJOR": 1.0, "MINOR": 0.6, "INFO": 0.4}
 FAIL_CAP, MISSING_CAP, CONTRADICTION_CAP = 40.0, 55.0, 65.0
+# Of each level of risk its least score, the most that factors add and what each adds; and the least score that needs no look.
+RISK_BANDS = {"CRITICAL": (0.90, 0.10, 0.02), "HIGH": (0.65, 0.20, 0.03), "MEDIUM": (0.35, 0.25, 0.04), "LOW": (0.05, 0.15, 0.02)}
+LEAST_SCORE = 75
 
 
 FAILS, PASSES, OPEN = ("FAIL", "OVERRIDDEN_FAIL"), ("PASS", "OVERRIDDEN_PASS"), ("REVIEW", "PARTIAL")
@@ -133,8 +136,8 @@ def risk(tally: DataFrame) -> DataFrame:
     high = c("high_factors") + c("contradictions") - c("grave_contradictions") + c("bad_checks") + c("away_checks")
     medium = c("medium_factors") + c("n_warnings")
     n = critical + high + medium
-    band = lambda base, cap, step: F.lit(base) + F.least(F.lit(cap), n * step)
-    score = F.when(critical > 0, band(0.90, 0.10, 0.02)).when(high > 0, band(0.65, 0.20, 0.03)).when(medium > 0, band(0.35, 0.25, 0.04)).otherwise(band(0.05, 0.15, 0.02))
+    band = {name: F.lit(base) + F.least(F.lit(cap), n * step) for name, (base, cap, step) in RISK_BANDS.items()}
+    score = F.when(critical > 0, band["CRITICAL"]).when(high > 0, band["HIGH"]).when(medium > 0, band["MEDIUM"]).otherwise(band["LOW"])
     level = F.when(critical > 0, "CRITICAL").when(high > 0, "HIGH").when(medium > 0, "MEDIUM").otherwise("LOW")
     return tally.withColumns({"level": level, "risk_score": F.least(F.lit(1.0), score), "n_factors": n})
 
@@ -181,7 +184,7 @@ def recommendation(tally: DataFrame) -> DataFrame:
     c = F.col
     issues = c("debarred").cast("long") + c("fails") + c("lacking") + c("high_contradictions") + c("issue_checks")
     fail = c("debarred") | (c("fails") > 0)
-    look = (issues > 0) | c("level").isin("HIGH", "CRITICAL") | (c("under_review") > 0) | (c("final_score") < 75)
+    look = (issues > 0) | c("level").isin("HIGH", "CRITICAL") | (c("under_review") > 0) | (c("final_score") < LEAST_SCORE)
     sure = fail | ~look | (c("high_contradictions") > 0) | (c("lacking") > 0)
     return risk(scores(tally)).select("bid_id", F.when(fail, "FAIL").when(look, "REVIEW").otherwise("PASS").alias("verdict"), F.when(sure, "HIGH").otherwise("MEDIUM").alias("confidence"), issues.alias("n_critical_issues"))
 

@@ -25,8 +25,27 @@ TOKEN_PATTERNS = (
     r"\b(?:pvt|ltd|limited|corporation|enterprises|solutions|technologies|company)\b",
     r"\b\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}\b",
 )
+# How durations, amounts, numbers and words stand in a text, which fields are of which family, and words that affirm or deny.
 DURATION_PHRASE = r"\b(?:\d+(?:\.\d+)?|zero|one|two|three|four|five|six|seven|eight|nine|ten)\s*(?:years?|yrs?|yr|months?|mths?|mth|mo|days?|d)\b"
 AMOUNT_PHRASE = r"\d+(?:[.,]\d+)?\s*(?:crores?|crs?|lakhs?|lacs?|millions?|thousands?|k|m|cr|%)?"
+DURATION_UNIT = r"\b(years?|yrs?|yr|months?|mths?|mth|mo|days?|d)\b"
+NUMBER_TOKEN, SIGNED_NUMBER, WORD_TOKEN = r"[-+]?[\d.]+", r"[-+]?\d+(?:\.\d+)?", r"\b[A-Za-z0-9]+(?::[A-Za-z0-9]+)?\b"
+IDENTIFIER_FIELDS = ("gstin", "pan", "udyam", "cin", "registration", "cert_number")
+DURATION_FIELDS = ("warranty", "experience", "validity", "delivery", "duration")
+FLAG_PREFIX = "^(is_|has_|are_)"
+NEGATIONS = r"\b(not|unauthorized|non-compliant|ineligible|rejected|disqualified)\b"
+AFFIRMATIVES = ("yes", "confirmed", "submitted", "available", "compliant")
+LEAST_IDENTIFIER, LEAST_NAME, LEAST_WORD, PARTLY, MOSTLY = 3, 3, 2, 0.5, 0.75
+# Document types by part of the path, beginning of the file name, pattern in the file name, and words at the head of the text; the first that holds decides.
+DOCUMENT_TYPES = (
+    ("TENDER", "/tenders/", "tender-", None, None),
+    ("BID", "/bids/", "bid-", None, None),
+    ("TENDER", None, None, "^gem_|^nit|tender", None),
+    ("TECHNICAL_BID", None, None, "technical|tech_bid", "technical bid"),
+    ("FINANCIAL_BID", None, None, "financial|boq|price_bid", None),
+    ("CERTIFICATE", None, None, "cert|udyam|iso|pan|gst", None),
+    ("DECLARATION", None, None, "decl|undertaking|affidavit", None),
+)
 UNPRINTABLE = r"[\x00-\x08\x0E-\x1F\x7F]"
 SHORT_PAGE = 20
 
@@ -86,57 +105,71 @@ def _any(parts: Column, test) -> Column:
     return F.coalesce(F.exists(parts, test), F.lit(False))
 
 
+def _first(*outcomes: tuple[Column | None, str]) -> Column:
+    """The name of the first outcome whose condition holds; the last one has none."""
+    out = F.lit(outcomes[-1][1])
+    for condition, name in reversed(outcomes[:-1]):
+        out = F.when(condition, name).otherwise(out)
+    return out
+
+
+def _letters(c: Column) -> Column:
+    return F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
+
+
+def _phrases(text: Column, pattern: str) -> Column:
+    """The parts of a text that a pattern finds, with a space between number and unit."""
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.regexp_replace(x, r"([0-9])\s*([a-z%])", "$1 $2"))
+
+
 def support(value: Column, field: Column, text: Column) -> Column:
     """How a text supports a claimed value of a field; ``SUPPORTED`` has the outcomes that do.
 
-    Identifiers are looked for as letters and digits alone, durations and amounts as equal
-    quantities, booleans by the words of the field without a negation, and other texts as a
-    whole, else by three quarters of their words, codes among them all.
+    Each family of values has its own outcomes: identifiers are looked for as letters and digits
+    alone, durations and amounts as equal quantities, booleans by the words of the field without
+    a negation, and other texts as a whole, else by three quarters of their words, codes among
+    them all.
     """
-    low, v, f = F.lower(text), F.trim(value), F.lower(field)
-    vl = F.lower(v)
-    has = lambda c, *words: F.regexp_like(c, F.lit("|".join(words)))
-    alnum = lambda c: F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
-    identifier = F.when((F.length(alnum(v)) >= 3) & F.contains(alnum(text), alnum(v)), "EXACT_IDENTIFIER_MATCH").otherwise("IDENTIFIER_MISMATCH")
-    spaced = lambda x: F.regexp_replace(x, r"([0-9])\s*([a-z%])", "$1 $2")
-    phrases = F.transform(F.regexp_extract_all(low, F.lit(DURATION_PHRASE), F.lit(0)), spaced)
-    months, days = normalize.duration(v), normalize.duration(v, "DAYS")
-    lasting = F.when(_any(phrases, lambda x: (normalize.duration(x) == months) | (normalize.duration(x, "DAYS") == days)), "DURATION_NORMALIZED_MATCH").otherwise("DURATION_MISMATCH")
-    timed = (has(f, "warranty", "experience", "validity", "delivery", "duration") | F.regexp_like(vl, F.lit(r"\b(years?|yrs?|yr|months?|mths?|mth|mo|days?|d)\b"))) & (months.isNotNull() | days.isNotNull())
-    amount = normalize.amount(v)
-    amounts = F.transform(F.regexp_extract_all(low, F.lit(AMOUNT_PHRASE), F.lit(0)), spaced)
-    digits = F.regexp_extract(v, r"[-+]?\d+(?:\.\d+)?", 0)
-    bare = F.transform(F.regexp_extract_all(low, F.lit(r"[-+]?[\d.]+"), F.lit(0)), lambda x: x)
-    numeric = F.when(_any(amounts, lambda x: normalize.amount(x) == amount), "CURRENCY_MATCH").when((digits != "") & F.array_contains(bare, digits), "NUMERIC_TOKEN_MATCH").otherwise("NUMERIC_MISMATCH")
-    flag = normalize.boolean(v)
-    named = F.filter(F.split(F.regexp_replace(f, "^(is_|has_|are_)", ""), r"[_\s\-]+"), lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS, *CLAIM_WORDS))
-    seen = F.size(F.filter(named, lambda t: F.contains(low, t)))
-    negated = F.regexp_like(low, F.lit(r"\b(not|unauthorized|non-compliant|ineligible|rejected|disqualified)\b"))
-    affirmed = (
-        F.when(F.size(named) == 0, F.when(has(low, "yes", "confirmed", "submitted", "available", "compliant"), "AFFIRMATIVE_WORD_FOUND").otherwise("BOOLEAN_UNSUPPORTED"))
-        .when(seen == F.size(named), F.when(negated, "NEGATED_BOOLEAN").otherwise("BOOLEAN_AFFIRMED"))
-        .when((seen > 0) & (seen / F.size(named) >= 0.5), "BOOLEAN_PARTIAL_AFFIRMED")
-        .otherwise("BOOLEAN_UNSUPPORTED")
-    )
-    words = F.filter(F.regexp_extract_all(vl, F.lit(r"\b[A-Za-z0-9]+(?::[A-Za-z0-9]+)?\b"), F.lit(0)), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
-    held = F.size(F.filter(words, lambda t: F.contains(low, t)))
-    codes = F.filter(words, lambda t: F.regexp_like(t, F.lit("[0-9:]")))
-    textual = (
-        F.when(F.contains(low, vl), "EXACT_SUBSTRING_MATCH")
-        .when(F.size(words) == 0, "NO_SUBSTANTIVE_TOKENS")
-        .when(F.size(F.filter(codes, lambda t: ~F.contains(low, t))) > 0, "CODE_MISMATCH")
-        .when(held / F.size(words) >= 0.75, "TOKEN_CONTAINMENT_MATCH")
-        .otherwise("TEXT_UNSUPPORTED")
-    )
-    return (
-        F.when(value.isNull() | (v == ""), "EMPTY_VALUE")
-        .when(has(f, "gstin", "pan", "udyam", "cin", "registration", "cert_number"), identifier)
-        .when(timed, lasting)
-        .when(amount.isNotNull(), numeric)
-        .when(flag, affirmed)
-        .when(~flag, "BOOLEAN_NEGATIVE_ACCEPTED")
-        .otherwise(textual)
-    )
+    v, f, low = F.trim(value), F.lower(field), F.lower(text)
+    months, days, amount, flag = normalize.duration(v), normalize.duration(v, "DAYS"), normalize.amount(v), normalize.boolean(v)
+    of_field = lambda words: F.regexp_like(f, F.lit("|".join(words)))
+    count = lambda parts, test: F.size(F.filter(parts, test))
+    in_text = lambda t: F.contains(low, t)
+    number = F.regexp_extract(v, SIGNED_NUMBER, 0)
+    named = F.filter(F.split(F.regexp_replace(f, FLAG_PREFIX, ""), r"[_\s\-]+"), lambda t: (F.length(t) >= LEAST_NAME) & ~t.isin(*STOP_WORDS, *CLAIM_WORDS))
+    words = F.filter(F.regexp_extract_all(F.lower(v), F.lit(WORD_TOKEN), F.lit(0)), lambda t: (F.length(t) >= LEAST_WORD) & ~t.isin(*STOP_WORDS))
+    seen, all_named, denied, nameless = count(named, in_text), F.size(named), F.regexp_like(low, F.lit(NEGATIONS)), F.size(named) == 0
+    families = (
+        (value.isNull() | (v == ""), _first((None, "EMPTY_VALUE"))),
+        (of_field(IDENTIFIER_FIELDS), _first(((F.length(_letters(v)) >= LEAST_IDENTIFIER) & F.contains(_letters(text), _letters(v)), "EXACT_IDENTIFIER_MATCH"), (None, "IDENTIFIER_MISMATCH"))),
+        (
+            (of_field(DURATION_FIELDS) | F.regexp_like(F.lower(v), F.lit(DURATION_UNIT))) & (months.isNotNull() | days.isNotNull()),
+            _first((_any(_phrases(low, DURATION_PHRASE), lambda x: (normalize.duration(x) == months) | (normalize.duration(x, "DAYS") == days)), "DURATION_NORMALIZED_MATCH"), (None, "DURATION_MISMATCH")),
+        ),
+        (
+            amount.isNotNull(),
+            _first((_any(_phrases(low, AMOUNT_PHRASE), lambda x: normalize.amount(x) == amount), "CURRENCY_MATCH"), ((number != "") & F.array_contains(F.regexp_extract_all(low, F.lit(NUMBER_TOKEN), F.lit(0)), number), "NUMERIC_TOKEN_MATCH"), (None, "NUMERIC_MISMATCH")),
+        ),
+        (
+            flag,
+            _first(
+                (nameless & F.regexp_like(low, F.lit("|".join(AFFIRMATIVES))), "AFFIRMATIVE_WORD_FOUND"), (nameless, "BOOLEAN_UNSUPPORTED"), ((seen == all_named) & denied, "NEGATED_BOOLEAN"), (seen == all_named, "BOOLEAN_AFFIRMED"),
+                ((seen > 0) & (seen / all_named >= PARTLY), "BOOLEAN_PARTIAL_AFFIRMED"), (None, "BOOLEAN_UNSUPPORTED"),
+            ),
+        ),
+        (~flag, _first((None, "BOOLEAN_NEGATIVE_ACCEPTED"))),
+        (
+            None,
+            _first(
+                (in_text(F.lower(v)), "EXACT_SUBSTRING_MATCH"), (F.size(words) == 0, "NO_SUBSTANTIVE_TOKENS"), (count(words, lambda t: F.regexp_like(t, F.lit("[0-9:]")) & ~in_text(t)) > 0, "CODE_MISMATCH"),
+                (count(words, in_text) / F.size(words) >= MOSTLY, "TOKEN_CONTAINMENT_MATCH"), (None, "TEXT_UNSUPPORTED"),
+            ),
+        ),
+    )
+    out = families[-1][1]
+    for holds, outcome in reversed(families[:-1]):
+        out = F.when(holds, outcome).otherwise(out)
+    return out
 
 
 SUPPORTED = (
@@ -170,22 +203,17 @@ def valid_box(box: Column, width: float, height: float) -> Column:
     return F.when(F.size(box) != 4, "SIZE").when(F.exists(box, lambda v: v < 0), "NEGATIVE").when((box[2] <= box[0]) | (box[3] <= box[1]), "ORDER").when((box[2] > height) | (box[3] > width), "BOUNDS").otherwise("OK")
 
 
-# Document types and what names them; the first that holds decides.
 def document_type(path: Column, text: Column) -> Column:
     """The type of a document by its folder, its file name, and the first 300 characters of its text."""
     low, head = F.lower(path), F.lower(F.substring(text, 1, 300))
     name = F.substring_index(low, "/", -1)
-    holds = lambda c, *words: F.regexp_like(c, F.lit("|".join(words)))
-    return (
-        F.when(F.contains(low, F.lit("/tenders/")) | name.startswith("tender-"), "TENDER")
-        .when(F.contains(low, F.lit("/bids/")) | name.startswith("bid-"), "BID")
-        .when(holds(name, "^gem_", "^nit", "tender"), "TENDER")
-        .when(holds(name, "technical", "tech_bid") | F.contains(head, F.lit("technical bid")), "TECHNICAL_BID")
-        .when(holds(name, "financial", "boq", "price_bid"), "FINANCIAL_BID")
-        .when(holds(name, "cert", "udyam", "iso", "pan", "gst"), "CERTIFICATE")
-        .when(holds(name, "decl", "undertaking", "affidavit"), "DECLARATION")
-        .otherwise("UNKNOWN")
-    )
+    out = F.lit("UNKNOWN")
+    for kind, folder, opening, pattern, said in reversed(DOCUMENT_TYPES):
+        holds = F.lit(False)
+        for words, test in ((folder, lambda w: F.contains(low, F.lit(w))), (opening, name.startswith), (pattern, lambda w: F.regexp_like(name, F.lit(w))), (said, lambda w: F.contains(head, F.lit(w)))):
+            holds = holds | test(words) if words else holds
+        out = F.when(holds, kind).otherwise(out)
+    return out
 
 
 def candidates(df: DataFrame, payload: str, schema: str) -> DataFrame:
