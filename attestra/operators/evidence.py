@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestra.sources import files
+
 #: Keywords that one scan of the blocks looks for; more take more scans, which bounds what is broadcast.
 SCAN_KEYWORDS = 100_000
 
@@ -44,6 +46,7 @@ def first_blocks(blocks: DataFrame, keywords: DataFrame) -> DataFrame:
     nothing; keywords that repeat each have rows; blocks without text have none.
     """
     spark = blocks.sparkSession
+    files.ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     id_type = keywords.schema["keyword_id"].dataType.simpleString()
     schema = f"doc_id {blocks.schema['doc_id'].dataType.simpleString()}, keyword_id {id_type}, block_id string, page_number int, snippet string"

@@ -208,7 +208,7 @@ def epfo(k: str) -> str:
 
 
 def esic(k: str) -> str:
-    return f"('31' || lpad(CAST({k} AS VARCHAR), 15, '0'))"
+    return f"('31' || lpad(CAST({k} AS VARCHAR), 8, '0'))"
 
 
 _DAY = "strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d')"

@@ -105,7 +105,7 @@ def epfo_of(supplier: str) -> Column:
 
 
 def esic_of(supplier: str) -> Column:
-    return F.concat(F.lit("31"), F.lpad(F.col(supplier).cast("string"), 15, "0"))
+    return F.concat(F.lit("31"), F.lpad(F.col(supplier).cast("string"), 8, "0"))
 
 
 def pan_of(supplier: str) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,22 @@ def drop(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, for jobs whose Python workers need its functions."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="attestra-")) / "attestra-core.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
 def round_trip(df: DataFrame, kind: str, **options) -> DataFrame:
     """Write ``df`` as csv, json, orc or parquet and read it back under its own schema."""
     path = scratch(df.sparkSession, kind)

@@ -61,6 +61,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def advance(stream: DataFrame, path: str) -> None:
     """Take in what has come since the last call for ``path``, which holds checkpoint and changes."""
     spark = stream.sparkSession
+    files.ship(spark)
     decided = audit.decisions(stream).select(F.col("target").cast("long").alias("target"), "decision", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").cast("long").alias("event_id"))
     kept = decided.filter("target is not null and event_id is not null and at is not null").groupBy("target").transformWithState(LatestDecision(), CHANGES.replace("ts timestamp", "at bigint"), "Update", "ProcessingTime")
     changes = kept.select("target", "decision", F.timestamp_micros("at").alias("ts"), "event_id", "n")
