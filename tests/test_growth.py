@@ -17,3 +17,45 @@ def test_precedence_carries_no_list_on_every_clause(spark):
     assert got[order[0]]["is_effective"] and got[order[0]]["superseded_by"] is None and got[order[0]]["supersedes"] == ", ".join(order[1:])
     assert all(not got[i]["is_effective"] and got[i]["superseded_by"] == order[0] and got[i]["supersedes"] is None for i in order[1:])
     assert all(got[i]["is_effective"] and got[i]["supersedes"] is None for i in ("R900", "R901"))
+
+
+def test_requirements_are_matched_without_shuffling_a_row_for_each(spark, small):
+    from attestra.operators import verify
+    from attestra.plans import compliance_queries as base
+    from attestra.sources import bridge
+
+    out = verify.matched(bridge.requirements(spark), bridge.bids(spark, small), base.summary(spark, small))
+    joins = [x for x in plan(out).splitlines() if "Join" in x and "bid_id#" in x]
+    assert joins and not any(" AND " in x.split("Join", 1)[1] for x in joins)  # on the bid alone, not on the bid and a requirement's field
+
+
+def test_methods_of_facts_are_short_enough_to_be_compiled(spark, small):
+    from attestra.sources import bridge
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = bridge.facts(spark, small)._jdf.queryExecution().debug().codegenToSeq()
+        assert 0 < max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000  # the JVM compiles no longer ones
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_values_are_read_once_however_many_facts_state_them(spark, small):
+    import __spark_entry__ as entry
+
+    for name in ("h01_amount", "h03_date", "h19_typed_values"):
+        lines = plan(entry.queries()[name](spark, small)).splitlines()
+        at = [k for k, x in enumerate(lines) if "regexp_replace" in x or "regexp_extract" in x]
+        assert at and all("value" in lines[k] and "bid_id" not in lines[k] for k in at), name
+
+
+def test_facts_are_dealt_out_by_bid_once(spark, small):
+    from attestra.operators import resolve
+    from attestra.sources import bridge
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = resolve.summary(bridge.facts(spark, small))._jdf.queryExecution().executedPlan().toString()
+        assert found.count("Exchange hashpartitioning(bid_id") == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
