@@ -1,16 +1,17 @@
 """Near copies for the pipeline: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-The search is exact.  All shingles have one order: those that many documents have come last,
+The first candidates are found by SimHash: fingerprints of operator 7 within two bits, by its
+multi-index tables; an exact check on complete sets follows.  At 0.8 fingerprints differ in
+about ten bits of 64, more than any tables can reach, so what fingerprints cannot link is
+searched for besides, and the result is exact.  For that all shingles have one order: those that many documents have come last,
 the rest by hash.  Two sets with that similarity share a shingle among the first of each, and
 the first they share lies early enough in both to leave room for the overlap they need; only
 such pairs are compared, on their complete sets.  Sets that are equal are one row throughout.
-First each shingle's sets are compared with the least of them; then, where a shingle's sets
+First each set is compared with the least
+of one shingle, then with those of its other shingles that it is not yet connected with; then, where a shingle's sets
 are not yet one component, those outside its largest component with all of other components.
 So a large group of near copies costs a row a member, and no link between components is missed.
 
-At 0.8 the fingerprints of operator 7 differ in about ten bits of 64, more than its tables
-can reach, so they cannot give the candidates.
-
 Defined results: a null text counts as empty, and a text with fewer words than a shingle is
 one shingle; rows without an id link like others, but stay only where no row of their group
 has one; rows that repeat an id are rows of their own; an empty table gives an empty result.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import storage, survivors, workers
+from . import simhash, storage, survivors, workers
 from .components import labels
 from .simhash import SEED
 
@@ -76,7 +77,7 @@ def _first_shingles(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, words: int, t: Fraction, common: np.ndarray) -> DataFrame:
-    """(d, k, q, node, n, tokens): the row, a number for its set, its size, and its first shingles."""
+    """(d, k, q, node, n, fp, tokens): the row, a number for its set, its size, its SimHash by operator 7, and its first shingles."""
     told = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +86,10 @@ def _prefixes(docs: DataFrame, words: int, t: Fraction, common: np.ndarray) -> D
         workers.begin("near_copies")
         late = told.value
         for batch in batches:
-            nodes, sizes, tokens = [], [], []
+            nodes, sizes, prints, tokens = [], [], [], []
             for x in batch.column("text").to_pylist():
                 s = shingle_set(x or b"", words)
+                prints.append(simhash.fingerprint(x or b""))
                 nodes.append(xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(len(s))
                 if len(late) and len(s):
@@ -96,9 +98,9 @@ def _prefixes(docs: DataFrame, words: int, t: Fraction, common: np.ndarray) -> D
                 tokens.append(s[: _prefix(len(s), t)])
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens or [np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in survivors.KEY], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), flat], [*survivors.KEY, "node", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in survivors.KEY], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), flat], [*survivors.KEY, "node", "n", "fp", "tokens"])
 
-    return _texts(docs).mapInArrow(run, "d bigint, k bigint, q bigint, node bigint, n bigint, tokens array<bigint>")
+    return _texts(docs).mapInArrow(run, "d bigint, k bigint, q bigint, node bigint, n bigint, fp bigint, tokens array<bigint>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -143,6 +145,22 @@ def _similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, t:
     return links
 
 
+def _near_fingerprints(rows: DataFrame) -> DataFrame:
+    """(a, b, n, m): candidates by SimHash: each set with the least of its fingerprint, and the least of fingerprints within two bits with each other."""
+    named, _ = storage.written(rows.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("x")).select("fp", "x.*"), "near-fingerprints")
+    least = lambda fp, node, n: named.select(F.col("fp").alias(fp), F.col("node").alias(node), F.col("n").alias(n))
+    alike = rows.select("fp", F.col("node").alias("a"), "n").distinct().join(least("fp", "b", "m"), "fp").filter("a <> b")
+    close = simhash.links(named.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(least("fa", "a", "n"), "fa").join(least("fb", "b", "m"), "fb").filter("a <> b")
+    return alike.select("a", "b", "n", "m").unionByName(close.select("a", "b", "n", "m"))
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that ``links`` do not connect yet."""
+    known = labels(links)
+    of = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
+
+
 def _grouped(docs: DataFrame, shingle_words: int, similarity: float, common: int) -> DataFrame:
     """(d, k, q, root) of every row; root stands for all that similar pairs connect."""
     spark, t = docs.sparkSession, Fraction(str(similarity))
@@ -151,19 +169,30 @@ def _grouped(docs: DataFrame, shingle_words: int, similarity: float, common: int
     late = often.orderBy(F.desc("c"), "token").limit(MOST_COMMON).select("token").toArrow()
     late = np.sort(late.column("token").to_numpy().astype(np.int64))
     found, found_path = storage.written(_prefixes(docs, shingle_words, t, late), "near-prefixes")
-    rows, _ = storage.written(found.select(*survivors.KEY, "node"), "near-rows")
+    storage.tidy(spark)
+    rows, _ = storage.written(found.select(*survivors.KEY, "node", "n", "fp"), "near-rows")
+    links = _similar(docs, rows, _near_fingerprints(rows), shingle_words, t)
     tokens = found.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).select("node", "n", F.posexplode("tokens").alias("i", "token"))
     tokens, tokens_path = storage.written(tokens, "near-tokens")
     storage.drop(spark, found_path)
     heads, _ = storage.written(tokens.groupBy("token").agg(F.min(F.struct("node", "n", "i")).alias("head"), F.count("*").alias("c")).filter("c > 1").drop("c"), "near-heads")
-    shared, _ = storage.written(tokens.join(heads, "token"), "near-shared")
+    shared, shared_path = storage.written(tokens.join(heads, "token"), "near-shared")
     storage.drop(spark, tokens_path)
     stars = shared.select(F.col("node").alias("a"), "n", "i", F.col("head.node").alias("b"), F.col("head.n").alias("m"), F.col("head.i").alias("j")).filter(f"a <> b AND {_room(t)}")
-    links = _similar(docs, rows, stars, shingle_words, t)
+    stars, stars_path = storage.written(stars.select("a", "b", "n", "m").distinct(), "near-stars")
+    one = _apart(stars, links).groupBy("a").agg(F.min(F.struct("b", "n", "m")).alias("x")).select("a", "x.*")
+    links, _ = storage.written(links.unionByName(_similar(docs, rows, one, shingle_words, t)), "near-found")
+    storage.tidy(spark)
+    links, _ = storage.written(links.unionByName(_similar(docs, rows, _apart(stars, links), shingle_words, t)), "near-found")
+    storage.drop(spark, stars_path)
+    storage.tidy(spark)
     known = shared.select("token", "node", "n", "i").join(labels(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    known, _ = storage.written(known, "near-known")
+    known, known_path = storage.written(known, "near-known")
+    storage.drop(spark, shared_path)
     parts, _ = storage.written(known.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("token", F.col("main.label").alias("main")), "near-parts")
     mixed, _ = storage.written(known.join(parts, "token"), "near-mixed")
+    storage.drop(spark, known_path)
+    storage.tidy(spark)
     minor = mixed.filter("label <> main").select("token", F.col("node").alias("a"), "n", "i", F.col("label").alias("la"))
     others = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("lb"), "main")
     across = minor.join(others, "token").filter(f"la <> lb AND (lb = main OR a < b) AND {_room(t)}")

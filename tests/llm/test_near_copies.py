@@ -56,3 +56,16 @@ def test_the_stage_drops_near_copies_of_many_bits(spark, small):
 
 def test_near_copies_of_nothing(none):
     assert near_copies.keep_one(none).count() == 0
+
+
+def test_the_stage_searches_by_simhash_and_compares_a_set_once_first(spark, small, monkeypatch):
+    import corpus_pipeline
+    from attestra.llm import simhash
+
+    searched, asked, links, similar_pairs = [], [], simhash.links, near_copies._similar
+    monkeypatch.setattr(simhash, "links", lambda fps, *a, **k: searched.append(fps.count()) or links(fps, *a, **k))
+    monkeypatch.setattr(near_copies, "_similar", lambda docs, rows, pairs, *a: asked.append(pairs.count()) or similar_pairs(docs, rows, pairs, *a))
+    base = [f"word{k}" for k in range(200)]
+    docs = spark.createDataFrame([(g, " ".join([*base[:g], f"edit{g}", *base[g + 1 :]])) for g in range(40)], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, small).collect()] == [0]
+    assert searched and sum(asked[1:]) <= 40  # all but the fingerprints' own: a pair a set, then only sets still apart
