@@ -59,3 +59,55 @@ def test_facts_are_dealt_out_by_bid_once(spark, small):
         assert found.count("Exchange hashpartitioning(bid_id") == 1
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_first_and_last_facts_are_found_without_sorting_facts(spark, small):
+    from attestra.operators import resolve
+    from attestra.plans import compliance_queries as base
+    from attestra.sources import bridge
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = resolve.by_bid(bridge.pages(spark, small), bridge.FIELDS)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "Generate" not in found and found.count("Sort [bid_id") == 1 and found.count("Exchange hashpartitioning(bid_id") == 1
+    want, got = resolve.summary(bridge.facts(spark, small)), base.summary(spark, small)
+    assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_rows_of_a_bid_are_not_grouped_again(spark, small):
+    from attestra.plans import compliance_queries as base, evaluation_queries as more
+
+    for out in (base._identities(spark, small), more._sorted(spark, small)):
+        assert "Aggregate" not in plan(out) and "Join" not in plan(out)
+
+
+def test_documents_meet_in_pairs_and_not_facts(spark, small, monkeypatch):
+    from attestra.operators import integrity
+    from attestra.plans import compliance_queries as base
+    from attestra.sources import bridge
+
+    known = base.readings(spark, small)
+    want = integrity.pairs(bridge.facts(spark, small), known)
+    for most in (integrity.MOST_VALUES, 0):  # readings sent out, and read where the values stand
+        monkeypatch.setattr(integrity, "MOST_VALUES", most)
+        got = integrity.pairs_of_pages(bridge.pages(spark, small), bridge.FIELDS, known)
+        lines = plan(got).splitlines()
+        met = next(k for k, x in enumerate(lines) if "Join Inner" in x and "bid_id" in x)
+        assert not any("Generate" in x for x in lines[met:])  # nothing is unfolded before documents meet
+        assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_checks_join_no_rows_without_a_key(spark):
+    from attestra.operators import registry
+
+    asked = spark.createDataFrame([(b, r, i, o, "A") for b in range(40) for r, i, o in (("MCA21", "A", None), ("OEM", None, "ACME:A"), ("UDYAM", "u", "A"), ("UDYAM", "v", None), ("MII", "m", "A:GOODS"))], "bid_id long, registry string, identifier string, other string, expected_name string")
+    records = spark.createDataFrame([("MCA21", "a", "A", "ACTIVE"), ("OEM", "ACME:A", "A", "ACTIVE"), ("UDYAM", "A", "A", "ACTIVE"), ("MII", "m", "B", "ACTIVE")], "registry string, key string, holder string, status string").selectExpr("*", "map('x', 'y') as details")
+    out = registry.check(asked, records)
+    lines = plan(out).splitlines()
+    for line in (x for x in lines if "Join LeftOuter" in x):
+        assert "k2#" not in line or any("isnotnull" in x and "other#" in x and "identifier#" in x for x in lines)
+    assert sum("k2#" in x for x in lines if "Join LeftOuter" in x) == 1 and any("NOT" in x.upper() and "isnotnull" in x for x in lines if "Filter" in x)
+    assert sorted({(r["registry"], r["identifier"], r["status"]) for r in out.collect()}, key=str) == sorted({("MCA21", "A", "VERIFIED"), ("OEM", None, "VERIFIED"), ("UDYAM", "u", "VERIFIED"), ("UDYAM", "v", "NOT_FOUND"), ("MII", "m", "IDENTITY_MISMATCH")}, key=str)
+    assert out.count() == 200
