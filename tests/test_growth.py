@@ -124,3 +124,71 @@ def test_registry_evidence_makes_no_other_edges(spark, small, monkeypatch):
 
     monkeypatch.setattr(more, "edges", None)
     assert more._registry_evidence(spark, small).count() > 0
+
+
+def test_edges_of_a_finding_are_made_in_one_pass(spark, small):
+    from attestra.plans import compliance_queries as base, evaluation_queries as more
+    from attestra.operators import audit
+    from attestra.sources import bridge
+
+    found = base.findings(spark, small)
+    made = audit.edges(base.results(spark, small), bridge.facts(spark, small), found, base.queue(spark, small), base.checks(spark, small), more._decided(spark, small))
+    assert "format_string" not in plan(made)
+    assert sum("Relation" in x and "seq_a#" in x for x in plan(made).splitlines()) == 1  # the findings are read once
+    assert more.edges(spark, small).count() == more.edges(spark, small).distinct().count()
+    assert more.nodes(spark, small).count() == more.nodes(spark, small).distinct().count()
+
+
+def test_finding_ids_are_as_long_as_their_numbers(spark):
+    from attestra.operators import rollup
+
+    rows = spark.createDataFrame([("f", "a", 7, "b", 1234567)], "field string, raw_field_a string, seq_a int, raw_field_b string, seq_b int")
+    made = rows.select(rollup.finding_id().alias("id"))
+    assert "format_string" not in plan(made) and made.first()["id"] == "f-a-000007-b-1234567"
+
+
+def test_a_sound_graph_is_not_searched_for_cycles_edge_by_edge(spark, monkeypatch):
+    from attestra.operators import audit
+
+    paths, scratch = [], audit.files.scratch
+    monkeypatch.setattr(audit.files, "scratch", lambda *a: paths.append(scratch(*a)) or paths[-1])
+    read = []
+    monkeypatch.setattr(audit.files, "drop", lambda s, p: read.append(s.read.parquet(p).count()))
+    edges = spark.createDataFrame([(1, "RESULT:r", "REQ:r", "k"), (1, "REQ:r", "BLOCK:b", "k"), (2, "RESULT:r", "BLOCK:b", "k")], "bid_id long, src string, dst string, kind string")
+    assert audit.cyclic_bids(edges).count() == 0
+    assert sum(read) == 0 and spark.read.parquet(paths[0]).count() == 0
+    looped = edges.unionByName(spark.createDataFrame([(2, "BLOCK:b", "RESULT:r", "k")], edges.schema))
+    assert [r["bid_id"] for r in audit.cyclic_bids(looped).collect()] == [2]
+
+
+def test_faults_are_found_without_joining_all_edges_with_all_nodes(spark, monkeypatch):
+    from attestra.operators import graph
+
+    nodes = spark.createDataFrame([(1, "REQ:r", "TENDER_REQUIREMENT"), (1, "BLOCK:b", "PHYSICAL_TEXT_BLOCK"), (1, "X:1", "GHOST"), (1, "X:1", "SPECTRE")], "bid_id long, id string, node_type string")
+    edges = spark.createDataFrame([(1, "REQ:r", "BLOCK:b", "REQUIREMENT_HAS_EVIDENCE"), (1, "REQ:gone", "BLOCK:b", "REQUIREMENT_HAS_EVIDENCE"), (1, "BLOCK:b", "X:1", "FACT_GROUNDED_BY")], "bid_id long, src string, dst string, kind string")
+    for most in (graph.MOST_SENT, 0):  # wrong ids sent out, and dealt out
+        monkeypatch.setattr(graph, "MOST_SENT", most)
+        out = graph.faults(nodes, edges)
+        assert "LeftOuter" not in plan(out) and "LeftAnti" not in plan(out)
+        assert sorted((r["fault"], r["id"]) for r in out.collect()) == [
+            ("DANGLING_SOURCE", "REQ:gone > REQUIREMENT_HAS_EVIDENCE > BLOCK:b"), ("INVALID_ENDS", "BLOCK:b > FACT_GROUNDED_BY > X:1"), ("INVALID_NODE_TYPE", "X:1"), ("INVALID_NODE_TYPE", "X:1"), ("TYPE_CONFLICT", "X:1")
+        ]
+
+
+def test_a_trace_deals_out_only_edges_it_can_go_along(spark, monkeypatch):
+    from attestra.operators import graph
+
+    edges = spark.createDataFrame([(1, "A:1", "B:1", "k"), (1, "B:1", "C:1", "k"), (1, "A:1", "C:1", "k"), (1, "Z:1", "C:1", "k")], "bid_id long, src string, dst string, kind string")
+    roots = spark.createDataFrame([(1, "A:1")], "bid_id long, root string")
+    for most in (graph.MOST_STARTS, 0):
+        monkeypatch.setattr(graph, "MOST_STARTS", most)
+        assert sorted((r["id"], r["depth"]) for r in graph.reached(edges, roots, up=False).collect()) == [("B:1", 1), ("C:1", 1)]
+
+
+def test_items_of_a_snapshot_are_not_written(spark, small, monkeypatch):
+    from attestra.plans import evaluation_queries as more
+
+    names, once = [], more.tables.once
+    monkeypatch.setattr(more.tables, "once", lambda s, d, name, build, by=(): names.append(name) or once(s, d, name, build, by))
+    more.SNAPSHOT[1](spark, small)
+    assert "snapshot-digests" in names and not any(x.endswith("-items") for x in names)
