@@ -80,19 +80,21 @@ def quality(text: Column, *, ocr: Column | None = None) -> tuple[Column, Column]
 
 def longest_run_share(text: Column) -> Column:
     """The longest run of one character over the length; 0 for an empty text."""
-    runs = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)((.)\2*)"), F.lit(1)), F.length)
-    return F.round(F.coalesce(F.array_max(runs), F.lit(0)) / F.greatest(F.lit(1), F.length(text)), 6)
+    runs = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)(.)\1+"), F.lit(0)), F.length)  # of two or more: a match for every character would be as many as the text has
+    return F.round(F.coalesce(F.array_max(runs), F.when(F.length(text) > 0, 1), F.lit(0)) / F.greatest(F.lit(1), F.length(text)), 6)
 
 
-def validity(text: Column, confidence: Column) -> tuple[Column, Column]:
-    """(composite, status) of recognised text: letters and digits, procurement patterns, length and confidence, halved for long runs of one character."""
-    clean = _stripped(text)
-    n = F.length(clean)
-    printable, letters, run = 1 - F.try_divide(F.regexp_count(clean, F.lit(UNPRINTABLE)), n), F.try_divide(F.regexp_count(clean, F.lit(r"[\p{L}\p{N}]")), n), longest_run_share(clean)
-    hits = F.lit(0)
+def _measures(clean: Column) -> dict[str, Column]:
+    """What ``validity`` is made of: length, share of printable characters, of letters and digits, of the longest run, and patterns found."""
+    n, hits = F.length(clean), F.lit(0)
     for p in TOKEN_PATTERNS:
         hits = hits + F.regexp_like(clean, F.lit(f"(?i){p}")).cast("int")
-    tokens = F.when(n < 10, 0.0).otherwise(F.least(F.lit(1.0), hits / 3.0))
+    return {"n": n, "printable": 1 - F.try_divide(F.regexp_count(clean, F.lit(UNPRINTABLE)), n), "letters": F.try_divide(F.regexp_count(clean, F.lit(r"[\p{L}\p{N}]")), n), "run": longest_run_share(clean), "hits": hits}
+
+
+def _judged(of: dict[str, Column], confidence: Column) -> tuple[Column, Column]:
+    n, printable, letters, run = of["n"], of["printable"], of["letters"], of["run"]
+    tokens = F.when(n < 10, 0.0).otherwise(F.least(F.lit(1.0), of["hits"] / 3.0))
     sure = F.greatest(F.lit(0.1), F.least(F.lit(1.0), confidence))
     whole = (0.35 * sure + 0.25 * letters + 0.25 * tokens + 0.15 * F.least(F.lit(1.0), n / 150.0)) * printable
     composite = F.when(n == 0, 0.0).otherwise(F.when(run > 0.35, whole * 0.5).otherwise(whole))
@@ -101,6 +103,11 @@ def validity(text: Column, confidence: Column) -> tuple[Column, Column]:
     return F.round(composite, 6), F.when(n == 0, "FAILED").when(failed, "FAILED").when(low, "LOW_CONFIDENCE").otherwise("ACCEPTED")
 
 
+def validity(text: Column, confidence: Column) -> tuple[Column, Column]:
+    """(composite, status) of recognised text: letters and digits, procurement patterns, length and confidence, halved for long runs of one character."""
+    return _judged(_measures(_stripped(text)), confidence)
+
+
 def _any(parts: Column, test) -> Column:
     return F.coalesce(F.exists(parts, test), F.lit(False))
 
@@ -230,10 +237,14 @@ def best_version(versions: DataFrame) -> DataFrame:
     text, the one with the highest composite score is the best, of equal ones the earlier; it is
     taken if it is longer than the file's own text, or if that is too short to be a page's.
     """
-    composite, status = validity(F.col("text"), F.coalesce("sure", F.lit(0.0)))
-    n = F.length(_stripped(F.coalesce("text", F.lit("")))).cast("long")
-    scored = versions.withColumns({"n_chars": n, "score": composite, "valid": status != "FAILED"})
-    read = (F.col("pass") > 0) & F.col("success") & F.col("valid")
+    # Texts are measured in a step of their own, once each, and only those that can be taken: conditions would read them again for every use.
+    tried = (F.col("pass") > 0) & F.col("success")
+    stripped = versions.withColumn("_clean", _stripped(F.coalesce("text", F.lit(""))))
+    known = _measures(F.col("_clean"))
+    measured = stripped.withColumns({f"_{k}": F.when(tried & F.col("text").isNotNull(), c) for k, c in known.items()}).withColumn("n_chars", F.length("_clean").cast("long"))
+    composite, status = _judged({k: F.col(f"_{k}") for k in known}, F.coalesce("sure", F.lit(0.0)))
+    scored = measured.withColumns({"score": composite, "valid": status != "FAILED"})
+    read = tried & F.col("valid")
     shown = F.struct("pass", "text", "n_chars", "score")
     met = scored.groupBy("doc_id", "page_number").agg(F.max_by(F.when(F.col("pass") == 0, shown), F.when(F.col("pass") == 0, 1)).alias("own"), F.max_by(F.when(read, shown), F.when(read, F.struct("score", -F.col("pass")))).alias("best"))
     taken = F.col("best").isNotNull() & (F.col("own").isNull() | (F.col("best.n_chars") > F.col("own.n_chars")) | (F.col("own.n_chars") < SHORT_PAGE))

@@ -192,3 +192,16 @@ def test_items_of_a_snapshot_are_not_written(spark, small, monkeypatch):
     monkeypatch.setattr(more.tables, "once", lambda s, d, name, build, by=(): names.append(name) or once(s, d, name, build, by))
     more.SNAPSHOT[1](spark, small)
     assert "snapshot-digests" in names and not any(x.endswith("-items") for x in names)
+
+
+def test_texts_of_versions_are_measured_once(spark):
+    from attestra.operators import text
+
+    from pyspark.sql import functions
+
+    rows = [(1, 1, 0, "own", None, True), (1, 1, 1, "tender document no. 17, bidder turnover " * 3, 0.9, True), (1, 1, 2, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", 1.0, True), (2, 1, 0, "a text of its own that is long enough", None, True), (2, 1, 1, None, 0.9, False)]
+    out = text.best_version(spark.createDataFrame(rows, "doc_id long, page_number int, pass int, text string, sure double, success boolean"))
+    assert plan(out).count("regexp_extract_all") == 3  # counts of two kinds of characters, and runs: not once for each condition that reads them
+    assert {(r["doc_id"], r["pass"], r["method"]) for r in out.collect()} == {(1, 1, "OCR"), (2, 0, "NATIVE_PDF")}
+    shares = spark.createDataFrame([("aab",), ("abc",), ("",), (None,)], "x string").select(text.longest_run_share(functions.col("x")).alias("s"))
+    assert [r["s"] for r in shares.collect()] == [0.666667, 0.333333, 0.0, 0.0]
