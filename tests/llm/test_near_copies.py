@@ -69,3 +69,35 @@ def test_the_stage_searches_by_simhash_and_compares_a_set_once_first(spark, smal
     docs = spark.createDataFrame([(g, " ".join([*base[:g], f"edit{g}", *base[g + 1 :]])) for g in range(40)], "doc_id bigint, text string")
     assert [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, small).collect()] == [0]
     assert searched and sum(asked[1:]) <= 40  # all but the fingerprints' own: a pair a set, then only sets still apart
+
+
+def test_sets_that_only_share_early_shingles_are_not_made(spark, monkeypatch):
+    made, sets_of = [], near_copies._sets
+    monkeypatch.setattr(near_copies, "_sets", lambda held, words: made.append(held.count()) or sets_of(held, words))
+    licence = [f"licence{k}" for k in range(60)]
+    docs = spark.createDataFrame([(g, " ".join(licence + [f"own{g}x{k}" for k in range(150)])) for g in range(30)], "doc_id bigint, text string")
+    assert near_copies.keep_one(docs).count() == 30
+    assert sum(made) == 0  # any two share 56 of 336 shingles, some of them early; their sketches say that this is too few
+
+
+def test_sketches_of_unlike_lengths_lose_no_pair(spark):
+    base = [f"word{k}" for k in range(300)]
+    rows = [(n, " ".join(base[:n])) for n in (*range(56, 82, 2), *range(118, 148, 3), *range(236, 300, 4))]  # sketches of 64 to 512 bits, doubled at 68, 132 and 260 words
+    sets = {d: shingles(t) for d, t in rows}
+    want = {d: min(x for x in sets if x <= d and all(similar(sets[y], sets[z]) for y, z in zip(sorted(k for k in sets if x <= k <= d), sorted(k for k in sets if x <= k <= d)[1:]))) for d in sets}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.components(docs).collect()} == want
+    assert set(want.values()) == {56, 118, 236}
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles(spark):
+    import numpy as np
+
+    draw, rows, want = np.random.default_rng(3), [], []
+    for n, both in ((0, 0), (1, 1), (64, 60), (65, 3), (400, 390), (5000, 4900)):
+        x = np.unique(draw.integers(-(2**63), 2**63 - 1, n))
+        y = np.unique(np.concatenate([x[:both], draw.integers(-(2**63), 2**63 - 1, 7)]))
+        rows.append((near_copies.sketch(x).tolist(), near_copies.sketch(y).tolist()))
+        want.append(len(set(x.tolist()) ^ set(y.tolist())))
+    found = [r["c"] for r in spark.createDataFrame(rows, "x array<bigint>, y array<bigint>").coalesce(1).select(near_copies._differing("x", "y").alias("c")).collect()]
+    assert all(c <= w and (w - c) % 2 == 0 and (c > w // 3) for c, w in zip(found, want, strict=True))
