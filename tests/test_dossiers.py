@@ -54,3 +54,26 @@ def test_a_write_that_fails_leaves_the_store(spark, tmp_path):
         dossiers.upsert(rows(spark, range(5), "second").withColumn("mark", F.raise_error(F.lit("lost"))), path, "bid_id")
     (tmp_path / "store" / "data" / "torn" / "bucket=0").mkdir(parents=True)  # data of a write that never came to its commit
     assert {r["mark"] for r in dossiers.all_rows(spark, path).collect()} == {"first"} and dossiers.all_rows(spark, path).count() == 10
+
+
+def test_a_write_is_as_large_as_its_rows_and_as_wide_as_its_tasks(spark, tmp_path):
+    path = tmp_path / "store"
+    dossiers.upsert(rows(spark, range(200), "first").repartition(6), f"file://{path}", "bid_id", buckets=4)
+    parts = list((path / "data").rglob("*.parquet"))
+    assert sum(p.stat().st_size for p in parts) < 2_000_000  # a Bloom filter of 1 MB for each row group, however few its ids, made it over 4 MB
+    assert len(parts) > 4  # tasks write what they have; dealt out by bucket, four tasks at most had rows
+    dossiers.upsert(rows(spark, range(190, 210), "second").repartition(3), f"file://{path}", "bid_id", buckets=4)
+    assert {r["mark"]: r["count"] for r in dossiers.all_rows(spark, f"file://{path}").groupBy("mark").count().collect()} == {"first": 190, "second": 20}
+
+
+def test_dossiers_of_some_bids_nest_nothing_of_others(spark, small, monkeypatch):
+    from attestra.operators import audit
+    from attestra.plans import evaluation_queries as queries
+
+    given, build = [], audit.dossiers
+    monkeypatch.setattr(audit, "dossiers", lambda *parts: given.append(parts) or build(*parts))
+    some = queries.bridge.bids(spark, small).orderBy("bid_id").limit(2).select("bid_id").localCheckpoint()
+    found = {r["bid_id"]: r for r in queries.dossiers(spark, small, only=some).collect()}
+    mine = {r["bid_id"] for r in some.collect()}
+    assert all({r["bid_id"] for r in df.select("bid_id").distinct().collect()} <= mine for df in given[0])
+    assert found == {r["bid_id"]: r for r in queries.dossiers(spark, small).join(some, "bid_id", "left_semi").collect()} and found.keys() == mine
