@@ -29,6 +29,25 @@ def test_requirements_are_matched_without_shuffling_a_row_for_each(spark, small)
     assert joins and not any(" AND " in x.split("Join", 1)[1] for x in joins)  # on the bid alone, not on the bid and a requirement's field
 
 
+def test_what_is_known_of_bids_is_not_broadcast(spark, small, monkeypatch):
+    from attestra.operators import verify
+    from attestra.plans import compliance_queries as base
+    from attestra.sources import bridge
+
+    wide, long = base.profiles(spark, small), base.summary(spark, small)
+    bids, reqs = bridge.bids(spark, small), bridge.requirements(spark)
+    got, want = verify.matched(reqs, bids, wide), verify.matched(reqs, bids, long)
+    assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).count() == 0
+    monkeypatch.setattr(bridge.tables, "once", lambda s, d, name, build, by=(): build())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for out in (verify.matched(reqs, bids, wide), verify.matched(reqs, bids, long), verify.asked(reqs, bids, wide), bridge.bids(spark, small)):
+            joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "[bid_id" in x]
+            assert joins and not any("Broadcast" in x for x in joins)  # their files are small, their rows are not
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_methods_of_facts_are_short_enough_to_be_compiled(spark, small):
     from attestra.sources import bridge
 
