@@ -224,3 +224,17 @@ def test_texts_of_versions_are_measured_once(spark):
     assert {(r["doc_id"], r["pass"], r["method"]) for r in out.collect()} == {(1, 1, "OCR"), (2, 0, "NATIVE_PDF")}
     shares = spark.createDataFrame([("aab",), ("abc",), ("",), (None,)], "x string").select(text.longest_run_share(functions.col("x")).alias("s"))
     assert [r["s"] for r in shares.collect()] == [0.666667, 0.333333, 0.0, 0.0]
+
+
+def test_hinted_pairs_are_compared_in_methods_that_are_compiled(spark, small):
+    import __spark_entry__ as entry
+
+    from attestra.plans import compliance_queries as base
+
+    base.pairs(spark, small)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = entry.queries()["c07_hinted_pairs"](spark, small)._jdf.queryExecution().debug().codegenToSeq()
+        assert 0 < max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
