@@ -238,3 +238,14 @@ def test_hinted_pairs_are_compared_in_methods_that_are_compiled(spark, small):
         assert 0 < max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_claimed_value_is_read_once_and_not_for_each_phrase(spark):
+    from attestra.operators import text
+
+    from pyspark.sql import functions
+
+    rows = spark.createDataFrame([("3 years", "warranty", "for 36 months or 12 days"), ("2 crore", "turnover_cr", "Rs. 200 lakh, 17, 200 lakh"), ("7", "lots", "x 8 y"), (None, "a", "b")], "v string, f string, t string")
+    out = rows.select(text.support(functions.col("v"), functions.col("f"), functions.col("t")).alias("s"))
+    assert plan(out).count("regexp_replace") < 100  # the readings of both sides, once each
+    assert [r["s"] for r in out.collect()] == ["DURATION_NORMALIZED_MATCH", "CURRENCY_MATCH", "NUMERIC_MISMATCH", "EMPTY_VALUE"]
