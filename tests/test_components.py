@@ -71,3 +71,23 @@ def test_keyword_search_in_several_scans(spark, monkeypatch):
     blocks = spark.createDataFrame([(1, 1, 0, "a", "one two three four five")], "doc_id int, page_number int, position int, block_id string, text string")
     asked = spark.createDataFrame([(k, w, False) for k, w in enumerate("one two three four five six".split())], "keyword_id int, pattern string, is_regex boolean")
     assert {r["keyword_id"] for r in evidence.first_blocks(blocks, asked).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_groups_whose_candidates_have_the_same_blocks_need_no_components(spark, monkeypatch):
+    from attestra.operators import components
+
+    looked, of = [], components.of_shared_keys
+    monkeypatch.setattr(extraction.components, "of_shared_keys", lambda df: looked.append(df.count()) or of(df))
+    rows = [(1, k, "f", str(k // 2), k % 2 == 0, "x" * k, ["a", "b"][:: 1 if k % 2 else -1]) for k in range(6)] + [(None, 7, "f", "z", False, "p", ["a"]), (None, 8, "f", "z", False, "qq", ["a"])]
+    rows += [(1, 20, "f", "far", False, "s", ["a"]), (1, 21, "f", "far", False, "t", ["c"])]
+    got = {(r["doc_id"], r["value_key"], r["n"], r["mandatory"], r["description"], tuple(r["blocks"])) for r in extraction.merged(spark.createDataFrame(rows, SCHEMA), ["place"]).collect()}
+    assert looked == [2]  # the ends of the two that are apart
+    assert got == {(1, str(k), 2, True, "x" * (2 * k + 1), ("a", "b")) for k in range(3)} | {(None, "z", 2, False, "qq", ("a",)), (1, "far", 1, False, "s", ("a",)), (1, "far", 1, False, "t", ("c",))}
+
+
+def test_what_is_found_is_made_once_for_gold_matches(spark):
+    gold = spark.createDataFrame([("g", "d", "C", "f", "F", "1", ["a"])], "gold_id string, doc_id string, category string, field string, canonical string, normalised string, blocks array<string>")
+    found = spark.range(1).selectExpr("'e' AS found_id", "'d' AS doc_id", "'f' AS field", "'F' AS canonical", "cast(id + 1 AS string) AS normalised", "array('a') AS blocks")
+    out = extraction.gold_matches(gold, found)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 1") == 1
+    assert [(r["match"], r["shared"], r["found_id"]) for r in out.collect()] == [("EXACT", 1, "e")]
