@@ -249,3 +249,20 @@ def test_a_claimed_value_is_read_once_and_not_for_each_phrase(spark):
     out = rows.select(text.support(functions.col("v"), functions.col("f"), functions.col("t")).alias("s"))
     assert plan(out).count("regexp_replace") < 100  # the readings of both sides, once each
     assert [r["s"] for r in out.collect()] == ["DURATION_NORMALIZED_MATCH", "CURRENCY_MATCH", "NUMERIC_MISMATCH", "EMPTY_VALUE"]
+
+
+def test_pairs_are_not_written_for_one_pass_over_them(spark, small, monkeypatch):
+    import __spark_entry__ as entry
+
+    from attestra.plans import compliance_queries as base
+
+    base.readings(spark, small)
+    base.tables._WRITTEN.pop((spark.sparkContext.applicationId, small, "pairs"), None)
+    names, once = [], base.tables.once
+    monkeypatch.setattr(base.tables, "once", lambda s, d, name, build, by=(): names.append(name) or once(s, d, name, build, by))
+    for name in ("c06_compare_values", "d12_contradictions_by_type", "d12_exact_matches", "c16_compared_facts"):
+        out = entry.queries()[name](spark, small)
+        assert "pairs" not in names, name
+        if name == "c16_compared_facts":
+            joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "bid_id" in x]
+            assert joins and not any("Broadcast" in x for x in joins)  # the fields of findings are a row a bid
