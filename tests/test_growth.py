@@ -266,3 +266,16 @@ def test_pairs_are_not_written_for_one_pass_over_them(spark, small, monkeypatch)
         if name == "c16_compared_facts":
             joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "bid_id" in x]
             assert joins and not any("Broadcast" in x for x in joins)  # the fields of findings are a row a bid
+
+
+def test_checks_are_made_in_methods_that_are_compiled(spark, small):
+    from attestra.operators import registry
+    from attestra.plans import compliance_queries as base
+    from attestra.sources import bridge
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = registry.check(registry.keys(base.identities(spark, small)), bridge.registry(spark, small))._jdf.queryExecution().debug().codegenToSeq()
+        assert 0 < max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
